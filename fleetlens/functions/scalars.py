@@ -1,9 +1,10 @@
 """Scalar column functions (U2-U16, F6 pattern translation).
 
 All are compositions of built-in functions, so they stay inside whole-stage
-code generation.  Number-to-text formatting uses ``format_number``, whose
-rounding of the binary value matches ``'%.2f'`` formatting (1.125 -> 1.12,
-2.675 -> 2.67), unlike ``format_string`` (HALF_UP on the decimal text).
+code generation.  Number-to-text formatting uses ``format_number`` (ties of
+exactly representable values go to even: 1.125 -> 1.12, like ``'%.2f'``).
+Numeric rounding uses ``round``: HALF_UP on the decimal text of the double
+(0.125 -> 0.13), a documented difference from binary round-half-even.
 """
 
 from __future__ import annotations

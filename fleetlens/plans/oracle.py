@@ -169,3 +169,390 @@ WITH {ALERTS}
 SELECT _id, created FROM msgs
 WHERE created < TIMESTAMP '1996-06-01 00:00:00' OR (created = TIMESTAMP '1996-06-01 00:00:00' AND _id > 30000)
 """
+
+
+# --- fleet inventory ----------------------------------------------------------
+
+
+def fmt2(x: str) -> str:
+    return f"printf('%.2f', CAST({x} AS DOUBLE))"
+
+
+def fmt_bytes(x: str) -> str:
+    units = ["B", "KB", "MB", "GB", "TB", "PB"]
+    parts = [f"WHEN {x} IS NULL OR {x} = 0 THEN '0 B'"]
+    for k, u in enumerate(units):
+        parts.append(f"WHEN abs(CAST({x} AS DOUBLE)) < {1024.0 ** (k + 1)!r} THEN {fmt2(f'CAST({x} AS DOUBLE) / {1024.0**k!r}')} || ' {u}'")
+    return "CASE " + " ".join(parts) + f" ELSE {fmt2(f'CAST({x} AS DOUBLE) / {1024.0**6!r}')} || ' EB' END"
+
+
+def fmt_duration(x: str) -> str:
+    s = f"({x} // 1000)"
+    d, h, m, sec = f"({s} // 86400)", f"(({s} % 86400) // 3600)", f"(({s} % 3600) // 60)", f"({s} % 60)"
+    parts = (
+        f"list_filter([CASE WHEN {d} > 0 THEN CAST({d} AS VARCHAR) || 'd' END, CASE WHEN {h} > 0 THEN CAST({h} AS VARCHAR) || 'h' END, "
+        f"CASE WHEN {m} > 0 THEN CAST({m} AS VARCHAR) || 'm' END, CASE WHEN {sec} > 0 THEN CAST({sec} AS VARCHAR) || 's' END], lambda v: v IS NOT NULL)"
+    )
+    return f"CASE WHEN {x} IS NULL OR {x} = 0 OR len({parts}) = 0 THEN '0s' ELSE array_to_string(list_slice({parts}, 1, 2), ' ') END"
+
+
+def py_round(x: str, d: int) -> str:
+    """Spark's ``round``: HALF_UP on the shortest decimal text of the double."""
+    return f"CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,12)), {d}) AS DOUBLE)"
+
+
+REGISTRY = """
+reg AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS id,
+         CASE WHEN s_nationkey = 0 THEN 'console-system-' || s_name ELSE s_name END AS name,
+         '7.' || CAST(s_nationkey AS VARCHAR) || '.0' AS version,
+         s_acctbal > 0 AS enabled, s_acctbal > 1000 AS monitored
+  FROM supplier
+)"""
+
+STATUS = """
+st AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS st_id, n_regionkey <> 4 AS st_available,
+         CASE WHEN n_regionkey <= 1 THEN 'green' WHEN n_regionkey = 2 THEN 'yellow' WHEN n_regionkey = 3 THEN 'red' END AS h_status,
+         CAST(n_regionkey + 1 AS BIGINT) AS h_nodes, CAST(n_nationkey AS BIGINT) AS h_primary,
+         CAST(n_nationkey * 2 AS BIGINT) AS h_shards,
+         CAST(CASE WHEN n_regionkey = 3 THEN n_nationkey ELSE 0 END AS BIGINT) AS h_unassigned
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0
+)"""
+
+SUMMARY = """
+g AS (
+  SELECT l_suppkey, count(*) AS n,
+         sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS n_r,
+         sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS n_f,
+         sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS n_o,
+         max(l_linenumber) AS max_line, max(l_shipdate) AS last_ship, min(l_shipdate) AS first_ship,
+         sum(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) AS parts,
+         sum(CASE WHEN l_linenumber <= 2 THEN 1 ELSE 0 END) AS orders,
+         sum(CAST(l_quantity AS BIGINT)) AS qty,
+         sum(CAST(floor(l_extendedprice) AS BIGINT)) AS price,
+         max(CAST(floor(l_extendedprice) AS BIGINT)) AS max_price
+  FROM lineitem GROUP BY l_suppkey
+),
+sm AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS sm_id,
+         CASE WHEN n > 600 THEN 'es-' || CAST(l_suppkey AS VARCHAR) END AS cluster_name,
+         CASE WHEN n_r * 3 > n THEN 'yellow' END AS status,
+         CASE WHEN n > 600 THEN ['8.' || CAST(max_line AS VARCHAR), '7.0'] END AS sm_version,
+         epoch_ms(last_ship) - epoch_ms(first_ship) AS uptime,
+         CAST(greatest(n_f - n_o, 0) AS BIGINT) AS nodes_count,
+         CAST(parts AS BIGINT) AS indices_count, CAST(orders AS BIGINT) AS primary_shards,
+         CAST(n AS BIGINT) AS total_shards, CAST(n - n_r - parts AS BIGINT) AS unassigned_shards,
+         CAST(qty AS BIGINT) AS document_count,
+         CAST(price * 1024 AS BIGINT) AS used_store_bytes, CAST(price * 2048 AS BIGINT) AS max_store_bytes,
+         CAST(max_price * 1024 AS BIGINT) AS used_jvm_bytes,
+         CAST(CASE WHEN n > 550 THEN max_price * 3072 ELSE 0 END AS BIGINT) AS max_jvm_bytes
+  FROM g
+)"""
+
+
+def falsy(a: str, b: str) -> str:
+    return f"CAST(coalesce(nullif({a}, 0), nullif({b}, 0), 0) AS BIGINT)"
+
+
+FLEET_REPORT = f"""
+WITH {REGISTRY}, {STATUS}, {SUMMARY},
+j AS (
+  SELECT * FROM reg LEFT JOIN st ON reg.id = st.st_id LEFT JOIN sm ON reg.id = sm.sm_id
+  WHERE NOT (upper(coalesce(reg.name, '')) LIKE '%CONSOLE-SYSTEM%')
+),
+r AS (
+  SELECT id AS cluster_id, name AS display_name,
+         coalesce(nullif(cluster_name, ''), name) AS cluster_name,
+         coalesce(nullif(sm_version[1], ''), version) AS version,
+         coalesce(nullif(status, ''), h_status, 'unknown') AS health_status,
+         coalesce(st_available, false) AS available,
+         coalesce(monitored, false) AS monitored,
+         CASE WHEN coalesce(uptime, 0) <> 0 THEN {fmt_duration('uptime')} ELSE 'Unknown' END AS uptime,
+         {falsy('nodes_count', 'h_nodes')} AS nodes_count,
+         CAST(coalesce(indices_count, 0) AS BIGINT) AS indices_count,
+         {falsy('primary_shards', 'h_primary')} AS primary_shards,
+         {falsy('total_shards', 'h_shards')} AS total_shards,
+         {falsy('unassigned_shards', 'h_unassigned')} AS unassigned_shards,
+         CAST(coalesce(document_count, 0) AS BIGINT) AS documents_count,
+         CAST(coalesce(used_store_bytes, 0) AS BIGINT) AS storage_used_bytes,
+         CAST(coalesce(max_store_bytes, 0) AS BIGINT) AS storage_total_bytes,
+         CAST(coalesce(used_jvm_bytes, 0) AS BIGINT) AS jvm_used_bytes,
+         CAST(coalesce(max_jvm_bytes, 0) AS BIGINT) AS jvm_total_bytes
+  FROM j
+),
+report AS (
+  SELECT *, {fmt_bytes('storage_used_bytes')} AS storage_used_formatted,
+         {fmt_bytes('storage_total_bytes')} AS storage_total_formatted,
+         {fmt_bytes('jvm_used_bytes')} AS jvm_used_formatted,
+         {fmt_bytes('jvm_total_bytes')} AS jvm_total_formatted,
+         CASE WHEN jvm_total_bytes > 0 THEN {py_round('CAST(jvm_used_bytes AS DOUBLE) / jvm_total_bytes * 100.0', 2)} ELSE 0.0 END AS jvm_used_percent
+  FROM r
+)"""
+
+SQL["fleet_report"] = FLEET_REPORT + "\nSELECT * FROM report\n"
+
+SQL["fleet_summary"] = (
+    FLEET_REPORT
+    + f"""
+, t AS (
+  SELECT count(*) AS total_clusters, count_if(available) AS available_clusters, count_if(monitored) AS monitored_clusters,
+         CAST(coalesce(sum(nodes_count), 0) AS BIGINT) AS total_nodes,
+         CAST(coalesce(sum(indices_count), 0) AS BIGINT) AS total_indices,
+         CAST(coalesce(sum(documents_count), 0) AS BIGINT) AS total_documents,
+         CAST(coalesce(sum(storage_used_bytes), 0) AS BIGINT) AS total_storage_used
+  FROM report
+)
+SELECT *, {fmt_bytes('total_storage_used')} AS total_storage_used_formatted FROM t
+"""
+)
+
+SQL["health_distribution"] = FLEET_REPORT + "\nSELECT health_status, count(*) AS clusters FROM report GROUP BY health_status\n"
+
+SQL["active_clusters"] = f"""
+WITH {METRICS},
+pn AS (SELECT cluster_id, cluster_name AS name, count(*) AS n FROM metrics GROUP BY cluster_id, cluster_name),
+tot AS (SELECT cluster_id, sum(n) AS doc_count FROM pn GROUP BY cluster_id),
+best AS (SELECT cluster_id, name FROM (
+           SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, name ASC) AS rk FROM pn WHERE name IS NOT NULL
+         ) WHERE rk = 1)
+SELECT CAST(t.cluster_id AS VARCHAR) AS cluster_id, coalesce(b.name, CAST(t.cluster_id AS VARCHAR)) AS cluster_name,
+       CAST(t.doc_count AS BIGINT) AS doc_count
+FROM tot t LEFT JOIN best b USING (cluster_id)
+ORDER BY doc_count DESC, CAST(t.cluster_id AS VARCHAR) LIMIT 1000
+"""
+
+SQL["resolve_name"] = f"""
+WITH {REGISTRY},
+req AS (
+  SELECT DISTINCT trim(name) AS request FROM (
+    SELECT s_name AS name FROM supplier UNION ALL SELECT lower(s_name) FROM supplier
+    UNION ALL SELECT right(s_name, 4) FROM supplier UNION ALL SELECT c_name FROM customer
+  ) WHERE trim(name) <> ''
+),
+r2 AS (SELECT id AS cid, trim(name) AS cname FROM reg WHERE id IS NOT NULL AND name IS NOT NULL AND trim(name) <> ''),
+m AS (
+  SELECT request, cid, 1 AS rank FROM req JOIN r2 ON request = cname
+  UNION ALL SELECT request, cid, 2 FROM req JOIN r2 ON lower(request) = lower(cname)
+  UNION ALL SELECT request, cid, 3 FROM req JOIN r2 ON contains(lower(cname), lower(request))
+),
+pr AS (SELECT request, rank, count(DISTINCT cid) AS candidates, min(cid) AS cid FROM m GROUP BY request, rank),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY rank) AS rn FROM pr) WHERE rn = 1)
+SELECT req.request AS name, CASE WHEN candidates = 1 THEN cid END AS cluster_id,
+       CASE rank WHEN 1 THEN 'exact' WHEN 2 THEN 'case_insensitive' WHEN 3 THEN 'substring' END AS match_type,
+       CAST(coalesce(candidates, 0) AS BIGINT) AS candidates,
+       CASE WHEN rank IS NULL THEN 'not_found' WHEN candidates > 1 THEN 'ambiguous' ELSE 'ok' END AS status
+FROM req LEFT JOIN best USING (request)
+"""
+
+SQL["glob_filter"] = f"""
+WITH {REGISTRY},
+chosen AS (
+  SELECT id FROM reg
+  WHERE NOT (upper(coalesce(name, '')) LIKE '%CONSOLE-SYSTEM%')
+    AND (regexp_full_match(id, '^Supplier#0000000[0-4].*$|^.*9$') OR regexp_full_match(name, '^Supplier#0000000[0-4].*$|^.*9$'))
+    AND NOT (regexp_full_match(id, '^.*7$|^1.$') OR regexp_full_match(name, '^.*7$|^1.$'))
+)
+SELECT CAST(l_suppkey AS VARCHAR) AS cluster_id, count(*) AS docs
+FROM lineitem WHERE CAST(l_suppkey AS VARCHAR) IN (SELECT id FROM chosen)
+GROUP BY 1
+"""
+
+# --- catalog sampling ---------------------------------------------------------
+
+CATALOG = """
+cat AS (
+  SELECT p_brand AS cluster_id, CASE WHEN p_type = 'PROMO' THEN '.promo' ELSE lower(p_type) END AS index_name,
+         CASE WHEN p_type = 'LARGE' THEN 'Unavailable' ELSE 'green' END AS health,
+         CASE WHEN p_type = 'SMALL' THEN 'n/a' ELSE CAST(count(*) AS VARCHAR) END AS docs_count
+  FROM part GROUP BY p_brand, p_type
+),
+brands AS (SELECT DISTINCT p_brand AS id FROM part),
+creg AS (SELECT id, 'cluster ' || id AS name FROM brands),
+cst AS (SELECT id AS cluster_id, NOT (id LIKE '%3') AS available FROM brands WHERE NOT (id LIKE '%7')),
+elig AS (
+  SELECT c.cluster_id, r.name AS cluster_name, c.index_name, c.health,
+         CAST(coalesce(TRY_CAST(trim(c.docs_count) AS BIGINT), 0) AS BIGINT) AS doc_count
+  FROM cat c JOIN creg r ON c.cluster_id = r.id JOIN cst s ON s.cluster_id = r.id
+  WHERE s.available AND NOT starts_with(c.index_name, '.') AND lower(coalesce(c.health, '')) <> 'unavailable'
+),
+capped AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY index_name) AS rn FROM elig) WHERE rn <= 3
+)"""
+
+SQL["index_caps"] = f"WITH {CATALOG}\nSELECT * FROM capped\n"
+
+SQL["index_samples"] = f"""
+WITH {CATALOG},
+docs AS (
+  SELECT p_brand AS cluster_id, CASE WHEN p_type = 'PROMO' THEN '.promo' ELSE lower(p_type) END AS index_name,
+         CAST(p_partkey AS VARCHAR) AS _id, p_partkey AS seq,
+         '{{"p_name":' || to_json(p_name) || ',"p_size":' || CAST(p_size AS VARCHAR) || ',"p_retailprice":' || CAST(p_retailprice AS VARCHAR) || '}}' AS _source
+  FROM part
+),
+k AS (SELECT d.* FROM docs d SEMI JOIN capped c ON d.cluster_id = c.cluster_id AND d.index_name = c.index_name)
+SELECT cluster_id, index_name, CAST(doc_rank AS INTEGER) AS doc_rank, _id, _source FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id, index_name ORDER BY seq, _id) AS doc_rank FROM k
+) WHERE doc_rank <= 2
+"""
+
+# --- benchmark runs -----------------------------------------------------------
+
+RUNS = """
+runs AS (
+  SELECT p_brand || ' (' || CASE WHEN l_returnflag = 'R' THEN 'original' ELSE 'optimized' END || ')' AS name,
+         p_brand AS base_name,
+         CASE WHEN l_returnflag = 'R' THEN 'original' ELSE 'optimized' END AS query_type,
+         CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS query_index,
+         l_linenumber AS iteration, l_linenumber <= 2 AS is_warmup,
+         CASE WHEN l_linenumber > 2 THEN l_linenumber - 2 END AS measured_iteration,
+         CASE WHEN l_discount <> 0 THEN l_quantity END AS took,
+         CAST(floor(l_extendedprice / 10) AS DOUBLE) AS duration,
+         l_linestatus = 'O' AS success
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE l_returnflag IN ('R', 'A')
+),
+mr AS (SELECT * FROM runs WHERE NOT coalesce(is_warmup, false))"""
+
+
+def stats(v: str, p: str) -> str:
+    return (
+        f"coalesce({py_round(f'avg({v})', 2)}, 0.0) AS avg_{p}, CAST(coalesce(min({v}), 0.0) AS DOUBLE) AS min_{p}, "
+        f"CAST(coalesce(max({v}), 0.0) AS DOUBLE) AS max_{p}"
+    )
+
+
+DUR = "CASE WHEN success THEN duration END"
+
+SQL["bench_summary"] = f"""
+WITH {RUNS},
+a AS (
+  SELECT count(*) AS total, count_if(success) AS passed,
+         {stats(DUR, 'duration')}, {stats('took', 'took')},
+         {py_round(f'coalesce(sum({DUR}), 0.0)', 2)} AS total_duration_sum,
+         {py_round('coalesce(sum(took), 0.0)', 2)} AS total_took_sum,
+         {py_round(f"coalesce(sum(CASE WHEN query_type = 'original' THEN {DUR} END), 0.0)", 2)} AS original_duration_sum,
+         {py_round("coalesce(sum(CASE WHEN query_type = 'original' THEN took END), 0.0)", 2)} AS original_took_sum,
+         count(CASE WHEN query_type = 'original' THEN took END) AS original_took_count,
+         coalesce({py_round("avg(CASE WHEN query_type = 'original' THEN took END)", 2)}, 0.0) AS original_avg_took,
+         {py_round(f"coalesce(sum(CASE WHEN query_type = 'optimized' THEN {DUR} END), 0.0)", 2)} AS optimized_duration_sum,
+         {py_round("coalesce(sum(CASE WHEN query_type = 'optimized' THEN took END), 0.0)", 2)} AS optimized_took_sum,
+         count(CASE WHEN query_type = 'optimized' THEN took END) AS optimized_took_count,
+         coalesce({py_round("avg(CASE WHEN query_type = 'optimized' THEN took END)", 2)}, 0.0) AS optimized_avg_took
+  FROM mr
+)
+SELECT *, total - passed AS failed,
+       CASE WHEN total > 0 THEN printf('%.2f', passed / total * 100.0) || '%' ELSE '0.00%' END AS pass_rate
+FROM a
+"""
+
+SQL["bench_per_query"] = f"""
+WITH {RUNS}
+SELECT name, first(query_index) AS query_index, first(query_type) AS query_type,
+       count({DUR}) AS duration_count, {stats(DUR, 'duration')},
+       count(took) AS took_count, {stats('took', 'took')}
+FROM mr GROUP BY name
+"""
+
+SQL["bench_rounds"] = f"""
+WITH {RUNS}
+SELECT measured_iteration, query_type, avg(took) AS took_avg, sum(took) AS took_total,
+       avg({DUR}) AS duration_avg, sum({DUR}) AS duration_total
+FROM mr WHERE query_type IN ('original', 'optimized') GROUP BY measured_iteration, query_type
+"""
+
+SQL["bench_compare"] = f"""
+WITH {RUNS},
+g AS (
+  SELECT base_name,
+         count_if(query_type = 'original') AS n_orig, count_if(query_type = 'optimized') AS n_opt,
+         avg(CASE WHEN query_type = 'original' THEN took END) AS orig_took,
+         avg(CASE WHEN query_type = 'optimized' THEN took END) AS opt_took,
+         avg(CASE WHEN query_type = 'original' THEN {DUR} END) AS orig_dur,
+         avg(CASE WHEN query_type = 'optimized' THEN {DUR} END) AS opt_dur
+  FROM mr GROUP BY base_name
+),
+h AS (
+  SELECT base_name,
+         CASE WHEN orig_took IS NOT NULL AND opt_took IS NOT NULL THEN 'took' ELSE 'duration' END AS metric,
+         CASE WHEN orig_took IS NOT NULL AND opt_took IS NOT NULL THEN orig_took ELSE orig_dur END AS a,
+         CASE WHEN orig_took IS NOT NULL AND opt_took IS NOT NULL THEN opt_took ELSE opt_dur END AS b
+  FROM g WHERE n_orig > 0 AND n_opt > 0
+),
+k AS (SELECT *, CASE WHEN a = 0 THEN NULL ELSE (a - b) / a * 100.0 END AS imp FROM h WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT base_name, metric, {py_round('a', 2)} AS avg_original, {py_round('b', 2)} AS avg_optimized,
+       {py_round('imp', 2)} AS improvement_percent, imp > 0 AS is_faster
+FROM k
+"""
+
+SQL["bench_pairs"] = f"""
+WITH {RUNS},
+o AS (SELECT query_index, measured_iteration, first(base_name) AS original_name, avg(took) AS original_took,
+             avg({DUR}) AS original_duration
+      FROM mr WHERE query_type = 'original' GROUP BY query_index, measured_iteration),
+p AS (SELECT query_index, measured_iteration, first(base_name) AS optimized_name, avg(took) AS optimized_took,
+             avg({DUR}) AS optimized_duration
+      FROM mr WHERE query_type = 'optimized' GROUP BY query_index, measured_iteration)
+SELECT query_index, measured_iteration,
+       CASE WHEN original_name IS NOT NULL AND optimized_name IS NOT NULL AND original_name <> optimized_name
+            THEN original_name || ' vs ' || optimized_name
+            ELSE coalesce(original_name, optimized_name, 'Query ' || CAST(query_index + 1 AS VARCHAR)) END AS display_name,
+       original_took, optimized_took, original_duration, optimized_duration
+FROM o FULL OUTER JOIN p USING (query_index, measured_iteration)
+"""
+
+# --- search profiles ----------------------------------------------------------
+
+SHARDS = """
+sh AS (
+  SELECT l_orderkey AS run_id, l_linenumber AS id, 'idx-' || l_returnflag AS "index",
+         'node-' || CAST(l_suppkey AS VARCHAR) AS node_id,
+         CAST(floor(l_extendedprice * 1000) AS BIGINT) AS q,
+         CAST(l_partkey * 10 AS BIGINT) AS rw,
+         CAST(l_quantity * 1000 AS BIGINT) AS f,
+         CASE WHEN l_discount > 0 THEN CAST(floor(l_discount * 1000000) AS BIGINT) ELSE 0 END AS ag,
+         'TermQuery' || l_linestatus AS qtype, 'part:' || CAST(l_partkey AS VARCHAR) AS descr,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos
+  FROM lineitem
+)"""
+
+
+def ms(x: str) -> str:
+    return py_round(f"CAST({x} AS DOUBLE) / 1000000.0", 3)
+
+
+SQL["profile_rollup"] = f"""
+WITH {SHARDS}
+SELECT run_id, CAST(count(*) AS INTEGER) AS shard_count, {ms('sum(q)')} AS total_query_time_ms,
+       {ms('sum(f)')} AS total_fetch_time_ms, {ms('sum(ag)')} AS total_aggregation_time_ms,
+       {ms('sum(rw)')} AS total_rewrite_time_ms
+FROM sh GROUP BY run_id
+"""
+
+SQL["slowest_shard"] = f"""
+WITH {SHARDS},
+t AS (SELECT *, q + f + ag AS total,
+             row_number() OVER (PARTITION BY run_id ORDER BY q + f + ag DESC, pos ASC) AS rk FROM sh)
+SELECT run_id, id AS shard_id, "index", node_id, {ms('total')} AS total_time_ms, {ms('q')} AS query_time_ms,
+       {ms('f')} AS fetch_time_ms, {ms('ag')} AS aggregation_time_ms, {ms('rw')} AS rewrite_time_ms
+FROM t WHERE rk = 1
+"""
+
+SQL["profile_top3"] = f"""
+WITH {SHARDS},
+c AS (SELECT *, {ms('q')} AS time_ms FROM sh),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY time_ms DESC, pos ASC) AS rank FROM c)
+SELECT run_id, CAST(rank AS INTEGER) AS rank, qtype AS type, descr AS description, time_ms, id AS shard, "index"
+FROM r WHERE rank <= 3
+"""
+
+SQL["profile_phases"] = f"""
+WITH {SHARDS},
+t AS (
+  SELECT run_id, 'score' AS phase, 0 AS pos, {ms('sum(q // 2)')} AS time_ms FROM sh GROUP BY run_id
+  UNION ALL
+  SELECT run_id, 'build_scorer', 1, {ms('sum(q // 4)')} FROM sh GROUP BY run_id
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY time_ms DESC, pos ASC) AS rank FROM t)
+SELECT run_id, CAST(rank AS INTEGER) AS rank, phase, time_ms FROM r WHERE rank <= 3
+"""

@@ -155,3 +155,184 @@ def keyset_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = alert_messages(spark, sf_dir)
     cur = datetime(1996, 6, 1, tzinfo=timezone.utc)
     return filters.keyset_after(msgs, "created", "_id", cur, 30000).select("_id", "created")
+
+
+# --- fleet inventory ----------------------------------------------------------
+
+# Markers of the console's own system clusters in the registry adaptor.
+SYSTEM_IDS: list[str] = []
+SYSTEM_NAME_WORDS = ["CONSOLE-SYSTEM"]
+
+
+@register
+def active_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by document count with their most frequent name."""
+    from fleetlens.operators import fleet
+
+    return fleet.active_clusters(adaptors.metrics(spark, sf_dir))
+
+
+def _fleet_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.operators import fleet
+
+    return fleet.fleet_report(
+        adaptors.registry(spark, sf_dir),
+        adaptors.cluster_status(spark, sf_dir),
+        adaptors.cluster_summary(spark, sf_dir),
+        system_ids=SYSTEM_IDS,
+        system_name_words=SYSTEM_NAME_WORDS,
+    )
+
+
+@register
+def fleet_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry ⟕ status ⟕ summary with fallbacks."""
+    return _fleet_report(spark, sf_dir)
+
+
+@register
+def fleet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fleet totals."""
+    from fleetlens.operators import fleet
+
+    return fleet.fleet_summary(_fleet_report(spark, sf_dir))
+
+
+@register
+def health_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters per health status."""
+    from fleetlens.operators import fleet
+
+    return fleet.health_distribution(_fleet_report(spark, sf_dir))
+
+
+@register
+def resolve_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster names (exact, lower-cased, 4-char tails, customer names) -> ids."""
+    from fleetlens.operators import fleet
+
+    s = table(spark, sf_dir, "supplier")
+    c = table(spark, sf_dir, "customer")
+    req = (
+        s.select(F.col("s_name").alias("name"))
+        .unionByName(s.select(F.lower("s_name").alias("name")))
+        .unionByName(s.select(F.expr("right(s_name, 4)").alias("name")))
+        .unionByName(c.select(F.col("c_name").alias("name")))
+    )
+    return fleet.resolve_cluster_names(req, adaptors.registry(spark, sf_dir))
+
+
+@register
+def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """include/exclude globs on id or name, system clusters out,
+    then the node metrics restricted to the matching clusters by a semi join."""
+    reg = adaptors.registry(spark, sf_dir)
+    reg = filters.exclude_system_clusters(reg, SYSTEM_IDS, SYSTEM_NAME_WORDS)
+    pred = filters.target_predicate(F.col("id"), F.col("name"), ["Supplier#0000000[0-4]*", "*9"], ["*7", "1?"])
+    chosen = reg.where(pred)
+    lineitems = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("cluster_id"), "l_orderkey", "l_linenumber")
+    kept = filters.restrict_to(lineitems, chosen, "cluster_id", "id")
+    return kept.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("docs"))
+
+
+# --- catalog sampling ---------------------------------------------------------
+
+
+def _eligible(spark: SparkSession, sf_dir: str, max_indices: int) -> DataFrame:
+    from fleetlens.operators import catalog
+
+    reg, status = adaptors.catalog_clusters(spark, sf_dir)
+    return catalog.eligible_indices(reg, status, adaptors.index_catalog(spark, sf_dir), max_indices=max_indices)
+
+
+@register
+def index_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Available clusters, eligible indices, cap 3 per cluster."""
+    return _eligible(spark, sf_dir, 3)
+
+
+@register
+def index_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First two documents of every eligible index (long form)."""
+    from fleetlens.operators import catalog
+
+    idx = _eligible(spark, sf_dir, 3)
+    return catalog.sample_documents(idx, adaptors.index_documents(spark, sf_dir), sample_size=2)
+
+
+# --- benchmark runs -----------------------------------------------------------
+
+
+@register
+def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and per-side sums over measured rounds."""
+    from fleetlens.operators import benchruns
+
+    return benchruns.run_summary(benchruns.measured(adaptors.benchmark_runs(spark, sf_dir)))
+
+
+@register
+def bench_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query name statistics."""
+    from fleetlens.operators import benchruns
+
+    return benchruns.per_query_stats(benchruns.measured(adaptors.benchmark_runs(spark, sf_dir)))
+
+
+@register
+def bench_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per measured round and side."""
+    from fleetlens.operators import benchruns
+
+    return benchruns.round_series(adaptors.benchmark_runs(spark, sf_dir))
+
+
+@register
+def bench_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Original vs optimized per base name."""
+    from fleetlens.operators import benchruns
+
+    return benchruns.compare_sides(adaptors.benchmark_runs(spark, sf_dir))
+
+
+@register
+def bench_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query pair x round matrix."""
+    from fleetlens.operators import benchruns
+
+    return benchruns.pair_matrix(adaptors.benchmark_runs(spark, sf_dir))
+
+
+# --- search profiles ----------------------------------------------------------
+
+
+@register
+def profile_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-profile totals."""
+    from fleetlens.operators import profile
+
+    return profile.profile_rollup(adaptors.search_profiles(spark, sf_dir))
+
+
+@register
+def slowest_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slowest shard per profile."""
+    from fleetlens.operators import profile
+
+    return profile.slowest_shard(adaptors.search_profiles(spark, sf_dir))
+
+
+@register
+def profile_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top three query components per profile."""
+    from fleetlens.operators import profile
+
+    return profile.top_query_components(adaptors.search_profiles(spark, sf_dir))
+
+
+@register
+def profile_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakdown phase totals, top three per profile."""
+    from fleetlens.operators import profile
+
+    return profile.top_breakdown_phases(adaptors.search_profiles(spark, sf_dir))

@@ -220,7 +220,8 @@ def benchmark_runs(spark: SparkSession, sf_dir: str, warmup: int = 2) -> DataFra
     A query is a brand; the round is the line number; return flag ``R`` is an
     original run, ``A`` an optimized run and ``N`` runs are not part of the
     comparison.  ``took`` is the quantity (missing when there is no
-    discount), ``duration`` a tenth of the price, success = open line.
+    discount), ``duration`` a tenth of the price in whole milliseconds,
+    success = open line.
     """
     li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("R", "A"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
@@ -236,7 +237,7 @@ def benchmark_runs(spark: SparkSession, sf_dir: str, warmup: int = 2) -> DataFra
         (F.col("l_linenumber") <= warmup).alias("is_warmup"),
         F.when(F.col("l_linenumber") > warmup, F.col("l_linenumber") - warmup).alias("measured_iteration"),
         F.when(F.col("l_discount") != 0, F.col("l_quantity")).alias("took"),
-        (F.col("l_extendedprice") / 10).alias("duration"),
+        F.floor(F.col("l_extendedprice") / 10).cast("double").alias("duration"),
         (F.col("l_linestatus") == "O").alias("success"),
     )
 

@@ -556,3 +556,80 @@ t AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY time_ms DESC, pos ASC) AS rank FROM t)
 SELECT run_id, CAST(rank AS INTEGER) AS rank, phase, time_ms FROM r WHERE rank <= 3
 """
+
+
+# --- request logs -------------------------------------------------------------
+
+CASES = """
+li AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+                               l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS seq,
+         CASE WHEN l_discount = 0 THEN '{"query":'
+              ELSE '{"query":{"term":{"part":' || CAST(l_partkey AS VARCHAR) || '}},"size":' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '}' END AS body_json
+  FROM lineitem
+),
+cases AS (
+  SELECT l_orderkey AS file_id, CAST(seq AS INTEGER) AS seq,
+         CASE WHEN l_linenumber = 7 THEN 'Query ' || CAST(seq AS VARCHAR) ELSE 'Q' || CAST(l_linenumber AS VARCHAR) || ' ' || l_returnflag END AS title,
+         l_linenumber = 6 AND l_linestatus = 'F' AS missing,
+         l_returnflag, l_linestatus, l_linenumber, l_discount, l_tax, l_quantity, body_json
+  FROM li
+),
+parsed AS (
+  SELECT file_id, seq, title,
+         CASE WHEN missing THEN NULL WHEN l_returnflag = 'N' THEN 'POST' ELSE 'GET' END AS method,
+         CASE WHEN missing THEN NULL WHEN l_returnflag = 'N' THEN '_msearch'
+              WHEN l_returnflag = 'R' THEN 'idx-r,idx-' || lower(l_linestatus) || '/_search?size=' || CAST(l_linenumber AS VARCHAR)
+              ELSE '/_cat/indices/idx-a' END AS path,
+         CASE WHEN missing THEN NULL
+              WHEN l_returnflag = 'N' THEN '{"index":"idx-n"}' || chr(10) || '{"query":{"match_all":{}},"size":' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '}' || chr(10)
+              WHEN l_returnflag = 'R' THEN body_json
+              WHEN l_tax = 0 THEN '' ELSE body_json END AS body_raw,
+         CASE WHEN missing THEN NULL ELSE l_returnflag = 'N' END AS body_is_ndjson,
+         CASE WHEN missing OR l_returnflag = 'N' OR (l_returnflag = 'A' AND l_tax = 0) THEN NULL ELSE l_discount <> 0 END AS body_valid,
+         CASE WHEN missing THEN 'missing method line'
+              WHEN l_returnflag <> 'N' AND NOT (l_returnflag = 'A' AND l_tax = 0) AND l_discount = 0 THEN 'invalid JSON body' END AS error,
+         l_returnflag, l_linestatus
+  FROM cases
+),
+targets AS (
+  SELECT file_id, seq, 0 AS target_pos, 'idx-r' AS target FROM parsed WHERE error IS NULL AND l_returnflag = 'R'
+  UNION ALL
+  SELECT file_id, seq, 1, 'idx-' || lower(l_linestatus) FROM parsed WHERE error IS NULL AND l_returnflag = 'R'
+),
+aliases AS (
+  SELECT DISTINCT 'idx-' || lower(l_returnflag) AS alias, 'idx-' || lower(l_returnflag) || '-' || lower(l_linestatus) AS "index" FROM lineitem
+),
+firsts AS (
+  SELECT file_id, seq, coalesce(a."index", t.target) AS index_name, min(target_pos) AS first_pos
+  FROM targets t LEFT JOIN aliases a ON a.alias = t.target GROUP BY ALL
+),
+resolved AS (
+  SELECT file_id, seq, index_name, CAST(row_number() OVER (PARTITION BY file_id, seq ORDER BY first_pos, index_name) AS INTEGER) AS resolved_pos
+  FROM firsts
+)"""
+
+SQL["request_parse"] = f"""
+WITH {CASES}
+SELECT file_id, seq, title, method, path, body_raw, body_is_ndjson, body_valid, error FROM parsed
+"""
+
+SQL["request_targets"] = f"""
+WITH {CASES}
+SELECT file_id, seq, CAST(target_pos AS INTEGER) AS target_pos, target FROM targets
+"""
+
+SQL["alias_resolve"] = f"WITH {CASES}\nSELECT * FROM resolved\n"
+
+SQL["request_overview"] = f"""
+WITH {CASES},
+ov AS (
+  SELECT 'idx-' || lower(l_returnflag) || '-' || lower(l_linestatus) AS index_name, 'green' AS health,
+         CAST(count(*) AS VARCHAR) AS docs, CAST(CAST(sum(floor(l_extendedprice)) AS BIGINT) AS VARCHAR) || 'kb' AS store
+  FROM lineitem GROUP BY l_returnflag, l_linestatus
+)
+SELECT file_id, seq, resolved_pos, index_name, coalesce(health, '-') AS health,
+       CASE WHEN docs IS NULL THEN '-' ELSE format('{{:,}}', CAST(docs AS BIGINT)) END AS docs_count,
+       coalesce(store, '-') AS store_size
+FROM resolved LEFT JOIN ov USING (index_name)
+"""

@@ -336,3 +336,45 @@ def profile_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetlens.operators import profile
 
     return profile.top_breakdown_phases(adaptors.search_profiles(spark, sf_dir))
+
+
+# --- request logs -------------------------------------------------------------
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.operators import requests
+
+    return requests.parse_requests(adaptors.request_files(spark, sf_dir))
+
+
+@register
+def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split request files into cases, flag bad ones."""
+    return _cases(spark, sf_dir)
+
+
+@register
+def request_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index names addressed by each good case."""
+    from fleetlens.operators import requests
+
+    return requests.request_targets(_cases(spark, sf_dir))
+
+
+@register
+def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets resolved through the alias table, order-preserving dedupe."""
+    from fleetlens.operators import requests
+
+    t = requests.request_targets(_cases(spark, sf_dir))
+    return requests.resolve_aliases(t, adaptors.index_aliases(spark, sf_dir))
+
+
+@register
+def request_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved indices joined with their overview, defaults '-'."""
+    from fleetlens.operators import requests
+
+    t = requests.request_targets(_cases(spark, sf_dir))
+    r = requests.resolve_aliases(t, adaptors.index_aliases(spark, sf_dir))
+    return requests.index_overview(r, adaptors.index_overview(spark, sf_dir))

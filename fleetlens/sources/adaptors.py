@@ -298,3 +298,71 @@ def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(keyed), order).alias("rows")).select(
         F.col("l_orderkey").alias("run_id"), F.struct(F.transform("rows", lambda r: r["s"]).alias("shards")).alias("profile")
     )
+
+
+def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request file per order; one case per line item (S12 stand-in).
+
+    Titles, methods, paths and bodies come from the line's columns: ``N``
+    lines are multi-search requests with an NDJSON body, ``R`` lines search
+    two indices, ``A`` lines call a cat endpoint; a zero discount breaks the
+    JSON body, line 6 of a finished order has no method line and line 7 has
+    an empty title.  Blocks are ordered by all columns they use.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    ln = F.col("l_linenumber").cast("string")
+    rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
+    title = (
+        F.when(F.col("l_linenumber") == 7, F.lit("#"))
+        .when(ls == "F", F.concat(F.lit("## Q"), ln, F.lit(" "), rf))
+        .otherwise(F.concat(F.lit("# Q"), ln, F.lit(" "), rf))
+    )
+    body_json = F.when(F.col("l_discount") == 0, F.lit('{"query":')).otherwise(
+        F.concat(
+            F.lit('{"query":{"term":{"part":'), F.col("l_partkey").cast("string"), F.lit('}},"size":'),
+            F.col("l_quantity").cast("bigint").cast("string"), F.lit("}"),
+        )
+    )
+    request = (
+        F.when((F.col("l_linenumber") == 6) & (ls == "F"), F.lit(""))
+        .when(
+            rf == "N",
+            F.concat(
+                F.lit('POST _msearch\n{"index":"idx-n"}\n{"query":{"match_all":{}},"size":'),
+                F.col("l_quantity").cast("bigint").cast("string"), F.lit("}"),
+            ),
+        )
+        .when(rf == "R", F.concat(F.lit("GET idx-r,idx-"), F.lower(ls), F.lit("/_search?size="), ln, F.lit("\n"), body_json))
+        .otherwise(F.concat(F.lit("get /_cat/indices/idx-a"), F.when(F.col("l_tax") == 0, F.lit("")).otherwise(F.concat(F.lit("\n"), body_json))))
+    )
+    block = F.concat(title, F.lit("\n"), request, F.lit("\n\n"))
+    keyed = F.struct(
+        F.col("l_linenumber").alias("k1"), F.col("l_partkey").alias("k2"), F.col("l_suppkey").alias("k3"),
+        F.col("l_extendedprice").alias("k4"), F.col("l_quantity").alias("k5"), F.col("l_discount").alias("k6"),
+        F.col("l_tax").alias("k7"), rf.alias("k8"), ls.alias("k9"), block.alias("block"),
+    )
+    files = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(keyed)).alias("blocks"))
+    return files.select(
+        F.col("l_orderkey").alias("file_id"), F.array_join(F.transform("blocks", lambda b: b["block"]), "").alias("text")
+    )
+
+
+def index_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alias table: ``idx-<flag>`` -> ``idx-<flag>-<status>`` for every pair in ``lineitem``."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+    return li.select(
+        F.concat(F.lit("idx-"), F.lower("l_returnflag")).alias("alias"),
+        F.concat(F.lit("idx-"), F.lower("l_returnflag"), F.lit("-"), F.lower("l_linestatus")).alias("index"),
+    )
+
+
+def index_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``_cat/indices`` facts for the alias targets, numbers as text."""
+    li = table(spark, sf_dir, "lineitem")
+    g = li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("l_extendedprice")).alias("sz"))
+    return g.select(
+        F.concat(F.lit("idx-"), F.lower("l_returnflag"), F.lit("-"), F.lower("l_linestatus")).alias("index"),
+        F.lit("green").alias("health"),
+        F.col("n").cast("string").alias("docs_count"),
+        F.concat(F.col("sz").cast("string"), F.lit("kb")).alias("store_size"),
+    )

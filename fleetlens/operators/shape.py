@@ -98,7 +98,42 @@ def shape_documents(
     return out
 
 
+def _json_pairs(v: Column, key: Column, depth: int) -> Column:
+    """Array of (key, value) leaves of a VARIANT, objects descended ``depth`` levels."""
+    kind = F.schema_of_variant(v)
+    leaf = F.array(
+        F.struct(key.alias("key"), F.when(kind == "STRING", F.variant_get(v, "$", "string")).otherwise(F.to_json(v)).alias("value"))
+    )
+    if depth == 0:
+        return F.array(F.struct(key.alias("key"), F.to_json(v).alias("value")))
+    obj = F.try_variant_get(v, "$", "map<string,variant>")
+    children = F.flatten(
+        F.transform(
+            F.map_entries(obj),
+            lambda e: _json_pairs(
+                e["value"], F.when(key == "", e["key"]).otherwise(F.concat(key, F.lit("."), e["key"])), depth - 1
+            ),
+        )
+    )
+    return F.when(obj.isNotNull(), children).otherwise(leaf)
+
+
+def flatten_json(df: DataFrame, id_cols: list[str], json_col: str, prefix: str = "", max_depth: int = 8) -> DataFrame:
+    """Free-form JSON object -> one row per leaf: ``key`` (dotted, with prefix), ``value``.
+
+    One pass: nested ``transform`` over the VARIANT's object entries builds
+    every (key, value) pair of a document inside its row, then one
+    ``explode``.  Objects deeper than ``max_depth`` are kept as JSON text.
+    Strings keep their text, other leaves become JSON text; an empty object
+    yields no rows.
+    """
+    v = F.try_parse_json(F.col(json_col))
+    pairs = _json_pairs(v, F.lit(prefix), max_depth)
+    return df.where(v.isNotNull()).select(*id_cols, F.explode(pairs).alias("__p")).select(*id_cols, "__p.key", "__p.value")
+
+
 __all__ = [
+    "flatten_json",
     "SlimConfig",
     "flatten",
     "mask_document",

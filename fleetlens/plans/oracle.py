@@ -633,3 +633,109 @@ SELECT file_id, seq, resolved_pos, index_name, coalesce(health, '-') AS health,
        coalesce(store, '-') AS store_size
 FROM resolved LEFT JOIN ov USING (index_name)
 """
+
+
+# --- alerts, diagnostics, responses, settings, scalars -------------------------
+
+SQL["alerts_join"] = f"""
+WITH {ALERTS},
+rules AS (SELECT c_custkey AS rule_id, c_name AS rule_name, c_acctbal > 0 AS rule_enabled, c_mktsegment AS rule_resource_type FROM customer)
+SELECT _id, created, status, rule_id, rule_name, rule_enabled, rule_resource_type
+FROM msgs LEFT JOIN rules USING (rule_id)
+WHERE created >= TIMESTAMP '1995-01-01 00:00:00' AND created <= TIMESTAMP '1995-12-31 23:59:59'
+ORDER BY created DESC, _id
+"""
+
+SQL["diag_cluster"] = (
+    FLEET_REPORT
+    + f"""
+SELECT cluster_id, health_status = 'red' AS is_red, health_status = 'yellow' AS is_yellow,
+       unassigned_shards > 0 AS has_unassigned,
+       {py_round(f"CASE WHEN jvm_total_bytes > 0 THEN CAST(total_shards AS DOUBLE) / (CAST(jvm_total_bytes AS DOUBLE) / {float(1024**3)!r}) END", 2)} AS shards_per_gb_heap,
+       coalesce(CASE WHEN jvm_total_bytes > 0 THEN CAST(total_shards AS DOUBLE) / (CAST(jvm_total_bytes AS DOUBLE) / {float(1024**3)!r}) END >= 20.0, false) AS too_many_shards,
+       jvm_used_percent > 75.0 AS heap_high,
+       storage_total_bytes - storage_used_bytes AS disk_free_bytes
+FROM report
+"""
+)
+
+SQL["diag_node"] = f"""
+WITH {METRICS}, {bucketed(900_000)},
+mx AS (SELECT cluster_id, node_id, bucket_ms, max(value) AS max_value FROM b GROUP BY cluster_id, node_id, bucket_ms),
+w AS (SELECT l.*, mx.max_value, {prev('ops')} AS p_ops, {prev('time_ms')} AS p_time_ms
+      FROM latest l JOIN mx USING (cluster_id, node_id, bucket_ms)),
+s AS (SELECT cluster_id, node_id, bucket_ms, coalesce(max_value, value) AS value,
+             {rate('ops', 900.0)} AS ops, {latency('time_ms', 'ops')} AS latency_ms FROM w),
+h AS (SELECT *, least(value, 100.0) AS heap_pct,
+             count(*) OVER (PARTITION BY cluster_id, node_id ORDER BY bucket_ms ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3,
+             min(coalesce(ops, 0)) OVER (PARTITION BY cluster_id, node_id ORDER BY bucket_ms ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m3
+      FROM s)
+SELECT cluster_id, node_id, bucket_ms,
+       CASE WHEN heap_pct IS NULL THEN NULL WHEN heap_pct > 85.0 THEN 'critical' WHEN heap_pct > 75.0 THEN 'warning' ELSE 'ok' END AS heap_level,
+       ops * 60.0 >= 1.0 AS old_gc_frequent, heap_pct >= 70.0 AS cpu_high,
+       CAST(NULL AS BOOLEAN) AS fd_high, CAST(NULL AS BOOLEAN) AS swap_used, CAST(NULL AS BOOLEAN) AS breaker_tripped,
+       latency_ms > 100.0 AS search_slow, n3 = 3 AND m3 > 0 AS persistent
+FROM h
+"""
+
+SQL["diag_shards"] = f"""
+WITH sh AS (
+  SELECT p_brand AS cluster_id, lower(p_type) AS index_name, p_partkey AS shard_id,
+         CAST(floor(p_retailprice) * {64 * 1024 * 1024} AS BIGINT) AS size_in_bytes,
+         CAST(p_size * 1000000 AS BIGINT) AS docs_count,
+         CAST(floor(p_retailprice) * 1000 AS BIGINT) AS docs_deleted
+  FROM part
+),
+st AS (SELECT cluster_id, index_name, max(CAST(size_in_bytes AS DOUBLE)) AS mx, avg(CAST(size_in_bytes AS DOUBLE)) AS av FROM sh GROUP BY ALL),
+f AS (
+  SELECT sh.*, {py_round('mx / av', 4)} AS size_skew, size_in_bytes > {50 * 1024**3} AS too_large, docs_count > 45000000 AS too_many_docs
+  FROM sh LEFT JOIN st USING (cluster_id, index_name)
+)
+SELECT *, {py_round('CASE WHEN docs_count + docs_deleted > 0 THEN CAST(docs_deleted AS DOUBLE) / (CAST(docs_count AS DOUBLE) + CAST(docs_deleted AS DOUBLE)) END', 4)} AS deleted_share,
+       coalesce(CASE WHEN docs_count + docs_deleted > 0 THEN CAST(docs_deleted AS DOUBLE) / (CAST(docs_count AS DOUBLE) + CAST(docs_deleted AS DOUBLE)) END > 0.05, false) AS force_merge_candidate
+FROM f
+"""
+
+SQL["took_extract"] = """
+WITH sub AS (
+  SELECT l_orderkey, max(CASE WHEN l_linestatus <> 'F' THEN CAST(floor(l_extendedprice / 100) AS DOUBLE) END) AS sub_max FROM lineitem GROUP BY l_orderkey
+)
+SELECT o_orderkey AS response_id,
+       CASE WHEN o_orderstatus = 'P' THEN 'logs-*/_msearch' ELSE 'logs-*/_search' END AS path,
+       CASE WHEN o_orderstatus = 'P' THEN coalesce(sub_max, CAST(floor(o_totalprice / 1000) AS DOUBLE))
+            ELSE CAST(floor(o_totalprice / 1000) AS DOUBLE) END AS took
+FROM orders LEFT JOIN sub ON o_orderkey = l_orderkey
+"""
+
+SQL["flatten_settings"] = """
+WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events WHERE json_valid(props))
+SELECT event_id, 'index.' || key AS key,
+       CASE WHEN json_type(props, '$."' || key || '"') = 'VARCHAR' THEN json_extract_string(props, '$."' || key || '"')
+            ELSE CAST(json_extract(props, '$."' || key || '"') AS VARCHAR) END AS value
+FROM k
+"""
+
+
+def fmt_count_text(x: str) -> str:
+    return (
+        f"CASE WHEN {x} IS NULL THEN '-' WHEN regexp_full_match(trim({x}), '-?[0-9]+') THEN format('{{:,}}', CAST(trim({x}) AS HUGEINT)) "
+        f"WHEN trim({x}) = '' THEN '-' ELSE trim({x}) END"
+    )
+
+
+SQL["format_scalars"] = f"""
+WITH o AS (
+  SELECT *, CAST(floor(o_totalprice * o_totalprice * 1000) AS BIGINT) AS size,
+         epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1992-01-01 00:00:00') + o_orderkey * 1000 AS ms,
+         lower(o_orderpriority) || ',' || lower(o_orderstatus) AS seg
+  FROM orders
+),
+b AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN -size ELSE size END AS sz FROM o)
+SELECT o_orderkey, {fmt_bytes('sz')} AS bytes_text, {fmt_duration('ms')} AS duration_text,
+       {fmt_count_text('CAST(o_custkey AS VARCHAR)')} AS count_text,
+       {fmt_count_text('o_orderpriority')} AS priority_text,
+       array_to_string(list_filter(list_transform(string_split(seg, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS targets,
+       true AS is_search, false AS is_msearch,
+       o_orderpriority AS base_name
+FROM b
+"""

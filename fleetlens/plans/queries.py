@@ -378,3 +378,136 @@ def request_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = requests.request_targets(_cases(spark, sf_dir))
     r = requests.resolve_aliases(t, adaptors.index_aliases(spark, sf_dir))
     return requests.index_overview(r, adaptors.index_overview(spark, sf_dir))
+
+
+# --- alerts, diagnostics, responses, settings, scalars -------------------------
+
+
+def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` as alert rules."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_name").alias("name"),
+        (F.col("c_acctbal") > 0).alias("enabled"),
+        F.col("c_mktsegment").alias("resource_type"),
+    )
+
+
+@register
+def alerts_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of 1995 with their rule, newest first."""
+    from fleetlens.operators import alerts
+
+    msgs = alerts.filter_alerts(alert_messages(spark, sf_dir), "alert_messages", "1995-01-01", "1995-12-31")
+    j = alerts.messages_with_rules(msgs, alert_rules(spark, sf_dir))
+    return alerts.sort_alerts(j, "alert_messages").select("_id", "created", "status", "rule_id", "rule_name", "rule_enabled", "rule_resource_type")
+
+
+@register
+def diag_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster rules on the fleet report."""
+    from fleetlens.operators import diagnostics
+
+    return diagnostics.cluster_flags(_fleet_report(spark, sf_dir))
+
+
+@register
+def diag_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node rules on the sampled node series (15-minute buckets)."""
+    from fleetlens.operators import diagnostics
+
+    m = adaptors.metrics(spark, sf_dir)
+    s = sampling.sample_buckets(m, NODE_GROUP, "15m", FULL_RULES)
+    s = s.withColumn("heap_pct", F.least(F.col("value"), F.lit(100.0)))
+    return diagnostics.node_flags(
+        s,
+        NODE_GROUP,
+        heap_percent="heap_pct",
+        old_gc_rate="ops",
+        cpu_percent="heap_pct",
+        search_latency="latency_ms",
+        persist_col="ops",
+        persist_buckets=3,
+    )
+
+
+@register
+def diag_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted share, shard size skew, size and doc-count limits.
+
+    A part is a shard of index (brand, type): size is the price in units of
+    64 MiB, documents ``p_size`` million, deleted documents the price x 1000.
+    """
+    from fleetlens.operators import diagnostics
+
+    p = table(spark, sf_dir, "part")
+    shards = p.select(
+        F.col("p_brand").alias("cluster_id"),
+        F.lower("p_type").alias("index_name"),
+        F.col("p_partkey").alias("shard_id"),
+        (F.floor("p_retailprice") * F.lit(64 * 1024 * 1024)).cast("bigint").alias("size_in_bytes"),
+        (F.col("p_size") * F.lit(1_000_000)).cast("bigint").alias("docs_count"),
+        (F.floor("p_retailprice") * F.lit(1000)).cast("bigint").alias("docs_deleted"),
+    )
+    flagged = diagnostics.shard_flags(shards, ["cluster_id", "index_name"], max_docs=45_000_000)
+    return diagnostics.index_flags(flagged, max_deleted_share=0.05)
+
+
+@register
+def took_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Took of a response, the largest sub-response took for multi-search.
+
+    One response per order; sub-responses are its line items, whose took is
+    text (ignored) on finished lines.
+    """
+    from fleetlens.operators import benchruns
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    li = table(spark, sf_dir, "lineitem")
+    sub = F.concat(
+        F.lit('{"took":'),
+        F.when(F.col("l_linestatus") == "F", F.concat(F.lit('"'), F.floor(F.col("l_extendedprice") / 100).cast("string"), F.lit('"'))).otherwise(
+            F.floor(F.col("l_extendedprice") / 100).cast("string")
+        ),
+        F.lit("}"),
+    )
+    subs = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(sub)), ",").alias("subs"))
+    j = o.join(subs, o.o_orderkey == subs.l_orderkey, "left")
+    path = F.when(F.col("o_orderstatus") == "P", F.lit("logs-*/_msearch")).otherwise(F.lit("logs-*/_search"))
+    body = F.concat(
+        F.lit('{"took":'), F.floor(F.col("o_totalprice") / 1000).cast("string"),
+        F.lit(',"responses":['), F.coalesce(F.col("subs"), F.lit("")), F.lit("]}"),
+    )
+    r = j.select(F.col("o_orderkey").alias("response_id"), path.alias("path"), F.try_parse_json(body).alias("body"))
+    return r.select("response_id", "path", benchruns.took_from_response(F.col("path"), F.col("body")).alias("took"))
+
+
+@register
+def flatten_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-form JSON settings flattened to dotted keys with a prefix."""
+    ev = table(spark, sf_dir, "events").select(F.col("event_id"), F.col("props"))
+    return shape.flatten_json(ev, ["event_id"], "props", prefix="index")
+
+
+@register
+def format_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte sizes, durations, counts, paths and labels."""
+    from fleetlens.functions import scalars
+
+    o = table(spark, sf_dir, "orders")
+    size = F.floor(F.col("o_totalprice") * F.col("o_totalprice") * 1000).cast("bigint")
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1992-01-01 00:00:00', o_orderdate)") + F.col("o_orderkey") * 1000
+    path = F.concat(F.lit("/"), F.lower("o_orderpriority"), F.lit(","), F.lower("o_orderstatus"), F.lit("/_search?q="), F.col("o_custkey").cast("string"))
+    name = F.concat(F.col("o_orderpriority"), F.lit(" (original)"))
+    return o.select(
+        "o_orderkey",
+        scalars.format_bytes(F.when(F.col("o_orderstatus") == "F", -size).otherwise(size)).alias("bytes_text"),
+        scalars.format_duration(ms).alias("duration_text"),
+        scalars.format_count(F.col("o_custkey").cast("string")).alias("count_text"),
+        scalars.format_count(F.col("o_orderpriority")).alias("priority_text"),
+        F.array_join(scalars.target_names(path), "|").alias("targets"),
+        scalars.is_search_path(path).alias("is_search"),
+        scalars.is_msearch_path(path).alias("is_msearch"),
+        scalars.strip_label(name, ["original", "optimized"]).alias("base_name"),
+    )

@@ -48,20 +48,14 @@ def format_duration(col: Column | str) -> Column:
     rem = F.pmod(rem, F.lit(3600))
     minutes = F.floor(rem / F.lit(60))
     seconds = F.pmod(rem, F.lit(60))
-    parts = F.filter(
-        F.array(
-            F.when(days > 0, F.concat(days.cast("string"), F.lit("d"))),
-            F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))),
-            F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("m"))),
-            F.when(seconds > 0, F.concat(seconds.cast("string"), F.lit("s"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return (
-        F.when(ms.isNull() | (ms == 0), F.lit("0s"))
-        .when(F.size(parts) == 0, F.lit("0s"))
-        .otherwise(F.array_join(F.slice(parts, 1, 2), " "))
-    )
+    dp = F.when(days > 0, F.concat(days.cast("string"), F.lit("d")))
+    hp = F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h")))
+    mp = F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("m")))
+    sp = F.when(seconds > 0, F.concat(seconds.cast("string"), F.lit("s")))
+    # the two largest non-empty parts, without arrays (stays in generated code)
+    first = F.coalesce(dp, hp, mp, sp)
+    second = F.when(dp.isNotNull(), F.coalesce(hp, mp, sp)).when(hp.isNotNull(), F.coalesce(mp, sp)).when(mp.isNotNull(), sp)
+    return F.when(ms.isNull() | (ms == 0) | first.isNull(), F.lit("0s")).otherwise(F.concat_ws(" ", first, second))
 
 
 def format_count(col: Column | str) -> Column:

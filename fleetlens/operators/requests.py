@@ -41,31 +41,38 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
     """
     text = F.regexp_replace(F.col(text_col), r"\r\n?", "\n")
     starts_with_title = text.rlike(rf"^{_WS}*#")
+
+    # Each block's base strings are computed once, inside the generator's
+    # input: later filters (e.g. error IS NULL) cannot be pushed below the
+    # Generate, so the regular expressions are never re-evaluated per use.
+    def pieces(b):
+        body = F.regexp_extract(b, rf"^[^\n]*\n(?:{_WS}*\n)*[^\n]*\n?([\s\S]*)$", 1)
+        return F.struct(
+            b.rlike(rf"^{_WS}*#").alias("is_title"),
+            (F.regexp_replace(b, r"\s+", "") == "").alias("blank"),
+            F.regexp_extract(b, r"^([^\n]*)", 1).alias("first_line"),
+            F.trim(F.regexp_extract(b, rf"^[^\n]*\n(?:{_WS}*\n)*{_WS}*([^\n]*)", 1)).alias("method_line"),
+            F.regexp_replace(body, rf"^(?:{_WS}*\n)+|(?:\n{_WS}*)+$", "").alias("body"),
+        )
+
     exploded = files.select(
         F.col(id_col).alias("file_id"),
         starts_with_title.alias("__first_is_title"),
-        F.posexplode(F.split(text, rf"(?m)^(?={_WS}*#)", -1)).alias("__pos", "__block"),
+        F.posexplode(F.transform(F.split(text, rf"(?m)^(?={_WS}*#)", -1), pieces)).alias("__pos", "__b"),
     )
-    block = F.col("__block")
-    is_title = block.rlike(rf"^{_WS}*#")
     seq = (F.col("__pos") + F.when(F.col("__first_is_title"), 1).otherwise(0)).cast("int")
-
-    first_line = F.regexp_extract(block, r"^([^\n]*)", 1)
-    raw_title = F.trim(F.regexp_replace(F.trim(first_line), r"^#+", ""))
+    raw_title = F.trim(F.regexp_replace(F.trim(F.col("__b.first_line")), r"^#+", ""))
     title = F.when(raw_title == "", F.concat(F.lit("Query "), seq.cast("string"))).otherwise(raw_title)
-    rest = F.regexp_extract(block, r"^[^\n]*\n([\s\S]*)$", 1)
-    method_line = F.trim(F.regexp_extract(rest, rf"^(?:{_WS}*\n)*{_WS}*([^\n]*)", 1))
-    after_method = F.regexp_extract(rest, rf"^(?:{_WS}*\n)*[^\n]*\n?([\s\S]*)$", 1)
-    body = F.regexp_replace(F.regexp_replace(after_method, rf"^(?:{_WS}*\n)+", ""), rf"(?:\n{_WS}*)+$", "")
-    body = F.when(F.trim(body) == "", F.lit("")).otherwise(body)
+    method_line = F.col("__b.method_line")
+    body = F.when(F.trim(F.col("__b.body")) == "", F.lit("")).otherwise(F.col("__b.body"))
     m = F.regexp_extract(method_line, r"^([A-Za-z]+)\s+(.+)$", 1)
     p = F.trim(F.regexp_extract(method_line, r"^([A-Za-z]+)\s+(.+)$", 2))
 
     cases = exploded.select(
         "file_id",
         seq.alias("seq"),
-        is_title.alias("__is_title"),
-        block,
+        F.col("__b.is_title").alias("__is_title"),
+        F.col("__b.blank").alias("__blank"),
         title.alias("title"),
         method_line.alias("__method_line"),
         F.upper(m).alias("__method"),
@@ -85,29 +92,22 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
         .when(has_body & ~msearch & ~F.coalesce(valid_json, F.lit(False)), F.lit(ERR_BAD_JSON))
     )
     ok_method = (F.col("__method_line") != "") & (F.col("__method") != "")
-    parsed = cases.where(F.col("__is_title")).select(
-        "file_id",
-        "seq",
-        "title",
-        F.when(ok_method, F.col("__method")).alias("method"),
-        F.when(ok_method, F.col("__path")).alias("path"),
-        F.when(ok_method, F.when(ndjson, F.concat(F.col("__body"), F.lit("\n"))).otherwise(F.col("__body"))).alias("body_raw"),
-        F.when(ok_method, ndjson).alias("body_is_ndjson"),
-        F.when(ok_method, valid_json).alias("body_valid"),
-        error.alias("error"),
-    )
-    preamble = cases.where(~F.col("__is_title") & (F.trim(F.regexp_replace(block, r"\s+", "")) != "")).select(
+    title_block = F.col("__is_title")
+    # one pass over the blocks: title blocks are cases, a non-blank preamble
+    # is an error row with seq 0, a blank preamble is dropped
+    kept = cases.where(title_block | ~F.col("__blank"))
+    case_value = lambda c: F.when(title_block & ok_method, c)
+    return kept.select(
         "file_id",
-        F.lit(0).alias("seq"),
-        F.lit(None).cast("string").alias("title"),
-        F.lit(None).cast("string").alias("method"),
-        F.lit(None).cast("string").alias("path"),
-        F.lit(None).cast("string").alias("body_raw"),
-        F.lit(None).cast("boolean").alias("body_is_ndjson"),
-        F.lit(None).cast("boolean").alias("body_valid"),
-        F.lit(ERR_PREAMBLE).alias("error"),
+        F.when(title_block, F.col("seq")).otherwise(F.lit(0)).alias("seq"),
+        F.when(title_block, F.col("title")).alias("title"),
+        case_value(F.col("__method")).alias("method"),
+        case_value(F.col("__path")).alias("path"),
+        case_value(F.when(ndjson, F.concat(F.col("__body"), F.lit("\n"))).otherwise(F.col("__body"))).alias("body_raw"),
+        case_value(ndjson).alias("body_is_ndjson"),
+        case_value(valid_json).alias("body_valid"),
+        F.when(title_block, error).otherwise(F.lit(ERR_PREAMBLE)).alias("error"),
     )
-    return parsed.unionByName(preamble)
 
 
 def request_targets(cases: DataFrame) -> DataFrame:

@@ -249,55 +249,52 @@ def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     group is a single response's shard list.
     """
     li = table(spark, sf_dir, "lineitem")
-    qn = F.floor(F.col("l_extendedprice") * 1000).cast("bigint")
-    shard = F.struct(
-        F.col("l_linenumber").alias("id"),
-        F.concat(F.lit("idx-"), F.col("l_returnflag")).alias("index"),
-        F.concat(F.lit("node-"), F.col("l_suppkey").cast("string")).alias("node_id"),
-        F.array(
-            F.struct(
-                (F.col("l_partkey") * 10).alias("rewrite_time"),
-                F.array(
-                    F.struct(
-                        F.concat(F.lit("TermQuery"), F.col("l_linestatus")).alias("type"),
-                        F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("description"),
-                        qn.alias("time_in_nanos"),
-                        F.create_map(
-                            F.lit("score"), (qn / 2).cast("bigint"),
-                            F.lit("score_count"), F.col("l_quantity").cast("bigint"),
-                            F.lit("build_scorer"), (qn / 4).cast("bigint"),
-                        ).alias("breakdown"),
-                    )
-                ).alias("query"),
-                F.array(
-                    F.struct(
-                        F.lit("SimpleTopScoreDocCollector").alias("name"),
-                        F.lit("search_top_hits").alias("reason"),
-                        (F.floor(F.col("l_tax") * 1_000_000)).cast("bigint").alias("time_in_nanos"),
-                    )
-                ).alias("collector"),
-            )
-        ).alias("searches"),
-        F.struct((F.col("l_quantity") * 1000).cast("bigint").alias("time_in_nanos")).alias("fetch"),
-        F.when(
-            F.col("l_discount") > 0,
-            F.array(F.struct(F.floor(F.col("l_discount") * 1_000_000).cast("bigint").alias("time_in_nanos"))),
-        ).alias("aggregations"),
-    )
-    keyed = F.struct(
+    # collect only orderable raw columns, sort natively, then build the
+    # nested shard structs (maps inside) per element
+    raw = F.struct(
         F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
-        F.col("l_extendedprice").alias("px"), shard.alias("s"),
+        F.col("l_extendedprice").alias("px"), F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"),
+        F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax"), F.col("l_discount").alias("disc"),
     )
 
-    def order(a, b):
-        cmp = F.lit(0)
-        for key in ("px", "sk", "pk", "pos"):
-            cmp = F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(cmp)
-        return cmp
+    def shard(r):
+        qn = F.floor(r["px"] * 1000).cast("bigint")
+        return F.struct(
+            r["pos"].alias("id"),
+            F.concat(F.lit("idx-"), r["rf"]).alias("index"),
+            F.concat(F.lit("node-"), r["sk"].cast("string")).alias("node_id"),
+            F.array(
+                F.struct(
+                    (r["pk"] * 10).alias("rewrite_time"),
+                    F.array(
+                        F.struct(
+                            F.concat(F.lit("TermQuery"), r["ls"]).alias("type"),
+                            F.concat(F.lit("part:"), r["pk"].cast("string")).alias("description"),
+                            qn.alias("time_in_nanos"),
+                            F.create_map(
+                                F.lit("score"), (qn / 2).cast("bigint"),
+                                F.lit("score_count"), r["qty"].cast("bigint"),
+                                F.lit("build_scorer"), (qn / 4).cast("bigint"),
+                            ).alias("breakdown"),
+                        )
+                    ).alias("query"),
+                    F.array(
+                        F.struct(
+                            F.lit("SimpleTopScoreDocCollector").alias("name"),
+                            F.lit("search_top_hits").alias("reason"),
+                            F.floor(r["tax"] * 1_000_000).cast("bigint").alias("time_in_nanos"),
+                        )
+                    ).alias("collector"),
+                )
+            ).alias("searches"),
+            F.struct((r["qty"] * 1000).cast("bigint").alias("time_in_nanos")).alias("fetch"),
+            F.when(r["disc"] > 0, F.array(F.struct(F.floor(r["disc"] * 1_000_000).cast("bigint").alias("time_in_nanos")))).alias(
+                "aggregations"
+            ),
+        )
 
-    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(keyed), order).alias("rows")).select(
-        F.col("l_orderkey").alias("run_id"), F.struct(F.transform("rows", lambda r: r["s"]).alias("shards")).alias("profile")
-    )
+    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(raw)).alias("rows"))
+    return rows.select(F.col("l_orderkey").alias("run_id"), F.struct(F.transform("rows", shard).alias("shards")).alias("profile"))
 
 
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:

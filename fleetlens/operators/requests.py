@@ -84,7 +84,9 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
     ndjson = msearch & has_body
     valid_json = F.when(
         has_body & ~msearch,
-        F.try_parse_json(F.col("__body")).isNotNull() & (F.json_array_length(F.concat(F.lit("["), F.col("__body"), F.lit("]"))) == 1),
+        # exactly one complete JSON value: wrapping it in brackets must give a
+        # one-element array (rejects truncated bodies and trailing text)
+        F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col("__body"), F.lit("]"))) == 1, F.lit(False)),
     )
     error = (
         F.when(F.col("__method_line") == "", F.lit(ERR_NO_METHOD))

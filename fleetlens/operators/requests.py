@@ -45,28 +45,56 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
     # Each block's base strings are computed once, inside the generator's
     # input: later filters (e.g. error IS NULL) cannot be pushed below the
     # Generate, so the regular expressions are never re-evaluated per use.
+    def after_first_newline(x):
+        pos = F.instr(x, "\n")
+        return F.when(pos > 0, F.substring(x, pos + 1, 1 << 30)).otherwise(F.lit(""))
+
     def pieces(b):
-        body = F.regexp_extract(b, rf"^[^\n]*\n(?:{_WS}*\n)*[^\n]*\n?([\s\S]*)$", 1)
+        # title line; the first non-blank line after it is the method line
         return F.struct(
             b.rlike(rf"^{_WS}*#").alias("is_title"),
-            (F.regexp_replace(b, r"\s+", "") == "").alias("blank"),
-            F.regexp_extract(b, r"^([^\n]*)", 1).alias("first_line"),
-            F.trim(F.regexp_extract(b, rf"^[^\n]*\n(?:{_WS}*\n)*{_WS}*([^\n]*)", 1)).alias("method_line"),
-            F.regexp_replace(body, rf"^(?:{_WS}*\n)+|(?:\n{_WS}*)+$", "").alias("body"),
+            b.rlike(r"^\s*$").alias("blank"),
+            F.substring_index(b, "\n", 1).alias("first_line"),
+            F.regexp_replace(after_first_newline(b), rf"^(?:{_WS}*\n)+", "").alias("rest"),
+        )
+
+    def with_request_line(x):
+        # the lines after the method line, without leading / trailing blank lines, are the body
+        line = F.trim(F.substring_index(x["rest"], "\n", 1))
+        body = F.regexp_replace(after_first_newline(x["rest"]), rf"^(?:{_WS}*\n)+|(?:\n{_WS}*)+$", "")
+        m = F.regexp_extract(line, r"^([A-Za-z]+)\s+(.+)$", 1)
+        p = F.trim(F.regexp_extract(line, r"^([A-Za-z]+)\s+(.+)$", 2))
+        return F.struct(
+            *[x[f].alias(f) for f in ("is_title", "blank", "first_line")],
+            line.alias("method_line"), body.alias("body"), F.upper(m).alias("method"), p.alias("path"),
         )
 
+    def with_body_checks(x):
+        msearch = is_msearch_path(x["path"])
+        has_body = F.trim(x["body"]) != ""
+        # exactly one complete JSON value: wrapping it in brackets must give a
+        # one-element array (rejects truncated bodies and trailing text)
+        valid = F.when(
+            has_body & ~msearch,
+            F.coalesce(F.json_array_length(F.concat(F.lit("["), x["body"], F.lit("]"))) == 1, F.lit(False)),
+        )
+        return F.struct(
+            *[x[f].alias(f) for f in ("is_title", "blank", "first_line", "method_line", "method", "path")],
+            F.when(has_body, x["body"]).otherwise(F.lit("")).alias("body"),
+            msearch.alias("msearch"),
+            valid.alias("valid"),
+        )
+
+    # three materialised steps per block: base strings, request line, checks
+    blocks = F.transform(F.transform(F.transform(F.split(text, rf"(?m)^(?={_WS}*#)", -1), pieces), with_request_line), with_body_checks)
     exploded = files.select(
         F.col(id_col).alias("file_id"),
         starts_with_title.alias("__first_is_title"),
-        F.posexplode(F.transform(F.split(text, rf"(?m)^(?={_WS}*#)", -1), pieces)).alias("__pos", "__b"),
+        F.posexplode(blocks).alias("__pos", "__b"),
     )
     seq = (F.col("__pos") + F.when(F.col("__first_is_title"), 1).otherwise(0)).cast("int")
     raw_title = F.trim(F.regexp_replace(F.trim(F.col("__b.first_line")), r"^#+", ""))
     title = F.when(raw_title == "", F.concat(F.lit("Query "), seq.cast("string"))).otherwise(raw_title)
-    method_line = F.col("__b.method_line")
-    body = F.when(F.trim(F.col("__b.body")) == "", F.lit("")).otherwise(F.col("__b.body"))
-    m = F.regexp_extract(method_line, r"^([A-Za-z]+)\s+(.+)$", 1)
-    p = F.trim(F.regexp_extract(method_line, r"^([A-Za-z]+)\s+(.+)$", 2))
 
     cases = exploded.select(
         "file_id",
@@ -74,20 +102,17 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
         F.col("__b.is_title").alias("__is_title"),
         F.col("__b.blank").alias("__blank"),
         title.alias("title"),
-        method_line.alias("__method_line"),
-        F.upper(m).alias("__method"),
-        p.alias("__path"),
-        body.alias("__body"),
+        F.col("__b.method_line").alias("__method_line"),
+        F.col("__b.method").alias("__method"),
+        F.col("__b.path").alias("__path"),
+        F.col("__b.body").alias("__body"),
+        F.col("__b.msearch").alias("__msearch"),
+        F.col("__b.valid").alias("__valid"),
     )
-    msearch = is_msearch_path(F.col("__path"))
+    msearch = F.col("__msearch")
     has_body = F.col("__body") != ""
     ndjson = msearch & has_body
-    valid_json = F.when(
-        has_body & ~msearch,
-        # exactly one complete JSON value: wrapping it in brackets must give a
-        # one-element array (rejects truncated bodies and trailing text)
-        F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col("__body"), F.lit("]"))) == 1, F.lit(False)),
-    )
+    valid_json = F.col("__valid")
     error = (
         F.when(F.col("__method_line") == "", F.lit(ERR_NO_METHOD))
         .when(F.col("__method") == "", F.lit(ERR_BAD_METHOD))

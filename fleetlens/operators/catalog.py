@@ -3,7 +3,7 @@ O4, W3, W4, F10-F12, P13)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.filters import drop_unavailable_indices, exclude_system_indices
@@ -74,3 +74,36 @@ def index_samples(indices: DataFrame, samples: DataFrame) -> DataFrame:
         "doc_count",
         F.coalesce(F.col("sample_docs"), F.array().cast("array<struct<doc_rank:int,_id:string,_source:string>>")).alias("sample_docs"),
     )
+
+
+def _index_entry(body: Column, index_col: str) -> Column:
+    """``body[<index>]`` of a response keyed by index name, as VARIANT."""
+    return F.element_at(F.try_variant_get(body, "$", "map<string,variant>"), F.col(index_col))
+
+
+def unwrap_mapping(df: DataFrame, json_col: str = "mapping_json", index_col: str = "index_name") -> Column:
+    """Mapping response -> the index's ``mappings`` object; the whole body when
+    the index is not a key of it (S9)."""
+    body = F.try_parse_json(F.col(json_col))
+    entry = _index_entry(body, index_col)
+    return F.coalesce(F.try_variant_get(entry, "$.mappings", "variant"), entry, body)
+
+
+def unwrap_settings(df: DataFrame, json_col: str = "settings_json", index_col: str = "index_name") -> Column:
+    """Settings response -> ``settings.index`` (or ``settings``) of the index,
+    ready for ``flatten_variant(…, prefix="index")``; the whole body when the
+    index is not a key of it (S9)."""
+    body = F.try_parse_json(F.col(json_col))
+    settings = F.try_variant_get(_index_entry(body, index_col), "$.settings", "variant")
+    index_part = F.try_variant_get(settings, "$.index", "variant")
+    is_obj = F.try_variant_get(index_part, "$", "map<string,variant>").isNotNull()
+    return F.coalesce(F.when(is_obj, index_part), settings, body)
+
+
+def with_mappings(indices: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Eligible index ⟕ its mapping (J3): ``mapping`` as compact JSON text and
+    a ``has_mapping`` flag.  ``mappings`` has ``cluster_id, index_name,
+    mapping_json``; one row per index, joined on (cluster, index)."""
+    m = mappings.select("cluster_id", "index_name", F.to_json(unwrap_mapping(mappings)).alias("mapping"))
+    j = indices.join(m, ["cluster_id", "index_name"], "left")
+    return j.withColumn("has_mapping", F.col("mapping").isNotNull())

@@ -176,3 +176,16 @@ def resolve_cluster_names(requests: DataFrame, registry: DataFrame, name_col: st
         F.coalesce(F.col("b.candidates"), F.lit(0)).cast("bigint").alias("candidates"),
         F.when(F.col("b.rank").isNull(), "not_found").when(F.col("b.candidates") > 1, "ambiguous").otherwise("ok").alias("status"),
     )
+
+
+def latest_cluster_status(cluster_health: DataFrame, start_end: tuple | None = None, ts_col: str = "timestamp") -> DataFrame:
+    """Newest health document per cluster, optionally within a time window.
+
+    ``row_number() = 1`` per cluster ordered by (time desc, ``_id`` desc),
+    planned with a partial ``WindowGroupLimit`` before the exchange.
+    """
+    from fleetlens.operators.filters import time_window
+
+    df = cluster_health if start_end is None else time_window(cluster_health, ts_col, start_end[0], start_end[1])
+    w = Window.partitionBy("cluster_id").orderBy(F.col(ts_col).desc(), F.col("_id").desc())
+    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")

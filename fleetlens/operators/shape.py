@@ -118,6 +118,12 @@ def _json_pairs(v: Column, key: Column, depth: int) -> Column:
     return F.when(obj.isNotNull(), children).otherwise(leaf)
 
 
+def flatten_variant(df: DataFrame, id_cols: list[str], variant: Column, prefix: str = "", max_depth: int = 8) -> DataFrame:
+    """``flatten_json`` for a VARIANT column (e.g. a sub-document picked with ``variant_get``)."""
+    pairs = _json_pairs(variant, F.lit(prefix), max_depth)
+    return df.where(variant.isNotNull()).select(*id_cols, F.explode(pairs).alias("__p")).select(*id_cols, "__p.key", "__p.value")
+
+
 def flatten_json(df: DataFrame, id_cols: list[str], json_col: str, prefix: str = "", max_depth: int = 8) -> DataFrame:
     """Free-form JSON object -> one row per leaf: ``key`` (dotted, with prefix), ``value``.
 
@@ -134,6 +140,7 @@ def flatten_json(df: DataFrame, id_cols: list[str], json_col: str, prefix: str =
 
 __all__ = [
     "flatten_json",
+    "flatten_variant",
     "SlimConfig",
     "flatten",
     "mask_document",

@@ -739,3 +739,35 @@ SELECT o_orderkey, {fmt_bytes('sz')} AS bytes_text, {fmt_duration('ms')} AS dura
        o_orderpriority AS base_name
 FROM b
 """
+
+
+# --- catalog metadata and cluster status --------------------------------------
+
+SQL["index_settings"] = """
+WITH g AS (
+  SELECT p_brand AS cluster_id, CASE WHEN p_type = 'PROMO' THEN '.promo' ELSE lower(p_type) END AS index_name, count(*) AS n
+  FROM part GROUP BY p_brand, p_type
+)
+SELECT cluster_id, index_name, 'index.number_of_shards' AS key, CAST(n AS VARCHAR) AS value FROM g
+UNION ALL SELECT cluster_id, index_name, 'index.number_of_replicas', '1' FROM g
+UNION ALL SELECT cluster_id, index_name, 'index.routing.allocation.include._tier_preference', 'data_hot' FROM g
+"""
+
+SQL["index_mappings"] = f"""
+WITH {CATALOG}
+SELECT cluster_id, index_name, doc_count, true AS has_mapping,
+       CASE WHEN index_name = 'small' THEN '{{"error":"no such index"}}'
+            ELSE '{{"properties":{{"p_name":{{"type":"text"}},"p_size":{{"type":"integer"}}}}}}' END AS mapping
+FROM capped
+"""
+
+SQL["cluster_latest_status"] = """
+WITH d AS (
+  SELECT event_id AS _id, ts AS "timestamp", CAST(user_id % 7 AS VARCHAR) AS cluster_id,
+         CASE WHEN event_type = 'error' THEN 'red' WHEN event_type = 'signup' THEN 'yellow' ELSE 'green' END AS status,
+         CAST(floor(value / 10) + 1 AS BIGINT) AS number_of_nodes
+  FROM events
+  WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '2024-01-30 23:59:59'
+)
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY "timestamp" DESC, _id DESC) AS rn FROM d) WHERE rn = 1
+"""

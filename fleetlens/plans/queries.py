@@ -511,3 +511,35 @@ def format_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalars.is_msearch_path(path).alias("is_msearch"),
         scalars.strip_label(name, ["original", "optimized"]).alias("base_name"),
     )
+
+
+# --- catalog metadata and cluster status --------------------------------------
+
+
+@register
+def index_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings responses unwrapped to ``settings.index`` and flattened with prefix ``index``."""
+    from fleetlens.operators import catalog
+
+    meta = adaptors.index_metadata(spark, sf_dir)
+    return shape.flatten_variant(meta, ["cluster_id", "index_name"], catalog.unwrap_settings(meta), prefix="index")
+
+
+@register
+def index_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eligible indices with their unwrapped mapping."""
+    from fleetlens.operators import catalog
+
+    idx = _eligible(spark, sf_dir, 3)
+    return catalog.with_mappings(idx, adaptors.index_metadata(spark, sf_dir)).select(
+        "cluster_id", "index_name", "doc_count", "has_mapping", "mapping"
+    )
+
+
+@register
+def cluster_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest health document per cluster in the last two days of the data."""
+    from fleetlens.operators import fleet
+
+    docs = adaptors.cluster_health_docs(spark, sf_dir)
+    return fleet.latest_cluster_status(docs, ("2024-01-29", "2024-01-30"))

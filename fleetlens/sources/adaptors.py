@@ -363,3 +363,36 @@ def index_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n").cast("string").alias("docs_count"),
         F.concat(F.col("sz").cast("string"), F.lit("kb")).alias("store_size"),
     )
+
+
+def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping and settings responses per catalog index, as JSON text.
+
+    Keyed by index name as the search server answers; ``SMALL`` indices
+    answer the mapping request with an error body instead.
+    """
+    p = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_type") == "PROMO", F.lit(".promo")).otherwise(F.lower(F.col("p_type")))
+    g = p.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    mapping = F.when(F.col("p_type") == "SMALL", F.lit('{"error":"no such index"}')).otherwise(
+        F.concat(F.lit('{"'), name, F.lit('":{"mappings":{"properties":{"p_name":{"type":"text"},"p_size":{"type":"integer"}}}}}'))
+    )
+    settings = F.concat(
+        F.lit('{"'), name, F.lit('":{"settings":{"index":{"number_of_shards":"'), F.col("n").cast("string"),
+        F.lit('","number_of_replicas":"1","routing":{"allocation":{"include":{"_tier_preference":"data_hot"}}}}}}}'),
+    )
+    return g.select(F.col("p_brand").alias("cluster_id"), name.alias("index_name"), mapping.alias("mapping_json"), settings.alias("settings_json"))
+
+
+def cluster_health_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as cluster-health documents: colour from the event type,
+    node count from the value."""
+    ev = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "red").when(F.col("event_type") == "signup", "yellow").otherwise("green")
+    return ev.select(
+        F.col("event_id").alias("_id"),
+        F.col("ts").alias("timestamp"),
+        (F.col("user_id") % 7).cast("string").alias("cluster_id"),
+        status.alias("status"),
+        (F.floor(F.col("value") / 10) + 1).cast("bigint").alias("number_of_nodes"),
+    )

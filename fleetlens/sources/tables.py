@@ -81,3 +81,38 @@ def to_utc_timestamp_columns(df: DataFrame, columns: list[str]) -> DataFrame:
         if isinstance(df.schema[c].dataType, T.TimestampNTZType):
             out = out.withColumn(c, F.timestamp_micros(epoch_micros(df, c)))
     return out
+
+
+def normalize_registry(df: DataFrame) -> DataFrame:
+    """Registry rows as the console lists them (S7): a missing name reads
+    ``Unknown``, missing flags read false."""
+    out = df.withColumn("name", F.coalesce(F.col("name"), F.lit("Unknown")))
+    for flag in ("enabled", "monitored"):
+        if flag in df.columns:
+            out = out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return out
+
+
+RUN_SCHEMA = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("base_name", T.StringType()),
+        T.StructField("query_type", T.StringType()),
+        T.StructField("query_index", T.IntegerType()),
+        T.StructField("iteration", T.IntegerType()),
+        T.StructField("is_warmup", T.BooleanType()),
+        T.StructField("measured_iteration", T.IntegerType()),
+        T.StructField("took", T.DoubleType()),
+        T.StructField("duration", T.DoubleType()),
+        T.StructField("success", T.BooleanType()),
+        T.StructField("status_code", T.IntegerType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("method", T.StringType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Benchmark run logs (JSON Lines) with a declared schema."""
+    return spark.read.schema(RUN_SCHEMA).json(path)

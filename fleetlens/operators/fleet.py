@@ -10,11 +10,12 @@ from fleetlens.functions.scalars import format_bytes, format_duration, used_perc
 from fleetlens.operators.filters import system_cluster
 
 
-def active_clusters(metrics: DataFrame, cluster_col: str = "cluster_id", name_col: str = "cluster_name", top: int = 1000) -> DataFrame:
+def active_clusters(metrics: DataFrame, cluster_col: str = "cluster_id", name_col: str = "cluster_name", top: int | None = 1000) -> DataFrame:
     """Clusters seen in the metrics, by document count, top ``top``.
 
     The name is the most frequent non-null name of the cluster (ties: the
-    smallest name), falling back to the id.  Counting per (cluster, name)
+    smallest name), falling back to the id.  ``top=None`` keeps every
+    cluster (used for target filtering, where no cluster may be missed).  Counting per (cluster, name)
     first combines map-side, so a cluster holding a third of the rows costs
     one partial aggregate, not one hot task.
     """
@@ -31,6 +32,8 @@ def active_clusters(metrics: DataFrame, cluster_col: str = "cluster_id", name_co
         F.coalesce(F.col("best"), F.col("cluster_id").cast("string")).alias("cluster_name"),
         F.col("doc_count").cast("bigint").alias("doc_count"),
     )
+    if top is None:
+        return out
     return out.orderBy(F.col("doc_count").desc(), F.col("cluster_id").asc()).limit(top)
 
 

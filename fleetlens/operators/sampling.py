@@ -71,16 +71,15 @@ def resolve_group_columns(df: DataFrame, candidates: list[str], fixed: bool = Fa
     """Group columns for sampling.
 
     ``fixed`` keeps the candidates as given (node and index stats).  Otherwise
-    the candidates present in the schema that hold at least one value are
-    kept, found with one small aggregate; if none does, the first candidate.
+    a candidate is kept when the schema has it and at least one row holds a
+    value; each probe is a ``limit(1)`` job that stops at the first hit
+    instead of scanning the whole input.  If none qualifies, the first
+    candidate is used.
     """
     if fixed:
         return list(candidates)
     present = [c for c in candidates if field_type(df.schema, c) is not None]
-    if not present:
-        return candidates[:1]
-    row = df.agg(*[F.max(F.col(quote_path(c)).isNotNull()).alias(f"c{i}") for i, c in enumerate(present)]).first()
-    valid = [c for i, c in enumerate(present) if row is not None and row[f"c{i}"]]
+    valid = [c for c in present if df.select(F.col(quote_path(c)).alias("g")).where(F.col("g").isNotNull()).limit(1).count() > 0]
     return valid or candidates[:1]
 
 

@@ -78,13 +78,18 @@ def _target_filter(df: DataFrame, job: ExportJob) -> DataFrame:
     """Cluster globs on id or name (F6, F7), node and index globs (F8)."""
     out = df
     if job.include_clusters or job.exclude_clusters:
+        from fleetlens.operators.fleet import active_clusters
+
         cid = F.col(f"{LABEL}.cluster_id")
         cname = F.col(f"{LABEL}.cluster_name") if field_type(df.schema, f"{LABEL}.cluster_name") else cid
-        # The cluster list is the distinct (id, name) pairs of the window; the
+        # The cluster list of the window (A19: each cluster with its most
+        # frequent name, none left out); globs match its id or name, and the
         # semi join keeps documents of matching clusters.  No match, no rows.
-        clusters = out.select(cid.alias("id"), cname.alias("name")).distinct()
-        chosen = clusters.where(filters.target_predicate(F.col("id"), F.col("name"), job.include_clusters, job.exclude_clusters))
-        out = filters.restrict_to(out, chosen.select("id"), f"{LABEL}.cluster_id", "id")
+        clusters = active_clusters(out.select(cid.alias("cluster_id"), cname.alias("cluster_name")), top=None)
+        chosen = clusters.where(
+            filters.target_predicate(F.col("cluster_id"), F.col("cluster_name"), job.include_clusters, job.exclude_clusters)
+        )
+        out = filters.restrict_to(out, chosen, f"{LABEL}.cluster_id", "cluster_id")
     for col, inc, exc in (
         (f"{LABEL}.node_name", job.include_nodes, job.exclude_nodes),
         (f"{LABEL}.index_name", job.include_indices, job.exclude_indices),

@@ -13,11 +13,9 @@ metrics AS (
   SELECT event_id AS _id, ts AS "timestamp", 'node_stats' AS metric_type,
          user_id % 7 AS cluster_id, event_type AS cluster_name, user_id AS node_id,
          event_type AS status, value,
-         CASE WHEN event_type <> 'signup' THEN row_number() OVER (
-              PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) END AS ops,
-         CASE WHEN event_type <> 'error' THEN CAST(sum(floor(value * 100)) OVER (
-              PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id
-              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) END AS time_ms
+         CASE WHEN event_type <> 'signup' THEN CAST(hour(ts) * 60 + minute(ts) + 1 AS BIGINT) END AS ops,
+         CASE WHEN event_type <> 'error'
+              THEN CAST((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) * 10 AS BIGINT) + CAST(floor(value * 100) AS BIGINT) END AS time_ms
   FROM events
 )"""
 
@@ -504,16 +502,16 @@ FROM o FULL OUTER JOIN p USING (query_index, measured_iteration)
 # --- search profiles ----------------------------------------------------------
 
 SHARDS = """
+ex AS (SELECT *, unnest(generate_series(1, least(l_linenumber, 3))) AS i FROM lineitem),
 sh AS (
-  SELECT l_orderkey AS run_id, l_linenumber AS id, 'idx-' || l_returnflag AS "index",
-         'node-' || CAST(l_suppkey AS VARCHAR) AS node_id,
-         CAST(floor(l_extendedprice * 1000) AS BIGINT) AS q,
-         CAST(l_partkey * 10 AS BIGINT) AS rw,
-         CAST(l_quantity * 1000 AS BIGINT) AS f,
-         CASE WHEN l_discount > 0 THEN CAST(floor(l_discount * 1000000) AS BIGINT) ELSE 0 END AS ag,
-         'TermQuery' || l_linestatus AS qtype, 'part:' || CAST(l_partkey AS VARCHAR) AS descr,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos
-  FROM lineitem
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS run_id, CAST(i AS INTEGER) AS id,
+         'idx-' || l_returnflag AS "index", 'node-' || CAST(l_suppkey + i AS VARCHAR) AS node_id,
+         CAST(floor(l_extendedprice * 1000 / i) AS BIGINT) AS q,
+         CAST(l_partkey * 10 * i AS BIGINT) AS rw,
+         CAST(l_quantity * 1000 * i AS BIGINT) AS f,
+         CASE WHEN l_discount > 0 THEN CAST(floor(l_discount * 1000000) * i AS BIGINT) ELSE 0 END AS ag,
+         'TermQuery' || l_linestatus AS qtype, 'part:' || CAST(l_partkey AS VARCHAR) AS descr, i AS pos
+  FROM ex
 )"""
 
 
@@ -562,21 +560,15 @@ SELECT run_id, CAST(rank AS INTEGER) AS rank, phase, time_ms FROM r WHERE rank <
 
 CASES = """
 li AS (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
-                               l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS seq,
+  SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS file_id,
          CASE WHEN l_discount = 0 THEN '{"query":'
-              ELSE '{"query":{"term":{"part":' || CAST(l_partkey AS VARCHAR) || '}},"size":' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '}' END AS body_json
+              ELSE '{"query":{"term":{"part":' || CAST(l_partkey AS VARCHAR) || '}},"size":' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '}' END AS body_json,
+         l_linenumber = 6 AND l_linestatus = 'F' AS missing
   FROM lineitem
 ),
-cases AS (
-  SELECT l_orderkey AS file_id, CAST(seq AS INTEGER) AS seq,
-         CASE WHEN l_linenumber = 7 THEN 'Query ' || CAST(seq AS VARCHAR) ELSE 'Q' || CAST(l_linenumber AS VARCHAR) || ' ' || l_returnflag END AS title,
-         l_linenumber = 6 AND l_linestatus = 'F' AS missing,
-         l_returnflag, l_linestatus, l_linenumber, l_discount, l_tax, l_quantity, body_json
-  FROM li
-),
 parsed AS (
-  SELECT file_id, seq, title,
+  SELECT file_id, 1 AS seq,
+         CASE WHEN l_linenumber = 7 THEN 'Query 1' ELSE 'Q' || CAST(l_linenumber AS VARCHAR) || ' ' || l_returnflag END AS title,
          CASE WHEN missing THEN NULL WHEN l_returnflag = 'N' THEN 'POST' ELSE 'GET' END AS method,
          CASE WHEN missing THEN NULL WHEN l_returnflag = 'N' THEN '_msearch'
               WHEN l_returnflag = 'R' THEN 'idx-r,idx-' || lower(l_linestatus) || '/_search?size=' || CAST(l_linenumber AS VARCHAR)
@@ -590,12 +582,21 @@ parsed AS (
          CASE WHEN missing THEN 'missing method line'
               WHEN l_returnflag <> 'N' AND NOT (l_returnflag = 'A' AND l_tax = 0) AND l_discount = 0 THEN 'invalid JSON body' END AS error,
          l_returnflag, l_linestatus
-  FROM cases
+  FROM li
+  UNION ALL
+  SELECT file_id, 2, 'Count ' || l_returnflag, 'GET', 'idx-' || lower(l_returnflag) || '/_count',
+         '{"query":{"match_all":{}}}', false, true, NULL, l_returnflag, l_linestatus
+  FROM li
+  UNION ALL
+  SELECT file_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, 'content before the first title', l_returnflag, l_linestatus
+  FROM li WHERE l_linenumber = 5 AND l_linestatus = 'F'
 ),
 targets AS (
-  SELECT file_id, seq, 0 AS target_pos, 'idx-r' AS target FROM parsed WHERE error IS NULL AND l_returnflag = 'R'
+  SELECT file_id, seq, 0 AS target_pos, 'idx-r' AS target FROM parsed WHERE seq = 1 AND error IS NULL AND l_returnflag = 'R'
   UNION ALL
-  SELECT file_id, seq, 1, 'idx-' || lower(l_linestatus) FROM parsed WHERE error IS NULL AND l_returnflag = 'R'
+  SELECT file_id, seq, 1, 'idx-' || lower(l_linestatus) FROM parsed WHERE seq = 1 AND error IS NULL AND l_returnflag = 'R'
+  UNION ALL
+  SELECT file_id, seq, 0, 'idx-' || lower(l_returnflag) FROM parsed WHERE seq = 2
 ),
 aliases AS (
   SELECT DISTINCT 'idx-' || lower(l_returnflag) AS alias, 'idx-' || lower(l_returnflag) || '-' || lower(l_linestatus) AS "index" FROM lineitem
@@ -611,15 +612,15 @@ resolved AS (
 
 SQL["request_parse"] = f"""
 WITH {CASES}
-SELECT file_id, seq, title, method, path, body_raw, body_is_ndjson, body_valid, error FROM parsed
+SELECT file_id, CAST(seq AS INTEGER) AS seq, title, method, path, body_raw, body_is_ndjson, body_valid, error FROM parsed
 """
 
 SQL["request_targets"] = f"""
 WITH {CASES}
-SELECT file_id, seq, CAST(target_pos AS INTEGER) AS target_pos, target FROM targets
+SELECT file_id, CAST(seq AS INTEGER) AS seq, CAST(target_pos AS INTEGER) AS target_pos, target FROM targets
 """
 
-SQL["alias_resolve"] = f"WITH {CASES}\nSELECT * FROM resolved\n"
+SQL["alias_resolve"] = f"WITH {CASES}\nSELECT file_id, CAST(seq AS INTEGER) AS seq, index_name, resolved_pos FROM resolved\n"
 
 SQL["request_overview"] = f"""
 WITH {CASES},
@@ -628,7 +629,7 @@ ov AS (
          CAST(count(*) AS VARCHAR) AS docs, CAST(CAST(sum(floor(l_extendedprice)) AS BIGINT) AS VARCHAR) || 'kb' AS store
   FROM lineitem GROUP BY l_returnflag, l_linestatus
 )
-SELECT file_id, seq, resolved_pos, index_name, coalesce(health, '-') AS health,
+SELECT file_id, CAST(seq AS INTEGER) AS seq, resolved_pos, index_name, coalesce(health, '-') AS health,
        CASE WHEN docs IS NULL THEN '-' ELSE format('{{:,}}', CAST(docs AS BIGINT)) END AS docs_count,
        coalesce(store, '-') AS store_size
 FROM resolved LEFT JOIN ov USING (index_name)
@@ -697,14 +698,12 @@ FROM f
 """
 
 SQL["took_extract"] = """
-WITH sub AS (
-  SELECT l_orderkey, max(CASE WHEN l_linestatus <> 'F' THEN CAST(floor(l_extendedprice / 100) AS DOUBLE) END) AS sub_max FROM lineitem GROUP BY l_orderkey
-)
-SELECT o_orderkey AS response_id,
-       CASE WHEN o_orderstatus = 'P' THEN 'logs-*/_msearch' ELSE 'logs-*/_search' END AS path,
-       CASE WHEN o_orderstatus = 'P' THEN coalesce(sub_max, CAST(floor(o_totalprice / 1000) AS DOUBLE))
-            ELSE CAST(floor(o_totalprice / 1000) AS DOUBLE) END AS took
-FROM orders LEFT JOIN sub ON o_orderkey = l_orderkey
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS response_id,
+       CASE WHEN l_returnflag = 'N' THEN 'logs-*/_msearch' ELSE 'logs-*/_search' END AS path,
+       CASE WHEN l_returnflag = 'N'
+            THEN CAST(list_max([floor(l_extendedprice / 100), CASE WHEN l_linestatus <> 'F' THEN floor(l_tax * 100) END, floor(l_discount * 100)]) AS DOUBLE)
+            ELSE CAST(floor(l_quantity) AS DOUBLE) END AS took
+FROM lineitem
 """
 
 SQL["flatten_settings"] = """

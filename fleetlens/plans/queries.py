@@ -458,28 +458,24 @@ def diag_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def took_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Took of a response, the largest sub-response took for multi-search.
 
-    One response per order; sub-responses are its line items, whose took is
-    text (ignored) on finished lines.
+    One response per line item, built from the row: top-level took is the
+    quantity; three sub-responses carry price / 100, tax x 100 (as text, so
+    ignored, on finished lines) and discount x 100.  ``N`` lines are
+    multi-search requests.
     """
     from fleetlens.operators import benchruns
 
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     li = table(spark, sf_dir, "lineitem")
-    sub = F.concat(
-        F.lit('{"took":'),
-        F.when(F.col("l_linestatus") == "F", F.concat(F.lit('"'), F.floor(F.col("l_extendedprice") / 100).cast("string"), F.lit('"'))).otherwise(
-            F.floor(F.col("l_extendedprice") / 100).cast("string")
-        ),
-        F.lit("}"),
-    )
-    subs = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(sub)), ",").alias("subs"))
-    j = o.join(subs, o.o_orderkey == subs.l_orderkey, "left")
-    path = F.when(F.col("o_orderstatus") == "P", F.lit("logs-*/_msearch")).otherwise(F.lit("logs-*/_search"))
+    n = lambda c: F.floor(c).cast("string")
+    tax = F.when(F.col("l_linestatus") == "F", F.concat(F.lit('"'), n(F.col("l_tax") * 100), F.lit('"'))).otherwise(n(F.col("l_tax") * 100))
     body = F.concat(
-        F.lit('{"took":'), F.floor(F.col("o_totalprice") / 1000).cast("string"),
-        F.lit(',"responses":['), F.coalesce(F.col("subs"), F.lit("")), F.lit("]}"),
+        F.lit('{"took":'), n(F.col("l_quantity")),
+        F.lit(',"responses":[{"took":'), n(F.col("l_extendedprice") / 100),
+        F.lit('},{"took":'), tax,
+        F.lit('},{"took":'), n(F.col("l_discount") * 100), F.lit("}]}"),
     )
-    r = j.select(F.col("o_orderkey").alias("response_id"), path.alias("path"), F.try_parse_json(body).alias("body"))
+    path = F.when(F.col("l_returnflag") == "N", F.lit("logs-*/_msearch")).otherwise(F.lit("logs-*/_search"))
+    r = li.select(adaptors.line_id().alias("response_id"), path.alias("path"), F.try_parse_json(body).alias("body"))
     return r.select("response_id", "path", benchruns.took_from_response(F.col("path"), F.col("body")).alias("took"))
 
 

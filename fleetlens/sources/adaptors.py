@@ -9,7 +9,7 @@ grows with the tables.  The same definitions are restated in SQL by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.sources.tables import table
@@ -21,26 +21,28 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as flat node metrics.
 
     ``_id``/``timestamp`` from ``event_id``/``ts``; a cluster is ``user_id % 7``
-    and a node is a user; ``value`` is a gauge.  Two cumulative counters
-    restart every day (a node restart), which exercises reset handling:
-    ``ops`` counts a node's events of the day, ``time_ms`` sums
-    ``floor(value * 100)`` over them.  ``ops`` is missing on ``signup``
+    and a node is a user; ``value`` is a gauge.  Two counters restart every
+    day at midnight (a daily node restart), which exercises reset handling:
+    ``ops`` is the minute of the day plus one, ``time_ms`` ten times the
+    second of the day plus ``floor(value * 100)``.  Both are computed from
+    the row alone (no window, no shuffle).  ``ops`` is missing on ``signup``
     events and ``time_ms`` on ``error`` events, which exercises null gaps.
     """
     ev = table(spark, sf_dir, "events")
-    day = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
-    running = day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ts = F.col("ts")
+    minute_of_day = F.hour(ts) * 60 + F.minute(ts)
+    second_of_day = minute_of_day * 60 + F.second(ts)
     return ev.select(
         F.col("event_id").alias("_id"),
-        F.col("ts").alias("timestamp"),
+        ts.alias("timestamp"),
         F.lit(NODE_METRIC_TYPE).alias("metric_type"),
         (F.col("user_id") % 7).alias("cluster_id"),
         F.col("event_type").alias("cluster_name"),
         F.col("user_id").alias("node_id"),
         F.col("event_type").alias("status"),
         F.col("value"),
-        F.when(F.col("event_type") != "signup", F.row_number().over(day).cast("bigint")).alias("ops"),
-        F.when(F.col("event_type") != "error", F.sum(F.floor(F.col("value") * 100)).over(running)).alias("time_ms"),
+        F.when(F.col("event_type") != "signup", (minute_of_day + 1).cast("bigint")).alias("ops"),
+        F.when(F.col("event_type") != "error", (second_of_day * 10).cast("bigint") + F.floor(F.col("value") * 100)).alias("time_ms"),
     )
 
 
@@ -242,38 +244,41 @@ def benchmark_runs(spark: SparkSession, sf_dir: str, warmup: int = 2) -> DataFra
     )
 
 
+def line_id() -> F.Column:
+    """Identifier of a line item: order, line, part and supplier keys."""
+    return F.concat_ws(
+        "-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+        F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+    )
+
+
 def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search profile per order, shards = its line items (nested, A28-A31).
+    """One search-profile response per line item (nested, A28-A31).
 
-    The nested arrays are collected per order, i.e. per query response; the
-    group is a single response's shard list.
+    The response has ``least(l_linenumber, 3)`` shards built from the row
+    alone: shard ``i`` has query time ``floor(price * 1000 / i)`` ns, fetch
+    ``quantity * 1000 * i`` ns, an aggregation of ``floor(discount * 1e6) * i``
+    ns when there is a discount, and rewrite ``partkey * 10 * i`` ns.
     """
     li = table(spark, sf_dir, "lineitem")
-    # collect only orderable raw columns, sort natively, then build the
-    # nested shard structs (maps inside) per element
-    raw = F.struct(
-        F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
-        F.col("l_extendedprice").alias("px"), F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"),
-        F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax"), F.col("l_discount").alias("disc"),
-    )
 
-    def shard(r):
-        qn = F.floor(r["px"] * 1000).cast("bigint")
+    def shard(i):
+        qn = F.floor(F.col("l_extendedprice") * 1000 / i).cast("bigint")
         return F.struct(
-            r["pos"].alias("id"),
-            F.concat(F.lit("idx-"), r["rf"]).alias("index"),
-            F.concat(F.lit("node-"), r["sk"].cast("string")).alias("node_id"),
+            i.alias("id"),
+            F.concat(F.lit("idx-"), F.col("l_returnflag")).alias("index"),
+            F.concat(F.lit("node-"), (F.col("l_suppkey") + i).cast("string")).alias("node_id"),
             F.array(
                 F.struct(
-                    (r["pk"] * 10).alias("rewrite_time"),
+                    (F.col("l_partkey") * 10 * i).alias("rewrite_time"),
                     F.array(
                         F.struct(
-                            F.concat(F.lit("TermQuery"), r["ls"]).alias("type"),
-                            F.concat(F.lit("part:"), r["pk"].cast("string")).alias("description"),
+                            F.concat(F.lit("TermQuery"), F.col("l_linestatus")).alias("type"),
+                            F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("description"),
                             qn.alias("time_in_nanos"),
                             F.create_map(
                                 F.lit("score"), (qn / 2).cast("bigint"),
-                                F.lit("score_count"), r["qty"].cast("bigint"),
+                                F.lit("score_count"), F.col("l_quantity").cast("bigint"),
                                 F.lit("build_scorer"), (qn / 4).cast("bigint"),
                             ).alias("breakdown"),
                         )
@@ -282,29 +287,31 @@ def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.struct(
                             F.lit("SimpleTopScoreDocCollector").alias("name"),
                             F.lit("search_top_hits").alias("reason"),
-                            F.floor(r["tax"] * 1_000_000).cast("bigint").alias("time_in_nanos"),
+                            F.floor(F.col("l_tax") * 1_000_000).cast("bigint").alias("time_in_nanos"),
                         )
                     ).alias("collector"),
                 )
             ).alias("searches"),
-            F.struct((r["qty"] * 1000).cast("bigint").alias("time_in_nanos")).alias("fetch"),
-            F.when(r["disc"] > 0, F.array(F.struct(F.floor(r["disc"] * 1_000_000).cast("bigint").alias("time_in_nanos")))).alias(
-                "aggregations"
-            ),
+            F.struct((F.col("l_quantity") * 1000 * i).cast("bigint").alias("time_in_nanos")).alias("fetch"),
+            F.when(
+                F.col("l_discount") > 0,
+                F.array(F.struct((F.floor(F.col("l_discount") * 1_000_000) * i).cast("bigint").alias("time_in_nanos"))),
+            ).alias("aggregations"),
         )
 
-    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(raw)).alias("rows"))
-    return rows.select(F.col("l_orderkey").alias("run_id"), F.struct(F.transform("rows", shard).alias("shards")).alias("profile"))
+    shards = F.transform(F.sequence(F.lit(1), F.least(F.col("l_linenumber"), F.lit(3))), shard)
+    return li.select(line_id().alias("run_id"), F.struct(shards.alias("shards")).alias("profile"))
 
 
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request file per order; one case per line item (S12 stand-in).
-
-    Titles, methods, paths and bodies come from the line's columns: ``N``
-    lines are multi-search requests with an NDJSON body, ``R`` lines search
-    two indices, ``A`` lines call a cat endpoint; a zero discount breaks the
-    JSON body, line 6 of a finished order has no method line and line 7 has
-    an empty title.  Blocks are ordered by all columns they use.
+    """One request file per line item, two cases each (S12 stand-in).
+
+    Case 1 comes from the line's columns: ``N`` lines are multi-search
+    requests with an NDJSON body, ``R`` lines search two indices, ``A`` lines
+    call a cat endpoint; a zero discount breaks the JSON body, line 6 of a
+    finished order has no method line and line 7 has an empty title.  Case 2
+    counts the documents behind the return flag's alias.  Line 5 files start
+    with a preamble: stray text on finished lines, blank space otherwise.
     """
     li = table(spark, sf_dir, "lineitem")
     ln = F.col("l_linenumber").cast("string")
@@ -332,16 +339,10 @@ def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(rf == "R", F.concat(F.lit("GET idx-r,idx-"), F.lower(ls), F.lit("/_search?size="), ln, F.lit("\n"), body_json))
         .otherwise(F.concat(F.lit("get /_cat/indices/idx-a"), F.when(F.col("l_tax") == 0, F.lit("")).otherwise(F.concat(F.lit("\n"), body_json))))
     )
-    block = F.concat(title, F.lit("\n"), request, F.lit("\n\n"))
-    keyed = F.struct(
-        F.col("l_linenumber").alias("k1"), F.col("l_partkey").alias("k2"), F.col("l_suppkey").alias("k3"),
-        F.col("l_extendedprice").alias("k4"), F.col("l_quantity").alias("k5"), F.col("l_discount").alias("k6"),
-        F.col("l_tax").alias("k7"), rf.alias("k8"), ls.alias("k9"), block.alias("block"),
-    )
-    files = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(keyed)).alias("blocks"))
-    return files.select(
-        F.col("l_orderkey").alias("file_id"), F.array_join(F.transform("blocks", lambda b: b["block"]), "").alias("text")
-    )
+    second = F.concat(F.lit("# Count "), rf, F.lit("\nGET idx-"), F.lower(rf), F.lit('/_count\n\n{"query":{"match_all":{}}}\n'))
+    preamble = F.when(F.col("l_linenumber") == 5, F.when(ls == "F", F.lit("stray text\n")).otherwise(F.lit("  \n"))).otherwise(F.lit(""))
+    text = F.concat(preamble, title, F.lit("\n"), request, F.lit("\n\n"), second)
+    return li.select(line_id().alias("file_id"), text.alias("text"))
 
 
 def index_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -502,9 +502,10 @@ FROM o FULL OUTER JOIN p USING (query_index, measured_iteration)
 # --- search profiles ----------------------------------------------------------
 
 SHARDS = """
-ex AS (SELECT *, unnest(generate_series(1, least(l_linenumber, 3))) AS i FROM lineitem),
+li0 AS (SELECT *, row_number() OVER () AS rid FROM lineitem),
+ex AS (SELECT *, unnest(generate_series(1, least(l_linenumber, 3))) AS i FROM li0),
 sh AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS run_id, CAST(i AS INTEGER) AS id,
+  SELECT rid, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS run_id, CAST(i AS INTEGER) AS id,
          'idx-' || l_returnflag AS "index", 'node-' || CAST(l_suppkey + i AS VARCHAR) AS node_id,
          CAST(floor(l_extendedprice * 1000 / i) AS BIGINT) AS q,
          CAST(l_partkey * 10 * i AS BIGINT) AS rw,
@@ -524,13 +525,13 @@ WITH {SHARDS}
 SELECT run_id, CAST(count(*) AS INTEGER) AS shard_count, {ms('sum(q)')} AS total_query_time_ms,
        {ms('sum(f)')} AS total_fetch_time_ms, {ms('sum(ag)')} AS total_aggregation_time_ms,
        {ms('sum(rw)')} AS total_rewrite_time_ms
-FROM sh GROUP BY run_id
+FROM sh GROUP BY rid, run_id
 """
 
 SQL["slowest_shard"] = f"""
 WITH {SHARDS},
 t AS (SELECT *, q + f + ag AS total,
-             row_number() OVER (PARTITION BY run_id ORDER BY q + f + ag DESC, pos ASC) AS rk FROM sh)
+             row_number() OVER (PARTITION BY rid ORDER BY q + f + ag DESC, pos ASC) AS rk FROM sh)
 SELECT run_id, id AS shard_id, "index", node_id, {ms('total')} AS total_time_ms, {ms('q')} AS query_time_ms,
        {ms('f')} AS fetch_time_ms, {ms('ag')} AS aggregation_time_ms, {ms('rw')} AS rewrite_time_ms
 FROM t WHERE rk = 1
@@ -539,7 +540,7 @@ FROM t WHERE rk = 1
 SQL["profile_top3"] = f"""
 WITH {SHARDS},
 c AS (SELECT *, {ms('q')} AS time_ms FROM sh),
-r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY time_ms DESC, pos ASC) AS rank FROM c)
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY time_ms DESC, pos ASC) AS rank FROM c)
 SELECT run_id, CAST(rank AS INTEGER) AS rank, qtype AS type, descr AS description, time_ms, id AS shard, "index"
 FROM r WHERE rank <= 3
 """
@@ -547,11 +548,11 @@ FROM r WHERE rank <= 3
 SQL["profile_phases"] = f"""
 WITH {SHARDS},
 t AS (
-  SELECT run_id, 'score' AS phase, 0 AS pos, {ms('sum(q // 2)')} AS time_ms FROM sh GROUP BY run_id
+  SELECT rid, run_id, 'score' AS phase, 0 AS pos, {ms('sum(q // 2)')} AS time_ms FROM sh GROUP BY rid, run_id
   UNION ALL
-  SELECT run_id, 'build_scorer', 1, {ms('sum(q // 4)')} FROM sh GROUP BY run_id
+  SELECT rid, run_id, 'build_scorer', 1, {ms('sum(q // 4)')} FROM sh GROUP BY rid, run_id
 ),
-r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY time_ms DESC, pos ASC) AS rank FROM t)
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY time_ms DESC, pos ASC) AS rank FROM t)
 SELECT run_id, CAST(rank AS INTEGER) AS rank, phase, time_ms FROM r WHERE rank <= 3
 """
 

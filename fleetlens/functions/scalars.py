@@ -80,9 +80,17 @@ def used_percent(used: Column | str, total: Column | str) -> Column:
     return F.when(t > 0, F.round(u / t * F.lit(100.0), 2)).otherwise(F.lit(0.0))
 
 
+# What Python's str.strip() treats as white space (ASCII part).
+WHITESPACE = " \t\n\r\f\u000b"
+
+
+def strip_ws(col: Column) -> Column:
+    """Trim white space at both ends, no regular expression."""
+    return F.trim(col, F.lit(WHITESPACE))
+
+
 def strip_query_string(path: Column | str) -> Column:
-    p = F.regexp_replace(_c(path), r"^\s+|\s+$", "")
-    return F.substring_index(p, "?", 1)
+    return F.substring_index(strip_ws(_c(path)), "?", 1)
 
 
 def target_names(path: Column | str) -> Column:
@@ -91,15 +99,30 @@ def target_names(path: Column | str) -> Column:
     First path segment split on commas; a segment starting with ``_``
     (an API endpoint) names no index; the query string is ignored.
     """
-    clean = F.regexp_replace(strip_query_string(path), r"^/+", "")
+    clean = F.ltrim(strip_query_string(path), F.lit("/"))
     first = F.substring_index(clean, "/", 1)
     names = F.filter(F.transform(F.split(first, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when((first == "") | first.startswith("_") | first.isNull(), F.array().cast("array<string>")).otherwise(names)
 
 
 def _last_segment(path: Column | str) -> Column:
-    clean = F.lower(F.regexp_replace(strip_query_string(path), r"/+$", ""))
-    return F.element_at(F.split(clean, "/"), -1)
+    clean = F.lower(F.rtrim(strip_query_string(path), F.lit("/")))
+    return F.substring_index(clean, "/", -1)
+
+
+def drop_blank_edge_lines(text: Column, skip_first_line: bool = False) -> Column:
+    """Remove leading and trailing lines that hold only white space; the
+    first and last remaining lines keep their own spaces.  With
+    ``skip_first_line`` the first line is dropped before that.
+
+    One linear regular expression: blank lines are skipped possessively,
+    then a greedy match runs to the end and backtracks only over the
+    trailing white space to the last visible character, keeping the rest of
+    that line.
+    """
+    ws = r"[ \t\f\u000B]"
+    first = r"[^\n]*\n?" if skip_first_line else ""
+    return F.regexp_extract(text, rf"(?s)^{first}(?:{ws}*\n)*+(.*\S[^\n]*)?", 1)
 
 
 def is_msearch_path(path: Column | str) -> Column:

@@ -44,20 +44,34 @@ def with_shard_times(profiles: DataFrame, profile_col: str = "profile") -> DataF
     return profiles.withColumn("__shards", F.transform(shards, _shard_times))
 
 
-def profile_rollup(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile") -> DataFrame:
-    """Per profile: shard count and total query / fetch / aggregation / rewrite ms."""
-    p = with_shard_times(profiles, profile_col)
+def _non_null(arr: Column) -> Column:
+    return F.filter(F.coalesce(arr, F.array()), lambda x: x.isNotNull())
+
+
+def _flat(arr_of_arrays: Column) -> Column:
+    """``flatten`` that treats a missing inner array as empty."""
+    return F.flatten(_non_null(arr_of_arrays))
+
 
-    def total(field: str) -> Column:
-        return nanos_to_ms(F.aggregate(F.col("__shards"), F.lit(0).cast("bigint"), lambda acc, s: acc + s[field]))
+def _total(longs: Column) -> Column:
+    return F.aggregate(F.coalesce(longs, F.array()), F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x, F.lit(0)).cast("bigint"))
 
-    return p.select(
+
+def profile_rollup(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile") -> DataFrame:
+    """Per profile: shard count and total query / fetch / aggregation / rewrite ms.
+
+    Nested fields are reached with array field extraction and ``flatten``
+    (generated code); only flat sums use a lambda.
+    """
+    shards = F.coalesce(F.col(f"{profile_col}.shards"), F.array())
+    searches = _flat(shards.getField("searches"))
+    return profiles.select(
         id_col,
-        F.size(F.col("__shards")).alias("shard_count"),
-        total("query").alias("total_query_time_ms"),
-        total("fetch").alias("total_fetch_time_ms"),
-        total("aggs").alias("total_aggregation_time_ms"),
-        total("rewrite").alias("total_rewrite_time_ms"),
+        F.size(shards).alias("shard_count"),
+        nanos_to_ms(_total(_flat(searches.getField("query")).getField("time_in_nanos"))).alias("total_query_time_ms"),
+        nanos_to_ms(_total(shards.getField("fetch").getField("time_in_nanos"))).alias("total_fetch_time_ms"),
+        nanos_to_ms(_total(_flat(shards.getField("aggregations")).getField("time_in_nanos"))).alias("total_aggregation_time_ms"),
+        nanos_to_ms(_total(searches.getField("rewrite_time"))).alias("total_rewrite_time_ms"),
     ).where(F.col("shard_count") > 0)
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.scalars import format_count, is_msearch_path, target_names
+from fleetlens.functions.scalars import drop_blank_edge_lines, format_count, is_msearch_path, strip_ws, target_names
 
 # Per-case error texts.
 ERR_NO_METHOD = "missing method line"
@@ -39,29 +39,25 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
     body_valid, error``.  A bad case gets an ``error`` and keeps its place in
     the numbering; good cases are ``error IS NULL``.
     """
-    text = F.regexp_replace(F.col(text_col), r"\r\n?", "\n")
+    text = F.replace(F.replace(F.col(text_col), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     starts_with_title = text.rlike(rf"^{_WS}*#")
 
     # Each block's base strings are computed once, inside the generator's
     # input: later filters (e.g. error IS NULL) cannot be pushed below the
     # Generate, so the regular expressions are never re-evaluated per use.
-    def after_first_newline(x):
-        pos = F.instr(x, "\n")
-        return F.when(pos > 0, F.substring(x, pos + 1, 1 << 30)).otherwise(F.lit(""))
-
     def pieces(b):
         # title line; the first non-blank line after it is the method line
         return F.struct(
             b.rlike(rf"^{_WS}*#").alias("is_title"),
-            b.rlike(r"^\s*$").alias("blank"),
+            (F.length(strip_ws(b)) == 0).alias("blank"),
             F.substring_index(b, "\n", 1).alias("first_line"),
-            F.regexp_replace(after_first_newline(b), rf"^(?:{_WS}*\n)+", "").alias("rest"),
+            F.regexp_extract(b, rf"(?s)^[^\n]*\n(?:{_WS}*\n)*+(.*)", 1).alias("rest"),
         )
 
     def with_request_line(x):
         # the lines after the method line, without leading / trailing blank lines, are the body
         line = F.trim(F.substring_index(x["rest"], "\n", 1))
-        body = F.regexp_replace(after_first_newline(x["rest"]), rf"^(?:{_WS}*\n)+|(?:\n{_WS}*)+$", "")
+        body = drop_blank_edge_lines(x["rest"], skip_first_line=True)
         m = F.regexp_extract(line, r"^([A-Za-z]+)\s+(.+)$", 1)
         p = F.trim(F.regexp_extract(line, r"^([A-Za-z]+)\s+(.+)$", 2))
         return F.struct(
@@ -85,15 +81,24 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
             valid.alias("valid"),
         )
 
-    # three materialised steps per block: base strings, request line, checks
-    blocks = F.transform(F.transform(F.transform(F.split(text, rf"(?m)^(?={_WS}*#)", -1), pieces), with_request_line), with_body_checks)
+    # Blocks become rows with one generator; each further step materialises
+    # its fields through inline(array(struct)) -- generated code, evaluated
+    # once per block, and a barrier that later filters are not pushed below.
     exploded = files.select(
         F.col(id_col).alias("file_id"),
         starts_with_title.alias("__first_is_title"),
-        F.posexplode(blocks).alias("__pos", "__b"),
+        F.posexplode(F.split(text, rf"(?m)^(?={_WS}*#)", -1)).alias("__pos", "__block"),
+    )
+    keep = ["file_id", "__first_is_title", "__pos"]
+    step1 = exploded.select(*keep, F.inline(F.array(pieces(F.col("__block")))))
+    step2 = step1.select(*keep, F.inline(F.array(with_request_line(F.struct(*[F.col(c) for c in ("is_title", "blank", "first_line", "rest")])))))
+    step3 = step2.select(
+        *keep,
+        F.inline(F.array(with_body_checks(F.struct(*[F.col(c) for c in ("is_title", "blank", "first_line", "method_line", "body", "method", "path")])))),
     )
+    exploded = step3.select(*keep, F.struct(*[c for c in step3.columns if c not in keep]).alias("__b"))
     seq = (F.col("__pos") + F.when(F.col("__first_is_title"), 1).otherwise(0)).cast("int")
-    raw_title = F.trim(F.regexp_replace(F.trim(F.col("__b.first_line")), r"^#+", ""))
+    raw_title = F.trim(F.ltrim(F.trim(F.col("__b.first_line")), F.lit("#")))
     title = F.when(raw_title == "", F.concat(F.lit("Query "), seq.cast("string"))).otherwise(raw_title)
 
     cases = exploded.select(

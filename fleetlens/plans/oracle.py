@@ -502,16 +502,15 @@ FROM o FULL OUTER JOIN p USING (query_index, measured_iteration)
 # --- search profiles ----------------------------------------------------------
 
 SHARDS = """
-li0 AS (SELECT *, row_number() OVER () AS rid FROM lineitem),
-ex AS (SELECT *, unnest(generate_series(1, least(l_linenumber, 3))) AS i FROM li0),
+ex AS (SELECT *, unnest(generate_series(1, CAST(substr(o_orderpriority, 1, 1) AS INTEGER))) AS i FROM orders),
 sh AS (
-  SELECT rid, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS run_id, CAST(i AS INTEGER) AS id,
-         'idx-' || l_returnflag AS "index", 'node-' || CAST(l_suppkey + i AS VARCHAR) AS node_id,
-         CAST(floor(l_extendedprice * 1000 / i) AS BIGINT) AS q,
-         CAST(l_partkey * 10 * i AS BIGINT) AS rw,
-         CAST(l_quantity * 1000 * i AS BIGINT) AS f,
-         CASE WHEN l_discount > 0 THEN CAST(floor(l_discount * 1000000) * i AS BIGINT) ELSE 0 END AS ag,
-         'TermQuery' || l_linestatus AS qtype, 'part:' || CAST(l_partkey AS VARCHAR) AS descr, i AS pos
+  SELECT o_orderkey AS rid, o_orderkey AS run_id, CAST(i AS INTEGER) AS id,
+         'idx-' || o_orderstatus AS "index", 'node-' || CAST(o_custkey + i AS VARCHAR) AS node_id,
+         CAST(floor(o_totalprice * 1000 / i) AS BIGINT) AS q,
+         CAST(o_custkey * 10 * i AS BIGINT) AS rw,
+         CAST(floor(o_totalprice / 10) * i AS BIGINT) AS f,
+         CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice / 100) * i AS BIGINT) ELSE 0 END AS ag,
+         'TermQuery' || o_orderstatus AS qtype, 'cust:' || CAST(o_custkey AS VARCHAR) AS descr, i AS pos
   FROM ex
 )"""
 

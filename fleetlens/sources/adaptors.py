@@ -252,33 +252,41 @@ def line_id() -> F.Column:
     )
 
 
-def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search-profile response per line item (nested, A28-A31).
+# Most shards in a stand-in response (the order priority digit picks 1..5).
+MAX_SHARDS = 5
+
 
-    The response has ``least(l_linenumber, 3)`` shards built from the row
-    alone: shard ``i`` has query time ``floor(price * 1000 / i)`` ns, fetch
-    ``quantity * 1000 * i`` ns, an aggregation of ``floor(discount * 1e6) * i``
-    ns when there is a discount, and rewrite ``partkey * 10 * i`` ns.
+def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search-profile response per order (nested, A28-A31).
+
+    The order priority's digit gives 1-5 shards, built from the row alone:
+    shard ``i`` has query time ``floor(total_price * 1000 / i)`` ns (its
+    breakdown: score = half, build_scorer = a quarter, score_count = i),
+    fetch ``floor(total_price / 10) * i`` ns, an aggregation of
+    ``floor(total_price / 100) * i`` ns on finished orders, rewrite
+    ``custkey * 10 * i`` ns, and a collector of ``floor(total_price) * i`` ns.
+    The shard list is a slice of literal elements: no lambda, no shuffle.
     """
-    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice")
 
-    def shard(i):
-        qn = F.floor(F.col("l_extendedprice") * 1000 / i).cast("bigint")
+    def shard(i: int):
+        qn = F.floor(price * 1000 / i).cast("bigint")
         return F.struct(
-            i.alias("id"),
-            F.concat(F.lit("idx-"), F.col("l_returnflag")).alias("index"),
-            F.concat(F.lit("node-"), (F.col("l_suppkey") + i).cast("string")).alias("node_id"),
+            F.lit(i).alias("id"),
+            F.concat(F.lit("idx-"), F.col("o_orderstatus")).alias("index"),
+            F.concat(F.lit("node-"), (F.col("o_custkey") + i).cast("string")).alias("node_id"),
             F.array(
                 F.struct(
-                    (F.col("l_partkey") * 10 * i).alias("rewrite_time"),
+                    (F.col("o_custkey") * 10 * i).alias("rewrite_time"),
                     F.array(
                         F.struct(
-                            F.concat(F.lit("TermQuery"), F.col("l_linestatus")).alias("type"),
-                            F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("description"),
+                            F.concat(F.lit("TermQuery"), F.col("o_orderstatus")).alias("type"),
+                            F.concat(F.lit("cust:"), F.col("o_custkey").cast("string")).alias("description"),
                             qn.alias("time_in_nanos"),
                             F.create_map(
                                 F.lit("score"), (qn / 2).cast("bigint"),
-                                F.lit("score_count"), F.col("l_quantity").cast("bigint"),
+                                F.lit("score_count"), F.lit(i).cast("bigint"),
                                 F.lit("build_scorer"), (qn / 4).cast("bigint"),
                             ).alias("breakdown"),
                         )
@@ -287,20 +295,20 @@ def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.struct(
                             F.lit("SimpleTopScoreDocCollector").alias("name"),
                             F.lit("search_top_hits").alias("reason"),
-                            F.floor(F.col("l_tax") * 1_000_000).cast("bigint").alias("time_in_nanos"),
+                            (F.floor(price) * i).cast("bigint").alias("time_in_nanos"),
                         )
                     ).alias("collector"),
                 )
             ).alias("searches"),
-            F.struct((F.col("l_quantity") * 1000 * i).cast("bigint").alias("time_in_nanos")).alias("fetch"),
+            F.struct((F.floor(price / 10) * i).cast("bigint").alias("time_in_nanos")).alias("fetch"),
             F.when(
-                F.col("l_discount") > 0,
-                F.array(F.struct((F.floor(F.col("l_discount") * 1_000_000) * i).cast("bigint").alias("time_in_nanos"))),
+                F.col("o_orderstatus") == "F", F.array(F.struct((F.floor(price / 100) * i).cast("bigint").alias("time_in_nanos")))
             ).alias("aggregations"),
         )
 
-    shards = F.transform(F.sequence(F.lit(1), F.least(F.col("l_linenumber"), F.lit(3))), shard)
-    return li.select(line_id().alias("run_id"), F.struct(shards.alias("shards")).alias("profile"))
+    count = F.substring(F.col("o_orderpriority"), 1, 1).cast("int")
+    shards = F.slice(F.array(*[shard(i) for i in range(1, MAX_SHARDS + 1)]), 1, count)
+    return o.select(F.col("o_orderkey").alias("run_id"), F.struct(shards.alias("shards")).alias("profile"))
 
 
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,8 @@ def target_names(path: Column | str) -> Column:
     """
     clean = F.ltrim(strip_query_string(path), F.lit("/"))
     first = F.substring_index(clean, "/", 1)
-    names = F.filter(F.transform(F.split(first, ","), lambda x: F.trim(x)), lambda x: x != "")
+    # split on commas with surrounding white space, drop empty names (no lambda)
+    names = F.array_remove(F.split(first, r"\s*,\s*"), "")
     return F.when((first == "") | first.startswith("_") | first.isNull(), F.array().cast("array<string>")).otherwise(names)
 
 

@@ -475,7 +475,7 @@ def took_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('},{"took":'), n(F.col("l_discount") * 100), F.lit("}]}"),
     )
     path = F.when(F.col("l_returnflag") == "N", F.lit("logs-*/_msearch")).otherwise(F.lit("logs-*/_search"))
-    r = li.select(adaptors.line_id().alias("response_id"), path.alias("path"), F.try_parse_json(body).alias("body"))
+    r = adaptors.materialized(li.select(adaptors.line_id().alias("response_id"), path.alias("path"), F.try_parse_json(body).alias("body")))
     return r.select("response_id", "path", benchruns.took_from_response(F.col("path"), F.col("body")).alias("took"))
 
 

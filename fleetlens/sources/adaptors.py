@@ -17,6 +17,17 @@ from fleetlens.sources.tables import table
 NODE_METRIC_TYPE = "node_stats"
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Evaluate ``df``'s columns once, in generated code, as a real source would.
+
+    ``inline(array(struct(*)))`` is a generator: the optimizer does not merge
+    the expressions that build these stand-in columns into later projections,
+    in particular not into ones that higher-order functions force out of
+    generated code.  Real documents are read from storage and need no such step.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as flat node metrics.
 
@@ -308,7 +319,7 @@ def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     count = F.substring(F.col("o_orderpriority"), 1, 1).cast("int")
     shards = F.slice(F.array(*[shard(i) for i in range(1, MAX_SHARDS + 1)]), 1, count)
-    return o.select(F.col("o_orderkey").alias("run_id"), F.struct(shards.alias("shards")).alias("profile"))
+    return materialized(o.select(F.col("o_orderkey").alias("run_id"), F.struct(shards.alias("shards")).alias("profile")))
 
 
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:

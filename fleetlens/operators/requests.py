@@ -87,7 +87,9 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
     exploded = files.select(
         F.col(id_col).alias("file_id"),
         starts_with_title.alias("__first_is_title"),
-        F.posexplode(F.split(text, rf"(?m)^(?={_WS}*#)", -1)).alias("__pos", "__block"),
+        # a block starts at every line whose first visible character is '#';
+        # splitting on the newline before it tests the lookahead at newlines only
+        F.posexplode(F.split(text, rf"\n(?={_WS}*#)", -1)).alias("__pos", "__block"),
     )
     keep = ["file_id", "__first_is_title", "__pos"]
     step1 = exploded.select(*keep, F.inline(F.array(pieces(F.col("__block")))))

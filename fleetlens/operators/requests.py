@@ -163,9 +163,14 @@ def resolve_aliases(targets: DataFrame, aliases: DataFrame) -> DataFrame:
     j = targets.join(a, "target", "left").select(
         "file_id", "seq", "target_pos", F.coalesce(F.col("__index"), F.col("target")).alias("index_name")
     )
-    first = j.groupBy("file_id", "seq", "index_name").agg(F.min("target_pos").alias("first_pos"))
-    w = Window.partitionBy("file_id", "seq").orderBy("first_pos", "index_name")
-    return first.select("file_id", "seq", "index_name", F.row_number().over(w).alias("resolved_pos"))
+    # Both windows share the (file, case) partitioning: one exchange.  The
+    # first keeps each index's earliest appearance, the second numbers them.
+    by_name = Window.partitionBy("file_id", "seq").orderBy("index_name", "target_pos")
+    first = j.withColumn("__prev", F.lag("index_name").over(by_name)).where(
+        F.col("__prev").isNull() | (F.col("__prev") != F.col("index_name"))
+    )
+    by_pos = Window.partitionBy("file_id", "seq").orderBy("target_pos", "index_name")
+    return first.select("file_id", "seq", "index_name", F.row_number().over(by_pos).alias("resolved_pos"))
 
 
 def index_overview(resolved: DataFrame, overview: DataFrame) -> DataFrame:

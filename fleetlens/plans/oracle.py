@@ -559,47 +559,50 @@ SELECT run_id, CAST(rank AS INTEGER) AS rank, phase, time_ms FROM r WHERE rank <
 # --- request logs -------------------------------------------------------------
 
 CASES = """
+od AS (
+  SELECT *, o_orderkey AS file_id, substr(o_orderpriority, 1, 1) AS d, o_orderstatus AS st FROM orders
+),
 li AS (
-  SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS file_id,
-         CASE WHEN l_discount = 0 THEN '{"query":'
-              ELSE '{"query":{"term":{"part":' || CAST(l_partkey AS VARCHAR) || '}},"size":' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '}' END AS body_json,
-         l_linenumber = 6 AND l_linestatus = 'F' AS missing
-  FROM lineitem
+  SELECT *,
+         CASE WHEN st = 'F' AND d = '2' THEN '{"query":'
+              ELSE '{"query":{"term":{"cust":' || CAST(o_custkey AS VARCHAR) || '}},"size":' || d || '}' END AS body_json,
+         d = '4' AND st = 'O' AS missing
+  FROM od
 ),
 parsed AS (
   SELECT file_id, 1 AS seq,
-         CASE WHEN l_linenumber = 7 THEN 'Query 1' ELSE 'Q' || CAST(l_linenumber AS VARCHAR) || ' ' || l_returnflag END AS title,
-         CASE WHEN missing THEN NULL WHEN l_returnflag = 'N' THEN 'POST' ELSE 'GET' END AS method,
-         CASE WHEN missing THEN NULL WHEN l_returnflag = 'N' THEN '_msearch'
-              WHEN l_returnflag = 'R' THEN 'idx-r,idx-' || lower(l_linestatus) || '/_search?size=' || CAST(l_linenumber AS VARCHAR)
-              ELSE '/_cat/indices/idx-a' END AS path,
+         CASE WHEN d = '5' THEN 'Query 1' ELSE 'Q' || d || ' ' || st END AS title,
+         CASE WHEN missing THEN NULL WHEN st = 'P' THEN 'POST' ELSE 'GET' END AS method,
+         CASE WHEN missing THEN NULL WHEN st = 'P' THEN '_msearch'
+              WHEN st = 'F' THEN 'idx-f,idx-' || d || '/_search?size=' || d
+              ELSE '/_cat/indices/idx-o' END AS path,
          CASE WHEN missing THEN NULL
-              WHEN l_returnflag = 'N' THEN '{"index":"idx-n"}' || chr(10) || '{"query":{"match_all":{}},"size":' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '}' || chr(10)
-              WHEN l_returnflag = 'R' THEN body_json
-              WHEN l_tax = 0 THEN '' ELSE body_json END AS body_raw,
-         CASE WHEN missing THEN NULL ELSE l_returnflag = 'N' END AS body_is_ndjson,
-         CASE WHEN missing OR l_returnflag = 'N' OR (l_returnflag = 'A' AND l_tax = 0) THEN NULL ELSE l_discount <> 0 END AS body_valid,
+              WHEN st = 'P' THEN '{"index":"idx-p"}' || chr(10) || '{"query":{"match_all":{}},"size":' || d || '}' || chr(10)
+              WHEN st = 'F' THEN body_json
+              WHEN d = '1' THEN '' ELSE body_json END AS body_raw,
+         CASE WHEN missing THEN NULL ELSE st = 'P' END AS body_is_ndjson,
+         CASE WHEN missing OR st = 'P' OR (st = 'O' AND d = '1') THEN NULL ELSE NOT (st = 'F' AND d = '2') END AS body_valid,
          CASE WHEN missing THEN 'missing method line'
-              WHEN l_returnflag <> 'N' AND NOT (l_returnflag = 'A' AND l_tax = 0) AND l_discount = 0 THEN 'invalid JSON body' END AS error,
-         l_returnflag, l_linestatus
+              WHEN st = 'F' AND d = '2' THEN 'invalid JSON body' END AS error,
+         st, d
   FROM li
   UNION ALL
-  SELECT file_id, 2, 'Count ' || l_returnflag, 'GET', 'idx-' || lower(l_returnflag) || '/_count',
-         '{"query":{"match_all":{}}}', false, true, NULL, l_returnflag, l_linestatus
+  SELECT file_id, 2, 'Count ' || st, 'GET', 'idx-' || lower(st) || '/_count',
+         '{"query":{"match_all":{}}}', false, true, NULL, st, d
   FROM li
   UNION ALL
-  SELECT file_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, 'content before the first title', l_returnflag, l_linestatus
-  FROM li WHERE l_linenumber = 5 AND l_linestatus = 'F'
+  SELECT file_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, 'content before the first title', st, d
+  FROM li WHERE d = '3' AND st = 'F'
 ),
 targets AS (
-  SELECT file_id, seq, 0 AS target_pos, 'idx-r' AS target FROM parsed WHERE seq = 1 AND error IS NULL AND l_returnflag = 'R'
+  SELECT file_id, seq, 0 AS target_pos, 'idx-f' AS target FROM parsed WHERE seq = 1 AND error IS NULL AND st = 'F'
   UNION ALL
-  SELECT file_id, seq, 1, 'idx-' || lower(l_linestatus) FROM parsed WHERE seq = 1 AND error IS NULL AND l_returnflag = 'R'
+  SELECT file_id, seq, 1, 'idx-' || d FROM parsed WHERE seq = 1 AND error IS NULL AND st = 'F'
   UNION ALL
-  SELECT file_id, seq, 0, 'idx-' || lower(l_returnflag) FROM parsed WHERE seq = 2
+  SELECT file_id, seq, 0, 'idx-' || lower(st) FROM parsed WHERE seq = 2
 ),
 aliases AS (
-  SELECT DISTINCT 'idx-' || lower(l_returnflag) AS alias, 'idx-' || lower(l_returnflag) || '-' || lower(l_linestatus) AS "index" FROM lineitem
+  SELECT DISTINCT 'idx-' || lower(o_orderstatus) AS alias, 'idx-' || lower(o_orderstatus) || '-' || substr(o_orderpriority, 1, 1) AS "index" FROM orders
 ),
 firsts AS (
   SELECT file_id, seq, coalesce(a."index", t.target) AS index_name, min(target_pos) AS first_pos
@@ -625,9 +628,9 @@ SQL["alias_resolve"] = f"WITH {CASES}\nSELECT file_id, CAST(seq AS INTEGER) AS s
 SQL["request_overview"] = f"""
 WITH {CASES},
 ov AS (
-  SELECT 'idx-' || lower(l_returnflag) || '-' || lower(l_linestatus) AS index_name, 'green' AS health,
-         CAST(count(*) AS VARCHAR) AS docs, CAST(CAST(sum(floor(l_extendedprice)) AS BIGINT) AS VARCHAR) || 'kb' AS store
-  FROM lineitem GROUP BY l_returnflag, l_linestatus
+  SELECT 'idx-' || lower(o_orderstatus) || '-' || substr(o_orderpriority, 1, 1) AS index_name, 'green' AS health,
+         CAST(count(*) AS VARCHAR) AS docs, CAST(CAST(sum(floor(o_totalprice)) AS BIGINT) AS VARCHAR) || 'kb' AS store
+  FROM orders GROUP BY 1
 )
 SELECT file_id, CAST(seq AS INTEGER) AS seq, resolved_pos, index_name, coalesce(health, '-') AS health,
        CASE WHEN docs IS NULL THEN '-' ELSE format('{{:,}}', CAST(docs AS BIGINT)) END AS docs_count,

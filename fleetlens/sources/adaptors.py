@@ -323,62 +323,57 @@ def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request file per line item, two cases each (S12 stand-in).
-
-    Case 1 comes from the line's columns: ``N`` lines are multi-search
-    requests with an NDJSON body, ``R`` lines search two indices, ``A`` lines
-    call a cat endpoint; a zero discount breaks the JSON body, line 6 of a
-    finished order has no method line and line 7 has an empty title.  Case 2
-    counts the documents behind the return flag's alias.  Line 5 files start
-    with a preamble: stray text on finished lines, blank space otherwise.
+    """One request file per order, two cases each (S12 stand-in).
+
+    ``d`` is the order priority's digit.  Case 1 depends on the order status:
+    ``P`` orders are multi-search requests with an NDJSON body, ``F`` orders
+    search two indices, ``O`` orders call a cat endpoint (no body when
+    ``d = 1``); ``2-HIGH`` finished orders carry a truncated JSON body,
+    ``d = 4`` open orders have no method line and ``d = 5`` an empty title.
+    Case 2 counts the documents behind the status alias.  ``d = 3`` files
+    start with a preamble: stray text on finished orders, blank space
+    otherwise.
     """
-    li = table(spark, sf_dir, "lineitem")
-    ln = F.col("l_linenumber").cast("string")
-    rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
+    o = table(spark, sf_dir, "orders")
+    st = F.col("o_orderstatus")
+    d = F.substring(F.col("o_orderpriority"), 1, 1)
     title = (
-        F.when(F.col("l_linenumber") == 7, F.lit("#"))
-        .when(ls == "F", F.concat(F.lit("## Q"), ln, F.lit(" "), rf))
-        .otherwise(F.concat(F.lit("# Q"), ln, F.lit(" "), rf))
+        F.when(d == "5", F.lit("#"))
+        .when(st == "F", F.concat(F.lit("## Q"), d, F.lit(" "), st))
+        .otherwise(F.concat(F.lit("# Q"), d, F.lit(" "), st))
     )
-    body_json = F.when(F.col("l_discount") == 0, F.lit('{"query":')).otherwise(
-        F.concat(
-            F.lit('{"query":{"term":{"part":'), F.col("l_partkey").cast("string"), F.lit('}},"size":'),
-            F.col("l_quantity").cast("bigint").cast("string"), F.lit("}"),
-        )
+    body_json = F.when((st == "F") & (d == "2"), F.lit('{"query":')).otherwise(
+        F.concat(F.lit('{"query":{"term":{"cust":'), F.col("o_custkey").cast("string"), F.lit('}},"size":'), d, F.lit("}"))
     )
     request = (
-        F.when((F.col("l_linenumber") == 6) & (ls == "F"), F.lit(""))
-        .when(
-            rf == "N",
-            F.concat(
-                F.lit('POST _msearch\n{"index":"idx-n"}\n{"query":{"match_all":{}},"size":'),
-                F.col("l_quantity").cast("bigint").cast("string"), F.lit("}"),
-            ),
-        )
-        .when(rf == "R", F.concat(F.lit("GET idx-r,idx-"), F.lower(ls), F.lit("/_search?size="), ln, F.lit("\n"), body_json))
-        .otherwise(F.concat(F.lit("get /_cat/indices/idx-a"), F.when(F.col("l_tax") == 0, F.lit("")).otherwise(F.concat(F.lit("\n"), body_json))))
+        F.when((d == "4") & (st == "O"), F.lit(""))
+        .when(st == "P", F.concat(F.lit('POST _msearch\n{"index":"idx-p"}\n{"query":{"match_all":{}},"size":'), d, F.lit("}")))
+        .when(st == "F", F.concat(F.lit("GET idx-f,idx-"), d, F.lit("/_search?size="), d, F.lit("\n"), body_json))
+        .otherwise(F.concat(F.lit("get /_cat/indices/idx-o"), F.when(d == "1", F.lit("")).otherwise(F.concat(F.lit("\n"), body_json))))
     )
-    second = F.concat(F.lit("# Count "), rf, F.lit("\nGET idx-"), F.lower(rf), F.lit('/_count\n\n{"query":{"match_all":{}}}\n'))
-    preamble = F.when(F.col("l_linenumber") == 5, F.when(ls == "F", F.lit("stray text\n")).otherwise(F.lit("  \n"))).otherwise(F.lit(""))
+    second = F.concat(F.lit("# Count "), st, F.lit("\nGET idx-"), F.lower(st), F.lit('/_count\n\n{"query":{"match_all":{}}}\n'))
+    preamble = F.when(d == "3", F.when(st == "F", F.lit("stray text\n")).otherwise(F.lit("  \n"))).otherwise(F.lit(""))
     text = F.concat(preamble, title, F.lit("\n"), request, F.lit("\n\n"), second)
-    return li.select(line_id().alias("file_id"), text.alias("text"))
+    return o.select(F.col("o_orderkey").alias("file_id"), text.alias("text"))
 
 
 def index_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alias table: ``idx-<flag>`` -> ``idx-<flag>-<status>`` for every pair in ``lineitem``."""
-    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus").distinct()
-    return li.select(
-        F.concat(F.lit("idx-"), F.lower("l_returnflag")).alias("alias"),
-        F.concat(F.lit("idx-"), F.lower("l_returnflag"), F.lit("-"), F.lower("l_linestatus")).alias("index"),
+    """Alias table: ``idx-<status>`` -> ``idx-<status>-<priority digit>`` for every pair in ``orders``."""
+    o = table(spark, sf_dir, "orders").select(F.lower("o_orderstatus").alias("st"), F.substring("o_orderpriority", 1, 1).alias("d")).distinct()
+    return o.select(
+        F.concat(F.lit("idx-"), F.col("st")).alias("alias"),
+        F.concat(F.lit("idx-"), F.col("st"), F.lit("-"), F.col("d")).alias("index"),
     )
 
 
 def index_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``_cat/indices`` facts for the alias targets, numbers as text."""
-    li = table(spark, sf_dir, "lineitem")
-    g = li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("l_extendedprice")).alias("sz"))
+    o = table(spark, sf_dir, "orders")
+    g = o.groupBy(F.lower("o_orderstatus").alias("st"), F.substring("o_orderpriority", 1, 1).alias("d")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.floor("o_totalprice")).alias("sz")
+    )
     return g.select(
-        F.concat(F.lit("idx-"), F.lower("l_returnflag"), F.lit("-"), F.lower("l_linestatus")).alias("index"),
+        F.concat(F.lit("idx-"), F.col("st"), F.lit("-"), F.col("d")).alias("index"),
         F.lit("green").alias("health"),
         F.col("n").cast("string").alias("docs_count"),
         F.concat(F.col("sz").cast("string"), F.lit("kb")).alias("store_size"),

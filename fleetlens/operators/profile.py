@@ -182,3 +182,27 @@ def top_breakdown_phases(profiles: DataFrame, id_col: str = "run_id", profile_co
     )
     top = profiles.select(id_col, F.posexplode(_top3(totals)).alias("rank0", "t"))
     return top.select(id_col, (F.col("rank0") + 1).alias("rank"), F.col("t.phase").alias("phase"), F.col("t.time_ms").alias("time_ms"))
+
+
+# Run columns a profile record carries, in order.
+RECORD_COLUMNS = ("name", "path", "method", "iteration", "query_type")
+
+
+def profile_records(runs: DataFrame, profile_col: str = "profile") -> DataFrame:
+    """Profile result record per run (P12): the run's name, path, method,
+    round and side, ``duration_ms`` / ``took_ms``, and the roll-up totals of
+    its profile as a ``profile_summary`` struct.  Runs without shards get no
+    record.  Computed inside the row, no shuffle."""
+    shards = F.coalesce(F.col(f"{profile_col}.shards"), F.array())
+    searches = _flat(shards.getField("searches"))
+    summary = F.struct(
+        F.size(shards).alias("shard_count"),
+        nanos_to_ms(_total(_flat(searches.getField("query")).getField("time_in_nanos"))).alias("total_query_time_ms"),
+        nanos_to_ms(_total(shards.getField("fetch").getField("time_in_nanos"))).alias("total_fetch_time_ms"),
+        nanos_to_ms(_total(_flat(shards.getField("aggregations")).getField("time_in_nanos"))).alias("total_aggregation_time_ms"),
+        nanos_to_ms(_total(searches.getField("rewrite_time"))).alias("total_rewrite_time_ms"),
+    )
+    cols = [F.col(c) if c in runs.columns else F.lit(None).alias(c) for c in RECORD_COLUMNS]
+    return runs.where(F.size(shards) > 0).select(
+        *cols, F.col("duration").alias("duration_ms"), F.col("took").alias("took_ms"), summary.alias("profile_summary")
+    )

@@ -773,3 +773,19 @@ WITH d AS (
 )
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY "timestamp" DESC, _id DESC) AS rn FROM d) WHERE rn = 1
 """
+
+
+SQL["profile_records"] = f"""
+WITH {SHARDS},
+t AS (
+  SELECT rid, count(*) AS shard_count, {ms('sum(q)')} AS total_query_time_ms, {ms('sum(f)')} AS total_fetch_time_ms,
+         {ms('sum(ag)')} AS total_aggregation_time_ms, {ms('sum(rw)')} AS total_rewrite_time_ms
+  FROM sh GROUP BY rid
+)
+SELECT 'Q' || o_orderpriority AS name, 'idx-' || lower(o_orderstatus) || '/_search' AS path, 'GET' AS method,
+       CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS iteration,
+       CASE WHEN o_orderstatus = 'F' THEN 'original' ELSE 'optimized' END AS query_type,
+       CAST(floor(o_totalprice / 100) AS DOUBLE) AS duration_ms, CAST(floor(o_totalprice / 1000) AS DOUBLE) AS took_ms,
+       CAST(shard_count AS INTEGER) AS shard_count, total_query_time_ms, total_fetch_time_ms, total_aggregation_time_ms, total_rewrite_time_ms
+FROM orders JOIN t ON o_orderkey = t.rid
+"""

@@ -338,6 +338,28 @@ def profile_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.top_breakdown_phases(adaptors.search_profiles(spark, sf_dir))
 
 
+@register
+def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile result record per run (order): run fields plus profile totals, flattened."""
+    from fleetlens.operators import profile
+
+    runs = adaptors.search_profiles(
+        spark,
+        sf_dir,
+        with_columns=[
+            F.concat(F.lit("Q"), F.col("o_orderpriority")).alias("name"),
+            F.concat(F.lit("idx-"), F.lower("o_orderstatus"), F.lit("/_search")).alias("path"),
+            F.lit("GET").alias("method"),
+            F.substring("o_orderpriority", 1, 1).cast("int").alias("iteration"),
+            F.when(F.col("o_orderstatus") == "F", F.lit("original")).otherwise(F.lit("optimized")).alias("query_type"),
+            F.floor(F.col("o_totalprice") / 100).cast("double").alias("duration"),
+            F.floor(F.col("o_totalprice") / 1000).cast("double").alias("took"),
+        ],
+    )
+    r = profile.profile_records(runs)
+    return r.select("name", "path", "method", "iteration", "query_type", "duration_ms", "took_ms", "profile_summary.*")
+
+
 # --- request logs -------------------------------------------------------------
 
 

@@ -267,7 +267,7 @@ def line_id() -> F.Column:
 MAX_SHARDS = 5
 
 
-def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_profiles(spark: SparkSession, sf_dir: str, with_columns: list | None = None) -> DataFrame:
     """One search-profile response per order (nested, A28-A31).
 
     The order priority's digit gives 1-5 shards, built from the row alone:
@@ -277,6 +277,7 @@ def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``floor(total_price / 100) * i`` ns on finished orders, rewrite
     ``custkey * 10 * i`` ns, and a collector of ``floor(total_price) * i`` ns.
     The shard list is a slice of literal elements: no lambda, no shuffle.
+    ``with_columns`` adds further order-derived columns in the same pass.
     """
     o = table(spark, sf_dir, "orders")
     price = F.col("o_totalprice")
@@ -319,7 +320,8 @@ def search_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     count = F.substring(F.col("o_orderpriority"), 1, 1).cast("int")
     shards = F.slice(F.array(*[shard(i) for i in range(1, MAX_SHARDS + 1)]), 1, count)
-    return materialized(o.select(F.col("o_orderkey").alias("run_id"), F.struct(shards.alias("shards")).alias("profile")))
+    extra = list(with_columns or [])
+    return materialized(o.select(F.col("o_orderkey").alias("run_id"), *extra, F.struct(shards.alias("shards")).alias("profile")))
 
 
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:

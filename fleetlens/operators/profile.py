@@ -1,49 +1,22 @@
 """Search-profile roll-up.
 
 A profile is one response's ``shards[].searches[].{query[], collector[],
-rewrite_time}``, ``shards[].fetch`` and ``shards[].aggregations[]``.  Every
-roll-up here is computed inside the row with higher-order functions
-(``aggregate``, ``transform``, ``array_sort``): no explode, no shuffle, and the
-work is bounded by the size of one response.
+rewrite_time}``, ``shards[].fetch`` and ``shards[].aggregations[]``.  Totals
+are computed inside the row with array field extraction, ``flatten`` and a
+flat sum.  Rankings (slowest shard, top components, top phases) turn the
+nested arrays into rows with generators and rank them per profile with
+``row_number()``, which gets a partial ``WindowGroupLimit`` before its
+shuffle.  ``id_col`` identifies a profile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import nanos_to_ms
 
 
-def _sum_longs(arr: Column, value) -> Column:
-    """Sum over an array (null array = 0), nulls counted as 0."""
-    return F.aggregate(F.coalesce(arr, F.array()), F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(value(x), F.lit(0)).cast("bigint"))
-
-
-def _shard_times(shard: Column) -> Column:
-    searches = shard["searches"]
-    query = _sum_longs(searches, lambda s: _sum_longs(s["query"], lambda q: q["time_in_nanos"]))
-    rewrite = _sum_longs(searches, lambda s: s["rewrite_time"])
-    fetch = F.coalesce(shard["fetch"]["time_in_nanos"], F.lit(0)).cast("bigint")
-    aggs = _sum_longs(shard["aggregations"], lambda a: a["time_in_nanos"])
-    return F.struct(
-        shard["id"].alias("id"),
-        shard["index"].alias("index"),
-        shard["node_id"].alias("node_id"),
-        query.alias("query"),
-        fetch.alias("fetch"),
-        aggs.alias("aggs"),
-        rewrite.alias("rewrite"),
-        (query + fetch + aggs).alias("total"),
-    )
-
-
-def with_shard_times(profiles: DataFrame, profile_col: str = "profile") -> DataFrame:
-    """Adds ``__shards``: per shard the query, fetch, aggregation, rewrite and total nanos."""
-    shards = F.coalesce(F.col(f"{profile_col}.shards"), F.array())
-    return profiles.withColumn("__shards", F.transform(shards, _shard_times))
-
-
 def _non_null(arr: Column) -> Column:
     return F.filter(F.coalesce(arr, F.array()), lambda x: x.isNotNull())
 
@@ -75,113 +48,82 @@ def profile_rollup(profiles: DataFrame, id_col: str = "run_id", profile_col: str
     ).where(F.col("shard_count") > 0)
 
 
-def slowest_shard(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile") -> DataFrame:
-    """The shard with the largest query+fetch+aggregation time; first wins ties."""
-    p = with_shard_times(profiles, profile_col)
-    indexed = F.transform(F.col("__shards"), lambda s, i: F.struct(s.alias("s"), i.alias("pos")))
-    best = F.aggregate(
-        indexed,
-        F.element_at(indexed, 1),
-        lambda acc, x: F.when(x["s"]["total"] > acc["s"]["total"], x).otherwise(acc),
-    )
-    s = best["s"]
-    return p.where(F.size(F.col("__shards")) > 0).select(
-        id_col,
-        s["id"].alias("shard_id"),
-        s["index"].alias("index"),
-        s["node_id"].alias("node_id"),
-        nanos_to_ms(s["total"]).alias("total_time_ms"),
-        nanos_to_ms(s["query"]).alias("query_time_ms"),
-        nanos_to_ms(s["fetch"]).alias("fetch_time_ms"),
-        nanos_to_ms(s["aggs"]).alias("aggregation_time_ms"),
-        nanos_to_ms(s["rewrite"]).alias("rewrite_time_ms"),
-    )
+def _shards(profiles: DataFrame, id_col: str, profile_col: str) -> DataFrame:
+    """One row per shard with its position (generator, no lambda)."""
+    return profiles.select(F.col(id_col), F.posexplode(F.col(f"{profile_col}.shards")).alias("__spos", "__s"))
 
 
-def _top3(items: Column) -> Column:
-    """Three largest by ``time_ms`` (already rounded), stable: earlier position wins ties."""
-    ordered = F.array_sort(
-        items,
-        lambda a, b: F.when(a["time_ms"] > b["time_ms"], -1)
-        .when(a["time_ms"] < b["time_ms"], 1)
-        .when(a["pos"] < b["pos"], -1)
-        .when(a["pos"] > b["pos"], 1)
-        .otherwise(0),
+def slowest_shard(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile") -> DataFrame:
+    """The shard with the largest query+fetch+aggregation time; first wins ties.
+
+    Shards become rows; the per-shard sums use array field extraction and a
+    flat sum; ``row_number() = 1`` per profile is planned with a partial
+    ``WindowGroupLimit``, so one row per profile and input partition crosses
+    the shuffle.
+    """
+    sh = _shards(profiles, id_col, profile_col)
+    s = F.col("__s")
+    searches = F.coalesce(s.getField("searches"), F.array())
+    q = _total(_flat(searches.getField("query")).getField("time_in_nanos"))
+    fetch = F.coalesce(s.getField("fetch").getField("time_in_nanos"), F.lit(0)).cast("bigint")
+    aggs = _total(s.getField("aggregations").getField("time_in_nanos"))
+    rewrite = _total(searches.getField("rewrite_time"))
+    per = sh.select(
+        F.col(id_col), "__spos", s.getField("id").alias("shard_id"), s.getField("index").alias("index"),
+        s.getField("node_id").alias("node_id"), q.alias("__q"), fetch.alias("__f"), aggs.alias("__a"), rewrite.alias("__r"),
+    ).withColumn("__t", F.col("__q") + F.col("__f") + F.col("__a"))
+    w = Window.partitionBy(id_col).orderBy(F.col("__t").desc(), F.col("__spos").asc())
+    best = per.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1)
+    return best.select(
+        id_col, "shard_id", "index", "node_id",
+        nanos_to_ms(F.col("__t")).alias("total_time_ms"),
+        nanos_to_ms(F.col("__q")).alias("query_time_ms"),
+        nanos_to_ms(F.col("__f")).alias("fetch_time_ms"),
+        nanos_to_ms(F.col("__a")).alias("aggregation_time_ms"),
+        nanos_to_ms(F.col("__r")).alias("rewrite_time_ms"),
     )
-    return F.slice(ordered, 1, 3)
 
 
-def top_query_components(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile") -> DataFrame:
-    """Top 3 query components by time per profile, long form with rank."""
-    shards = F.coalesce(F.col(f"{profile_col}.shards"), F.array())
-    comps = F.flatten(
-        F.transform(
-            shards,
-            lambda sh: F.flatten(
-                F.transform(
-                    F.coalesce(sh["searches"], F.array()),
-                    lambda se: F.transform(
-                        F.coalesce(se["query"], F.array()),
-                        lambda q: F.struct(
-                            q["type"].alias("type"),
-                            q["description"].alias("description"),
-                            nanos_to_ms(F.coalesce(q["time_in_nanos"], F.lit(0))).alias("time_ms"),
-                            sh["id"].alias("shard"),
-                            sh["index"].alias("index"),
-                        ),
-                    ),
-                )
-            ),
-        )
-    )
-    positioned = F.transform(comps, lambda c, i: F.struct(c["time_ms"].alias("time_ms"), i.alias("pos"), c.alias("c")))
-    top = profiles.select(id_col, F.posexplode(_top3(positioned)).alias("rank0", "t"))
-    return top.select(
-        id_col,
-        (F.col("rank0") + 1).alias("rank"),
-        F.col("t.c.type").alias("type"),
-        F.col("t.c.description").alias("description"),
-        F.col("t.c.time_ms").alias("time_ms"),
-        F.col("t.c.shard").alias("shard"),
-        F.col("t.c.index").alias("index"),
+def top_query_components(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile", k: int = 3) -> DataFrame:
+    """Top ``k`` query components by time per profile, with rank.
+
+    Times are rounded to 3 decimals before ranking; ties keep document order
+    (shard, search, component).  Components become rows through generators;
+    ``row_number() <= k`` per profile gets a partial ``WindowGroupLimit``.
+    """
+    sh = _shards(profiles, id_col, profile_col)
+    se = sh.select(id_col, "__spos", "__s", F.posexplode(F.col("__s.searches")).alias("__sepos", "__se"))
+    qc = se.select(id_col, "__spos", "__sepos", "__s", F.posexplode(F.col("__se.query")).alias("__qpos", "__q"))
+    c = qc.select(
+        id_col, "__spos", "__sepos", "__qpos",
+        F.col("__q.type").alias("type"), F.col("__q.description").alias("description"),
+        nanos_to_ms(F.coalesce(F.col("__q.time_in_nanos"), F.lit(0))).alias("time_ms"),
+        F.col("__s.id").alias("shard"), F.col("__s.index").alias("index"),
     )
+    w = Window.partitionBy(id_col).orderBy(F.col("time_ms").desc(), "__spos", "__sepos", "__qpos")
+    top = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select(id_col, "rank", "type", "description", "time_ms", "shard", "index")
 
 
-def top_breakdown_phases(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile") -> DataFrame:
-    """Breakdown totals per phase (``*_count`` keys dropped), top 3 per profile.
+def top_breakdown_phases(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile", k: int = 3) -> DataFrame:
+    """Breakdown totals per phase (``*_count`` keys dropped), top ``k`` per profile.
 
-    Phases are summed inside the row: the breakdown maps of all query
-    components are merged with ``aggregate`` over their entries.
+    Breakdown entries become rows through generators; totals per (profile,
+    phase) are a partial-then-final aggregate; ties keep the order in which
+    phases first appear; ``row_number() <= k`` per profile.
     """
-    shards = F.coalesce(F.col(f"{profile_col}.shards"), F.array())
-    entries = F.flatten(
-        F.transform(
-            shards,
-            lambda sh: F.flatten(
-                F.transform(
-                    F.coalesce(sh["searches"], F.array()),
-                    lambda se: F.flatten(
-                        F.transform(
-                            F.coalesce(se["query"], F.array()),
-                            lambda q: F.map_entries(F.map_filter(F.coalesce(q["breakdown"], F.create_map().cast("map<string,bigint>")), lambda k, _v: ~k.endswith("_count"))),
-                        )
-                    ),
-                )
-            ),
-        )
-    )
-    phases = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    # first-seen phase order is the tie-break, as in insertion-ordered totals
-    totals = F.transform(
-        phases,
-        lambda k, i: F.struct(
-            nanos_to_ms(F.aggregate(F.filter(entries, lambda e: e["key"] == k), F.lit(0).cast("bigint"), lambda acc, e: acc + F.coalesce(e["value"], F.lit(0)))).alias("time_ms"),
-            i.alias("pos"),
-            k.alias("phase"),
-        ),
+    sh = _shards(profiles, id_col, profile_col)
+    se = sh.select(id_col, "__spos", F.posexplode(F.col("__s.searches")).alias("__sepos", "__se"))
+    qc = se.select(id_col, "__spos", "__sepos", F.posexplode(F.col("__se.query")).alias("__qpos", "__q"))
+    en = qc.select(id_col, "__spos", "__sepos", "__qpos", F.posexplode(F.col("__q.breakdown")).alias("__epos", "phase", "__v"))
+    en = en.where(~F.col("phase").endswith("_count"))
+    totals = en.groupBy(id_col, "phase").agg(
+        F.sum(F.coalesce(F.col("__v"), F.lit(0))).alias("__nanos"),
+        F.min(F.struct("__spos", "__sepos", "__qpos", "__epos")).alias("__first"),
     )
-    top = profiles.select(id_col, F.posexplode(_top3(totals)).alias("rank0", "t"))
-    return top.select(id_col, (F.col("rank0") + 1).alias("rank"), F.col("t.phase").alias("phase"), F.col("t.time_ms").alias("time_ms"))
+    w = Window.partitionBy(id_col).orderBy(F.col("time_ms").desc(), F.col("__first").asc())
+    ranked = totals.withColumn("time_ms", nanos_to_ms(F.col("__nanos"))).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= k).select(id_col, "rank", "phase", "time_ms")
 
 
 # Run columns a profile record carries, in order.

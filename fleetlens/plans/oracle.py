@@ -88,6 +88,12 @@ SELECT cluster_id, node_id, bucket_ms, _id, CAST(ops AS BIGINT) AS ops, CAST(tim
 FROM w
 """
 
+SQL["ratio_1h"] = f"""
+WITH {METRICS}, {bucketed(3_600_000)},
+w AS (SELECT *, {prev('ops')} AS p_ops, {prev('time_ms')} AS p_time_ms FROM latest)
+SELECT cluster_id, node_id, bucket_ms, _id, {latency('ops', 'time_ms')} AS ops_per_time FROM w
+"""
+
 SQL["sample_full_pipeline"] = f"""
 WITH {METRICS}, {bucketed(900_000)},
 mx AS (SELECT cluster_id, node_id, bucket_ms, max(value) AS max_value FROM b GROUP BY cluster_id, node_id, bucket_ms),

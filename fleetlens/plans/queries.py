@@ -70,6 +70,14 @@ def latency_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("cluster_id", "node_id", "bucket_ms", "_id", "ops", "time_ms", "latency_ms")
 
 
+@register
+def ratio_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratio of two counters' deltas, delta(ops) / delta(time_ms), hourly."""
+    m = adaptors.metrics(spark, sf_dir)
+    s = sampling.sample_buckets(m, NODE_GROUP, "1h", sampling.FieldRules(ratio={"ops_per_time": ("ops", "time_ms")}))
+    return s.select("cluster_id", "node_id", "bucket_ms", "_id", "ops_per_time")
+
+
 @register
 def sample_full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1-A7 + P1: the whole sampler at 15-minute buckets, then a projection."""

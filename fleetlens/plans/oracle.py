@@ -707,12 +707,13 @@ FROM f
 """
 
 SQL["took_extract"] = """
-SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS response_id,
-       CASE WHEN l_returnflag = 'N' THEN 'logs-*/_msearch' ELSE 'logs-*/_search' END AS path,
-       CASE WHEN l_returnflag = 'N'
-            THEN CAST(list_max([floor(l_extendedprice / 100), CASE WHEN l_linestatus <> 'F' THEN floor(l_tax * 100) END, floor(l_discount * 100)]) AS DOUBLE)
-            ELSE CAST(floor(l_quantity) AS DOUBLE) END AS took
-FROM lineitem
+SELECT o_orderkey AS response_id,
+       CASE WHEN o_orderstatus = 'P' THEN 'logs-*/_msearch' ELSE 'logs-*/_search' END AS path,
+       CASE WHEN o_orderstatus = 'P'
+            THEN CAST(list_max([floor(o_totalprice / 100), CASE WHEN o_orderpriority NOT IN ('1-URGENT', '3-MEDIUM') THEN floor(o_custkey / 10) END,
+                                CAST(substr(o_orderpriority, 1, 1) AS DOUBLE)]) AS DOUBLE)
+            ELSE CAST(floor(o_totalprice / 1000) AS DOUBLE) END AS took
+FROM orders
 """
 
 SQL["flatten_settings"] = """

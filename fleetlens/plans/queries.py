@@ -488,24 +488,27 @@ def diag_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def took_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Took of a response, the largest sub-response took for multi-search.
 
-    One response per line item, built from the row: top-level took is the
-    quantity; three sub-responses carry price / 100, tax x 100 (as text, so
-    ignored, on finished lines) and discount x 100.  ``N`` lines are
-    multi-search requests.
+    One response per order, built from the row: top-level took is the total
+    price / 1000; three sub-responses carry price / 100, customer key / 10
+    (as text, so ignored, on finished orders) and the priority digit.
+    ``P`` orders are multi-search requests.
     """
     from fleetlens.operators import benchruns
 
-    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders")
     n = lambda c: F.floor(c).cast("string")
-    tax = F.when(F.col("l_linestatus") == "F", F.concat(F.lit('"'), n(F.col("l_tax") * 100), F.lit('"'))).otherwise(n(F.col("l_tax") * 100))
+    text_took = F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM")
+    cust = F.when(text_took, F.concat(F.lit('"'), n(F.col("o_custkey") / 10), F.lit('"'))).otherwise(
+        n(F.col("o_custkey") / 10)
+    )
     body = F.concat(
-        F.lit('{"took":'), n(F.col("l_quantity")),
-        F.lit(',"responses":[{"took":'), n(F.col("l_extendedprice") / 100),
-        F.lit('},{"took":'), tax,
-        F.lit('},{"took":'), n(F.col("l_discount") * 100), F.lit("}]}"),
+        F.lit('{"took":'), n(F.col("o_totalprice") / 1000),
+        F.lit(',"responses":[{"took":'), n(F.col("o_totalprice") / 100),
+        F.lit('},{"took":'), cust,
+        F.lit('},{"took":'), F.substring("o_orderpriority", 1, 1), F.lit("}]}"),
     )
-    path = F.when(F.col("l_returnflag") == "N", F.lit("logs-*/_msearch")).otherwise(F.lit("logs-*/_search"))
-    r = adaptors.materialized(li.select(adaptors.line_id().alias("response_id"), path.alias("path"), F.try_parse_json(body).alias("body")))
+    path = F.when(F.col("o_orderstatus") == "P", F.lit("logs-*/_msearch")).otherwise(F.lit("logs-*/_search"))
+    r = adaptors.materialized(o.select(F.col("o_orderkey").alias("response_id"), path.alias("path"), F.try_parse_json(body).alias("body")))
     return r.select("response_id", "path", benchruns.took_from_response(F.col("path"), F.col("body")).alias("took"))
 
 

@@ -94,3 +94,23 @@ def test_time_inputs():
     assert parse_interval_ms("15m") == 900_000 and parse_interval_ms("2h") == 7_200_000
     with pytest.raises(ValueError):
         parse_interval_ms("15x")
+
+
+def test_labels_json_and_glob_negation(spark):
+    assert one(spark, lambda c: scalars.strip_label(c, ["original", "optimized"]), "q1 (optimized)", "string") == "q1"
+    assert one(spark, lambda c: scalars.strip_label(c, ["original", "optimized"]), "q1 (other)", "string") == "q1 (other)"
+    assert one(spark, scalars.json_compact, '{ "a" : [1, 2] }', "string") == '{"a":[1,2]}'
+    assert one(spark, scalars.json_compact, "{broken", "string") is None
+    import re
+
+    assert re.match(scalars.glob_to_regex("node-[!0-4]"), "node-7") and not re.match(scalars.glob_to_regex("node-[!0-4]"), "node-3")
+    assert re.match(scalars.glob_to_regex("a.b*"), "a.bc") and not re.match(scalars.glob_to_regex("a.b*"), "axbc")
+    assert parse_interval_ms(5000) == 5000
+
+
+def test_drop_blank_edge_lines(spark):
+    f = lambda c: scalars.drop_blank_edge_lines(c)
+    assert one(spark, f, "\n  \n  {a}  \n\n  {b} \n \n", "string") == "  {a}  \n\n  {b} "
+    assert one(spark, f, " \n \t\n", "string") == ""
+    g = lambda c: scalars.drop_blank_edge_lines(c, skip_first_line=True)
+    assert one(spark, g, "GET x\n\n{a}\n\n", "string") == "{a}"

@@ -69,3 +69,20 @@ def test_export_full_and_sampled(spark, tmp_dir):
                         start="2024-01-01", end="2024-01-30", include_clusters=["nothing-*"])
     assert run_export_job(spark, nomatch).first()["rows"] == 0
     assert os.path.isdir(f"{tmp_dir}/m/node_stats")
+
+
+def test_export_alerts(spark, tmp_dir):
+    msgs = spark.createDataFrame(
+        [("m1", "r1", "2024-01-02 00:00:00", "10.1.2.3 down"), ("m2", "r1", "2024-03-01 00:00:00", "late")],
+        "_id string, rule_id string, created string, message string",
+    ).withColumn("created", F.to_timestamp("created"))
+    rules = spark.createDataFrame([("r1", "cpu", True)], "_id string, name string, enabled boolean")
+    msgs.write.mode("overwrite").parquet(f"{tmp_dir}/msgs")
+    rules.write.mode("overwrite").parquet(f"{tmp_dir}/rules")
+    job = ExportJob(name="alerts", output_path=f"{tmp_dir}/alerts_out", metric_types=[], mask=True,
+                    alert_paths={"alert_messages": f"{tmp_dir}/msgs", "alert_rules": f"{tmp_dir}/rules"},
+                    start="2024-01-01", end="2024-01-31")
+    s = {r["type"]: r for r in run_export_job(spark, job).collect()}
+    assert s["alert_messages"]["rows"] == 1 and s["alert_rules"]["rows"] == 1
+    back = spark.read.json(f"{tmp_dir}/alerts_out/alert_messages").first()
+    assert back["_id"] == "m1" and back["message"] == "*.*.2.3 down"

@@ -19,6 +19,13 @@ Plan shape (two exchanges, no Python):
    ``time range / interval``, not by the input size.
 
 The result does not depend on partitioning or on how the time range is cut.
+
+``max_by`` over a struct keeps a variable-width buffer, so step 1 is planned
+as a ``SortAggregate``: each map task sorts its own rows by (group, bucket)
+and emits one row per key before the shuffle.  The alternatives were
+weighed: ``row_number() = 1`` also sorts and cannot carry the bucket maxima,
+and a hash aggregate of the maxima joined back to the newest rows would
+shuffle the input twice.
 """
 
 from __future__ import annotations

@@ -114,3 +114,14 @@ def test_drop_blank_edge_lines(spark):
     assert one(spark, f, " \n \t\n", "string") == ""
     g = lambda c: scalars.drop_blank_edge_lines(c, skip_first_line=True)
     assert one(spark, g, "GET x\n\n{a}\n\n", "string") == "{a}"
+
+
+def test_time_window_bounds():
+    from datetime import datetime, timedelta, timezone
+
+    now = datetime(2026, 4, 3, 12, 0, tzinfo=timezone.utc)
+    assert resolve_time_window(2, now=now) == (now - timedelta(hours=2), now)
+    lo, hi = resolve_time_window(3, end="2026-04-03", now=now)
+    assert hi == datetime(2026, 4, 3, 23, 59, 59, tzinfo=timezone.utc) and lo == hi - timedelta(hours=3)
+    lo, hi = resolve_time_window(3, start="2026-04-03 11:38:46", now=now)
+    assert lo == datetime(2026, 4, 3, 11, 38, 46, tzinfo=timezone.utc) and hi == now

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,26 +44,35 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must point at shared storage and is taken as is.
-    Only when it is unset (local tests) a private folder is created.
+    On a cluster the setting must point at storage that the driver and every
+    executor share; without it this raises.  Only a local session (tests) gets
+    a private folder, which it then keeps as its setting.
     """
-    configured = spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    conf_value = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_value:
-        conf_value = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_value)
-    spark.sparkContext.setCheckpointDir(conf_value)
-    return spark.sparkContext.getCheckpointDir() or conf_value
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        conf = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", conf)
+    return conf
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A path below the shared folder that no other run uses (not created)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/fleetlens-{label}-{uuid.uuid4().hex}"
 
-    Survives executor loss, unlike a local checkpoint.
+
+def write_shared(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
+
+    The files are committed by Spark's writer, so lost executors, retried and
+    speculative tasks leave no partial rows, and later stages reread them.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = fresh_folder(df.sparkSession, label)
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

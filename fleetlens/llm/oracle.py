@@ -3,3 +3,31 @@
 from __future__ import annotations
 
 SQL: dict[str, str] = {}
+
+# Words of a text as a list; A-Z lowered where LOWERED is used.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op5_neardup"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce({_WORDS.format(_LOWERED)}, []) AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS sh
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 75 * (x.n + y.n - common)
+), reach(id, other) AS (
+  SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+), comp AS (
+  SELECT id, min(other) AS c FROM reach GROUP BY id
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c, w.doc_id)) AS component_id,
+       w.doc_id = least(w.doc_id, coalesce(c, w.doc_id)) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.id = w.doc_id
+"""

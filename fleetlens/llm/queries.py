@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import language_hd, quality_gbt, sentencepiece_codec, toxicity_fm
+from fleetlens.llm import language_hd, neardup, quality_gbt, sentencepiece_codec, toxicity_fm
 from fleetlens.llm.common import is_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,18 @@ def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"),
+    )
+
+
 @register
 def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; learns outside the held-out fold."""

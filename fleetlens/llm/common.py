@@ -87,3 +87,13 @@ def by_text(
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow text column; null becomes the empty text."""
     return [t or "" for t in column.to_pylist()]
+
+
+#: Rows of a written table of ids (and a few numbers each) that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join ``left`` with the written table ``right``: broadcast only if its
+    rows, counted first, are at most ``limit``; a shuffled join beyond that."""
+    return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)

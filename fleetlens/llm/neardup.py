@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import words
-from fleetlens.llm.common import slices
+from fleetlens.llm.common import join_checked, slices
 from fleetlens.session import write_shared
 
 BUCKETS, ROWS = 128, 4
@@ -203,7 +203,8 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
             sets = shingles(piece.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "members"])
 
-    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    some = join_checked(some, write_shared(ids, "set-ids"), ["id"], "left_semi")
     return some.mapInArrow(run, "id long, members binary")
 
 

@@ -31,3 +31,24 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
        w.doc_id = least(w.doc_id, coalesce(c, w.doc_id)) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.id = w.doc_id
 """
+
+SQL["op1_substring_dedup"] = f"""
+WITH w AS (
+  SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), hits AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS low FROM windows) WHERE low < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM hits, range(0, 50) r(k)
+), kept AS (
+  SELECT doc_id, i, ws[i] AS word
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) ANTI JOIN gone USING (doc_id, i)
+), texts AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM kept GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t.text, '')) AS kept_sha256
+FROM w LEFT JOIN texts t USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import language_hd, neardup, quality_gbt, sentencepiece_codec, toxicity_fm
+from fleetlens.llm import language_hd, neardup, quality_gbt, sentencepiece_codec, substring_dedup, toxicity_fm
 from fleetlens.llm.common import is_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,13 @@ def tokenizer_model(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
+@register
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of repeated windows."""
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @register
 def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learns outside the held-out fold."""

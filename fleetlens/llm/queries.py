@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import language_hd, neardup, quality_gbt, sentencepiece_codec, substring_dedup, toxicity_fm
+from fleetlens.llm import language_hd, neardup, quality_gbt, sentencepiece_codec, substring_dedup, toxicity_fm, warc
 from fleetlens.llm.common import is_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,13 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    read = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register
 def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; learns outside the held-out fold."""

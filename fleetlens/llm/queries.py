@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import language_hd, neardup, quality_gbt, sentencepiece_codec, substring_dedup, toxicity_fm, warc
+from fleetlens.llm import language_hd, neardup, quality_gbt, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
 from fleetlens.llm.common import is_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@register
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every 50th vector among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_covertree.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 @register
 def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learns outside the held-out fold."""

@@ -79,3 +79,26 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+# No seeds here: every pair of equal words, counted per document, item and shift.
+SQL["op4_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL
+), dw AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d
+), t AS (
+  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS iw FROM benchmark
+), tw AS (
+  SELECT item_id, unnest(iw) AS w, unnest(range(len(iw))) AS j, len(iw) AS size, least(20, len(iw)) AS compared FROM t WHERE len(iw) >= 13
+), same AS (
+  SELECT doc_id, item_id, i - j AS shift, size, compared, list(j) AS js, count(*) AS item_matched
+  FROM dw JOIN tw USING (w) GROUP BY ALL HAVING count(*) * 100 >= compared * 80
+), windows AS (
+  SELECT *, len(list_filter(js, lambda j: j >= s AND j < s + compared)) AS matched
+  FROM (SELECT *, unnest(range(size - compared + 1)) AS s FROM same)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, item_matched DESC, shift, s) AS r
+  FROM windows WHERE matched * 100 >= compared * 80
+)
+SELECT doc_id, item_id, shift + s AS first_word, matched, compared, item_matched, size AS item_words FROM best WHERE r = 1
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import language_hd, neardup, quality_gbt, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
+from fleetlens.llm import decontaminate, language_hd, neardup, quality_gbt, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
 from fleetlens.llm.common import is_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,12 @@ def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document and benchmark item that overlap."""
+    return decontaminate.found_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""

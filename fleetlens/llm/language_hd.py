@@ -108,14 +108,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     The bound is on rows: every chosen text is used whole.
     """
-    ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    chosen = bounded_sample(ids, "_id", train_rows).select("_id").distinct()
+    known = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and _id is not null")
+    chosen = bounded_sample(known.select("_id"), "_id", train_rows).distinct()
     # proven size: train_rows ids at most
-    train = (
-        docs.where(F.col(lang_col).isNotNull())
-        .join(F.broadcast(chosen), docs[id_col] == F.col("_id"), "left_semi")
-        .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    )
+    train = known.join(F.broadcast(chosen), "_id", "left_semi").select("lang", "text")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, total = Encoder(), {}

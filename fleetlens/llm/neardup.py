@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import words
-from fleetlens.llm.common import join_checked, slices
+from fleetlens.llm.common import BROADCAST_ROWS, join_checked, slices
 from fleetlens.session import write_shared
 
 BUCKETS, ROWS = 128, 4
@@ -302,3 +302,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sketched.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n", own.alias("component"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is their component's; of rows that repeat
+    an id the one whose columns sort first.  Null ids stay."""
+    found = write_shared(found.select(F.col(id_col).alias("id"), "component"), "found")
+    gone = write_shared(found.where("component < id").select("id").distinct(), "gone")
+    key = F.col(id_col).cast("long")
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key == gone["id"], "left_anti")
+    twice = write_shared(found.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "twice")
+    n = twice.count()
+    if not n:
+        return left
+    twice = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
+    same = left.join(twice, key == twice["id"], "left_semi")
+    first = same.groupBy(key.alias("_key")).agg(F.min_by(F.struct("*"), F.to_json(F.struct("*"))).alias("_row")).select("_row.*")
+    return left.join(twice, key == twice["id"], "left_anti").unionByName(first)

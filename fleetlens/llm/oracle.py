@@ -102,3 +102,47 @@ WITH d AS (
 )
 SELECT doc_id, item_id, shift + s AS first_word, matched, compared, item_matched, size AS item_words FROM best WHERE r = 1
 """
+
+
+def _spans(kind: str, ord_: int, pattern: str, group: int, least: int, extra: str = "true") -> str:
+    """Spans of one kind in SQL: lengths of the pieces between matches, summed."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, source, '{kind}' AS kind, {ord_} AS ord, start, start + length(a) AS stop, g AS value
+  FROM (
+    SELECT doc_id, source, unnest(a) AS a, unnest(g) AS g, unnest(range(1, len(a) + 1)) AS k,
+           list_sum(list_transform(gaps[1 : k], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(a_all[1 : k - 1], lambda x: length(x))), 0)::BIGINT AS start
+    FROM (
+      SELECT doc_id, source, a, g, gaps, a AS a_all FROM (
+        SELECT doc_id, source, regexp_extract_all(text, '{pattern}', 0) AS a, regexp_extract_all(text, '{pattern}', {group}) AS g,
+               string_split_regex(text, '{pattern}') AS gaps FROM documents
+      ) WHERE len(a) > 0
+    )
+  ) WHERE length(g) >= {least} AND {extra}"""
+
+
+_ASSIGN = """(?i)(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("\\\\", "\\")
+_MIXED = "regexp_matches(g, '[0-9]') AND regexp_matches(g, '[a-z]') AND regexp_matches(g, '[A-Z]')"
+
+SQL["op7_secrets"] = f"""
+WITH base AS (
+  {_spans("assign", 0, _ASSIGN, 2, 6)} UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_spans("hex", 2, "[0-9a-f]+", 0, 24)}
+), generic AS (
+  SELECT * FROM ({_spans("owned", 3, "[A-Za-z0-9_-]+", 0, 20, _MIXED)}) m
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.start < m.stop AND m.start < b.stop)
+), every AS (
+  SELECT * FROM base UNION ALL SELECT * FROM generic
+), judged AS (
+  SELECT * FROM every JOIN (SELECT value, count(DISTINCT source) <= 2 AS live FROM every GROUP BY value) USING (value)
+  WHERE kind <> 'owned' OR live
+), docs AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (kind <> 'owned') AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans,
+         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+  FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM documents LEFT JOIN docs USING (doc_id)
+"""

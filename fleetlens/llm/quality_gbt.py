@@ -163,7 +163,8 @@ def fit(
     )
     chosen = bounded_sample(known, "_id", train_rows)
     # proven size: train_rows pairs of id and label
-    train = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_label", F.col(text_col).alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    train = texts.join(F.broadcast(chosen), "_id").select("_label", "_text")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 1):

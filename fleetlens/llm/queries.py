@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, language_hd, neardup, quality_gbt, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
+from fleetlens.llm import decontaminate, language_hd, neardup, quality_gbt, secrets, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
 from fleetlens.llm.common import is_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,28 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@register
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with their status in the corpus."""
+    rows, found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter(spans, lambda s: s["kind"] != "owned")
+    return secrets.with_spans(rows, found).select(
+        F.col("id").alias("doc_id"),
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(spans).alias("spans"),
+        F.size(F.filter(spans, lambda s: s["status"] == "live")).cast("long").alias("n_live"),
+        F.size(F.filter(spans, lambda s: s["status"] == "example")).cast("long").alias("n_example"),
+    )
+
+
 @register
 def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; learns outside the held-out fold."""

@@ -274,6 +274,14 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             return state.select("id", F.col("c").alias("component"))
 
 
+def _same_id(sketched: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between an id that holds several sets and their classes."""
+    rows = sketched.where("n > 0 and id is not null").select("id", "n", "h1", "h2").distinct()
+    several = rows.groupBy("id").count().where("count > 1").select("id")
+    classes = reps.select("n", "h1", "h2", F.col("id").alias("rep"))
+    return rows.join(several, "id", "left_semi").join(classes, ["n", "h1", "h2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Per row of ``docs``: id, n (set size), component (smallest id reachable)."""
     sketched = write_shared(sketches(docs, id_col, text_col), "sketches")
@@ -293,8 +301,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = write_shared(_confirmed(_candidates(members, percent), sets, percent), "links")
         links.append(found)
         crowded = members.where(F.col("m") > SMALL)
-    edges = links[0]
-    for more in links[1:]:
+    edges = _same_id(sketched, reps)
+    for more in links:
         edges = edges.unionByName(more)
     # the class's smallest id stands for all its members
     named = reps.select("n", "h1", "h2", F.col("id").alias("rep")).join(components(edges).withColumnRenamed("id", "rep"), "rep", "left")

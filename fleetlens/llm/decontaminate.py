@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import join_checked
+from fleetlens.llm.common import BROADCAST_ROWS, join_checked
 from fleetlens.session import write_shared
 
 MASKS = ("110101011", "11000100111", "1111011", "1101001101")
@@ -73,22 +73,28 @@ def found_items(
         items.select(F.col(item_col).alias("item"), F.filter(words(item_text_col), lambda w: w != "").alias("iw"))
         .where(F.col("item").isNotNull() & (F.size("iw") >= min_words))
         .distinct()
+        .withColumn("size", F.size("iw"))
     )
     tests = write_shared(tests, "items")
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    wanted = write_shared(seeds(tests, ["item"], "iw").select("h", "item", F.col("pos").alias("ipos")).distinct(), "item-seeds")
+    wanted = write_shared(seeds(tests, ["item", "size"], "iw").select("h", "item", "size", F.col("pos").alias("ipos")).distinct(), "item-seeds")
     stream = seeds(base.withColumn("w", words("text")), ["id", "v"], "w")
     if wanted.count() <= broadcast_rows:
         met = stream.join(F.broadcast(wanted), "h")
     else:
         salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = stream.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
-    hits = write_shared(met.select("id", "v", "item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct(), "hits")
-    holders = write_shared(hits.select("id", "v").distinct(), "holders")
-    texts = join_checked(base, holders, ["id", "v"], "left_semi").select("id", "v", words("text").alias("w")).distinct()
-    # hits bring items to texts: row by row, so a text or item in many hits is no group
-    laid = join_checked(texts, hits, ["id", "v"], "inner").join(tests, "item")
-    same = F.transform("iw", lambda x, i: F.when(F.when(i + F.col("shift") >= 0, F.get("w", i + F.col("shift"))) == x, 1).otherwise(0))
+    hits = write_shared(met.select("id", "v", "item", "size", (F.col("pos") - F.col("ipos")).alias("shift")).distinct(), "hits")
+    # one text's hits meet its text once; each takes only the words the item would cover
+    holders = hits.groupBy("id", "v").agg(F.collect_list(F.struct("item", "shift", "size")).alias("hits"))
+    holders = F.broadcast(holders) if hits.count() <= BROADCAST_ROWS else holders
+    texts = base.join(holders, ["id", "v"]).select("id", words("text").alias("w"), "hits")
+    each = texts.select("id", "w", F.explode("hits").alias("hit")).select("id", "hit.item", "hit.shift", "hit.size", "w")
+    begin = F.greatest(F.col("shift"), F.lit(0))
+    stop = F.least(F.col("shift") + F.col("size"), F.size("w"))
+    cover = F.slice("w", begin + 1, F.greatest(stop - begin, F.lit(0))).alias("part")
+    laid = each.select("id", "item", "shift", cover).join(tests.select("item", "iw"), "item")
+    same = F.transform("iw", lambda x, i: F.when(F.get("part", i + F.least(F.col("shift"), F.lit(0))) == x, 1).otherwise(0))
     laid = laid.select("id", "item", "shift", same.alias("same"), F.least(F.lit(window), F.size("iw")).alias("compared"))
     sums = F.transform(
         F.sequence(F.lit(1), F.size("same") - F.col("compared") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("compared")), F.lit(0), lambda a, x: a + x)

@@ -58,12 +58,19 @@ def format_duration(col: Column | str) -> Column:
     return F.when(ms.isNull() | (ms == 0) | first.isNull(), F.lit("0s")).otherwise(F.concat_ws(" ", first, second))
 
 
+def _with_separators(digits: Column) -> Column:
+    """Thousands separators in whole-number text of any length."""
+    plain = F.regexp_replace(F.regexp_replace(digits, r"^(-?)0+(?=[0-9])", "$1"), "^-0$", "0")
+    # a separator stands before every run of three digits that ends the text
+    return F.regexp_replace(plain, r"(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")
+
+
 def format_count(col: Column | str) -> Column:
     """Integer text -> thousands separators; null -> ``'-'``; other text unchanged (U4)."""
     text = F.trim(_c(col).cast("string"))
     return (
         F.when(_c(col).isNull(), F.lit("-"))
-        .when(text.rlike(r"^-?[0-9]+$"), F.format_number(text.cast("decimal(38,0)"), 0))
+        .when(text.rlike(r"^-?[0-9]+$"), _with_separators(text))
         .when(text == "", F.lit("-"))
         .otherwise(text)
     )
@@ -147,38 +154,41 @@ def strip_label(name: Column | str, labels: list[str]) -> Column:
     return F.regexp_replace(_c(name), rf" \((?:{alternatives})\)$", "")
 
 
+# A glob is a row of these: a class, or one other character.
+_GLOB_PART = re.compile(r"\[(?P<negated>!?)(?P<members>\]?[^\]]*)\]|(?P<single>.)", re.S)
+# What a character class of Java reads as more than itself.
+_CLASS_SPECIAL = set("[]\\^&-~")
+
+
+def _char(c: str) -> str:
+    return "\\" + c if c in _CLASS_SPECIAL else c
+
+
+def _glob_class(members: str, negated: bool) -> str:
+    """One character out of a glob's ``[...]``; ``a-z`` is a range, an empty
+    range holds nothing."""
+    parts = []
+    for m in re.finditer(r"(?P<low>.)-(?P<high>.)|(?P<one>.)", members, re.S):
+        if m["one"]:
+            parts.append(_char(m["one"]))
+        elif m["low"] <= m["high"]:
+            parts.append(f"{_char(m['low'])}-{_char(m['high'])}")
+    if not parts:
+        return "." if negated else "(?!)"
+    return f"[{'^' if negated else ''}{''.join(parts)}]"
+
+
 def glob_to_regex(pattern: str) -> str:
-    """Translate a shell glob (``*``, ``?``, ``[seq]``, ``[!seq]``) into an anchored regex."""
+    """A shell glob (``*``, ``?``, ``[seq]``, ``[!seq]``) as an anchored pattern.
+
+    A bracket that is never closed stands for itself."""
     out = []
-    i, n = 0, len(pattern)
-    while i < n:
-        ch = pattern[i]
-        i += 1
-        if ch == "*":
-            out.append(".*")
-        elif ch == "?":
-            out.append(".")
-        elif ch == "[":
-            j = i
-            if j < n and pattern[j] == "!":
-                j += 1
-            if j < n and pattern[j] == "]":
-                j += 1
-            while j < n and pattern[j] != "]":
-                j += 1
-            if j >= n:
-                out.append(r"\[")
-            else:
-                body = pattern[i:j].replace("\\", r"\\")
-                i = j + 1
-                if body.startswith("!"):
-                    body = "^" + body[1:]
-                elif body.startswith("^"):
-                    body = "\\" + body
-                out.append(f"[{body}]")
+    for m in _GLOB_PART.finditer(pattern):
+        if m["single"] is None:
+            out.append(_glob_class(m["members"], bool(m["negated"])))
         else:
-            out.append(re.escape(ch))
-    return "^(?s:" + "".join(out) + ")$"
+            out.append({"*": ".*", "?": "."}.get(m["single"], re.escape(m["single"])))
+    return f"^(?s:{''.join(out)})$"
 
 
 def matches_any_glob(col: Column | str, patterns: list[str]) -> Column:

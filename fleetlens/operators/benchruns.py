@@ -19,6 +19,12 @@ def measured(runs: DataFrame) -> DataFrame:
     return runs.where(~F.coalesce(F.col("is_warmup"), F.lit(False)))
 
 
+def number_rounds(runs: DataFrame, warmup: int = 0, iteration_col: str = "iteration") -> DataFrame:
+    """Mark the first ``warmup`` rounds and number the measured ones from 1."""
+    it = F.col(iteration_col)
+    return runs.withColumns({"is_warmup": it <= warmup, "measured_iteration": F.when(it > warmup, it - warmup)})
+
+
 def _ok_duration() -> Column:
     return F.when(F.col("success"), F.col("duration"))
 
@@ -69,20 +75,23 @@ def run_summary(runs: DataFrame) -> DataFrame:
 def per_query_stats(runs: DataFrame) -> DataFrame:
     """Per query name: count, avg, min, max of duration and took.
 
-    Ordered by position, original before optimized, then name.
+    Ordered by position, original before optimized, then name; queries without
+    a position follow, by base name and side.
     """
     dur = _ok_duration()
     took = F.col("took")
     g = runs.groupBy("name").agg(
-        F.first("query_index", ignorenulls=True).alias("query_index"),
-        F.first("query_type", ignorenulls=True).alias("query_type"),
+        F.min("query_index").alias("query_index"),
+        F.min("query_type").alias("query_type"),
+        F.min("base_name").alias("__base"),
         F.count(dur).alias("duration_count"),
         *_stats(dur, "duration"),
         F.count(took).alias("took_count"),
         *_stats(took, "took"),
     )
     type_order = F.when(F.col("query_type") == ORIGINAL, 0).otherwise(1)
-    return g.orderBy(F.col("query_index").asc_nulls_last(), type_order, F.col("name"))
+    base = F.when(F.col("query_index").isNull(), F.col("__base"))
+    return g.orderBy(F.col("query_index").asc_nulls_last(), base, type_order, F.col("name")).drop("__base")
 
 
 def round_series(runs: DataFrame) -> DataFrame:
@@ -139,26 +148,25 @@ def compare_sides(runs: DataFrame) -> DataFrame:
     )
 
 
-def pair_matrix(runs: DataFrame) -> DataFrame:
+def pair_matrix(runs: DataFrame, order_col: str = "seq") -> DataFrame:
     """Query pair x measured round, both sides side by side.
 
-    Pairs are matched by position (``query_index``) with a full outer join of
-    the two sides, so unequal query lists are kept.  A cell holding several
-    executions reports their mean.
+    Sides are matched by position (``query_index``); unequal query lists are
+    kept.  A cell that was executed several times shows its last execution by
+    ``order_col``.  One pass: both sides are conditional aggregates.
     """
-    m = measured(runs)
-    dur = _ok_duration()
-
-    def side(kind: str) -> DataFrame:
-        s = m.where(F.col("query_type") == kind).groupBy("query_index", "measured_iteration").agg(
-            F.first("base_name", ignorenulls=True).alias(f"{kind}_name"),
-            F.avg("took").alias(f"{kind}_took"),
-            F.avg(dur).alias(f"{kind}_duration"),
-        )
-        return s
-
-    o, p = side(ORIGINAL), side(OPTIMIZED)
-    j = o.join(p, ["query_index", "measured_iteration"], "full_outer")
+    order = F.col(order_col)
+    m = measured(runs).where(F.col("query_type").isin(ORIGINAL, OPTIMIZED))
+    m = m.select("query_index", "measured_iteration", "query_type", "base_name", F.col("took").cast("double").alias("took"), _ok_duration().cast("double").alias("duration"), order.alias("__order"))
+    aggs = []
+    for kind in (ORIGINAL, OPTIMIZED):
+        mine = F.col("query_type") == kind
+        aggs.append(F.max(F.when(mine, F.struct("__order", "base_name", "took", "duration"))).alias(kind))
+    j = m.groupBy("query_index", "measured_iteration").agg(*aggs).select(
+        "query_index",
+        "measured_iteration",
+        *[F.col(f"{kind}.{c}").alias(f"{kind}_{n}") for kind in (ORIGINAL, OPTIMIZED) for c, n in (("base_name", "name"), ("took", "took"), ("duration", "duration"))],
+    )
     on, pn = F.col(f"{ORIGINAL}_name"), F.col(f"{OPTIMIZED}_name")
     display = (
         F.when(on.isNotNull() & pn.isNotNull() & (on != pn), F.concat(on, F.lit(" vs "), pn))

@@ -10,31 +10,24 @@ from fleetlens.functions.scalars import format_bytes, format_duration, used_perc
 from fleetlens.operators.filters import system_cluster
 
 
-def active_clusters(metrics: DataFrame, cluster_col: str = "cluster_id", name_col: str = "cluster_name", top: int | None = 1000) -> DataFrame:
-    """Clusters seen in the metrics, by document count, top ``top``.
-
-    The name is the most frequent non-null name of the cluster (ties: the
-    smallest name), falling back to the id.  ``top=None`` keeps every
-    cluster (used for target filtering, where no cluster may be missed).  Counting per (cluster, name)
-    first combines map-side, so a cluster holding a third of the rows costs
-    one partial aggregate, not one hot task.
+def active_clusters(metrics: DataFrame, cluster_col: str = "cluster_id", name_col: str = "cluster_name", top: int | None = None) -> DataFrame:
+    """Clusters seen in the metrics by document count (A19, W6, O8); ``top``
+    keeps that many of the largest, by default all are kept.
+
+    The name is the most frequent non-null name of the cluster (ties: the one
+    that sorts first), falling back to the id.  One pass: counts per (cluster,
+    name) are summed before the shuffle, so a cluster holding a third of the
+    rows is no hot task, and a second aggregate over that small table gives the
+    total and the name.
     """
-    per_name = metrics.groupBy(F.col(cluster_col).alias("cluster_id"), F.col(name_col).alias("name")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    totals = per_name.groupBy("cluster_id").agg(F.sum("n").alias("doc_count"))
-    # the (cluster, name) table is small: one row per distinct name of a cluster
-    named = per_name.where(F.col("name").isNotNull())
-    rank = Window.partitionBy("cluster_id").orderBy(F.col("n").desc(), F.col("name").asc())
-    best = named.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") == 1).select("cluster_id", F.col("name").alias("best"))
-    out = totals.join(best, "cluster_id", "left").select(
+    per_name = metrics.groupBy(F.col(cluster_col).alias("cluster_id"), F.col(name_col).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.when(F.col("name").isNotNull(), F.struct((-F.col("n")).alias("order"), "name")))
+    out = per_name.groupBy("cluster_id").agg(F.sum("n").alias("n"), best.alias("best")).select(
         F.col("cluster_id").cast("string").alias("cluster_id"),
-        F.coalesce(F.col("best"), F.col("cluster_id").cast("string")).alias("cluster_name"),
-        F.col("doc_count").cast("bigint").alias("doc_count"),
+        F.coalesce("best.name", F.col("cluster_id").cast("string")).alias("cluster_name"),
+        F.col("n").cast("bigint").alias("doc_count"),
     )
-    if top is None:
-        return out
-    return out.orderBy(F.col("doc_count").desc(), F.col("cluster_id").asc()).limit(top)
+    return out if top is None else out.orderBy(F.col("doc_count").desc(), F.col("cluster_id").asc()).limit(top)
 
 
 def _falsy_fallback(primary: Column, *fallbacks: Column) -> Column:
@@ -129,55 +122,44 @@ def health_distribution(report: DataFrame) -> DataFrame:
 MATCH_EXACT, MATCH_CASE_INSENSITIVE, MATCH_SUBSTRING = "exact", "case_insensitive", "substring"
 
 
-def resolve_cluster_names(requests: DataFrame, registry: DataFrame, name_col: str = "name", allow_substring: bool = True) -> DataFrame:
+def _grams(text: Column, longest: int) -> Column:
+    """Distinct pieces of 1 to ``longest`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.substring(text, i, n)))))
+
+
+def resolve_cluster_names(requests: DataFrame, registry: DataFrame, name_col: str = "name", allow_substring: bool = True, gram: int = 3) -> DataFrame:
     """Cluster name -> id: exact, then case-insensitive, then unique substring.
 
-    All three are equi-joins.  The substring rule joins the lower-cased
-    request with every substring of each registry name, generated per row;
-    registry names are short, so this stays linear in the registry size and
-    never forms request x registry pairs.  Per request the best rank wins;
-    more than one id at that rank is ``ambiguous``, none is ``not_found``.
+    One join on the lower-cased name settles the first two kinds (equality
+    gives the rank).  Only requests it leaves open go on: their first ``gram``
+    characters meet the pieces of the registry names, at most ``gram`` per
+    character of a name, and ``contains`` confirms.  Per request the best kind
+    wins; several ids of that kind are ``ambiguous``, none is ``not_found``.
     """
     req = requests.select(F.trim(F.col(name_col)).alias("request")).where(F.col("request") != "").distinct()
-    reg = registry.select(F.col("id").alias("cid"), F.trim(F.col("name")).alias("cname")).where(
-        F.col("cid").isNotNull() & F.col("cname").isNotNull() & (F.col("cname") != "")
-    )
-    exact = req.join(reg, req.request == reg.cname).select("request", "cid", F.lit(1).alias("rank"))
-    ci = req.join(reg, F.lower(req.request) == F.lower(reg.cname)).select("request", "cid", F.lit(2).alias("rank"))
-    parts = [exact, ci]
+    reg = registry.select(F.col("id").alias("cid"), F.trim(F.col("name")).alias("cname")).where("cid is not null and cname is not null and cname <> ''")
+    reg = reg.withColumn("low", F.lower("cname"))
+    by_name = req.withColumn("low", F.lower("request")).join(reg, "low", "left")
+    kind = F.when(F.col("cid").isNotNull(), F.when(F.col("request") == F.col("cname"), 1).otherwise(2))
+    per_kind = by_name.groupBy("request", kind.alias("kind")).agg(F.countDistinct("cid").alias("candidates"), F.min("cid").alias("cid"))
+    best = per_kind.groupBy("request").agg(F.min_by(F.struct("kind", "candidates", "cid"), F.coalesce("kind", F.lit(9))).alias("b")).select("request", "b.*")
     if allow_substring:
-        low = F.lower(F.col("cname"))
-        n = F.length(low)
-        subs = reg.select(
-            "cid",
-            F.explode(
-                F.array_distinct(
-                    F.flatten(
-                        F.transform(
-                            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                            lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda ln: F.substring(low, i, ln)),
-                        )
-                    )
-                )
-            ).alias("sub"),
+        pieces = reg.select("cid", F.col("low").alias("rlow"), F.explode(_grams(F.col("low"), gram)).alias("piece"))
+        left = best.where("kind is null").select("request", F.substring(F.lower("request"), 1, gram).alias("piece"))
+        inside = left.join(pieces, "piece").where(F.contains("rlow", F.lower("request")))
+        found = inside.groupBy("request").agg(F.lit(3).alias("kind"), F.countDistinct("cid").alias("candidates"), F.min("cid").alias("cid"))
+        found = found.select("request", F.struct("kind", "candidates", "cid").alias("sub"))
+        best = best.join(found, "request", "left").select(
+            "request", *[F.when(F.col("kind").isNull() & F.col("sub").isNotNull(), F.col(f"sub.{c}")).otherwise(F.col(c)).alias(c) for c in ("kind", "candidates", "cid")]
         )
-        sub = req.join(subs, F.lower(req.request) == subs.sub).select("request", "cid", F.lit(3).alias("rank"))
-        parts.append(sub)
-    matches = parts[0]
-    for p in parts[1:]:
-        matches = matches.unionByName(p)
-    per_rank = matches.groupBy("request", "rank").agg(F.countDistinct("cid").alias("candidates"), F.min("cid").alias("cid"))
-    best = per_rank.groupBy("request").agg(F.min_by(F.struct("rank", "candidates", "cid"), F.col("rank")).alias("b"))
-    kinds = F.when(F.col("b.rank") == 1, MATCH_EXACT).when(F.col("b.rank") == 2, MATCH_CASE_INSENSITIVE).when(
-        F.col("b.rank") == 3, MATCH_SUBSTRING
-    )
-    out = req.join(best, "request", "left")
-    return out.select(
+    names = F.when(F.col("kind") == 1, MATCH_EXACT).when(F.col("kind") == 2, MATCH_CASE_INSENSITIVE).when(F.col("kind") == 3, MATCH_SUBSTRING)
+    return best.select(
         F.col("request").alias("name"),
-        F.when(F.col("b.candidates") == 1, F.col("b.cid")).alias("cluster_id"),
-        kinds.alias("match_type"),
-        F.coalesce(F.col("b.candidates"), F.lit(0)).cast("bigint").alias("candidates"),
-        F.when(F.col("b.rank").isNull(), "not_found").when(F.col("b.candidates") > 1, "ambiguous").otherwise("ok").alias("status"),
+        F.when(F.col("candidates") == 1, F.col("cid")).alias("cluster_id"),
+        names.alias("match_type"),
+        F.coalesce(F.col("candidates"), F.lit(0)).cast("bigint").alias("candidates"),
+        F.when(F.col("kind").isNull(), "not_found").when(F.col("candidates") > 1, "ambiguous").otherwise("ok").alias("status"),
     )
 
 

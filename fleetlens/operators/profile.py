@@ -2,16 +2,14 @@
 
 A profile is one response's ``shards[].searches[].{query[], collector[],
 rewrite_time}``, ``shards[].fetch`` and ``shards[].aggregations[]``.  Totals
-are computed inside the row with array field extraction, ``flatten`` and a
-flat sum.  Rankings (slowest shard, top components, top phases) turn the
-nested arrays into rows with generators and rank them per profile with
-``row_number()``, which gets a partial ``WindowGroupLimit`` before its
-shuffle.  ``id_col`` identifies a profile.
+and rankings (slowest shard, top components, collectors and phases) are computed
+inside the row with array functions: a profile is one row, so nothing is
+shuffled.  ``id_col`` names a profile in the results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import nanos_to_ms
@@ -48,82 +46,108 @@ def profile_rollup(profiles: DataFrame, id_col: str = "run_id", profile_col: str
     ).where(F.col("shard_count") > 0)
 
 
-def _shards(profiles: DataFrame, id_col: str, profile_col: str) -> DataFrame:
-    """One row per shard with its position (generator, no lambda)."""
-    return profiles.select(F.col(id_col), F.posexplode(F.col(f"{profile_col}.shards")).alias("__spos", "__s"))
+def _per_shard(shards: Column) -> Column:
+    """Per shard its times in nanoseconds, in document order."""
+
+    def one(s: Column, i: Column) -> Column:
+        searches = F.coalesce(s["searches"], F.array())
+        q = _total(_flat(searches.getField("query")).getField("time_in_nanos"))
+        fetch = F.coalesce(s["fetch"]["time_in_nanos"], F.lit(0)).cast("bigint")
+        aggs = _total(s["aggregations"].getField("time_in_nanos"))
+        rewrite = _total(searches.getField("rewrite_time"))
+        # largest total first, then the smallest position
+        return F.struct((q + fetch + aggs).alias("t"), (-i).alias("order"), s["id"].alias("shard_id"), s["index"].alias("index"), s["node_id"].alias("node_id"), q.alias("q"), fetch.alias("f"), aggs.alias("a"), rewrite.alias("r"))
+
+    return F.transform(shards, one)
+
+
+def _slowest(shards: Column) -> Column:
+    """The shard with the largest total; the first of equal ones."""
+    pick = lambda best, x: F.when(best.isNull() | (x["t"] > best["t"]), x).otherwise(best)
+    per = _per_shard(shards)
+    best = F.aggregate(F.slice(per, F.lit(2), F.greatest(F.size(shards) - 1, F.lit(0))), F.get(per, F.lit(0)), pick)
+    return F.transform(
+        F.array(best),
+        lambda x: F.struct(
+            x["shard_id"].alias("shard_id"),
+            x["index"].alias("index"),
+            x["node_id"].alias("node_id"),
+            nanos_to_ms(x["t"]).alias("total_time_ms"),
+            nanos_to_ms(x["q"]).alias("query_time_ms"),
+            nanos_to_ms(x["f"]).alias("fetch_time_ms"),
+            nanos_to_ms(x["a"]).alias("aggregation_time_ms"),
+            nanos_to_ms(x["r"]).alias("rewrite_time_ms"),
+        ),
+    )[0]
+
+
+def _top_listed(shards: Column, listed: str, fields: tuple[str, ...], k: int) -> Column:
+    """The ``k`` entries of every search's list ``listed`` with the largest
+    time; times are rounded first, ties keep document order."""
+
+    def entries(s: Column, i: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.coalesce(s["searches"], F.array()),
+                lambda se, j: F.transform(
+                    F.coalesce(se[listed], F.array()),
+                    lambda e, n: F.struct(
+                        (-nanos_to_ms(F.coalesce(e["time_in_nanos"], F.lit(0)))).alias("order"),
+                        i.alias("i"),
+                        j.alias("j"),
+                        n.alias("n"),
+                        *[e[f].alias(f) for f in fields],
+                        nanos_to_ms(F.coalesce(e["time_in_nanos"], F.lit(0))).alias("time_ms"),
+                        s["id"].alias("shard"),
+                        s["index"].alias("index"),
+                    ),
+                ),
+            )
+        )
+
+    ranked = F.slice(F.array_sort(F.flatten(F.transform(shards, entries))), 1, k)
+    return F.transform(ranked, lambda x, r: F.struct((r + 1).alias("rank"), *[x[f].alias(f) for f in (*fields, "time_ms", "shard", "index")]))
+
+
+def _top_phases(shards: Column, k: int) -> Column:
+    """The ``k`` breakdown phases with the largest sums; ``*_count`` entries
+    are dropped, ties keep the order in which phases first appear."""
+    queries = _flat(_flat(shards.getField("searches")).getField("query"))
+    entries = F.filter(F.flatten(F.transform(queries, lambda q: F.map_entries(q["breakdown"]))), lambda e: ~e["key"].endswith("_count"))
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+
+    def one(name: Column, i: Column) -> Column:
+        total = F.aggregate(F.filter(entries, lambda e: e["key"] == name), F.lit(0).cast("bigint"), lambda acc, e: acc + F.coalesce(e["value"], F.lit(0)).cast("bigint"))
+        return F.struct((-nanos_to_ms(total)).alias("order"), i.alias("i"), name.alias("phase"), nanos_to_ms(total).alias("time_ms"))
+
+    ranked = F.slice(F.array_sort(F.transform(names, one)), 1, k)
+    return F.transform(ranked, lambda x, r: F.struct((r + 1).alias("rank"), x["phase"].alias("phase"), x["time_ms"].alias("time_ms")))
+
+
+def _shards_of(profile_col: str) -> Column:
+    return F.coalesce(F.col(f"{profile_col}.shards"), F.array())
 
 
 def slowest_shard(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile") -> DataFrame:
-    """The shard with the largest query+fetch+aggregation time; first wins ties.
-
-    Shards become rows; the per-shard sums use array field extraction and a
-    flat sum; ``row_number() = 1`` per profile is planned with a partial
-    ``WindowGroupLimit``, so one row per profile and input partition crosses
-    the shuffle.
-    """
-    sh = _shards(profiles, id_col, profile_col)
-    s = F.col("__s")
-    searches = F.coalesce(s.getField("searches"), F.array())
-    q = _total(_flat(searches.getField("query")).getField("time_in_nanos"))
-    fetch = F.coalesce(s.getField("fetch").getField("time_in_nanos"), F.lit(0)).cast("bigint")
-    aggs = _total(s.getField("aggregations").getField("time_in_nanos"))
-    rewrite = _total(searches.getField("rewrite_time"))
-    per = sh.select(
-        F.col(id_col), "__spos", s.getField("id").alias("shard_id"), s.getField("index").alias("index"),
-        s.getField("node_id").alias("node_id"), q.alias("__q"), fetch.alias("__f"), aggs.alias("__a"), rewrite.alias("__r"),
-    ).withColumn("__t", F.col("__q") + F.col("__f") + F.col("__a"))
-    w = Window.partitionBy(id_col).orderBy(F.col("__t").desc(), F.col("__spos").asc())
-    best = per.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1)
-    return best.select(
-        id_col, "shard_id", "index", "node_id",
-        nanos_to_ms(F.col("__t")).alias("total_time_ms"),
-        nanos_to_ms(F.col("__q")).alias("query_time_ms"),
-        nanos_to_ms(F.col("__f")).alias("fetch_time_ms"),
-        nanos_to_ms(F.col("__a")).alias("aggregation_time_ms"),
-        nanos_to_ms(F.col("__r")).alias("rewrite_time_ms"),
-    )
+    """The shard with the largest query+fetch+aggregation time; first wins ties
+    (A30).  Within the row, no shuffle; profiles that share an id stay apart."""
+    some = profiles.where(F.size(_shards_of(profile_col)) > 0)
+    return some.select(F.col(id_col), F.inline(F.array(_slowest(_shards_of(profile_col)))))
 
 
 def top_query_components(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile", k: int = 3) -> DataFrame:
-    """Top ``k`` query components by time per profile, with rank.
+    """Top ``k`` query components by time per profile, with rank (O6), in the row."""
+    return profiles.select(F.col(id_col), F.inline(_top_listed(_shards_of(profile_col), "query", ("type", "description"), k)))
 
-    Times are rounded to 3 decimals before ranking; ties keep document order
-    (shard, search, component).  Components become rows through generators;
-    ``row_number() <= k`` per profile gets a partial ``WindowGroupLimit``.
-    """
-    sh = _shards(profiles, id_col, profile_col)
-    se = sh.select(id_col, "__spos", "__s", F.posexplode(F.col("__s.searches")).alias("__sepos", "__se"))
-    qc = se.select(id_col, "__spos", "__sepos", "__s", F.posexplode(F.col("__se.query")).alias("__qpos", "__q"))
-    c = qc.select(
-        id_col, "__spos", "__sepos", "__qpos",
-        F.col("__q.type").alias("type"), F.col("__q.description").alias("description"),
-        nanos_to_ms(F.coalesce(F.col("__q.time_in_nanos"), F.lit(0))).alias("time_ms"),
-        F.col("__s.id").alias("shard"), F.col("__s.index").alias("index"),
-    )
-    w = Window.partitionBy(id_col).orderBy(F.col("time_ms").desc(), "__spos", "__sepos", "__qpos")
-    top = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(id_col, "rank", "type", "description", "time_ms", "shard", "index")
 
+def top_collectors(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile", k: int = 3) -> DataFrame:
+    """Top ``k`` collectors by time per profile, with rank (O6), in the row."""
+    return profiles.select(F.col(id_col), F.inline(_top_listed(_shards_of(profile_col), "collector", ("name", "reason"), k)))
 
-def top_breakdown_phases(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile", k: int = 3) -> DataFrame:
-    """Breakdown totals per phase (``*_count`` keys dropped), top ``k`` per profile.
 
-    Breakdown entries become rows through generators; totals per (profile,
-    phase) are a partial-then-final aggregate; ties keep the order in which
-    phases first appear; ``row_number() <= k`` per profile.
-    """
-    sh = _shards(profiles, id_col, profile_col)
-    se = sh.select(id_col, "__spos", F.posexplode(F.col("__s.searches")).alias("__sepos", "__se"))
-    qc = se.select(id_col, "__spos", "__sepos", F.posexplode(F.col("__se.query")).alias("__qpos", "__q"))
-    en = qc.select(id_col, "__spos", "__sepos", "__qpos", F.posexplode(F.col("__q.breakdown")).alias("__epos", "phase", "__v"))
-    en = en.where(~F.col("phase").endswith("_count"))
-    totals = en.groupBy(id_col, "phase").agg(
-        F.sum(F.coalesce(F.col("__v"), F.lit(0))).alias("__nanos"),
-        F.min(F.struct("__spos", "__sepos", "__qpos", "__epos")).alias("__first"),
-    )
-    w = Window.partitionBy(id_col).orderBy(F.col("time_ms").desc(), F.col("__first").asc())
-    ranked = totals.withColumn("time_ms", nanos_to_ms(F.col("__nanos"))).withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k).select(id_col, "rank", "phase", "time_ms")
+def top_breakdown_phases(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile", k: int = 3) -> DataFrame:
+    """Breakdown totals per phase, top ``k`` per profile (A29, O6), in the row."""
+    return profiles.select(F.col(id_col), F.inline(_top_phases(_shards_of(profile_col), k)))
 
 
 # Run columns a profile record carries, in order.
@@ -132,8 +156,8 @@ RECORD_COLUMNS = ("name", "path", "method", "iteration", "query_type")
 
 def profile_records(runs: DataFrame, profile_col: str = "profile") -> DataFrame:
     """Profile result record per run (P12): the run's name, path, method,
-    round and side, ``duration_ms`` / ``took_ms``, and the roll-up totals of
-    its profile as a ``profile_summary`` struct.  Runs without shards get no
+    round and side, ``duration_ms`` / ``took_ms``, and ``profile_summary``: the
+    roll-up totals, the slowest shard and the three top lists.  Runs without shards get no
     record.  Computed inside the row, no shuffle."""
     shards = F.coalesce(F.col(f"{profile_col}.shards"), F.array())
     searches = _flat(shards.getField("searches"))
@@ -143,6 +167,10 @@ def profile_records(runs: DataFrame, profile_col: str = "profile") -> DataFrame:
         nanos_to_ms(_total(shards.getField("fetch").getField("time_in_nanos"))).alias("total_fetch_time_ms"),
         nanos_to_ms(_total(_flat(shards.getField("aggregations")).getField("time_in_nanos"))).alias("total_aggregation_time_ms"),
         nanos_to_ms(_total(searches.getField("rewrite_time"))).alias("total_rewrite_time_ms"),
+        _slowest(shards).alias("slowest_shard"),
+        _top_listed(shards, "query", ("type", "description"), 3).alias("top_query_components"),
+        _top_listed(shards, "collector", ("name", "reason"), 3).alias("top_collectors"),
+        _top_phases(shards, 3).alias("top_breakdown"),
     )
     cols = [F.col(c) if c in runs.columns else F.lit(None).alias(c) for c in RECORD_COLUMNS]
     return runs.where(F.size(shards) > 0).select(

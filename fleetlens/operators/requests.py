@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import drop_blank_edge_lines, format_count, is_msearch_path, strip_ws, target_names
+from fleetlens.operators.joins import lookup_join
 
 # Per-case error texts.
 ERR_NO_METHOD = "missing method line"
@@ -24,6 +25,9 @@ ERR_BAD_METHOD = "bad method line"
 ERR_BAD_JSON = "invalid JSON body"
 ERR_PREAMBLE = "content before the first title"
 
+# Fixed value: a request line is a method word and a path.
+REQUEST_LINE = r"^([A-Za-z]+)\s+(.+)$"
+
 _WS = r"[ \t\f\u000B]"
 
 
@@ -35,7 +39,7 @@ def read_request_files(spark, path: str) -> DataFrame:
 def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
     """Split request files into cases (R1) and flag bad ones (R2).
 
-    Output: ``file_id, seq, title, method, path, body_raw, body_is_ndjson,
+    Output: ``file_id, seq, title, method, path, body_raw, body_sent, body_is_ndjson,
     body_valid, error``.  A bad case gets an ``error`` and keeps its place in
     the numbering; good cases are ``error IS NULL``.
     """
@@ -56,10 +60,10 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
 
     def with_request_line(x):
         # the lines after the method line, without leading / trailing blank lines, are the body
-        line = F.trim(F.substring_index(x["rest"], "\n", 1))
+        line = strip_ws(F.substring_index(x["rest"], "\n", 1))
         body = drop_blank_edge_lines(x["rest"], skip_first_line=True)
-        m = F.regexp_extract(line, r"^([A-Za-z]+)\s+(.+)$", 1)
-        p = F.trim(F.regexp_extract(line, r"^([A-Za-z]+)\s+(.+)$", 2))
+        m = F.regexp_extract(line, REQUEST_LINE, 1)
+        p = strip_ws(F.regexp_extract(line, REQUEST_LINE, 2))
         return F.struct(
             *[x[f].alias(f) for f in ("is_title", "blank", "first_line")],
             line.alias("method_line"), body.alias("body"), F.upper(m).alias("method"), p.alias("path"),
@@ -67,13 +71,12 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
 
     def with_body_checks(x):
         msearch = is_msearch_path(x["path"])
-        has_body = F.trim(x["body"]) != ""
+        has_body = strip_ws(x["body"]) != ""
         # exactly one complete JSON value: wrapping it in brackets must give a
-        # one-element array (rejects truncated bodies and trailing text)
-        valid = F.when(
-            has_body & ~msearch,
-            F.coalesce(F.json_array_length(F.concat(F.lit("["), x["body"], F.lit("]"))) == 1, F.lit(False)),
-        )
+        # one-element array (rejects truncated bodies and trailing text), and
+        # the strict parser must accept it (rejects single quotes)
+        one = F.coalesce(F.json_array_length(F.concat(F.lit("["), x["body"], F.lit("]"))) == 1, F.lit(False))
+        valid = F.when(has_body & ~msearch, F.when(one, F.try_parse_json(x["body"]).isNotNull()).otherwise(F.lit(False)))
         return F.struct(
             *[x[f].alias(f) for f in ("is_title", "blank", "first_line", "method_line", "method", "path")],
             F.when(has_body, x["body"]).otherwise(F.lit("")).alias("body"),
@@ -100,7 +103,7 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
     )
     exploded = step3.select(*keep, F.struct(*[c for c in step3.columns if c not in keep]).alias("__b"))
     seq = (F.col("__pos") + F.when(F.col("__first_is_title"), 1).otherwise(0)).cast("int")
-    raw_title = F.trim(F.ltrim(F.trim(F.col("__b.first_line")), F.lit("#")))
+    raw_title = strip_ws(F.ltrim(strip_ws(F.col("__b.first_line")), F.lit("#")))
     title = F.when(raw_title == "", F.concat(F.lit("Query "), seq.cast("string"))).otherwise(raw_title)
 
     cases = exploded.select(
@@ -137,7 +140,9 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
         F.when(title_block, F.col("title")).alias("title"),
         case_value(F.col("__method")).alias("method"),
         case_value(F.col("__path")).alias("path"),
-        case_value(F.when(ndjson, F.concat(F.col("__body"), F.lit("\n"))).otherwise(F.col("__body"))).alias("body_raw"),
+        case_value(F.col("__body")).alias("body_raw"),
+        # what is sent: a multi-search body ends with a line feed
+        case_value(F.when(ndjson, F.concat(F.col("__body"), F.lit("\n"))).otherwise(F.col("__body"))).alias("body_sent"),
         case_value(ndjson).alias("body_is_ndjson"),
         case_value(valid_json).alias("body_valid"),
         F.when(title_block, error).otherwise(F.lit(ERR_PREAMBLE)).alias("error"),
@@ -155,13 +160,14 @@ def resolve_aliases(targets: DataFrame, aliases: DataFrame) -> DataFrame:
     """Alias -> concrete indices; unknown names stay themselves.
 
     Order-preserving dedupe per case: an index keeps the position of its
-    first appearance.  ``aliases`` has ``alias, index``; its size follows the
-    number of aliases, and adaptive execution broadcasts it once measured
-    small.
+    first appearance.  ``aliases`` has ``alias, index``.  A handful of names
+    covers most requests, so the alias table (all indices of an alias in one
+    row) is counted and broadcast, or joined with salted keys beyond that; the
+    rest happens inside the case's partition.
     """
-    a = aliases.select(F.col("alias").alias("target"), F.col("index").alias("__index"))
-    j = targets.join(a, "target", "left").select(
-        "file_id", "seq", "target_pos", F.coalesce(F.col("__index"), F.col("target")).alias("index_name")
+    a = aliases.where(F.col("alias").isNotNull()).groupBy(F.col("alias").alias("target")).agg(F.sort_array(F.collect_set("index")).alias("__indices"))
+    j = lookup_join(targets, a, "target").select(
+        "file_id", "seq", "target_pos", F.explode(F.coalesce(F.col("__indices"), F.array("target"))).alias("index_name")
     )
     # Both windows share the (file, case) partitioning: one exchange.  The
     # first keeps each index's earliest appearance, the second numbers them.
@@ -181,7 +187,7 @@ def index_overview(resolved: DataFrame, overview: DataFrame) -> DataFrame:
         F.col("docs_count").alias("__docs"),
         F.col("store_size").alias("__store"),
     )
-    j = resolved.join(o, "index_name", "left")
+    j = lookup_join(resolved, o, "index_name")
     return j.select(
         "file_id",
         "seq",

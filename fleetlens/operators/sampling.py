@@ -16,7 +16,9 @@ Plan shape (two exchanges, no Python):
 2. one ``Window`` partitioned by the group and ordered by bucket carries the
    previous non-null value of every counter.  After step 1 a group holds at
    most one row per bucket, so the largest window partition is bounded by
-   ``time range / interval``, not by the input size.
+   ``time range / interval``, not by the input size.  With an interval at or
+   below the collection period step 1 reduces nothing, and one series is one
+   task's window; sample such input without rates, or by coarser buckets.
 
 The result does not depend on partitioning or on how the time range is cut.
 
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.nested import field_type, leaf_paths, quote_path, with_paths
+from fleetlens.functions.nested import field_type, leaf_paths, project_paths, quote_path, with_paths
 from fleetlens.functions.timeutil import bucket_start_ms, epoch_micros, parse_interval_ms
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -53,6 +55,19 @@ class FieldRules:
     ratio: dict[str, tuple[str, str]] = field(default_factory=dict)
     max: tuple[str, ...] = ()
 
+    def only(self, fields: list[str]) -> FieldRules:
+        """The rules whose result lies at or below one of ``fields``."""
+
+        def wanted(path: str) -> bool:
+            return any(path == f or path.startswith(f + ".") or f.startswith(path + ".") for f in fields)
+
+        return FieldRules(
+            rate=tuple(p for p in self.rate if wanted(p)),
+            latency={p: pair for p, pair in self.latency.items() if wanted(p)},
+            ratio={p: pair for p, pair in self.ratio.items() if wanted(p)},
+            max=tuple(p for p in self.max if wanted(p)),
+        )
+
     def inputs(self) -> list[str]:
         seen: list[str] = []
         for path in list(self.rate) + [p for pair in self.latency.values() for p in pair] + [
@@ -79,15 +94,16 @@ def resolve_group_columns(df: DataFrame, candidates: list[str], fixed: bool = Fa
 
     ``fixed`` keeps the candidates as given (node and index stats).  Otherwise
     a candidate is kept when the schema has it and at least one row holds a
-    value; each probe is a ``limit(1)`` job that stops at the first hit
-    instead of scanning the whole input.  If none qualifies, the first
-    candidate is used.
+    value: one aggregate over the candidate columns alone.  If none qualifies,
+    the first candidate is used.
     """
     if fixed:
         return list(candidates)
     present = [c for c in candidates if field_type(df.schema, c) is not None]
-    valid = [c for c in present if df.select(F.col(quote_path(c)).alias("g")).where(F.col("g").isNotNull()).limit(1).count() > 0]
-    return valid or candidates[:1]
+    if not present:
+        return candidates[:1]
+    found = df.agg(*[F.max(F.col(quote_path(c)).isNotNull()).alias(f"c{i}") for i, c in enumerate(present)]).first()
+    return [c for c, some in zip(present, found, strict=True) if some] or candidates[:1]
 
 
 def add_bucket(df: DataFrame, interval: str | int, ts_col: str = "timestamp", bucket_col: str = "bucket_ms") -> DataFrame:
@@ -127,6 +143,19 @@ def _prepare(df: DataFrame, group_cols: list[str], drop_null_groups: bool) -> Da
     return df
 
 
+def _with_modes(grouped: DataFrame, texts: DataFrame, places: list[int]) -> DataFrame:
+    """Add ``__fb<i>``, the most frequent text (ties: the one that sorts first)
+    of column ``__t<i>`` per key.  Values are counted first, so a bucket's
+    distinct texts are rows and not one aggregate's buffer."""
+    keys = [c for c in texts.columns if not c.startswith("__t")]
+    long = texts.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("__i"), F.col(f"__t{i}").alias("__text")) for i in places])))
+    counted = long.where("__text is not null").groupBy(*keys, "__i", "__text").agg(F.count(F.lit(1)).alias("__n"))
+    best = counted.groupBy(*keys).agg(*[F.min(F.when(F.col("__i") == i, F.struct((-F.col("__n")).alias("n"), F.col("__text").alias("t")))).alias(f"__b{i}") for i in places])
+    best = best.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], *[F.col(f"__b{i}.t").alias(f"__fb{i}") for i in places])
+    same = [F.col(k).eqNullSafe(F.col(f"__k{j}")) for j, k in enumerate(keys)]
+    return grouped.join(best, same, "left").drop(*[f"__k{j}" for j in range(len(keys))])
+
+
 def sample_buckets(
     df: DataFrame,
     group_cols: list[str],
@@ -137,9 +166,13 @@ def sample_buckets(
     bucket_col: str = "bucket_ms",
     fallback: str = "latest",
     drop_null_groups: bool = True,
+    fields: list[str] | None = None,
 ) -> DataFrame:
     """Down-sample ``df`` to one row per (group, bucket).
 
+    ``fields`` names the paths wanted in the result: only they, the group, the
+    time, the id and the inputs of rules that make them are read and moved.
+
     ``interval=None`` returns ``df`` unchanged: sampling without an interval
     is a full export (A13).  ``fallback="avg_mode"`` replaces unclassified
     numeric leaves by their bucket average and string leaves by their most
@@ -153,18 +186,17 @@ def sample_buckets(
     rules = rules or FieldRules()
     interval_ms = parse_interval_ms(interval)
     seconds = interval_ms / 1000.0
+    if fields is not None:
+        rules = rules.only(fields)
+        df = project_paths(df, [*group_cols, ts_col, id_col, *fields, *rules.inputs(), *rules.max])
 
     base = _prepare(df, group_cols, drop_null_groups)
     base = base.withColumn(bucket_col, bucket_start_ms(epoch_micros(base, ts_col), interval_ms))
     top_cols = [c for c in df.columns]
 
-    # Bucket max only for numeric (or numeric-castable text) leaves;
-    # booleans and structs degrade to the latest value at plan time.
-    max_paths = []
-    for path in rules.max:
-        dtype = field_type(df.schema, path)
-        if dtype is not None and isinstance(dtype, NUMERIC + (T.StringType,)):
-            max_paths.append(path)
+    # A bucket maximum is taken of numbers alone; any other type keeps
+    # the newest document's value, decided from the schema.
+    max_paths = [p for p in rules.max if isinstance(field_type(df.schema, p), NUMERIC)]
 
     aggs = [
         F.max_by(F.struct(*[F.col(f"`{c}`") for c in top_cols]), F.struct(F.col(ts_col), F.col(id_col))).alias("__snap")
@@ -182,10 +214,13 @@ def sample_buckets(
                 aggs.append(F.avg(F.col(quote_path(path))).alias(f"__fb{len(fallback_paths)}"))
                 fallback_paths.append((path, "avg"))
             elif isinstance(dtype, T.StringType):
-                aggs.append(F.mode(F.col(quote_path(path)), deterministic=True).alias(f"__fb{len(fallback_paths)}"))
                 fallback_paths.append((path, "mode"))
 
-    grouped = base.groupBy(*[F.col(quote_path(g)).alias(f"__g{i}") for i, g in enumerate(group_cols)], F.col(bucket_col)).agg(*aggs)
+    keys = [F.col(quote_path(g)).alias(f"__g{i}") for i, g in enumerate(group_cols)] + [F.col(bucket_col)]
+    grouped = base.groupBy(*keys).agg(*aggs)
+    modes = [(i, path) for i, (path, kind) in enumerate(fallback_paths) if kind == "mode"]
+    if modes:
+        grouped = _with_modes(grouped, base.select(*keys, *[F.col(quote_path(p)).alias(f"__t{i}") for i, p in modes]), [i for i, _ in modes])
     extra = [f"__max{i}" for i in range(len(max_paths))] + [f"__fb{i}" for i in range(len(fallback_paths))]
     sampled = grouped.select(
         *[F.col(f"__g{i}") for i in range(len(group_cols))], "__snap.*", F.col(bucket_col), *extra
@@ -196,44 +231,37 @@ def sample_buckets(
         overrides[path] = F.col(f"__fb{i}")
 
     inputs = rules.inputs()
+    pairs = {**rules.latency, **rules.ratio}
     if inputs:
         win = Window.partitionBy(*[F.col(f"__g{i}") for i in range(len(group_cols))]).orderBy(F.col(bucket_col)).rowsBetween(
             Window.unboundedPreceding, -1
         )
-        cur_cols = {p: f"__cur{i}" for i, p in enumerate(inputs)}
-        prev_cols = {p: f"__prev{i}" for i, p in enumerate(inputs)}
-        sampled = sampled.select(
-            "*",
-            *[_as_double(sampled, p).alias(cur_cols[p]) for p in inputs],
-        )
+        cur = {p: F.col(f"__cur{i}") for i, p in enumerate(inputs)}
+        sampled = sampled.select("*", *[_as_double(sampled, p).alias(f"__cur{i}") for i, p in enumerate(inputs)])
+
+        def both(a: str, b: str) -> Column:
+            return F.when(cur[a].isNotNull() & cur[b].isNotNull(), F.struct(cur[a].alias("a"), cur[b].alias("b")))
+
+        # a rate looks back to its field's last value, a quotient to the last
+        # bucket that had both inputs, so both deltas span the same time
         sampled = sampled.select(
             "*",
-            *[F.last(F.col(cur_cols[p]), ignorenulls=True).over(win).alias(prev_cols[p]) for p in inputs],
+            *[F.last(cur[p], ignorenulls=True).over(win).alias(f"__prev{i}") for i, p in enumerate(rules.rate)],
+            *[F.last(both(a, b), ignorenulls=True).over(win).alias(f"__pair{i}") for i, (a, b) in enumerate(pairs.values())],
         )
 
-        def delta(p: str) -> Column:
-            cur, prev = F.col(cur_cols[p]), F.col(prev_cols[p])
-            d = cur - prev
-            return F.when(d < 0, cur).otherwise(d)
-
-        for p in rules.rate:
-            cur, prev = F.col(cur_cols[p]), F.col(prev_cols[p])
-            overrides[p] = (
-                F.when(cur.isNull(), F.lit(None).cast("double"))
-                .when(prev.isNull(), cur)
-                .otherwise(delta(p) / F.lit(seconds))
-            )
-        for out, (a, b) in list(rules.latency.items()) + list(rules.ratio.items()):
-            present = (
-                F.col(cur_cols[a]).isNotNull()
-                & F.col(cur_cols[b]).isNotNull()
-                & F.col(prev_cols[a]).isNotNull()
-                & F.col(prev_cols[b]).isNotNull()
-            )
+        def delta(now: Column, before: Column) -> Column:
+            return F.when(now < before, now).otherwise(now - before)
+
+        for i, p in enumerate(rules.rate):
+            before = F.col(f"__prev{i}")
+            overrides[p] = F.when(before.isNull(), cur[p]).otherwise(delta(cur[p], before) / F.lit(seconds))
+        for i, (out, (a, b)) in enumerate(pairs.items()):
+            before = F.col(f"__pair{i}")
+            present = cur[a].isNotNull() & cur[b].isNotNull() & before.isNotNull()
+            below = delta(cur[b], before["b"])
             kept = _as_double(sampled, out) if field_type(df.schema, out) is not None else F.lit(None).cast("double")
-            overrides[out] = F.when(
-                present, F.when(delta(b) == 0, F.lit(0.0)).otherwise(delta(a) / delta(b))
-            ).otherwise(kept)
+            overrides[out] = F.when(present, F.when(below == 0, F.lit(0.0)).otherwise(delta(cur[a], before["a"]) / below)).otherwise(kept)
 
     for i, p in enumerate(max_paths):
         overrides[p] = F.coalesce(F.col(f"__max{i}"), _as_double(sampled, p))

@@ -7,12 +7,14 @@ projection, no Python per row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.nested import flatten, project_paths, rewrite
+from fleetlens.session import write_shared
 
 # What slim mode removes.
 SLIM_TOP_LEVEL = ("_id", "agent")
@@ -99,43 +101,49 @@ def shape_documents(
 
 
 def _json_pairs(v: Column, key: Column, depth: int) -> Column:
-    """Array of (key, value) leaves of a VARIANT, objects descended ``depth`` levels."""
+    """Array of (key, value, more) of a VARIANT, objects descended ``depth``
+    levels; ``more`` marks an object that is still to be descended."""
     kind = F.schema_of_variant(v)
-    leaf = F.array(
-        F.struct(key.alias("key"), F.when(kind == "STRING", F.variant_get(v, "$", "string")).otherwise(F.to_json(v)).alias("value"))
-    )
-    if depth == 0:
-        return F.array(F.struct(key.alias("key"), F.to_json(v).alias("value")))
     obj = F.try_variant_get(v, "$", "map<string,variant>")
+    text = F.when(kind == "STRING", F.variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    leaf = F.array(F.struct(key.alias("key"), text.alias("value"), obj.isNotNull().alias("more")))
+    if depth == 0:
+        return leaf
     children = F.flatten(
         F.transform(
             F.map_entries(obj),
-            lambda e: _json_pairs(
-                e["value"], F.when(key == "", e["key"]).otherwise(F.concat(key, F.lit("."), e["key"])), depth - 1
-            ),
+            lambda e: _json_pairs(e["value"], F.when(key == "", e["key"]).otherwise(F.concat(key, F.lit("."), e["key"])), depth - 1),
         )
     )
     return F.when(obj.isNotNull(), children).otherwise(leaf)
 
 
-def flatten_variant(df: DataFrame, id_cols: list[str], variant: Column, prefix: str = "", max_depth: int = 8) -> DataFrame:
+def flatten_variant(df: DataFrame, id_cols: list[str], variant: Column, prefix: str = "", levels: int = 8) -> DataFrame:
     """``flatten_json`` for a VARIANT column (e.g. a sub-document picked with ``variant_get``)."""
-    pairs = _json_pairs(variant, F.lit(prefix), max_depth)
-    return df.where(variant.isNotNull()).select(*id_cols, F.explode(pairs).alias("__p")).select(*id_cols, "__p.key", "__p.value")
-
-
-def flatten_json(df: DataFrame, id_cols: list[str], json_col: str, prefix: str = "", max_depth: int = 8) -> DataFrame:
+    pairs = df.where(variant.isNotNull()).select(*id_cols, F.inline(_json_pairs(variant, F.lit(prefix), levels)))
+    if not pairs.where("more").limit(1).count():
+        return pairs.drop("more")
+    done = []
+    while True:  # deeper objects, ``levels`` at a time
+        pairs = write_shared(pairs, "flatten")
+        done.append(pairs.where(~F.col("more")).drop("more"))
+        rest = pairs.where("more")
+        if not rest.limit(1).count():
+            break
+        pairs = rest.select(*id_cols, F.inline(_json_pairs(F.parse_json("value"), F.col("key"), levels)))
+    return reduce(DataFrame.unionByName, done)
+
+
+def flatten_json(df: DataFrame, id_cols: list[str], json_col: str, prefix: str = "", levels: int = 8) -> DataFrame:
     """Free-form JSON object -> one row per leaf: ``key`` (dotted, with prefix), ``value``.
 
-    One pass: nested ``transform`` over the VARIANT's object entries builds
-    every (key, value) pair of a document inside its row, then one
-    ``explode``.  Objects deeper than ``max_depth`` are kept as JSON text.
-    Strings keep their text, other leaves become JSON text; an empty object
-    yields no rows.
+    Nested ``transform`` over the VARIANT's object entries builds the (key,
+    value) pairs of ``levels`` levels inside the row, then one generator.  Only
+    documents that go deeper -- found by a probe that stops at the first one --
+    take further passes of as many levels.  Strings keep their text, other
+    leaves become JSON text; an empty object yields no rows.
     """
-    v = F.try_parse_json(F.col(json_col))
-    pairs = _json_pairs(v, F.lit(prefix), max_depth)
-    return df.where(v.isNotNull()).select(*id_cols, F.explode(pairs).alias("__p")).select(*id_cols, "__p.key", "__p.value")
+    return flatten_variant(df, id_cols, F.try_parse_json(F.col(json_col)), prefix, levels)
 
 
 __all__ = [

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.fieldspec import METRIC_TYPES, classify_fields
+from fleetlens.functions.fieldspec import METRIC_TYPES, classify_fields, document_schema, envelope_schema
 from fleetlens.functions.nested import field_type, quote_path
 from fleetlens.functions.timeutil import resolve_time_window
 from fleetlens.operators import filters, sampling, shape
+from fleetlens.operators.fleet import active_clusters
+from fleetlens.session import write_shared
 from fleetlens.sinks.writers import DEFAULT_ROWS_PER_FILE, write_json_lines
 from fleetlens.sources.tables import ALERT_TIME_COLUMNS, read_alerts, read_metrics
 
@@ -61,6 +63,9 @@ class ExportJob:
     exclude_indices: list[str] | None = None
     sampling_interval: str | None = None
     rules: dict[str, sampling.FieldRules] | None = None
+    # JSON is read with the declared schema of its type, never inferred; fields
+    # outside it are read only if a schema given here holds them
+    schemas: dict[str, T.StructType] | None = None
     fallback: str = "latest"
     source_fields: list[str] | None = None
     mask: bool = False
@@ -74,22 +79,36 @@ class ExportJob:
 LABEL = "metadata.labels"
 
 
-def _target_filter(df: DataFrame, job: ExportJob) -> DataFrame:
-    """Cluster globs on id or name (F6, F7), node and index globs (F8)."""
-    out = df
-    if job.include_clusters or job.exclude_clusters:
-        from fleetlens.operators.fleet import active_clusters
-
-        cid = F.col(f"{LABEL}.cluster_id")
-        cname = F.col(f"{LABEL}.cluster_name") if field_type(df.schema, f"{LABEL}.cluster_name") else cid
-        # The cluster list of the window (A19: each cluster with its most
-        # frequent name, none left out); globs match its id or name, and the
-        # semi join keeps documents of matching clusters.  No match, no rows.
-        clusters = active_clusters(out.select(cid.alias("cluster_id"), cname.alias("cluster_name")), top=None)
-        chosen = clusters.where(
-            filters.target_predicate(F.col("cluster_id"), F.col("cluster_name"), job.include_clusters, job.exclude_clusters)
-        )
-        out = filters.restrict_to(out, chosen, f"{LABEL}.cluster_id", "cluster_id")
+def _read(spark: SparkSession, job: ExportJob, metric_type: str | None) -> DataFrame:
+    """Documents of a type (None: of all types, envelope only) in the window."""
+    schema = None
+    if metric_type:
+        schema = (job.schemas or {}).get(metric_type) or (document_schema(metric_type) if job.metrics_format == "json" else None)
+    elif job.metrics_format == "json":
+        schema = envelope_schema()
+    df = read_metrics(spark, job.metrics_path, metric_type, schema, job.metrics_format)
+    lo, hi = resolve_time_window(job.hours, job.start, job.end, job.now)
+    return filters.time_window(df, "timestamp", lo, hi)
+
+
+def matching_clusters(spark: SparkSession, job: ExportJob) -> DataFrame | None:
+    """Ids of the clusters that the job's globs let in (F6, F7), once per job.
+
+    The cluster list is that of the window over all types (A19: each cluster
+    with its most frequent name); globs match id or name.  None: no globs."""
+    if not (job.include_clusters or job.exclude_clusters) or not job.metrics_path:
+        return None
+    df = _read(spark, job, None)
+    cid = F.col(f"{LABEL}.cluster_id")
+    cname = F.col(f"{LABEL}.cluster_name") if field_type(df.schema, f"{LABEL}.cluster_name") else cid
+    clusters = active_clusters(df.select(cid.alias("cluster_id"), cname.alias("cluster_name")))
+    chosen = clusters.where(filters.target_predicate(F.col("cluster_id"), F.col("cluster_name"), job.include_clusters, job.exclude_clusters))
+    return write_shared(chosen.select("cluster_id"), "clusters")
+
+
+def _target_filter(df: DataFrame, job: ExportJob, clusters: DataFrame | None) -> DataFrame:
+    """Matching clusters by a semi join, node and index globs (F8)."""
+    out = df if clusters is None else filters.restrict_to(df, clusters, f"{LABEL}.cluster_id", "cluster_id")
     for col, inc, exc in (
         (f"{LABEL}.node_name", job.include_nodes, job.exclude_nodes),
         (f"{LABEL}.index_name", job.include_indices, job.exclude_indices),
@@ -99,23 +118,17 @@ def _target_filter(df: DataFrame, job: ExportJob) -> DataFrame:
     return out
 
 
-def metric_frame(spark: SparkSession, job: ExportJob, metric_type: str) -> DataFrame:
+def metric_frame(spark: SparkSession, job: ExportJob, metric_type: str, clusters: DataFrame | None = None) -> DataFrame:
     """The lazy export of one metric type."""
     spec = METRIC_TYPES[metric_type]
-    df = read_metrics(spark, job.metrics_path, metric_type, fmt=job.metrics_format)
-    lo, hi = resolve_time_window(job.hours, job.start, job.end, job.now)
-    df = filters.time_window(df, "timestamp", lo, hi)
-    df = _target_filter(df, job)
+    df = _target_filter(_read(spark, job, metric_type), job, clusters)
     if job.sampling_interval:
         groups = sampling.resolve_group_columns(df, list(spec.group_fields), fixed=spec.fixed_groups)
         rules = (job.rules or {}).get(metric_type) or classify_fields(df.schema, metric_type)
-        df = sampling.sample_buckets(df, groups, job.sampling_interval, rules, fallback=job.fallback).drop("bucket_ms")
-    df = shape.shape_documents(df, job.source_fields, mask=job.mask, slim=job.slim)
-    if job.max_docs:
-        df = df.orderBy(F.col("timestamp").desc(), F.col("_id").asc()).limit(job.max_docs) if "_id" in df.columns else df.orderBy(
-            F.col("timestamp").desc()
-        ).limit(job.max_docs)
-    return df
+        df = sampling.sample_buckets(df, groups, job.sampling_interval, rules, fallback=job.fallback, fields=job.source_fields or None).drop("bucket_ms")
+    if job.max_docs:  # before shaping, which may drop the id
+        df = df.orderBy(F.col("timestamp").desc(), *([F.col("_id").asc()] if "_id" in df.columns else [])).limit(job.max_docs)
+    return shape.shape_documents(df, job.source_fields, mask=job.mask, slim=job.slim)
 
 
 def alert_frame(spark: SparkSession, job: ExportJob, alert_type: str) -> DataFrame:
@@ -124,11 +137,10 @@ def alert_frame(spark: SparkSession, job: ExportJob, alert_type: str) -> DataFra
     if col is not None and col in df.columns:
         lo, hi = resolve_time_window(job.hours, job.start, job.end, job.now)
         df = filters.time_window(df, col, lo, hi)
-    df = shape.shape_documents(df, None, mask=job.mask, slim=None)
     if job.max_docs:
         keys = ([F.col(col).desc_nulls_last()] if col and col in df.columns else []) + ([F.col("_id").asc()] if "_id" in df.columns else [])
         df = df.orderBy(*keys).limit(job.max_docs)
-    return df
+    return shape.shape_documents(df, None, mask=job.mask, slim=None)
 
 
 def _write(df: DataFrame, path: str, job: ExportJob, kind: str) -> int:
@@ -148,15 +160,16 @@ def run_export_job(spark: SparkSession, job: ExportJob) -> DataFrame:
     metric_types = list(METRIC_TYPES) if job.metric_types is None else list(job.metric_types)
     alert_types = list(job.alert_paths) if job.alert_types is None else list(job.alert_types)
     work = [("metric", t) for t in metric_types if job.metrics_path] + [("alert", t) for t in alert_types if t in job.alert_paths]
+    clusters = matching_clusters(spark, job) if any(kind == "metric" for kind, _ in work) else None
     for kind, name in work:
         started = time.time()
         target = f"{job.output_path}/{name}" if job.split_by != "type" else f"{job.output_path}/type={name}"
         try:
-            frame = metric_frame(spark, job, name) if kind == "metric" else alert_frame(spark, job, name)
+            frame = metric_frame(spark, job, name, clusters) if kind == "metric" else alert_frame(spark, job, name)
             count = _write(frame, target, job, name)
             rows.append((job.name, kind, name, count, time.time() - started, None, target))
         except Exception as exc:  # noqa: BLE001 - the summary reports per-type failures
-            rows.append((job.name, kind, name, 0, time.time() - started, f"{type(exc).__name__}: {exc}"[:500], target))
+            rows.append((job.name, kind, name, 0, time.time() - started, f"{type(exc).__name__}: {exc}", target))
     return spark.createDataFrame(rows, SUMMARY_SCHEMA)
 
 

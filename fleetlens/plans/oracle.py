@@ -48,15 +48,20 @@ def rate(col: str, seconds: float) -> str:
     )
 
 
-def delta(col: str) -> str:
-    c, p = f"CAST({col} AS DOUBLE)", f"p_{col}"
-    return f"(CASE WHEN {c} - {p} < 0 THEN {c} ELSE {c} - {p} END)"
+def both(t: str, n: str) -> str:
+    """The last earlier bucket that holds both inputs."""
+    pair = f"CASE WHEN {t} IS NOT NULL AND {n} IS NOT NULL THEN {{'t': CAST({t} AS DOUBLE), 'n': CAST({n} AS DOUBLE)}} END"
+    return f"last_value({pair} IGNORE NULLS) OVER (PARTITION BY cluster_id, node_id ORDER BY bucket_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
 
+def latency(t: str, n: str, pair: str = "pair") -> str:
+    def delta(c: str, p: str) -> str:
+        return f"(CASE WHEN CAST({c} AS DOUBLE) < {p} THEN CAST({c} AS DOUBLE) ELSE CAST({c} AS DOUBLE) - {p} END)"
 
-def latency(t: str, n: str) -> str:
+    below = delta(n, f"{pair}.n")
     return (
-        f"CASE WHEN {t} IS NOT NULL AND {n} IS NOT NULL AND p_{t} IS NOT NULL AND p_{n} IS NOT NULL THEN "
-        f"(CASE WHEN {delta(n)} = 0 THEN 0.0 ELSE {delta(t)} / {delta(n)} END) ELSE CAST(NULL AS DOUBLE) END"
+        f"CASE WHEN {t} IS NOT NULL AND {n} IS NOT NULL AND {pair} IS NOT NULL THEN "
+        f"(CASE WHEN {below} = 0 THEN 0.0 ELSE {delta(t, f'{pair}.t')} / {below} END) ELSE CAST(NULL AS DOUBLE) END"
     )
 
 
@@ -82,7 +87,7 @@ SELECT cluster_id, node_id, bucket_ms, _id, {rate('ops', 3600.0)} AS ops, {rate(
 
 SQL["latency_1h"] = f"""
 WITH {METRICS}, {bucketed(3_600_000)},
-w AS (SELECT *, {prev('ops')} AS p_ops, {prev('time_ms')} AS p_time_ms FROM latest)
+w AS (SELECT *, {both('time_ms', 'ops')} AS pair FROM latest)
 SELECT cluster_id, node_id, bucket_ms, _id, CAST(ops AS BIGINT) AS ops, CAST(time_ms AS BIGINT) AS time_ms,
        {latency('time_ms', 'ops')} AS latency_ms
 FROM w
@@ -90,14 +95,14 @@ FROM w
 
 SQL["ratio_1h"] = f"""
 WITH {METRICS}, {bucketed(3_600_000)},
-w AS (SELECT *, {prev('ops')} AS p_ops, {prev('time_ms')} AS p_time_ms FROM latest)
+w AS (SELECT *, {both('ops', 'time_ms')} AS pair FROM latest)
 SELECT cluster_id, node_id, bucket_ms, _id, {latency('ops', 'time_ms')} AS ops_per_time FROM w
 """
 
 SQL["sample_full_pipeline"] = f"""
 WITH {METRICS}, {bucketed(900_000)},
 mx AS (SELECT cluster_id, node_id, bucket_ms, max(value) AS max_value FROM b GROUP BY cluster_id, node_id, bucket_ms),
-w AS (SELECT l.*, mx.max_value, {prev('ops')} AS p_ops, {prev('time_ms')} AS p_time_ms
+w AS (SELECT l.*, mx.max_value, {prev('ops')} AS p_ops, {prev('time_ms')} AS p_time_ms, {both('time_ms', 'ops')} AS pair
       FROM latest l JOIN mx USING (cluster_id, node_id, bucket_ms))
 SELECT cluster_id, node_id, bucket_ms, _id, "timestamp", metric_type, status,
        coalesce(max_value, value) AS value,
@@ -323,7 +328,6 @@ best AS (SELECT cluster_id, name FROM (
 SELECT CAST(t.cluster_id AS VARCHAR) AS cluster_id, coalesce(b.name, CAST(t.cluster_id AS VARCHAR)) AS cluster_name,
        CAST(t.doc_count AS BIGINT) AS doc_count
 FROM tot t LEFT JOIN best b USING (cluster_id)
-ORDER BY doc_count DESC, CAST(t.cluster_id AS VARCHAR) LIMIT 1000
 """
 
 SQL["resolve_name"] = f"""
@@ -394,7 +398,7 @@ docs AS (
          '{{"p_name":' || to_json(p_name) || ',"p_size":' || CAST(p_size AS VARCHAR) || ',"p_retailprice":' || CAST(p_retailprice AS VARCHAR) || '}}' AS _source
   FROM part
 ),
-k AS (SELECT d.* FROM docs d SEMI JOIN capped c ON d.cluster_id = c.cluster_id AND d.index_name = c.index_name)
+k AS (SELECT d.* FROM docs d SEMI JOIN elig c ON d.cluster_id = c.cluster_id AND d.index_name = c.index_name)
 SELECT cluster_id, index_name, CAST(doc_rank AS INTEGER) AS doc_rank, _id, _source FROM (
   SELECT *, row_number() OVER (PARTITION BY cluster_id, index_name ORDER BY seq, _id) AS doc_rank FROM k
 ) WHERE doc_rank <= 2
@@ -404,17 +408,17 @@ SELECT cluster_id, index_name, CAST(doc_rank AS INTEGER) AS doc_rank, _id, _sour
 
 RUNS = """
 runs AS (
-  SELECT p_brand || ' (' || CASE WHEN l_returnflag = 'R' THEN 'original' ELSE 'optimized' END || ')' AS name,
+  SELECT p_brand || ' (' || CASE l_returnflag WHEN 'R' THEN 'original' WHEN 'A' THEN 'optimized' ELSE 'other' END || ')' AS name,
          p_brand AS base_name,
-         CASE WHEN l_returnflag = 'R' THEN 'original' ELSE 'optimized' END AS query_type,
+         CASE l_returnflag WHEN 'R' THEN 'original' WHEN 'A' THEN 'optimized' ELSE 'other' END AS query_type,
          CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS query_index,
          l_linenumber AS iteration, l_linenumber <= 2 AS is_warmup,
          CASE WHEN l_linenumber > 2 THEN l_linenumber - 2 END AS measured_iteration,
          CASE WHEN l_discount <> 0 THEN l_quantity END AS took,
          CAST(floor(l_extendedprice / 10) AS DOUBLE) AS duration,
          l_linestatus = 'O' AS success
+  , l_orderkey * 10 + l_linenumber AS seq
   FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_returnflag IN ('R', 'A')
 ),
 mr AS (SELECT * FROM runs WHERE NOT coalesce(is_warmup, false))"""
 
@@ -452,7 +456,7 @@ FROM a
 
 SQL["bench_per_query"] = f"""
 WITH {RUNS}
-SELECT name, first(query_index) AS query_index, first(query_type) AS query_type,
+SELECT name, min(query_index) AS query_index, min(query_type) AS query_type,
        count({DUR}) AS duration_count, {stats(DUR, 'duration')},
        count(took) AS took_count, {stats('took', 'took')}
 FROM mr GROUP BY name
@@ -491,17 +495,18 @@ FROM k
 
 SQL["bench_pairs"] = f"""
 WITH {RUNS},
-o AS (SELECT query_index, measured_iteration, first(base_name) AS original_name, avg(took) AS original_took,
-             avg({DUR}) AS original_duration
-      FROM mr WHERE query_type = 'original' GROUP BY query_index, measured_iteration),
-p AS (SELECT query_index, measured_iteration, first(base_name) AS optimized_name, avg(took) AS optimized_took,
-             avg({DUR}) AS optimized_duration
-      FROM mr WHERE query_type = 'optimized' GROUP BY query_index, measured_iteration)
+last AS (
+  SELECT * FROM (
+    SELECT *, {DUR} AS dur, row_number() OVER (PARTITION BY query_index, measured_iteration, query_type ORDER BY seq DESC) AS rk FROM mr
+  ) WHERE rk = 1
+),
+o AS (SELECT query_index, measured_iteration, base_name AS original_name, took AS original_took, dur AS original_duration FROM last WHERE query_type = 'original'),
+p AS (SELECT query_index, measured_iteration, base_name AS optimized_name, took AS optimized_took, dur AS optimized_duration FROM last WHERE query_type = 'optimized')
 SELECT query_index, measured_iteration,
        CASE WHEN original_name IS NOT NULL AND optimized_name IS NOT NULL AND original_name <> optimized_name
             THEN original_name || ' vs ' || optimized_name
             ELSE coalesce(original_name, optimized_name, 'Query ' || CAST(query_index + 1 AS VARCHAR)) END AS display_name,
-       original_took, optimized_took, original_duration, optimized_duration
+       CAST(original_took AS DOUBLE) AS original_took, CAST(optimized_took AS DOUBLE) AS optimized_took, original_duration, optimized_duration
 FROM o FULL OUTER JOIN p USING (query_index, measured_iteration)
 """
 
@@ -516,7 +521,7 @@ sh AS (
          CAST(o_custkey * 10 * i AS BIGINT) AS rw,
          CAST(floor(o_totalprice / 10) * i AS BIGINT) AS f,
          CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice / 100) * i AS BIGINT) ELSE 0 END AS ag,
-         'TermQuery' || o_orderstatus AS qtype, 'cust:' || CAST(o_custkey AS VARCHAR) AS descr, i AS pos
+         'TermQuery' || o_orderstatus AS qtype, 'cust:' || CAST(o_custkey AS VARCHAR) AS descr, i AS pos, o_totalprice AS price
   FROM ex
 )"""
 
@@ -550,6 +555,14 @@ SELECT run_id, CAST(rank AS INTEGER) AS rank, qtype AS type, descr AS descriptio
 FROM r WHERE rank <= 3
 """
 
+SQL["profile_collectors"] = f"""
+WITH {SHARDS},
+c AS (SELECT *, {ms('CAST(floor(price) * pos AS BIGINT)')} AS time_ms FROM sh),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY time_ms DESC, pos ASC) AS rank FROM c)
+SELECT run_id, CAST(rank AS INTEGER) AS rank, 'SimpleTopScoreDocCollector' AS name, 'search_top_hits' AS reason, time_ms, id AS shard, "index"
+FROM r WHERE rank <= 3
+"""
+
 SQL["profile_phases"] = f"""
 WITH {SHARDS},
 t AS (
@@ -583,7 +596,7 @@ parsed AS (
               WHEN st = 'F' THEN 'idx-f,idx-' || d || '/_search?size=' || d
               ELSE '/_cat/indices/idx-o' END AS path,
          CASE WHEN missing THEN NULL
-              WHEN st = 'P' THEN '{"index":"idx-p"}' || chr(10) || '{"query":{"match_all":{}},"size":' || d || '}' || chr(10)
+              WHEN st = 'P' THEN '{"index":"idx-p"}' || chr(10) || '{"query":{"match_all":{}},"size":' || d || '}'
               WHEN st = 'F' THEN body_json
               WHEN d = '1' THEN '' ELSE body_json END AS body_raw,
          CASE WHEN missing THEN NULL ELSE st = 'P' END AS body_is_ndjson,
@@ -621,7 +634,8 @@ resolved AS (
 
 SQL["request_parse"] = f"""
 WITH {CASES}
-SELECT file_id, CAST(seq AS INTEGER) AS seq, title, method, path, body_raw, body_is_ndjson, body_valid, error FROM parsed
+SELECT file_id, CAST(seq AS INTEGER) AS seq, title, method, path, body_raw,
+       body_raw || CASE WHEN body_is_ndjson THEN chr(10) ELSE '' END AS body_sent, body_is_ndjson, body_valid, error FROM parsed
 """
 
 SQL["request_targets"] = f"""
@@ -672,7 +686,7 @@ FROM report
 SQL["diag_node"] = f"""
 WITH {METRICS}, {bucketed(900_000)},
 mx AS (SELECT cluster_id, node_id, bucket_ms, max(value) AS max_value FROM b GROUP BY cluster_id, node_id, bucket_ms),
-w AS (SELECT l.*, mx.max_value, {prev('ops')} AS p_ops, {prev('time_ms')} AS p_time_ms
+w AS (SELECT l.*, mx.max_value, {prev('ops')} AS p_ops, {prev('time_ms')} AS p_time_ms, {both('time_ms', 'ops')} AS pair
       FROM latest l JOIN mx USING (cluster_id, node_id, bucket_ms)),
 s AS (SELECT cluster_id, node_id, bucket_ms, coalesce(max_value, value) AS value,
              {rate('ops', 900.0)} AS ops, {latency('time_ms', 'ops')} AS latency_ms FROM w),
@@ -767,7 +781,7 @@ WITH {CATALOG}
 SELECT cluster_id, index_name, doc_count, true AS has_mapping,
        CASE WHEN index_name = 'small' THEN '{{"error":"no such index"}}'
             ELSE '{{"properties":{{"p_name":{{"type":"text"}},"p_size":{{"type":"integer"}}}}}}' END AS mapping
-FROM capped
+FROM elig
 """
 
 SQL["cluster_latest_status"] = """
@@ -776,7 +790,6 @@ WITH d AS (
          CASE WHEN event_type = 'error' THEN 'red' WHEN event_type = 'signup' THEN 'yellow' ELSE 'green' END AS status,
          CAST(floor(value / 10) + 1 AS BIGINT) AS number_of_nodes
   FROM events
-  WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '2024-01-30 23:59:59'
 )
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY "timestamp" DESC, _id DESC) AS rn FROM d) WHERE rn = 1
 """
@@ -784,15 +797,41 @@ SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id
 
 SQL["profile_records"] = f"""
 WITH {SHARDS},
+ranked AS (
+  SELECT *, q + f + ag AS total, row_number() OVER (PARTITION BY rid ORDER BY q + f + ag DESC, pos) AS slow,
+         row_number() OVER (PARTITION BY rid ORDER BY {ms('q')} DESC, pos) AS rq,
+         row_number() OVER (PARTITION BY rid ORDER BY {ms('CAST(floor(price) * pos AS BIGINT)')} DESC, pos) AS rc
+  FROM sh
+),
 t AS (
   SELECT rid, count(*) AS shard_count, {ms('sum(q)')} AS total_query_time_ms, {ms('sum(f)')} AS total_fetch_time_ms,
-         {ms('sum(ag)')} AS total_aggregation_time_ms, {ms('sum(rw)')} AS total_rewrite_time_ms
-  FROM sh GROUP BY rid
+         {ms('sum(ag)')} AS total_aggregation_time_ms, {ms('sum(rw)')} AS total_rewrite_time_ms,
+         max(CASE WHEN slow = 1 THEN id END) AS slowest_shard_id, {ms('max(CASE WHEN slow = 1 THEN total END)')} AS slowest_shard_ms,
+         string_agg(CAST(id AS VARCHAR), ',' ORDER BY rq) FILTER (rq <= 3) AS top_component_shards,
+         string_agg(CAST(id AS VARCHAR), ',' ORDER BY rc) FILTER (rc <= 3) AS top_collector_shards,
+         CASE WHEN {ms('sum(q // 4)')} > {ms('sum(q // 2)')} THEN 'build_scorer,score' ELSE 'score,build_scorer' END AS top_phases
+  FROM ranked GROUP BY rid
 )
 SELECT 'Q' || o_orderpriority AS name, 'idx-' || lower(o_orderstatus) || '/_search' AS path, 'GET' AS method,
        CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS iteration,
        CASE WHEN o_orderstatus = 'F' THEN 'original' ELSE 'optimized' END AS query_type,
        CAST(floor(o_totalprice / 100) AS DOUBLE) AS duration_ms, CAST(floor(o_totalprice / 1000) AS DOUBLE) AS took_ms,
-       CAST(shard_count AS INTEGER) AS shard_count, total_query_time_ms, total_fetch_time_ms, total_aggregation_time_ms, total_rewrite_time_ms
+       CAST(shard_count AS INTEGER) AS shard_count, total_query_time_ms, total_fetch_time_ms, total_aggregation_time_ms, total_rewrite_time_ms,
+       slowest_shard_id, slowest_shard_ms, top_component_shards, top_collector_shards, top_phases
 FROM orders JOIN t ON o_orderkey = t.rid
 """
+
+
+# The default classification of node documents, field by field (see
+# adaptors.metric_documents): two counters, their latency and two gauges.
+SQL["sample_documents_1h"] = f"""
+WITH {METRICS}, m2 AS (
+  SELECT *, CAST(cluster_id AS VARCHAR) AS c, CAST(node_id AS VARCHAR) AS n, CAST(floor(value * 1024) AS BIGINT) AS size_bytes FROM metrics
+), {bucketed(3_600_000).replace("FROM metrics", "FROM m2")},
+mx AS (SELECT cluster_id, node_id, bucket_ms, max(size_bytes * 4) AS max_heap, max(size_bytes) AS max_size FROM b GROUP BY cluster_id, node_id, bucket_ms),
+w AS (SELECT l.*, mx.max_heap, mx.max_size, {prev('ops')} AS p_ops, {prev('time_ms')} AS p_time_ms, {both('time_ms', 'ops')} AS pair
+      FROM latest l JOIN mx USING (cluster_id, node_id, bucket_ms))
+SELECT c AS cluster_id, n AS node_id, bucket_ms, _id, {rate('ops', 3600.0)} AS query_total, {rate('time_ms', 3600.0)} AS query_time_in_millis,
+       {latency('time_ms', 'ops')} AS query_latency, CAST(max_heap AS DOUBLE) AS heap_used_in_bytes, CAST(max_size AS DOUBLE) AS size_in_bytes
+FROM w
+"""

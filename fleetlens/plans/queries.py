@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.functions.fieldspec import classify_fields
 from fleetlens.functions.nested import flatten
 from fleetlens.operators import estimate, filters, sampling, shape
 from fleetlens.sources import adaptors
@@ -50,15 +51,35 @@ def sample_latest_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_max_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bucket maximum of the gauge next to the newest snapshot."""
     m = adaptors.metrics(spark, sf_dir)
-    s = sampling.sample_buckets(m, NODE_GROUP, "1d", sampling.FieldRules(max=("value",)))
+    s = sampling.sample_buckets(m, NODE_GROUP, "1d", sampling.FieldRules(max=("value",)), fields=["value"])
     return s.select("cluster_id", "node_id", "bucket_ms", "_id", "timestamp", "value")
 
 
+@register
+def sample_documents_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested node documents sampled by the default field table."""
+    docs = adaptors.metric_documents(spark, sf_dir)
+    rules = classify_fields(docs.schema, "node_stats")
+    s = sampling.sample_buckets(docs, ["metadata.labels.cluster_id", "metadata.labels.node_id"], "1h", rules)
+    root = "payload.elasticsearch.node_stats"
+    return s.select(
+        "metadata.labels.cluster_id",
+        "metadata.labels.node_id",
+        "bucket_ms",
+        "_id",
+        f"{root}.indices.search.query_total",
+        f"{root}.indices.search.query_time_in_millis",
+        f"{root}.indices.search.query_latency",
+        f"{root}.jvm.mem.heap_used_in_bytes",
+        f"{root}.indices.store.size_in_bytes",
+    )
+
+
 @register
 def rate_with_reset_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly reset-aware counter rates."""
     m = adaptors.metrics(spark, sf_dir)
-    s = sampling.sample_buckets(m, NODE_GROUP, "1h", COUNTER_RULES)
+    s = sampling.sample_buckets(m, NODE_GROUP, "1h", COUNTER_RULES, fields=["ops", "time_ms"])
     return s.select("cluster_id", "node_id", "bucket_ms", "_id", "ops", "time_ms")
 
 
@@ -66,7 +87,7 @@ def rate_with_reset_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: hourly average latency delta(time)/delta(count)."""
     m = adaptors.metrics(spark, sf_dir)
-    s = sampling.sample_buckets(m, NODE_GROUP, "1h", LATENCY_RULES)
+    s = sampling.sample_buckets(m, NODE_GROUP, "1h", LATENCY_RULES, fields=["ops", "time_ms", "latency_ms"])
     return s.select("cluster_id", "node_id", "bucket_ms", "_id", "ops", "time_ms", "latency_ms")
 
 
@@ -74,7 +95,7 @@ def latency_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratio_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratio of two counters' deltas, delta(ops) / delta(time_ms), hourly."""
     m = adaptors.metrics(spark, sf_dir)
-    s = sampling.sample_buckets(m, NODE_GROUP, "1h", sampling.FieldRules(ratio={"ops_per_time": ("ops", "time_ms")}))
+    s = sampling.sample_buckets(m, NODE_GROUP, "1h", sampling.FieldRules(ratio={"ops_per_time": ("ops", "time_ms")}), fields=["ops_per_time"])
     return s.select("cluster_id", "node_id", "bucket_ms", "_id", "ops_per_time")
 
 
@@ -232,7 +253,7 @@ def resolve_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """include/exclude globs on id or name, system clusters out,
+    """include/exclude globs on id or name, system clusters out,
     then the node metrics restricted to the matching clusters by a semi join."""
     reg = adaptors.registry(spark, sf_dir)
     reg = filters.exclude_system_clusters(reg, SYSTEM_IDS, SYSTEM_NAME_WORDS)
@@ -264,7 +285,7 @@ def index_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First two documents of every eligible index (long form)."""
     from fleetlens.operators import catalog
 
-    idx = _eligible(spark, sf_dir, 3)
+    idx = _eligible(spark, sf_dir, 0)
     return catalog.sample_documents(idx, adaptors.index_documents(spark, sf_dir), sample_size=2)
 
 
@@ -338,6 +359,14 @@ def profile_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.top_query_components(adaptors.search_profiles(spark, sf_dir))
 
 
+@register
+def profile_collectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top three collectors per profile."""
+    from fleetlens.operators import profile
+
+    return profile.top_collectors(adaptors.search_profiles(spark, sf_dir))
+
+
 @register
 def profile_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breakdown phase totals, top three per profile."""
@@ -365,7 +394,15 @@ def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         ],
     )
     r = profile.profile_records(runs)
-    return r.select("name", "path", "method", "iteration", "query_type", "duration_ms", "took_ms", "profile_summary.*")
+    flat = r.select("name", "path", "method", "iteration", "query_type", "duration_ms", "took_ms", "profile_summary.*")
+    return flat.select(
+        *flat.columns[:12],
+        F.col("slowest_shard.shard_id").alias("slowest_shard_id"),
+        F.col("slowest_shard.total_time_ms").alias("slowest_shard_ms"),
+        F.array_join(F.transform("top_query_components", lambda x: x["shard"].cast("string")), ",").alias("top_component_shards"),
+        F.array_join(F.transform("top_collectors", lambda x: x["shard"].cast("string")), ",").alias("top_collector_shards"),
+        F.array_join(F.transform("top_breakdown", lambda x: x["phase"]), ",").alias("top_phases"),
+    )
 
 
 # --- request logs -------------------------------------------------------------
@@ -559,7 +596,7 @@ def index_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible indices with their unwrapped mapping."""
     from fleetlens.operators import catalog
 
-    idx = _eligible(spark, sf_dir, 3)
+    idx = _eligible(spark, sf_dir, 0)
     return catalog.with_mappings(idx, adaptors.index_metadata(spark, sf_dir)).select(
         "cluster_id", "index_name", "doc_count", "has_mapping", "mapping"
     )
@@ -567,8 +604,8 @@ def index_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def cluster_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest health document per cluster in the last two days of the data."""
+    """Newest health document per cluster."""
     from fleetlens.operators import fleet
 
     docs = adaptors.cluster_health_docs(spark, sf_dir)
-    return fleet.latest_cluster_status(docs, ("2024-01-29", "2024-01-30"))
+    return fleet.latest_cluster_status(docs)

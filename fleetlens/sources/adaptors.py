@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.operators.benchruns import OPTIMIZED, ORIGINAL, number_rounds
 from fleetlens.sources.tables import table
 
 NODE_METRIC_TYPE = "node_stats"
@@ -224,35 +225,34 @@ def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Labels of the two sides of a benchmark comparison.
-ORIGINAL, OPTIMIZED = "original", "optimized"
-
 
 def benchmark_runs(spark: SparkSession, sf_dir: str, warmup: int = 2) -> DataFrame:
     """``lineitem`` joined with ``part`` as benchmark run rows.
 
     A query is a brand; the round is the line number; return flag ``R`` is an
-    original run, ``A`` an optimized run and ``N`` runs are not part of the
-    comparison.  ``took`` is the quantity (missing when there is no
+    original run, ``A`` an optimized run and ``N`` a run of neither side, which
+    counts in the totals alone; ``seq`` is the order of execution.  ``took`` is the quantity (missing when there is no
     discount), ``duration`` a tenth of the price in whole milliseconds,
     success = open line.
     """
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("R", "A"))
+    li = table(spark, sf_dir, "lineitem")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     j = li.join(p, li.l_partkey == p.p_partkey, "inner")
-    qtype = F.when(F.col("l_returnflag") == "R", F.lit(ORIGINAL)).otherwise(F.lit(OPTIMIZED))
+    flag = F.col("l_returnflag")
+    qtype = F.when(flag == "R", F.lit(ORIGINAL)).when(flag == "A", F.lit(OPTIMIZED)).otherwise(F.lit("other"))
     qidx = F.regexp_extract(F.col("p_brand"), r"(\d+)$", 1).cast("int")
-    return j.select(
+    runs = j.select(
         F.concat(F.col("p_brand"), F.lit(" ("), qtype, F.lit(")")).alias("name"),
         F.col("p_brand").alias("base_name"),
         qtype.alias("query_type"),
         qidx.alias("query_index"),
         F.col("l_linenumber").alias("iteration"),
-        (F.col("l_linenumber") <= warmup).alias("is_warmup"),
-        F.when(F.col("l_linenumber") > warmup, F.col("l_linenumber") - warmup).alias("measured_iteration"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
         F.when(F.col("l_discount") != 0, F.col("l_quantity")).alias("took"),
         F.floor(F.col("l_extendedprice") / 10).cast("double").alias("duration"),
         (F.col("l_linestatus") == "O").alias("success"),
     )
+    return number_rounds(runs, warmup)
 
 
 def line_id() -> F.Column:

@@ -46,7 +46,7 @@ def stream_buckets(
     aggs += [F.max(F.col(f).cast("double")).alias(f"__max_{f}") for f in max_fields]
     grouped = (
         events.withWatermark(ts_col, watermark)
-        .groupBy(*[F.col(g) for g in group_cols], F.window(F.col(ts_col), f"{interval_ms // 1000} seconds"))
+        .groupBy(*[F.col(g) for g in group_cols], F.window(F.col(ts_col), f"{interval_ms} milliseconds"))
         .agg(*aggs)
     )
     out = grouped.select(
@@ -82,27 +82,21 @@ def stream_rates(
         frames = [b for b in batches]
         if not frames:
             return
+        # one row per bucket of the series in this micro-batch, in order
         pdf = pd.concat(frames).sort_values(bucket_col)
-        rows = []
-        for rec in pdf.itertuples(index=False):
-            values = rec._asdict()
-            out = list(key) + [int(values[bucket_col])]
-            for i, c in enumerate(counters):
-                cur = values[c]
-                if cur is None or pd.isna(cur):
-                    out.append(None)
-                    continue
-                cur = float(cur)
-                prev = last[i]
-                if prev is None:
-                    out.append(cur)
-                else:
-                    d = cur - prev
-                    out.append((cur if d < 0 else d) / seconds)
-                last[i] = cur
-            rows.append(out)
+        out = pd.DataFrame({f.name: k for f, k in zip(key_fields, key, strict=True)}, index=pdf.index)
+        out[bucket_col] = pdf[bucket_col].astype("int64")
+        for i, c in enumerate(counters):
+            now = pd.to_numeric(pdf[c]).astype("float64")
+            before = now.ffill().shift(1)
+            if last[i] is not None:
+                before = before.fillna(last[i])
+            grown = (now - before).where(now >= before, now)
+            out[c] = (grown / seconds).where(before.notna(), now)
+            if now.notna().any():
+                last[i] = float(now.dropna().iloc[-1])
         state.update(tuple(last))
-        yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
+        yield out[[f.name for f in out_schema.fields]]
 
     cols = group_cols + [bucket_col] + list(counters)
     return (

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fleetlens.plans.oracle import SQL
+from fleetlens.plans.queries import QUERIES
 from fleetlens.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -38,18 +40,19 @@ def test_contract(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(SQL)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    sdf = entry.queries()[name](spark, SF)
+    sdf = QUERIES[name](spark, SF)
     cols = sorted(sdf.columns)
     srows = sorted(tuple(norm(r[c]) for c in cols) for r in sdf.collect())
-    sql = entry.oracle_sql().get(name)
-    if sql is None:
-        assert srows is not None
-        return
-    rel = con.sql(sql)
+    rel = con.sql(SQL[name])
     dcols = rel.columns
     order = sorted(range(len(dcols)), key=lambda i: dcols[i])
     drows = sorted(tuple(norm(r[i]) for i in order) for r in rel.fetchall())

@@ -32,7 +32,7 @@ def test_parse(spark):
     assert rows[1]["title"] == "Search movies" and rows[1]["method"] == "GET" and rows[1]["path"] == "movies/_search"
     assert rows[1]["body_raw"] == '{"query": {"match_all": {}}}' and rows[1]["body_valid"] is True and rows[1]["error"] is None
     assert rows[2]["title"] == "Query 2" and rows[2]["method"] == "POST" and rows[2]["body_is_ndjson"] is True
-    assert rows[2]["body_raw"] == '{"index": "a"}\n{"query": {}}\n'
+    assert rows[2]["body_sent"] == '{"index": "a"}\n{"query": {}}\n'
     assert rows[3]["title"] == "Broken" and rows[3]["error"] == requests.ERR_BAD_JSON
     assert rows[4]["error"] == requests.ERR_NO_METHOD
     assert rows[5]["error"] == requests.ERR_BAD_METHOD

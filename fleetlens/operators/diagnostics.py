@@ -54,18 +54,26 @@ def cluster_flags(report: DataFrame) -> DataFrame:
     )
 
 
-def persistent_nonzero(value: Column, group_cols: list[str], order_col: str, buckets: int) -> Column:
-    """True when ``value`` is above 0 in each of the last ``buckets`` rows of
-    the series, e.g. relocating shards that do not settle (D1).
+def persistent_nonzero(value: Column, group_cols: list[str], order_col: str, buckets: int, interval_ms: int) -> Column:
+    """True when ``value`` is above 0 in each of the last ``buckets`` buckets of
+    the series, e.g. relocating shards that do not settle (D1); a missing
+    bucket breaks the run.
 
-    A bounded frame (``buckets`` rows) over a series that the sampler already
-    reduced to one row per bucket.
+    The frame is a range of bucket starts, at most ``buckets`` rows of a series
+    that the sampler already reduced to one row per bucket.
     """
-    w = Window.partitionBy(*group_cols).orderBy(order_col).rowsBetween(-(buckets - 1), 0)
+    w = Window.partitionBy(*group_cols).orderBy(order_col).rangeBetween(-(buckets - 1) * interval_ms, 0)
     full = F.count(F.lit(1)).over(w) == buckets
     return full & (F.min(F.coalesce(value, F.lit(0))).over(w) > 0)
 
 
+def relocating_flags(sampled: DataFrame, group_cols: list[str], interval_ms: int, shards_col: str = "relocating_shards", buckets: int = 3, bucket_col: str = "bucket_ms") -> DataFrame:
+    """Clusters whose relocating shards stay above 0 over the last ``buckets``
+    buckets of sampled cluster health (D1)."""
+    flag = persistent_nonzero(F.col(shards_col).cast("double"), group_cols, bucket_col, buckets, interval_ms)
+    return sampled.select(*group_cols, bucket_col, F.col(shards_col), flag.alias("relocation_unsettled"))
+
+
 def node_flags(
     sampled: DataFrame,
     group_cols: list[str],
@@ -80,6 +88,7 @@ def node_flags(
     search_latency: str | None = None,
     persist_col: str | None = None,
     persist_buckets: int = 3,
+    interval_ms: int = 900_000,
 ) -> DataFrame:
     """Node rules on sampled node stats (D3-D8); absent inputs give null flags.
 
@@ -103,7 +112,7 @@ def node_flags(
         (c(search_latency) > SEARCH_LATENCY_MS_MAX).alias("search_slow"),
     ]
     if persist_col:
-        cols.append(persistent_nonzero(c(persist_col), group_cols, bucket_col, persist_buckets).alias("persistent"))
+        cols.append(persistent_nonzero(c(persist_col), group_cols, bucket_col, persist_buckets, interval_ms).alias("persistent"))
     return sampled.select(*cols)
 
 

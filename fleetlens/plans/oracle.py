@@ -688,20 +688,34 @@ WITH {METRICS}, {bucketed(900_000)},
 mx AS (SELECT cluster_id, node_id, bucket_ms, max(value) AS max_value FROM b GROUP BY cluster_id, node_id, bucket_ms),
 w AS (SELECT l.*, mx.max_value, {prev('ops')} AS p_ops, {prev('time_ms')} AS p_time_ms, {both('time_ms', 'ops')} AS pair
       FROM latest l JOIN mx USING (cluster_id, node_id, bucket_ms)),
-s AS (SELECT cluster_id, node_id, bucket_ms, coalesce(max_value, value) AS value,
+s AS (SELECT cluster_id, node_id, bucket_ms, status, coalesce(max_value, value) AS value,
              {rate('ops', 900.0)} AS ops, {latency('time_ms', 'ops')} AS latency_ms FROM w),
 h AS (SELECT *, least(value, 100.0) AS heap_pct,
-             count(*) OVER (PARTITION BY cluster_id, node_id ORDER BY bucket_ms ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3,
-             min(coalesce(ops, 0)) OVER (PARTITION BY cluster_id, node_id ORDER BY bucket_ms ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m3
+             count(*) OVER (PARTITION BY cluster_id, node_id ORDER BY bucket_ms RANGE BETWEEN 1800000 PRECEDING AND CURRENT ROW) AS n3,
+             min(coalesce(ops, 0)) OVER (PARTITION BY cluster_id, node_id ORDER BY bucket_ms RANGE BETWEEN 1800000 PRECEDING AND CURRENT ROW) AS m3
       FROM s)
 SELECT cluster_id, node_id, bucket_ms,
        CASE WHEN heap_pct IS NULL THEN NULL WHEN heap_pct > 85.0 THEN 'critical' WHEN heap_pct > 75.0 THEN 'warning' ELSE 'ok' END AS heap_level,
        ops * 60.0 >= 1.0 AS old_gc_frequent, heap_pct >= 70.0 AS cpu_high,
-       CAST(NULL AS BOOLEAN) AS fd_high, CAST(NULL AS BOOLEAN) AS swap_used, CAST(NULL AS BOOLEAN) AS breaker_tripped,
+       CASE WHEN status <> 'purchase' THEN value * 9 / 1000.0 * 100.0 >= 80.0 END AS fd_high,
+       CASE WHEN status = 'error' THEN value ELSE 0 END <> 0 AS swap_used,
+       CASE WHEN status <> 'signup' THEN floor(value) % 2 <> 0 END AS breaker_tripped,
        latency_ms > 100.0 AS search_slow, n3 = 3 AND m3 > 0 AS persistent
 FROM h
 """
 
+SQL["diag_relocating"] = """
+WITH d AS (
+  SELECT CAST(user_id % 7 AS VARCHAR) AS cluster_id, (CAST(floor(value / 10) AS BIGINT) + 1) % 4 AS relocating_shards,
+         (epoch_us(ts) // 86400000000) * 86400000 AS bucket_ms, ts, event_id
+  FROM events WHERE user_id IS NOT NULL
+),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, bucket_ms ORDER BY ts DESC, event_id DESC) AS rn FROM d) WHERE rn = 1)
+SELECT cluster_id, CAST(bucket_ms AS BIGINT) AS bucket_ms, relocating_shards,
+       count(*) OVER w = 3 AND min(coalesce(relocating_shards, 0)) OVER w > 0 AS relocation_unsettled
+FROM l WINDOW w AS (PARTITION BY cluster_id ORDER BY bucket_ms RANGE BETWEEN 172800000 PRECEDING AND CURRENT ROW)
+"""
+
 SQL["diag_shards"] = f"""
 WITH sh AS (
   SELECT p_brand AS cluster_id, lower(p_type) AS index_name, p_partkey AS shard_id,
@@ -835,3 +849,47 @@ SELECT c AS cluster_id, n AS node_id, bucket_ms, _id, {rate('ops', 3600.0)} AS q
        {latency('time_ms', 'ops')} AS query_latency, CAST(max_heap AS DOUBLE) AS heap_used_in_bytes, CAST(max_size AS DOUBLE) AS size_in_bytes
 FROM w
 """
+
+
+# --- reports ------------------------------------------------------------------
+
+SQL["report_clusters"] = (
+    FLEET_REPORT
+    + """
+SELECT display_name, cluster_name, version, health_status, CASE WHEN available THEN 'yes' ELSE 'no' END AS available, uptime, nodes_count,
+       indices_count, primary_shards, total_shards, unassigned_shards, documents_count, storage_used_formatted, storage_total_formatted,
+       jvm_used_formatted, jvm_total_formatted, jvm_used_percent, '2024-01-31 00:00:00' AS collection_time
+FROM report
+"""
+)
+
+SQL["report_indices"] = f"""
+WITH {CATALOG}
+SELECT e.cluster_id, e.index_name, e.doc_count, 'yes' AS has_mapping, least(n, 2) AS sample_count
+FROM elig e JOIN (
+  SELECT p_brand AS cluster_id, CASE WHEN p_type = 'PROMO' THEN '.promo' ELSE lower(p_type) END AS index_name, count(*) AS n FROM part GROUP BY ALL
+) USING (cluster_id, index_name)
+"""
+
+SQL["report_runs"] = f"""
+WITH {RUNS}
+SELECT iteration, CASE WHEN is_warmup THEN 'yes' ELSE 'no' END AS is_warmup, query_type, name, took, duration,
+       CASE WHEN success THEN 'success' ELSE 'failure' END AS status
+FROM runs
+"""
+
+SQL["report_run_statistics"] = f"""
+WITH {RUNS},
+r AS (SELECT measured_iteration, query_type, sum(took) AS took, sum({DUR}) AS duration FROM mr WHERE query_type IN ('original', 'optimized') GROUP BY ALL),
+l AS (SELECT query_type, 'took' AS measure, CAST(took AS DOUBLE) AS total FROM r UNION ALL SELECT query_type, 'duration', CAST(duration AS DOUBLE) FROM r)
+SELECT query_type, measure, coalesce({py_round('avg(total)', 2)}, 0.0) AS avg, coalesce(min(total), 0.0) AS min,
+       coalesce(max(total), 0.0) AS max, coalesce({py_round('sum(total)', 2)}, 0.0) AS sum
+FROM l GROUP BY ALL
+"""
+
+SQL["report_record"] = f"""
+WITH {RUNS}
+SELECT '2024-01-31 00:00:00' AS timestamp, count(*) AS total, count_if(success) AS passed,
+       printf('%.2f', count_if(success) / count(*) * 100.0) || '%' AS pass_rate, 2 AS notes
+FROM mr
+"""

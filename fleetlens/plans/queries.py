@@ -481,24 +481,96 @@ def diag_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def diag_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node rules on the sampled node series (15-minute buckets)."""
+    """Node rules on the sampled node series (15-minute buckets); file
+    descriptors, swap and breakers are derived from the value and the status."""
     from fleetlens.operators import diagnostics
 
     m = adaptors.metrics(spark, sf_dir)
     s = sampling.sample_buckets(m, NODE_GROUP, "15m", FULL_RULES)
-    s = s.withColumn("heap_pct", F.least(F.col("value"), F.lit(100.0)))
+    s = s.withColumns(
+        {
+            "heap_pct": F.least(F.col("value"), F.lit(100.0)),
+            "fd_open": F.col("value") * 9,
+            "fd_max": F.when(F.col("status") != "purchase", F.lit(1000.0)).otherwise(F.lit(0.0)),
+            "swap": F.when(F.col("status") == "error", F.col("value")).otherwise(F.lit(0.0)),
+            "tripped": F.when(F.col("status") != "signup", F.pmod(F.floor("value"), F.lit(2))),
+        }
+    )
     return diagnostics.node_flags(
         s,
         NODE_GROUP,
         heap_percent="heap_pct",
         old_gc_rate="ops",
         cpu_percent="heap_pct",
+        fd_open="fd_open",
+        fd_max="fd_max",
+        swap_used="swap",
+        breakers_tripped="tripped",
         search_latency="latency_ms",
         persist_col="ops",
         persist_buckets=3,
     )
 
 
+@register
+def diag_relocating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters whose relocating shards do not settle for three days."""
+    from fleetlens.operators import diagnostics
+
+    docs = adaptors.cluster_health_docs(spark, sf_dir).withColumn("relocating_shards", F.pmod(F.col("number_of_nodes"), F.lit(4)))
+    s = sampling.sample_buckets(docs, ["cluster_id"], "1d", fields=["relocating_shards"])
+    return diagnostics.relocating_flags(s, ["cluster_id"], 86_400_000)
+
+
+# --- reports ------------------------------------------------------------------
+
+REPORT_TIME = "2024-01-31 00:00:00"
+
+
+@register
+def report_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: the 18 columns of the cluster report."""
+    from fleetlens.operators import reports
+
+    return reports.cluster_rows(_fleet_report(spark, sf_dir), F.lit(REPORT_TIME))
+
+
+@register
+def report_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: every eligible index with its mapping flag and sample count."""
+    from fleetlens.operators import catalog, reports
+
+    idx = _eligible(spark, sf_dir, 0)
+    samples = catalog.sample_documents(idx, adaptors.index_documents(spark, sf_dir), sample_size=2)
+    mapped = catalog.with_mappings(idx, adaptors.index_metadata(spark, sf_dir)).select("cluster_id", "index_name", "doc_count", "mapping")
+    return reports.index_rows(mapped, samples)
+
+
+@register
+def report_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per benchmark execution."""
+    from fleetlens.operators import reports
+
+    return reports.run_rows(adaptors.benchmark_runs(spark, sf_dir))
+
+
+@register
+def report_run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics over the measured rounds' totals."""
+    from fleetlens.operators import reports
+
+    return reports.run_statistics(adaptors.benchmark_runs(spark, sf_dir))
+
+
+@register
+def report_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time, totals and field notes of a run report, flattened."""
+    from fleetlens.operators import reports
+
+    r = reports.report_record(adaptors.benchmark_runs(spark, sf_dir), F.lit(REPORT_TIME))
+    return r.select("timestamp", "summary.total", "summary.passed", "summary.pass_rate", F.size(F.map_keys("field_descriptions")).alias("notes"))
+
+
 @register
 def diag_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleted share, shard size skew, size and doc-count limits.

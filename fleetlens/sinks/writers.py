@@ -49,28 +49,17 @@ def write_csv_report(df: DataFrame, path: str, yes_no: list[str] | None = None,
 
 
 def write_cluster_samples_json(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Sampling report nested by cluster.
+    """Sampling report by cluster (K10): one folder per cluster, one line per
+    index in it.  No cluster's indices are gathered into one row."""
+    samples.write.mode(mode).partitionBy("cluster_id", "cluster_name").option("ignoreNullFields", "false").json(path)
 
-    One row per cluster holding its indices; a cluster's list is bounded by
-    its index count (the caller's cap applies), never by document volume.
-    """
-    nested = samples.groupBy("cluster_id", "cluster_name").agg(
-        F.count(F.lit(1)).alias("indices_count"),
-        F.array_sort(F.collect_list(F.struct("index_name", "doc_count", "sample_docs"))).alias("indices"),
-    )
-    nested.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+def write_report(record: DataFrame, results: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Report record and its results (K13): ``path/report`` and ``path/results``."""
+    write_json_lines(record, f"{path}/report", mode=mode)
+    write_json_lines(results, f"{path}/results", mode=mode)
 
 
 def write_index_details(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per (cluster, index) with its details."""
     samples.write.mode(mode).partitionBy("cluster_id", "index_name").option("ignoreNullFields", "false").json(path)
-
-
-def write_csv_with_flags(df: DataFrame, path: str, has_mapping_col: str | None = None, samples_col: str | None = None) -> None:
-    """Sampling report as CSV (K9): mapping presence flag and sample count."""
-    out = df
-    if has_mapping_col:
-        out = out.withColumn("has_mapping", F.col(has_mapping_col).isNotNull())
-    if samples_col:
-        out = out.withColumn("sample_count", F.size(F.col(samples_col))).drop(samples_col)
-    write_csv_report(out, path, yes_no=["has_mapping"] if has_mapping_col else None)

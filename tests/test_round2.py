@@ -147,3 +147,11 @@ def test_cluster_list_and_type_filters(spark):
     df = spark.createDataFrame([("a", "m"), ("b", "n")], "c string, t string")
     assert filters.cluster_filter(df, "c", "a").count() == 1 and filters.cluster_filter(df, "c", ["a", "b"]).count() == 2
     assert filters.metric_type_filter(df, "m", "t").count() == 1
+
+
+@pytest.mark.parametrize(("interval", "want"), [("500ms", [0, 1000, 1500]), ("1500ms", [0, 1500])])
+def test_stream_windows_of_part_seconds(spark, interval, want):
+    from fleetlens.streaming.sampler import stream_buckets
+
+    df = spark.createDataFrame([("a", 0.1), ("a", 1.4), ("a", 1.6)], "g string, s double").selectExpr("g", "cast(s * 10 as string) _id", "timestamp_millis(cast(s * 1000 as bigint)) timestamp")
+    assert [r.bucket_ms for r in stream_buckets(df, ["g"], interval, "1 second").orderBy("bucket_ms").collect()] == want

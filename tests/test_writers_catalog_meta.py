@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import catalog, fleet
 from fleetlens.operators.shape import flatten_variant
-from fleetlens.sinks.writers import write_cluster_samples_json, write_csv_report, write_index_details
+from fleetlens.sinks.writers import write_cluster_samples_json, write_csv_report, write_index_details, write_report
 from fleetlens.sources.tables import normalize_registry
 
 
@@ -25,12 +25,28 @@ def test_nested_and_detail_json(spark, tmp_dir):
         "sample_docs array<struct<doc_rank:int,_id:string,_source:string>>",
     )
     write_cluster_samples_json(samples, f"{tmp_dir}/nested")
-    back = spark.read.json(f"{tmp_dir}/nested").first()
-    assert back["indices_count"] == 2 and [i["index_name"] for i in back["indices"]] == ["a/b", "x"]
+    back = spark.read.json(f"{tmp_dir}/nested").orderBy("index_name").collect()
+    assert [(r["cluster_id"], r["cluster_name"], r["index_name"]) for r in back] == [("c1", "one", "a/b"), ("c1", "one", "x")]
     write_index_details(samples, f"{tmp_dir}/details")
     assert spark.read.json(f"{tmp_dir}/details").count() == 2
 
 
+def test_report_record_and_results(spark, tmp_dir):
+    from fleetlens.operators import reports
+
+    runs = spark.createDataFrame(
+        [("q (original)", "q", "original", 0, 1, False, 1, 5.0, 7.0, True), ("q (original)", "q", "original", 0, 2, False, 2, None, 9.0, False)],
+        "name string, base_name string, query_type string, query_index int, iteration int, is_warmup boolean, measured_iteration int, took double, duration double, success boolean",
+    )
+    write_report(reports.report_record(runs, F.lit("2024-01-31")), reports.run_rows(runs), f"{tmp_dir}/r")
+    record = spark.read.json(f"{tmp_dir}/r/report").first()
+    assert record.summary.total == 2 and record.summary.pass_rate == "50.00%" and set(record.field_descriptions.asDict()) == {"took", "duration"}
+    results = spark.read.json(f"{tmp_dir}/r/results").orderBy("iteration").collect()
+    assert [(r.status, r.took) for r in results] == [("success", 5.0), ("failure", None)]
+    stats = {r.measure: (r.avg, r.sum) for r in reports.run_statistics(runs).collect()}
+    assert stats == {"took": (5.0, 5.0), "duration": (7.0, 7.0)}
+
+
 def test_unwrap_mapping_and_settings(spark):
     df = spark.createDataFrame(
         [("i1", '{"i1": {"mappings": {"properties": {"a": {"type": "text"}}}}}',

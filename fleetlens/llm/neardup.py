@@ -7,23 +7,23 @@ and ten mantissa bits (two bytes).
 
 1. Documents with equal sets form one class; only its smallest id goes on.
 2. Bands of four registers are hashed; classes that agree in a band are a group.
-3. In groups of up to ``SMALL`` members every pair is a candidate.  In a larger
-   group the member with the smallest set leads, and only pairs with it are.
+3. In groups of up to ``SMALL`` members every pair is a candidate.  A larger
+   group has a leader, the member whose id hashes smallest, and only pairs with
+   the leader are candidates; groups with one leader make one crowd.
 4. Candidates pass if the collision-corrected Jaccard estimate of their
    registers is within five standard deviations of the threshold, and are then
-   confirmed on the full sets.
-5. What a leader cannot settle: if two members x, y of a group are linked and
-   all they share lies in the leader c (whose set is no larger), then J(x, c)
-   and J(y, c) are at least J(x, y), so both are linked to c already.  Any
-   other linked pair shares a shingle outside c, and (prefix filter, with the
-   shingles of c ordered last) one within the first n - ceil(0.75 n) + 1
-   shingles of both.  Those shingles key the next, smaller groups, as long as
-   some large group holds a member that is not linked to its leader.
-6. Components of the confirmed links by repeated minimum with shortcuts.
-
-So a group of copies or near copies costs rows in proportion to its size, no
-group is cut or expanded into all pairs, and a missed link can only come from
-the bands: at J = 0.75 with probability (1 - 0.75**4)**32 = 5e-6, less above.
+   confirmed on the full sets.  Components of the links follow.
+5. A crowd that lies in one component needs nothing more.  In any other, each
+   member outside the crowd's largest component is compared with all members:
+   both sides are dealt into blocks, a task gets one block of each, counts the
+   common shingles of all its pairs through an inverted index and returns one
+   link per member and component at most.
+6. Components of all links by repeated minimum with shortcuts.
+
+Rows moved follow the group's size for copies and near copies that their leader
+joins; only members that stay apart from their crowd meet all of it, as blocks,
+never as pairs.  No group is cut.  A missed link can only come from the bands:
+at J = 0.75 with probability (1 - 0.75**4)**32 = 5e-6, less above.
 
 Defined results: text null or without words gives an empty set, its own
 component, kept.  Fewer words than the shingle length: the whole sequence is
@@ -37,8 +37,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import words
@@ -49,6 +50,7 @@ BUCKETS, ROWS = 128, 4
 MANTISSA = 10
 SMALL = 8
 SALTS = 8
+BLOCK_SHINGLES = 400_000
 _U = np.uint64
 
 
@@ -147,13 +149,13 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 
 def _with_leaders(groups: DataFrame) -> DataFrame:
-    """Members of unsettled groups of two and more, each with its group's
-    leader (the smallest set, then the smallest id) and size m.  The join is
-    salted: a group may hold a third of all rows."""
+    """Members of groups of two and more, each with its group's leader (the id
+    with the smallest hash) and size m.  The join is salted: a group may hold a
+    third of all rows."""
     leaders = (
         groups.groupBy("g")
-        .agg(F.min(F.struct("n", "id")).alias("lead"), F.count("*").alias("m"), F.max("id").alias("top"), F.min("id").alias("low"), F.min("linked").alias("settled"))
-        .where("m > 1 and top > low and not settled")
+        .agg(F.min(F.struct(F.xxhash64("id").alias("order"), "id", "n")).alias("lead"), F.count("*").alias("m"), F.max("id").alias("top"), F.min("id").alias("low"))
+        .where("m > 1 and top > low")
         .select("g", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     salted = groups.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
@@ -224,35 +226,64 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(run, "a long, b long")
 
 
-def _outside_keys(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Next groups (step 5) from members of large groups: rows (g, id, n)."""
-    own = members.select("id", "lead").where("id <> lead").distinct()
-    linked = links.selectExpr("a as id", "b as lead", "true as linked").unionByName(links.selectExpr("b as id", "a as lead", "true as linked")).distinct()
-    left = sets.select("id", F.col("members").alias("s1"))
-    right = sets.select(F.col("id").alias("lead"), F.col("members").alias("s2"))
-    rows = own.join(linked, ["id", "lead"], "left").join(left, "id").join(right, "lead").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), "s1", "s2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                p = b.slice(a, 2000)
-                row, key, size = [], [], []
-                for i, (x, c) in enumerate(zip(_lists(p.column(2)), _lists(p.column(3)), strict=True)):
-                    outside = x[~np.isin(x, c, assume_unique=True)]  # ordered first, by hash
-                    n = len(x)
-                    prefix = outside[: n - -(-percent * n // 100) + 1]
-                    row += [i] * len(prefix)
-                    size += [n] * len(prefix)
-                    key.append(prefix)
-                row = pa.array(row, pa.int64())
-                keys = np.concatenate([*key, np.zeros(0, np.uint64)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words.signed(keys)), p.column(0).take(row), pa.array(size, pa.int64()), p.column(1).take(row)], names=["g", "id", "n", "linked"]
-                )
-
-    keyed = rows.mapInArrow(run, "g long, id long, n long, linked boolean")
-    # one row per group and document; it counts as linked only if it is to every leader it came from
-    return keyed.groupBy("g", "id").agg(F.max("n").alias("n"), F.min("linked").alias("linked"))
+def _crowds(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of crowds that lie in several components: lead, id, component,
+    apart (not in the largest one) and the numbers of blocks of either side."""
+    crowd = members.where(F.col("m") > SMALL).select("lead", "id", "n").distinct()
+    crowd = write_shared(crowd.join(known, "id", "left").select("lead", "id", "n", F.coalesce("component", "id").alias("component")), "crowds")
+    parts = crowd.groupBy("lead", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    whole = parts.groupBy("lead").agg(F.max(F.struct("k", "n", "component")).alias("big"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    rows = F.greatest(F.lit(128.0), F.least(F.lit(4096.0), 4 * F.sqrt("k")))  # of a block
+
+    def blocks(k: Column, n: Column) -> Column:
+        return F.greatest(F.ceil(k / rows), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    plan = whole.select(
+        "lead",
+        F.col("big.component").alias("big"),
+        blocks(F.col("k"), F.col("n")).alias("all_blocks"),
+        blocks(F.col("k") - F.col("big.k"), F.col("n") - F.col("big.n")).alias("apart_blocks"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+    )
+    salted = crowd.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(plan, ["lead", "salt"])
+    return salted.select("lead", "id", "component", (F.col("component") != F.col("big")).alias("apart"), "all_blocks", "apart_blocks")
+
+
+def _links_in_crowds(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside crowds (step 5)."""
+    rows = crowds.join(sets, "id")
+
+    def every(count: str, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(name)
+
+    def deal(count: str, seed: int, name: str) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(count)).cast("int").alias(name)
+
+    apart = rows.where("apart").select("lead", deal("apart_blocks", 1, "i"), every("all_blocks", "j"), "id", "component", "members")
+    whole = rows.select("lead", every("apart_blocks", "i"), deal("all_blocks", 2, "j"), "id", "component", "members")
+    whole = whole.toDF(*whole.columns)  # columns of its own beside those of ``apart``
+
+    def block(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            theirs = [np.frombuffer(x, np.uint64) for x in right["members"]]
+            sizes = np.array([len(x) for x in theirs])
+            flat, owner = np.concatenate(theirs), np.repeat(np.arange(len(theirs)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            ids, component = right["id"].to_numpy(), right["component"].to_numpy()
+            for me, mine, raw in zip(left["id"], left["component"], left["members"], strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                low, high = np.searchsorted(flat, x), np.searchsorted(flat, x, side="right")
+                length = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+                common = np.bincount(owner[at], minlength=len(ids))
+                good = np.flatnonzero((common > 0) & (100 * common >= percent * (len(x) + sizes - common)) & (component != mine))
+                first = np.unique(component[good], return_index=True)[1]
+                out += [(me, y) for y in ids[good[first]]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return apart.groupBy("lead", "i", "j").cogroup(whole.groupBy("lead", "i", "j")).applyInPandas(block, "a long, b long")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -288,24 +319,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = write_shared(
         sketched.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("regs").alias("regs")), "classes"
     )
-    members = write_shared(_with_leaders(_bands(reps).withColumn("linked", F.lit(False))), "groups")
+    members = write_shared(_with_leaders(_bands(reps)), "groups")
     passed = write_shared(_estimated(_candidates(members, percent), reps, percent / 100), "pairs")
     crowded = members.where(F.col("m") > SMALL)
     wanted = passed.select(F.col("a").alias("id")).unionByName(passed.select(F.col("b").alias("id"))).unionByName(crowded.select("id")).distinct()
     sets = write_shared(_sets(docs, wanted, id_col, text_col), "sets")
-    found = write_shared(_confirmed(passed, sets, percent), "links")
-    links = [found]
-    while crowded.limit(1).count():
-        keyed = write_shared(_outside_keys(crowded, found, sets, percent), "keys")
-        members = write_shared(_with_leaders(keyed), "groups")
-        found = write_shared(_confirmed(_candidates(members, percent), sets, percent), "links")
-        links.append(found)
-        crowded = members.where(F.col("m") > SMALL)
-    edges = _same_id(sketched, reps)
-    for more in links:
-        edges = edges.unionByName(more)
+    links = write_shared(_confirmed(passed, sets, percent).unionByName(_same_id(sketched, reps)), "links")
+    known = components(links)
+    more = write_shared(_links_in_crowds(_crowds(members, known), sets, percent), "crowd-links")
+    if more.limit(1).count():
+        known = components(links.unionByName(more))
     # the class's smallest id stands for all its members
-    named = reps.select("n", "h1", "h2", F.col("id").alias("rep")).join(components(edges).withColumnRenamed("id", "rep"), "rep", "left")
+    named = reps.select("n", "h1", "h2", F.col("id").alias("rep")).join(known.withColumnRenamed("id", "rep"), "rep", "left")
     named = write_shared(named.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")), "named")
     out = sketched.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

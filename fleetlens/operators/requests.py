@@ -179,21 +179,26 @@ def resolve_aliases(targets: DataFrame, aliases: DataFrame) -> DataFrame:
     return first.select("file_id", "seq", "index_name", F.row_number().over(by_pos).alias("resolved_pos"))
 
 
+# The overview columns of an index, in order.
+OVERVIEW_TEXTS = ("health", "status", "pri", "rep", "store_size", "pri_store_size")
+OVERVIEW_COUNTS = ("docs_count", "docs_deleted")
+
+
 def index_overview(resolved: DataFrame, overview: DataFrame) -> DataFrame:
     """Resolved index ⟕ ``_cat/indices`` facts, ``-`` for unknown ones."""
-    o = overview.select(
-        F.col("index").alias("index_name"),
-        F.col("health").alias("__health"),
-        F.col("docs_count").alias("__docs"),
-        F.col("store_size").alias("__store"),
-    )
-    j = lookup_join(resolved, o, "index_name")
+    facts = overview.select(F.col("index").alias("index_name"), *[F.col(c).cast("string").alias(f"__{c}") for c in OVERVIEW_TEXTS + OVERVIEW_COUNTS])
+    j = lookup_join(resolved, facts, "index_name")
     return j.select(
-        "file_id",
-        "seq",
-        "resolved_pos",
-        "index_name",
-        F.coalesce(F.col("__health"), F.lit("-")).alias("health"),
-        format_count(F.col("__docs")).alias("docs_count"),
-        F.coalesce(F.col("__store"), F.lit("-")).alias("store_size"),
+        *resolved.columns,
+        *[F.coalesce(F.col(f"__{c}"), F.lit("-")).alias(c) for c in OVERVIEW_TEXTS],
+        *[format_count(F.col(f"__{c}")).alias(c) for c in OVERVIEW_COUNTS],
     )
+
+
+def index_report(resolved: DataFrame, overview: DataFrame, mappings: DataFrame, settings: DataFrame) -> DataFrame:
+    """Everything a request report says about an index (J6): the overview, the
+    mapping and the settings (text; null where none was fetched)."""
+    out = index_overview(resolved, overview)
+    for facts, column in ((mappings, "mapping"), (settings, "settings")):
+        out = lookup_join(out, facts.select(F.col("index").alias("index_name"), F.col(column).cast("string").alias(column)), "index_name")
+    return out

@@ -645,19 +645,28 @@ SELECT file_id, CAST(seq AS INTEGER) AS seq, CAST(target_pos AS INTEGER) AS targ
 
 SQL["alias_resolve"] = f"WITH {CASES}\nSELECT file_id, CAST(seq AS INTEGER) AS seq, index_name, resolved_pos FROM resolved\n"
 
-SQL["request_overview"] = f"""
+REQUEST_REPORT = f"""
 WITH {CASES},
 ov AS (
-  SELECT 'idx-' || lower(o_orderstatus) || '-' || substr(o_orderpriority, 1, 1) AS index_name, 'green' AS health,
-         CAST(count(*) AS VARCHAR) AS docs, CAST(CAST(sum(floor(o_totalprice)) AS BIGINT) AS VARCHAR) || 'kb' AS store
+  SELECT 'idx-' || lower(o_orderstatus) || '-' || substr(o_orderpriority, 1, 1) AS index_name, 'green' AS health, 'open' AS status,
+         any_value(substr(o_orderpriority, 1, 1)) AS pri, '1' AS rep, count(*) AS docs, count(*) % 1000 AS deleted,
+         CAST(sum(floor(o_totalprice)) AS BIGINT) AS store, any_value(lower(o_orderstatus)) AS st
   FROM orders GROUP BY 1
+), report AS (
+  SELECT file_id, CAST(seq AS INTEGER) AS seq, resolved_pos, index_name, coalesce(health, '-') AS health, coalesce(status, '-') AS status,
+         coalesce(pri, '-') AS pri, coalesce(rep, '-') AS rep,
+         CASE WHEN docs IS NULL THEN '-' ELSE format('{{:,}}', docs) END AS docs_count,
+         CASE WHEN docs IS NULL THEN '-' ELSE format('{{:,}}', deleted) END AS docs_deleted,
+         coalesce(CAST(store AS VARCHAR) || 'kb', '-') AS store_size, coalesce(CAST(store // 2 AS VARCHAR) || 'kb', '-') AS pri_store_size,
+         CASE WHEN pri <> '5' THEN '{{"properties":{{"' || st || '":{{"type":"long"}}}}}}' END AS mapping,
+         CASE WHEN pri <> '1' THEN '{{"number_of_shards":"' || pri || '"}}' END AS settings
+  FROM resolved LEFT JOIN ov USING (index_name)
 )
-SELECT file_id, CAST(seq AS INTEGER) AS seq, resolved_pos, index_name, coalesce(health, '-') AS health,
-       CASE WHEN docs IS NULL THEN '-' ELSE format('{{:,}}', CAST(docs AS BIGINT)) END AS docs_count,
-       coalesce(store, '-') AS store_size
-FROM resolved LEFT JOIN ov USING (index_name)
 """
 
+SQL["request_overview"] = REQUEST_REPORT + "SELECT * EXCLUDE (mapping, settings) FROM report"
+SQL["request_report"] = REQUEST_REPORT + "SELECT * FROM report"
+
 
 # --- alerts, diagnostics, responses, settings, scalars -------------------------
 
@@ -893,3 +902,20 @@ SELECT '2024-01-31 00:00:00' AS timestamp, count(*) AS total, count_if(success)
        printf('%.2f', count_if(success) / count(*) * 100.0) || '%' AS pass_rate, 2 AS notes
 FROM mr
 """
+
+
+SQL["estimate_approximate"] = f"""
+WITH {METRICS}
+SELECT count(*) AS rows, count(DISTINCT coalesce(CAST(cluster_id AS VARCHAR), '') || '|' || coalesce(CAST(node_id AS VARCHAR), '')) AS groups,
+       true AS within_error
+FROM metrics
+"""
+
+SQL["sample_null_groups"] = f"""
+WITH {METRICS}, {bucketed(86_400_000).replace("node_id IS NOT NULL", "node_id % 3 <> 0")}
+SELECT cluster_id, node_id, bucket_ms, _id, status FROM latest
+"""
+
+SQL["full_export"] = f"WITH {METRICS} SELECT _id, \"timestamp\", cluster_id, node_id, status, value FROM metrics"
+
+SQL["newest_documents"] = f"WITH {METRICS} SELECT _id, \"timestamp\", status FROM metrics ORDER BY \"timestamp\" DESC, _id LIMIT 500"

@@ -127,6 +127,41 @@ def estimate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate.estimate_sample_size(w, NODE_GROUP, "1h", lo, hi)
 
 
+@register
+def estimate_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketched group count lies within three times its stated error
+    of the exact one."""
+    m = adaptors.metrics(spark, sf_dir)
+    lo, hi = datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 1, 30, 23, 59, 59, tzinfo=timezone.utc)
+    exact, close = (estimate.estimate_sample_size(m, NODE_GROUP, "1h", lo, hi, exact=e) for e in (True, False))
+    near = F.abs(F.col("b.groups") - F.col("a.groups")) <= 3 * estimate.DEFAULT_RSD * F.col("a.groups") + 1
+    return exact.alias("a").join(close.alias("b"), F.col("a.rows") == F.col("b.rows")).select("a.rows", "a.groups", near.alias("within_error"))
+
+
+@register
+def sample_null_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series without a node id are not sampled; an all-null candidate
+    is no group column."""
+    m = adaptors.metrics(spark, sf_dir)
+    m = m.withColumns({"node_id": F.when(F.col("node_id") % 3 != 0, F.col("node_id")), "rack": F.lit(None).cast("string")})
+    groups = sampling.resolve_group_columns(m, ["cluster_id", "node_id", "rack"])
+    return sampling.sample_buckets(m, groups, "1d", fields=["status"]).select("cluster_id", "node_id", "bucket_ms", "_id", "status")
+
+
+@register
+def full_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an interval every document is exported."""
+    m = adaptors.metrics(spark, sf_dir)
+    return sampling.sample_buckets(m, NODE_GROUP, None).select("_id", "timestamp", "cluster_id", "node_id", "status", "value")
+
+
+@register
+def newest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 500 newest documents, ties by id (a top-k report)."""
+    m = adaptors.metrics(spark, sf_dir)
+    return m.orderBy(F.col("timestamp").desc(), F.col("_id").asc()).limit(500).select("_id", "timestamp", "status")
+
+
 # --- document shaping ---------------------------------------------------------
 
 
@@ -447,6 +482,17 @@ def request_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.index_overview(r, adaptors.index_overview(spark, sf_dir))
 
 
+@register
+def request_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved indices with overview, mapping and settings."""
+    from fleetlens.operators import requests
+
+    t = requests.request_targets(_cases(spark, sf_dir))
+    r = requests.resolve_aliases(t, adaptors.index_aliases(spark, sf_dir))
+    meta = adaptors.alias_index_metadata(spark, sf_dir)
+    return requests.index_report(r, adaptors.index_overview(spark, sf_dir), meta, meta)
+
+
 # --- alerts, diagnostics, responses, settings, scalars -------------------------
 
 

@@ -377,8 +377,25 @@ def index_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(
         F.concat(F.lit("idx-"), F.col("st"), F.lit("-"), F.col("d")).alias("index"),
         F.lit("green").alias("health"),
+        F.lit("open").alias("status"),
+        F.col("d").alias("pri"),
+        F.lit("1").alias("rep"),
         F.col("n").cast("string").alias("docs_count"),
+        F.pmod(F.col("n"), F.lit(1000)).cast("string").alias("docs_deleted"),
         F.concat(F.col("sz").cast("string"), F.lit("kb")).alias("store_size"),
+        F.concat(F.floor(F.col("sz") / 2).cast("string"), F.lit("kb")).alias("pri_store_size"),
+    )
+
+
+def alias_index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping and settings text of the alias targets; the first priority has
+    no settings, the last no mapping."""
+    o = table(spark, sf_dir, "orders")
+    g = o.select(F.lower("o_orderstatus").alias("st"), F.substring("o_orderpriority", 1, 1).alias("d")).distinct()
+    return g.select(
+        F.concat(F.lit("idx-"), F.col("st"), F.lit("-"), F.col("d")).alias("index"),
+        F.when(F.col("d") != "5", F.concat(F.lit('{"properties":{"'), F.col("st"), F.lit('":{"type":"long"}}}'))).alias("mapping"),
+        F.when(F.col("d") != "1", F.concat(F.lit('{"number_of_shards":"'), F.col("d"), F.lit('"}'))).alias("settings"),
     )
 
 

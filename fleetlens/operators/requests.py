@@ -185,8 +185,10 @@ OVERVIEW_COUNTS = ("docs_count", "docs_deleted")
 
 
 def index_overview(resolved: DataFrame, overview: DataFrame) -> DataFrame:
-    """Resolved index ⟕ ``_cat/indices`` facts, ``-`` for unknown ones."""
-    facts = overview.select(F.col("index").alias("index_name"), *[F.col(c).cast("string").alias(f"__{c}") for c in OVERVIEW_TEXTS + OVERVIEW_COUNTS])
+    """Resolved index ⟕ ``_cat/indices`` facts, ``-`` for unknown ones and for
+    facts that the overview does not have (J6, R5, U4)."""
+    known = [F.col(c) if c in overview.columns else F.lit(None) for c in OVERVIEW_TEXTS + OVERVIEW_COUNTS]
+    facts = overview.select(F.col("index").alias("index_name"), *[k.cast("string").alias(f"__{c}") for k, c in zip(known, OVERVIEW_TEXTS + OVERVIEW_COUNTS, strict=True)])
     j = lookup_join(resolved, facts, "index_name")
     return j.select(
         *resolved.columns,

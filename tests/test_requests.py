@@ -55,3 +55,6 @@ def test_targets_aliases_overview(spark):
     ov = spark.createDataFrame([("movies-v1", "green", "8516", "1mb")], "index string, health string, docs_count string, store_size string")
     o = {x["index_name"]: x for x in requests.index_overview(r, ov).collect()}
     assert o["movies-v1"]["docs_count"] == "8,516" and o["movies-v2"]["health"] == "-" and o["movies-v2"]["docs_count"] == "-"
+    facts = spark.createDataFrame([("movies-v1", "{m}", "{s}")], "index string, mapping string, settings string")
+    rep = {x["index_name"]: (x["mapping"], x["settings"], x["pri"]) for x in requests.index_report(r, ov, facts, facts).collect()}
+    assert rep == {"movies-v1": ("{m}", "{s}", "-"), "movies-v2": (None, None, "-"), "index1": (None, None, "-")}

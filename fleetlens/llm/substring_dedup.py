@@ -16,7 +16,7 @@ removed.  Windows are judged on the input.
    around an occurrence are candidates.
 4. Candidates are confirmed over the corpus: grouped by two independent
    hashes of their words, a window is repeated in every document but the one
-   with the smallest id.  The group's rows are salted for the way back.
+   with the smallest id.
 
 Data moved: sampled phrases (one word in about 18) and candidate windows, not
 the texts.  Nothing is collected to the driver.
@@ -41,7 +41,7 @@ from fleetlens.llm.common import join_checked, slices
 from fleetlens.session import write_shared
 
 WINDOW, PHRASE = 50, 16
-SALTS = 8
+SHARD_BYTES = 1_500_000
 _U = np.uint64
 
 
@@ -91,7 +91,7 @@ def _candidates(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        for shard in slices(batches, 2):
+        for shard in slices(batches, 2, SHARD_BYTES):
             w = words.split(shard.column(2).to_pylist())
             hashes, first = words.runs(w, phrase)
             at = np.searchsorted(first, w.offsets)
@@ -131,10 +131,11 @@ def _candidates(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.select("id", "v", "text", "phrases").mapInArrow(run, "h1 long, h2 int, id long, v long, pos int")
 
 
-def _salted(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys that may be very frequent in ``rows``."""
-    many = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(many, [*keys, "salt"]).drop("salt")
+def _matched(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with one row per key of ``groups``.  A key may stand in a
+    third of ``rows``: both sides come from written tables and are shuffled for
+    this join alone, so adaptive execution can split such a partition."""
+    return rows.join(write_shared(groups, "keys"), keys)
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -151,12 +152,12 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.select(F.col("rep.id").alias("id"), F.col("rep.v").alias("v"), "phrases")
     each = reps.select("id", "v", F.explode("phrases").alias("h"))
     recurring = each.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
-    holders = write_shared(_salted(each, recurring, ["h"]).groupBy("id", "v").agg(F.collect_list("h").alias("phrases")), "holders")
+    holders = write_shared(_matched(each, recurring, ["h"]).groupBy("id", "v").agg(F.collect_list("h").alias("phrases")), "holders")
     wanted = write_shared(holders.select("id").distinct(), "holder-ids")
     shards = join_checked(base, wanted, ["id"], "left_semi").join(holders, ["id", "v"])
     windows = write_shared(_candidates(shards, window, phrase), "windows")
     repeated = windows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h1", "h2", "low")
-    hits = _salted(windows, repeated, ["h1", "h2"]).where("id > low").groupBy("id", "v").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    hits = _matched(windows, repeated, ["h1", "h2"]).where("id > low").groupBy("id", "v").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -34,15 +34,15 @@ MARK = "▁"
 
 
 def check_model(model: bytes) -> None:
-    """Raise unless the model's pieces and settings allow chunks (see above)."""
-    from sentencepiece import sentencepiece_model_pb2 as pb
-
-    proto = pb.ModelProto()
-    proto.ParseFromString(model)
-    n = proto.normalizer_spec
-    crossing = [p.piece for p in proto.pieces if MARK in p.piece.lstrip(MARK)]
-    user = [p.piece for p in proto.pieces if p.type == pb.ModelProto.SentencePiece.USER_DEFINED]
-    if crossing or user or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix or not n.escape_whitespaces:
+    """Raise unless the model allows chunks: no piece holds a marker behind
+    another character, a marker is put in front of a text, and white space and
+    compatibility characters come back from a round trip as they were."""
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_proto=model)
+    crossing = [i for i in range(sp.get_piece_size()) if MARK in sp.id_to_piece(i).lstrip(MARK)]
+    probe = "  a \u3000\u00a0\ufb01 \u212b  b  "
+    if crossing or not sp.encode("a", out_type=str)[0].startswith(MARK) or sp.decode(sp.encode(probe)) != probe:
         raise ValueError("pieces of this model may cross white space markers")
 
 

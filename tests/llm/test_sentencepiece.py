@@ -45,8 +45,7 @@ def test_real_documents(spark):
 
 
 def test_models_that_cross_markers_are_refused():
-    from sentencepiece import sentencepiece_model_pb2 as pb
-
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     proto = pb.ModelProto()
     proto.ParseFromString(MODEL)
     proto.pieces.add(piece="of▁the", score=0)

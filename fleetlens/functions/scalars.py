@@ -143,9 +143,15 @@ def is_search_path(path: Column | str) -> Column:
     return F.coalesce(_last_segment(path) == "_search", F.lit(False))
 
 
+# A JSON string (kept), or white space outside of one (dropped).
+_STRING_OR_SPACE = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|[ \t\r\n]+'
+
+
 def json_compact(text: Column | str) -> Column:
-    """Compact JSON text of a JSON document, null when it does not parse."""
-    return F.to_json(F.try_parse_json(_c(text)))
+    """A JSON document's text without white space between its parts, null when
+    it does not parse (U11).  Keys keep their order and numbers their spelling."""
+    t = _c(text)
+    return F.when(F.try_parse_json(t).isNotNull(), F.regexp_replace(t, _STRING_OR_SPACE, "$1"))
 
 
 def strip_label(name: Column | str, labels: list[str]) -> Column:

@@ -638,6 +638,11 @@ SELECT file_id, CAST(seq AS INTEGER) AS seq, title, method, path, body_raw,
        body_raw || CASE WHEN body_is_ndjson THEN chr(10) ELSE '' END AS body_sent, body_is_ndjson, body_valid, error FROM parsed
 """
 
+SQL["request_bodies"] = f"""
+WITH {CASES}
+SELECT file_id, CAST(seq AS INTEGER) AS seq, body_raw AS body FROM parsed WHERE body_valid AND error IS NULL
+"""
+
 SQL["request_targets"] = f"""
 WITH {CASES}
 SELECT file_id, CAST(seq AS INTEGER) AS seq, CAST(target_pos AS INTEGER) AS target_pos, target FROM targets

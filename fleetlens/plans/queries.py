@@ -455,6 +455,16 @@ def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, sf_dir)
 
 
+@register
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compact text of every valid JSON body, written with white space first."""
+    from fleetlens.functions import scalars
+
+    good = _cases(spark, sf_dir).where("body_valid and error is null")
+    spaced = F.regexp_replace("body_raw", "([:,{}])", "$1 \n")
+    return good.select("file_id", "seq", scalars.json_compact(spaced).alias("body"))
+
+
 @register
 def request_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index names addressed by each good case."""

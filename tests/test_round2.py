@@ -155,3 +155,9 @@ def test_stream_windows_of_part_seconds(spark, interval, want):
 
     df = spark.createDataFrame([("a", 0.1), ("a", 1.4), ("a", 1.6)], "g string, s double").selectExpr("g", "cast(s * 10 as string) _id", "timestamp_millis(cast(s * 1000 as bigint)) timestamp")
     assert [r.bucket_ms for r in stream_buckets(df, ["g"], interval, "1 second").orderBy("bucket_ms").collect()] == want
+
+
+def test_compact_json_keeps_order_and_strings(spark):
+    rows = [('{ "b" : 1.0,\n "a" : [ 1, "x  \\" , y" ] }', '{"b":1.0,"a":[1,"x  \\" , y"]}'), ("{'a': 1}", None), ("nope", None), (None, None), ('"' + "\\n " * 3000 + '"', '"' + "\\n " * 3000 + '"')]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [r.got for r in df.select(scalars.json_compact("t").alias("got")).collect()] == [w for _, w in rows]

@@ -11,7 +11,8 @@ shrink level by level.  For a query node Q and a data node P
     max <q, p>  <=  <cQ, cP> + rQ |cP| + rP |cQ| + rQ rP
 
 so the pair is pruned if that bound is below the worst k-th score of Q's
-queries.  Leaves are compared by a matrix product.  The k best of every block
+queries.  Leaves are compared by a matrix product, each query only while its
+own bound allows.  The k best of every block
 are merged per query with a window over at most k rows per block.
 
 Equal vectors fall into one leaf however many they are; ties go to the
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from fleetlens.session import write_shared
 
-LEAF = 64
+LEAF = 128  #: points of a leaf that is not divided
+LEAST = 16  #: points of a child worth a node of its own
+SPARSE = 8  #: poor centres in a row after which the rest becomes one leaf
 
 
 class Node:
@@ -42,14 +45,17 @@ class Node:
     __slots__ = ("centre", "norm", "radius", "index", "children", "worst")
 
     def __init__(self, centre: np.ndarray, radius: float, index: np.ndarray) -> None:
-        self.centre, self.radius, self.index = centre, radius, index
+        self.centre, self.radius, self.index = centre, radius, np.sort(index)
         self.norm = float(np.linalg.norm(centre))
         self.children: list[Node] = []
         self.worst = -np.inf
 
 
 def cover_tree(points: np.ndarray) -> Node | None:
-    """Cover tree of the rows: children of a node lie within half its scale."""
+    """Cover tree of the rows: children of a node lie within half its scale.
+
+    Points that no centre gathers (in many dimensions all are far from each
+    other) stay together in one leaf, which is compared as a matrix."""
     if not len(points):
         return None
 
@@ -58,37 +64,60 @@ def cover_tree(points: np.ndarray) -> Node | None:
         if len(index) <= LEAF or node.radius == 0:
             return node
         scale = node.radius / 2
-        left, left_distance, next_centre = index, distance, centre
-        while len(left):  # a net of centres more than ``scale`` apart
+        left, left_distance, next_centre, poor, loose = index, distance, centre, 0, []
+        while len(left) and poor < SPARSE:  # a net of centres more than ``scale`` apart
             near = left_distance <= scale
-            node.children.append(grow(left[near], next_centre, left_distance[near]))
-            left = left[~near]
-            if len(left):
-                # the point farthest from the centre just used
-                next_centre = left[int(np.argmax(left_distance[~near]))]
+            if near.sum() >= LEAST:
+                node.children.append(grow(left[near], next_centre, left_distance[near]))
+                poor = 0
+            else:
+                loose.append(left[near])
+                poor += 1
+            left, rest = left[~near], left_distance[~near]
+            if len(left):  # next the point farthest from the centre just used
+                next_centre = left[int(np.argmax(rest))]
                 left_distance = np.linalg.norm(points[left] - points[next_centre], axis=1)
+        if node.children and (loose or len(left)):
+            rest = np.concatenate([*loose, left])
+            node.children.append(Node(points[rest[0]], float(np.linalg.norm(points[rest] - points[rest[0]], axis=1).max()), rest))
         return node
 
     every = np.arange(len(points))
     return grow(every, 0, np.linalg.norm(points - points[0], axis=1))
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-    """The k best (score, id) of every query, best first.  Rows hold integers
-    as floats whose products are exact (checked by the caller)."""
-    best: list[list[tuple[int, int]]] = [[] for _ in queries]
-    kth = np.full(len(queries), -np.inf)
+def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best rows of every query, best first (-inf: no
+    more).  Rows hold integers as floats whose products are exact (checked by
+    the caller)."""
+    order = np.argsort(data_ids, kind="stable")  # so that a lower place is a smaller id
+    data, data_ids = data[order], data_ids[order]
+    score = np.full((len(queries), k), -np.inf)
+    place = np.full((len(queries), k), len(data))
+    length = np.linalg.norm(queries, axis=1)
 
     def compare(q: Node, p: Node) -> None:
-        scores = queries[q.index] @ data[p.index].T
-        for row, i in enumerate(q.index):
-            mine = np.flatnonzero((scores[row] >= kth[i]) & (data_ids[p.index] != query_ids[i]))
-            if len(mine):
-                found = best[i] + [(int(s), int(d)) for s, d in zip(scores[row, mine], data_ids[p.index[mine]], strict=True)]
-                best[i] = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-                if len(best[i]) == k:
-                    kth[i] = best[i][-1][0]
-        q.worst = float(kth[q.index].min())
+        # single queries are pruned by their own bound
+        high = queries[q.index] @ p.centre + p.radius * length[q.index]
+        rows = q.index[high + 1e-9 * (np.abs(high) + 1) >= score[q.index, -1]]
+        if len(rows):
+            found = queries[rows] @ data[p.index].T
+            found[data_ids[p.index][None, :] == query_ids[rows][:, None]] = -np.inf
+            better = found.max(axis=1) >= score[rows, -1]
+            rows, found = rows[better], found[better]
+        if len(rows):
+            if found.shape[1] > 4 * k:  # all that reach the k-th best score of the leaf
+                least = -np.partition(-found, k - 1, axis=1)[:, k - 1]
+                columns = np.flatnonzero((found >= least[:, None]).any(axis=0))
+                found, index = found[:, columns], p.index[columns]
+            else:
+                index = p.index
+            top = np.argsort(-found, axis=1, kind="stable")[:, :k]  # ties: lower place first
+            s = np.concatenate([score[rows], np.take_along_axis(found, top, axis=1)], axis=1)
+            i = np.concatenate([place[rows], index[top]], axis=1)
+            best = np.lexsort((i, -s), axis=1)[:, :k]
+            score[rows], place[rows] = np.take_along_axis(s, best, axis=1), np.take_along_axis(i, best, axis=1)
+        q.worst = float(score[q.index, -1].min())
 
     def bound(q: Node, p: Node) -> float:
         high = float(q.centre @ p.centre) + q.radius * p.norm + p.radius * q.norm + q.radius * p.radius
@@ -110,7 +139,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
     a, b = cover_tree(queries), cover_tree(data)
     if a and b:
         visit(a, b)
-    return best
+    return score, np.where(np.isfinite(score), np.append(data_ids, -1)[place], -1)
 
 
 def integers(vector: str, scale: int) -> Column:
@@ -145,9 +174,10 @@ def top_k(
         q, d = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         if q.shape[1] and np.abs(q).max() * np.abs(d).max() * q.shape[1] >= 2.0**53:
             raise ValueError("components are too large for exact scores")
-        found = search(q, left["id"].to_numpy(), d, right["id"].to_numpy(), k)
-        out = [(i, p, s) for i, best in zip(left["id"], found, strict=True) for s, p in best]
-        return pd.DataFrame(out, columns=columns).astype("int64")
+        ids = left["id"].to_numpy()
+        score, found = search(q, ids, d, right["id"].to_numpy(), k)
+        row, rank = np.nonzero(np.isfinite(score))
+        return pd.DataFrame({"query_id": ids[row], id_col: found[row, rank], "score": score[row, rank].astype(np.int64)})
 
     pairs = meets.groupBy("q", "d", "dim").cogroup(dealt.groupBy("q", "d", "dim")).applyInPandas(block, f"query_id long, `{id_col}` long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words: blank, tab, line feed, vertical tab, form feed, return.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -42,7 +39,7 @@ def bounded_sample(df: DataFrame, id_col: str, bound: int) -> DataFrame:
     return ordered.orderBy("_order", id_col).limit(bound).drop("_order")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of one piece hold about ``max_bytes``.
 
     One text is never cut; memory per piece is bounded by ``max_bytes`` plus
@@ -52,6 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 4_0
         n = batch.num_rows
         if n == 0:
             continue
+        pa.default_memory_pool().release_unused()  # what the batch before has left
         lengths = pc.binary_length(batch.column(text_at)).fill_null(0).to_numpy(zero_copy_only=False)
         piece = np.cumsum(lengths) // max_bytes
         starts = np.flatnonzero(np.diff(piece, prepend=-1))
@@ -59,31 +57,6 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 4_0
             yield batch.slice(a, b - a)
 
 
-def by_text(
-    df: DataFrame,
-    columns: list[str],
-    text_at: int,
-    schema: str,
-    fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
-    setup: Callable[[], object] | None = None,
-) -> DataFrame:
-    """Apply ``fn`` to Arrow pieces of ``df[columns]`` of bounded size.
-
-    Only the named columns travel, by position, so other columns of ``df`` may
-    have any name.  ``setup`` runs once per task; its result is ``fn``'s second
-    argument.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = setup() if setup else None
-        for piece in slices(batches, text_at):
-            out = fn(piece, state)
-            if out is not None and out.num_rows:
-                yield out
-
-    return df.select([F.col(c) for c in columns]).mapInArrow(run, schema)
-
-
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow text column; null becomes the empty text."""
     return [t or "" for t in column.to_pylist()]

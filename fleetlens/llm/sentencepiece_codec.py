@@ -144,8 +144,8 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: bool = True,
-    max_chunks: int = 600_000,
-    max_bytes: int = 2_000_000,
+    max_chunks: int = 300_000,
+    max_bytes: int = 1_000_000,
 ) -> DataFrame:
     """One row per row of ``df``: the id, ``ids`` (array<int>), ``decoded`` (text).
 

@@ -41,7 +41,7 @@ from fleetlens.llm.common import join_checked, slices
 from fleetlens.session import write_shared
 
 WINDOW, PHRASE = 50, 16
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
 _U = np.uint64
 
 

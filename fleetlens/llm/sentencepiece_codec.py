@@ -47,7 +47,7 @@ def check_model(model: bytes) -> None:
 
 
 class ChunkTable:
-    """Distinct chunks -> ids and decoded text, each segmented once."""
+    """Distinct chunks -> ids, each segmented and decoded once."""
 
     def __init__(self, model: bytes, max_chunks: int) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -61,7 +61,7 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.surface: list[str] = []
+        self.odd: dict[str, str] = {}  # chunks that do not decode to a blank and themselves
         self.flat = np.zeros(1024, np.int32)
         self.start = np.zeros(1, np.int64)  # chunk i has flat[start[i]:start[i + 1]]
 
@@ -74,17 +74,19 @@ class ChunkTable:
         flat = list(chain.from_iterable(ids))
         # one decode call for all; every chunk starts with a blank, which parts them again
         decoded = self.sp.decode(self.lead + flat)[len(self.lead_text) + 1 :]
-        surface = [" " + c for c in chunks_of(decoded)]
-        if len(surface) != len(chunks):
+        parts = chunks_of(decoded)
+        if len(parts) != len(chunks):
             raise ValueError("the model's decoder does not keep chunks apart")
+        self.odd.update((c, " " + d) for c, d in zip(chunks, parts, strict=True) if c != d)
         for c in blank:  # a run of markers at a text's end
             one = self.sp.encode(c) if c else self.sp.encode(MARK + "a")[:1]
             ids.append(one)
             flat += one
-            surface.append(self.sp.decode(self.lead + one)[len(self.lead_text) :])
-        first = len(self.surface)
+            text = self.sp.decode(self.lead + one)[len(self.lead_text) :]
+            if text != " " + c:
+                self.odd[c] = text
+        first = len(self.row)
         self.row.update(zip(chunks + blank, range(first, first + len(ids)), strict=True))
-        self.surface += surface
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
         if start[-1] > self.flat.size:
@@ -101,12 +103,10 @@ class ChunkTable:
         new = set().union(*split).difference(row)
         if new:
             self.add(list(new))
-        surface = self.surface
+        odd = self.odd
+        decoded = ["".join([odd.get(c) or " " + c for c in chunks])[1:] if odd and not odd.keys().isdisjoint(chunks) else " ".join(chunks) for chunks in split]
         n_chunks = np.fromiter(map(len, split), np.int64, len(split))
-        at = list(map(row.__getitem__, chain.from_iterable(split)))
-        ends = np.cumsum(n_chunks).tolist()
-        decoded = ["".join(map(surface.__getitem__, at[e - n : e]))[1:] for n, e in zip(n_chunks.tolist(), ends, strict=True)]
-        flat_rows = np.array(at, np.int64)
+        flat_rows = np.fromiter(map(row.__getitem__, chain.from_iterable(split)), np.int64, int(n_chunks.sum()))
         first, last = self.start[flat_rows], self.start[flat_rows + 1]
         lengths = last - first
         upto = np.concatenate([[0], np.cumsum(lengths)])

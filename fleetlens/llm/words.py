@@ -37,7 +37,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = -(-n // 65_536) * 65_536
             self.up, self.down = (np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (self.base, self.inverse))
         return self.up, self.down
 

@@ -146,3 +146,37 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM documents LEFT JOIN docs USING (doc_id)
 """
+
+
+def _cluster_round(r: int) -> str:
+    """Assignment ``a{r}`` to the centroids ``c{r}``, and the centroids after it."""
+    return f"""
+, a{r} AS MATERIALIZED (
+  SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT e.vec_id, c.c, sum((e.x - c.x) * (e.x - c.x))::BIGINT AS d FROM e JOIN c{r} c USING (i) GROUP BY ALL
+  ) GROUP BY vec_id
+), s{r} AS (
+  SELECT a.c, e.i, sum(e.x)::BIGINT AS s, count(*)::BIGINT AS n FROM a{r} a JOIN e USING (vec_id) GROUP BY ALL
+), c{r + 1} AS MATERIALIZED (
+  SELECT c.c, c.i, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{r} c LEFT JOIN s{r} s USING (c, i)
+)"""
+
+
+SQL["op12_clusters"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), e AS MATERIALIZED (
+  SELECT vec_id, unnest(v) AS x, unnest(range(64)) AS i FROM v
+), c0 AS MATERIALIZED (
+  SELECT c, unnest(v) AS x, unnest(range(64)) AS i
+  FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM v) WHERE c < 16
+)
+{"".join(_cluster_round(r) for r in range(4))}
+, h AS (
+  SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c
+)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a3 JOIN h USING (c)
+"""

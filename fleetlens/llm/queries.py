@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, language_hd, neardup, quality_gbt, secrets, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
+from fleetlens.llm import centroid_clusters, decontaminate, language_hd, neardup, quality_gbt, secrets, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
 from fleetlens.llm.common import is_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *code_digests())
 
 
+@register
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds over 16 centroids."""
+    assigned, centroids = centroid_clusters.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64)
+    found = centroid_clusters.with_inertia(assigned, centroids)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def code_digests() -> list[Column]:
     return [
         F.size("ids").cast("long").alias("n_tokens"),

@@ -180,3 +180,72 @@ SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY
        (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
 FROM a3 JOIN h USING (c)
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, from a table ``crc(t)`` of 256 numbers."""
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_LEVELS = 12  # periods below 6 * 2**_LEVELS
+
+
+def _period_level(k: int) -> str:
+    """Hashes of 6 * 2**k words, and the positions where they stand again at a
+    distance whose double they reach (the first level: below 12)."""
+    size, low = 6 * 2**k, 6 * 2**k if k else 1
+    half = size // 2
+    hashes = (
+        "SELECT doc_id, i, hash(ws[i + 1 : i + 6]) AS h FROM p WHERE i + 6 <= n"
+        if k == 0
+        else f"SELECT * FROM (SELECT doc_id, i, hash(h, lead(h, {half}) OVER (PARTITION BY doc_id ORDER BY i)) AS h, lead(i, {half}) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM g{k - 1}) WHERE j IS NOT NULL"
+    )
+    return f"""
+, g{k} AS MATERIALIZED (
+  {hashes}
+), r{k} AS MATERIALIZED (
+  SELECT doc_id, i, h FROM g{k} WHERE (doc_id, h) IN (SELECT (doc_id, h) FROM g{k} GROUP BY doc_id, h HAVING count(*) > 1)
+), m{k} AS (
+  SELECT a.doc_id, b.i - a.i AS q, a.i, {size} AS size FROM r{k} a JOIN r{k} b USING (doc_id, h) WHERE b.i - a.i BETWEEN {low} AND {2 * size - 1}
+)"""
+
+
+SQL["op13_periodic_runs"] = rf"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i) AS c FROM range(256) r(i)
+  )
+), w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws, {_crc32("doc_id::VARCHAR")} AS h FROM documents, crc
+), f AS (
+  SELECT doc_id, ws, h, len(ws) AS n, h // 10 AS g FROM w
+), d AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 <> 0 OR n = 0 THEN ws ELSE list_transform(range(n), lambda i: ws[CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END + 1]) END AS ws
+  FROM f
+), p AS (
+  SELECT doc_id, n, ws, unnest(range(n)) AS i FROM d
+)
+{"".join(_period_level(k) for k in range(_LEVELS))}
+, m AS (
+  {" UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(_LEVELS))}
+), islands AS (
+  SELECT doc_id, q, min(i) AS start, max(i) - min(i) + any_value(size) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island
+), long AS (
+  SELECT * FROM islands WHERE length >= greatest(12, 2 * q)
+), runs AS MATERIALIZED (
+  SELECT * FROM long a WHERE NOT EXISTS (
+    SELECT 1 FROM long b WHERE b.doc_id = a.doc_id AND b.q < a.q AND b.start <= a.start AND b.start + b.length >= a.start + a.length)
+), per AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed,
+         arg_min({{'s': start, 'l': length, 'q': q}}, (-length, start, q)) AS top
+  FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(ws[i + 1], ' ' ORDER BY i) AS text FROM (SELECT * FROM p ANTI JOIN gone USING (doc_id, i)) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.l::BIGINT AS length, top.q::BIGINT AS period,
+       (1000 * top.l // top.q)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

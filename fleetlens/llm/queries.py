@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import centroid_clusters, decontaminate, language_hd, neardup, quality_gbt, secrets, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
+from fleetlens.llm import centroid_clusters, decontaminate, language_hd, neardup, periodic_runs, quality_gbt, secrets, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
 from fleetlens.llm.common import is_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,27 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+@register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document and its text without repeated periods."""
+    found = periodic_runs.find_runs(periodic_runs.refolded(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    runs = F.col("runs")
+    # longest first, then the smallest start and period
+    best = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    found = found.withColumn("best", best)
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size(runs).cast("long").alias("n_runs"),
+        F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.floor(-1000 * F.col("best.l") / F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def code_digests() -> list[Column]:
     return [
         F.size("ids").cast("long").alias("n_tokens"),

@@ -249,3 +249,70 @@ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start,
        (1000 * top.l // top.q)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def _personal(kind: str, ord_: int, pattern: str, test: str, entity: str) -> str:
+    """Base spans of one kind with their entity and the gaps beside them."""
+    return f"""
+  SELECT doc_id, text, '{kind}' AS kind, {ord_} AS ord, start, start + length(a) AS stop, '{kind} ' || {entity} AS entity, before, after
+  FROM (
+    SELECT doc_id, text, unnest(a) AS a, unnest(gaps[1 : len(a)]) AS before, unnest(gaps[2 :]) AS after, unnest(range(1, len(a) + 1)) AS k,
+           list_sum(list_transform(gaps[1 : k], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(a_all[1 : k - 1], lambda x: length(x))), 0)::BIGINT AS start
+    FROM (
+      SELECT doc_id, text, a, gaps, a AS a_all FROM (
+        SELECT doc_id, text, regexp_extract_all(text, '{pattern}', 0) AS a, string_split_regex(text, '{pattern}') AS gaps FROM documents
+      ) WHERE len(a) > 0
+    )
+  ) WHERE {test}"""
+
+
+_BLANK = r"\x20\x09-\x0D"
+_PART = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_DIGITS = "regexp_replace(a, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INT WHEN x::INT > 4 THEN 2 * x::INT - 9 ELSE 2 * x::INT END)) % 10 = 0"""
+_BEFORE = f"regexp_replace(CASE WHEN length(before) > 48 THEN right(before, 48) ELSE before END, '[^{_BLANK}]+$', '')"
+_AFTER = f"regexp_replace(left(after, 48), '^[^{_BLANK}]+', '')"
+_AROUND = f"""CASE WHEN length(before) > 48 THEN regexp_replace({_BEFORE}, '^[^{_BLANK}]+', '') ELSE {_BEFORE} END || ' ' ||
+    CASE WHEN length(after) > 48 THEN regexp_replace({_AFTER}, '[^{_BLANK}]+$', '') ELSE {_AFTER} END"""
+
+
+def _term(word: str) -> str:
+    return rf"regexp_extract({word}, '^[^\p{{L}}\p{{N}}]*(\p{{L}}{{4,}})[^\p{{L}}\p{{N}}]*$', 1)"
+
+
+SQL["op11_disclosure"] = rf"""
+WITH base AS MATERIALIZED (
+  {_personal("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "lower(a)")} UNION ALL
+  {_personal("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", f"regexp_full_match(a, '{_PART}(\\.{_PART}){{3}}')", "a")} UNION ALL
+  {_personal("card", 2, r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END", _DIGITS)} UNION ALL
+  {_personal("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15", _DIGITS)}
+), tokens AS MATERIALIZED (
+  SELECT doc_id, text, token, start FROM (
+    SELECT doc_id, text, token, (sum(length(token)) OVER (PARTITION BY doc_id ORDER BY k) - length(token))::BIGINT AS start
+    FROM (SELECT doc_id, text, unnest(t) AS token, unnest(range(len(t))) AS k FROM (SELECT doc_id, text, regexp_extract_all(text, '[^{_BLANK}]+|[{_BLANK}]+') AS t FROM documents))
+  )
+), words AS MATERIALIZED (
+  SELECT doc_id, text, lower({_term("token")}) AS term, start + length(regexp_extract(token, '^[^\p{{L}}\p{{N}}]*')) AS start, length({_term("token")}) AS size
+  FROM tokens WHERE {_term("token")} <> ''
+), near AS MATERIALIZED (
+  SELECT DISTINCT entity, text, lower({_term("w")}) AS term
+  FROM (SELECT entity, text, unnest(string_split_regex({_AROUND}, '[{_BLANK}]+')) AS w FROM base) WHERE {_term("w")} <> ''
+), entities AS (
+  SELECT entity FROM base GROUP BY entity HAVING count(DISTINCT text) * 16 <= (SELECT count(DISTINCT coalesce(text, 'null')) FROM documents)
+), pairs AS (
+  SELECT term, max(n) AS n_pair FROM (SELECT term, entity, count(*) AS n FROM near JOIN entities USING (entity) GROUP BY ALL HAVING count(*) >= 2) GROUP BY term
+), terms AS (
+  SELECT term, 2 * n_pair >= n_term AS gone FROM (SELECT term, count(DISTINCT text) AS n_term FROM words GROUP BY term) JOIN pairs USING (term) WHERE 4 * n_pair >= n_term
+), spans AS (
+  SELECT doc_id, kind, ord, start, stop FROM base UNION ALL
+  SELECT doc_id, CASE WHEN gone THEN 'reveals' ELSE 'hints' END, CASE WHEN gone THEN 4 ELSE 5 END, start, start + size FROM words JOIN terms USING (term)
+), docs AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "reveals", "hints"))},
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 4) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone", "reveals", "hints"))},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN docs USING (doc_id)
+"""

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import centroid_clusters, decontaminate, language_hd, neardup, periodic_runs, quality_gbt, secrets, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
+from fleetlens.llm import centroid_clusters, decontaminate, disclosure, language_hd, neardup, periodic_runs, quality_gbt, secrets, sentencepiece_codec, substring_dedup, topk_covertree, toxicity_fm, warc
 from fleetlens.llm.common import is_remainder, table
+from fleetlens.llm.spans import listed as span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -134,6 +135,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *code_digests())
 
 
+@register
+def op11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms that give it away."""
+    rows, _ = disclosure.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter(spans, lambda s: s["ord"] < 4)
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        *[count(k) for k in disclosure.KINDS],
+        F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"),
+        span_list(spans).alias("spans"),
+    )
+
+
 @register
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every vector after three rounds over 16 centroids."""

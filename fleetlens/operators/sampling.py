@@ -16,9 +16,9 @@ Plan shape (two exchanges, no Python):
 2. one ``Window`` partitioned by the group and ordered by bucket carries the
    previous non-null value of every counter.  After step 1 a group holds at
    most one row per bucket, so the largest window partition is bounded by
-   ``time range / interval``, not by the input size.  With an interval at or
-   below the collection period step 1 reduces nothing, and one series is one
-   task's window; sample such input without rates, or by coarser buckets.
+   ``time range / interval``, not by the input size.  Where that is still too
+   long for one task, ``carry_block`` cuts every series into blocks of so many
+   buckets that are finished independently (:func:`_carry_by_block`).
 
 The result does not depend on partitioning or on how the time range is cut.
 
@@ -156,6 +156,56 @@ def _with_modes(grouped: DataFrame, texts: DataFrame, places: list[int]) -> Data
     return grouped.join(best, same, "left").drop(*[f"__k{j}" for j in range(len(keys))])
 
 
+def _before(series: list[str], order: str) -> Window:
+    return Window.partitionBy(*series).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _carry_by_block(
+    rows: DataFrame, newest: DataFrame, series: list[str], bucket_col: str, block_ms: int, looked: dict[str, Column], null_series: bool
+) -> DataFrame:
+    """``rows`` with the last non-null value of every ``looked`` column in the
+    buckets before, as a window over the whole series gives it (W1).
+
+    A scan in two levels.  Inside a block of time a window over (series, block)
+    looks back.  What the blocks before left is a row per (series, block),
+    aggregated from ``newest`` (the series, the bucket and the counters alone,
+    so that its scan reads nothing else) and carried over the few blocks of a
+    series.  The join back is on the window's own keys: the rows keep their
+    partitioning, and a series with any number of buckets is spread over as
+    many tasks as it has blocks.
+    """
+    block = F.floor(F.col(bucket_col) / block_ms).alias("__block")
+    local = rows.select("*", block)
+    inner = _before([*series, "__block"], bucket_col)
+    local = local.select("*", *[F.last(c, ignorenulls=True).over(inner).alias(f"{name}_in") for name, c in looked.items()])
+    # by the parts of a pair: numbers aggregate without sorting
+    parts = {name: [""] if name.startswith("__prev") else ["a", "b"] for name in looked}
+    left = newest.select("*", block, *[c.alias(name) for name, c in looked.items()])
+    last = [
+        F.max_by(F.col(name + (f".{part}" if part else "")), F.when(F.col(name).isNotNull(), F.col(bucket_col))).alias(f"{name}_{part}")
+        for name in looked
+        for part in parts[name]
+    ]
+    summary = left.groupBy(*series, "__block").agg(*last)
+    carry = _before(series, "__block")
+    carried = summary.select(
+        *[F.col(g).alias(f"{g}_key") for g in series],
+        F.col("__block").alias("__block_key"),
+        *[F.last(f"{name}_{part}", ignorenulls=True).over(carry).alias(f"{name}_{part}") for name in looked for part in parts[name]],
+    )
+
+    def same(c: str) -> Column:
+        return F.col(c).eqNullSafe(F.col(f"{c}_key")) if null_series else F.col(c) == F.col(f"{c}_key")
+
+    joined = local.join(carried, [same(c) for c in [*series, "__block"]], "left")
+
+    def value(name: str) -> Column:
+        before = F.col(f"{name}_") if parts[name] == [""] else F.when(F.col(f"{name}_a").isNotNull(), F.struct(F.col(f"{name}_a").alias("a"), F.col(f"{name}_b").alias("b")))
+        return F.coalesce(F.col(f"{name}_in"), before).alias(name)
+
+    return joined.select(*rows.columns, *[value(name) for name in looked])
+
+
 def sample_buckets(
     df: DataFrame,
     group_cols: list[str],
@@ -167,9 +217,13 @@ def sample_buckets(
     fallback: str = "latest",
     drop_null_groups: bool = True,
     fields: list[str] | None = None,
+    carry_block: int | None = None,
 ) -> DataFrame:
     """Down-sample ``df`` to one row per (group, bucket).
 
+    ``carry_block`` finishes blocks of so many buckets of one series in tasks
+    of their own; the rows are the same with and without it.
+
     ``fields`` names the paths wanted in the result: only they, the group, the
     time, the id and the inputs of rules that make them are read and moved.
 
@@ -233,9 +287,6 @@ def sample_buckets(
     inputs = rules.inputs()
     pairs = {**rules.latency, **rules.ratio}
     if inputs:
-        win = Window.partitionBy(*[F.col(f"__g{i}") for i in range(len(group_cols))]).orderBy(F.col(bucket_col)).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
         cur = {p: F.col(f"__cur{i}") for i, p in enumerate(inputs)}
         sampled = sampled.select("*", *[_as_double(sampled, p).alias(f"__cur{i}") for i, p in enumerate(inputs)])
 
@@ -244,11 +295,16 @@ def sample_buckets(
 
         # a rate looks back to its field's last value, a quotient to the last
         # bucket that had both inputs, so both deltas span the same time
-        sampled = sampled.select(
-            "*",
-            *[F.last(cur[p], ignorenulls=True).over(win).alias(f"__prev{i}") for i, p in enumerate(rules.rate)],
-            *[F.last(both(a, b), ignorenulls=True).over(win).alias(f"__pair{i}") for i, (a, b) in enumerate(pairs.values())],
-        )
+        looked = {f"__prev{i}": cur[p] for i, p in enumerate(rules.rate)}
+        looked |= {f"__pair{i}": both(a, b) for i, (a, b) in enumerate(pairs.values())}
+        series = [f"__g{i}" for i in range(len(group_cols))]
+        if carry_block:
+            values = F.struct(*[_as_double(base, p).alias(f"__cur{i}") for i, p in enumerate(inputs)])
+            newest = base.groupBy(*keys).agg(F.max_by(values, F.struct(F.col(ts_col), F.col(id_col))).alias("__v")).select(*series, bucket_col, "__v.*")
+            sampled = _carry_by_block(sampled, newest, series, bucket_col, interval_ms * carry_block, looked, not drop_null_groups)
+        else:
+            win = _before(series, bucket_col)
+            sampled = sampled.select("*", *[F.last(c, ignorenulls=True).over(win).alias(name) for name, c in looked.items()])
 
         def delta(now: Column, before: Column) -> Column:
             return F.when(now < before, now).otherwise(now - before)

@@ -111,6 +111,8 @@ SELECT cluster_id, node_id, bucket_ms, _id, "timestamp", metric_type, status,
 FROM w
 """
 
+SQL["sample_blocked_15m"] = SQL["sample_full_pipeline"]
+
 SQL["sample_avg_mode_1d"] = f"""
 WITH {METRICS}, {bucketed(86_400_000)},
 av AS (SELECT cluster_id, node_id, bucket_ms, avg(value) AS avg_value FROM b GROUP BY cluster_id, node_id, bucket_ms),

@@ -109,6 +109,16 @@ def sample_full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def sample_blocked_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampler with series cut into blocks of a day."""
+    m = adaptors.metrics(spark, sf_dir)
+    s = sampling.sample_buckets(m, NODE_GROUP, "15m", FULL_RULES, carry_block=96)
+    return s.select(
+        "cluster_id", "node_id", "bucket_ms", "_id", "timestamp", "metric_type", "status", "value", "ops", "time_ms", "latency_ms"
+    )
+
+
 @register
 def sample_avg_mode_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documented fallback -- bucket average for numbers, most frequent text."""

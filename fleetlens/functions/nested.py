@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.functions.jsontext import keep_paths
+
 
 def quote_path(path: str) -> str:
     """``a.b.1m`` -> ``a.b.`1m``` so that dotted paths with odd names resolve."""
@@ -82,7 +84,16 @@ def _rewrite_value(path: str, dtype: T.DataType, value: Column, leaf: Visitor, d
 
 
 def _needs_walk(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.StructType, T.ArrayType, T.MapType))
+    return isinstance(dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+
+
+def variant_above(schema: T.StructType, path: str) -> str | None:
+    """The VARIANT column or field that ``path`` leads into, if any."""
+    parts = path.split(".")
+    for i in range(1, len(parts)):
+        if isinstance(field_type(schema, ".".join(parts[:i])), T.VariantType):
+            return ".".join(parts[:i])
+    return None
 
 
 def rewrite(
@@ -93,8 +104,8 @@ def rewrite(
     """Rewrite every column of ``df`` in one ``select``.
 
     ``leaf`` maps a non-struct value (arrays of scalars and maps of scalars
-    are handed over whole) to a new Column; ``drop`` removes a field, at any
-    depth, before it is visited.
+    are handed over whole, a VARIANT too) to a new Column; ``drop`` removes a
+    field, at any depth, before it is visited.
     """
     leaf = leaf or (lambda _p, _t, c: c)
     drop = drop or (lambda _p, _t: False)
@@ -167,13 +178,24 @@ def project_paths(df: DataFrame, paths: list[str]) -> DataFrame:
     """Keep only the listed dotted paths; a path to an object keeps its subtree.
 
     Unknown paths are ignored.  Column pruning then reaches the Parquet scan.
+    A path that leads into a VARIANT cuts that value (:func:`keep_paths`).
     """
+    inside: dict[str, list[str]] = {}
+    for p in paths:
+        above = variant_above(df.schema, p)
+        if above is not None:
+            inside.setdefault(above, []).append(p[len(above) + 1 :])
     keep = [p for p in paths if field_type(df.schema, p) is not None]
+    inside = {v: below for v, below in inside.items() if not any(v == k or v.startswith(k + ".") for k in keep)}
+    keep += inside
 
     def kept(path: str) -> bool:
         return any(path == k or path.startswith(k + ".") or k.startswith(path + ".") for k in keep)
 
-    return rewrite(df, drop=lambda path, _t: not kept(path))
+    def cut(path: str, _t: T.DataType, value: Column) -> Column:
+        return keep_paths(value, inside[path]) if path in inside else value
+
+    return rewrite(df, leaf=cut, drop=lambda path, _t: not kept(path))
 
 
 def flatten(df: DataFrame, prefix: str = "", sep: str = ".") -> DataFrame:

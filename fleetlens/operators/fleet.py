@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import format_bytes, format_duration, used_percent
 from fleetlens.operators.filters import system_cluster
+from fleetlens.operators.joins import lookup_join
+from fleetlens.session import write_shared
 
 
 def active_clusters(metrics: DataFrame, cluster_col: str = "cluster_id", name_col: str = "cluster_name", top: int | None = None) -> DataFrame:
@@ -122,20 +124,47 @@ def health_distribution(report: DataFrame) -> DataFrame:
 MATCH_EXACT, MATCH_CASE_INSENSITIVE, MATCH_SUBSTRING = "exact", "case_insensitive", "substring"
 
 
-def _grams(text: Column, longest: int) -> Column:
-    """Distinct pieces of 1 to ``longest`` characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.substring(text, i, n)))))
+def _grams(text: Column, length: int) -> Column:
+    """Distinct pieces of exactly ``length`` characters; none in a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - length + 1)
+    return F.when(F.length(text) >= length, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, length)))).otherwise(F.array().cast("array<string>"))
+
+
+#: Registry names that share a piece and meet its requests in one task.
+NAMES_PER_TASK = 20_000
+
+
+def _containing(requests: DataFrame, registry: DataFrame, gram: int) -> DataFrame:
+    """(request, cid) of every registry name (cid, low) that contains the
+    lower-cased request: an inverted index of the names' pieces.
+
+    Each request goes to the rarest of its pieces alone (itself, if shorter
+    than a piece), and to none if one of its pieces stands in no name;
+    ``contains`` confirms.  A piece of very many names is split over as many
+    parts as its names need.
+    """
+    names = F.concat(*[_grams(F.col("low"), n) for n in range(1, gram + 1)])
+    pieces = registry.select("cid", F.col("low").alias("rlow"), F.explode(names).alias("piece"))
+    known = write_shared(pieces.groupBy("piece").agg(F.count("*").alias("names")), "name-pieces")
+    low = F.lower("request")
+    own = F.when(F.length(low) < gram, F.array(low)).otherwise(_grams(low, gram))
+    asked = requests.select("request", F.explode(own).alias("piece")).join(known, "piece", "left")
+    rarest = asked.groupBy("request").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "piece")).alias("r"))
+    parts = F.ceil(F.col("names") / NAMES_PER_TASK).cast("int")
+    chosen = write_shared(rarest.where("r.names > 0").select("request", "r.*").withColumn("parts", parts), "name-requests")
+    held = lookup_join(pieces, chosen.select("piece", "parts").distinct(), "piece", "inner")
+    held = held.withColumn("part", F.pmod(F.xxhash64("cid", "rlow"), F.col("parts")).cast("int")).drop("parts")
+    meets = chosen.select("request", "piece", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return meets.join(held, ["piece", "part"]).where(F.contains("rlow", low)).select("request", "cid")
 
 
 def resolve_cluster_names(requests: DataFrame, registry: DataFrame, name_col: str = "name", allow_substring: bool = True, gram: int = 3) -> DataFrame:
     """Cluster name -> id: exact, then case-insensitive, then unique substring.
 
     One join on the lower-cased name settles the first two kinds (equality
-    gives the rank).  Only requests it leaves open go on: their first ``gram``
-    characters meet the pieces of the registry names, at most ``gram`` per
-    character of a name, and ``contains`` confirms.  Per request the best kind
-    wins; several ids of that kind are ``ambiguous``, none is ``not_found``.
+    gives the rank).  Only requests it leaves open go on to the index of the
+    names' pieces (:func:`_containing`).  Per request the best kind wins;
+    several ids of that kind are ``ambiguous``, none is ``not_found``.
     """
     req = requests.select(F.trim(F.col(name_col)).alias("request")).where(F.col("request") != "").distinct()
     reg = registry.select(F.col("id").alias("cid"), F.trim(F.col("name")).alias("cname")).where("cid is not null and cname is not null and cname <> ''")
@@ -145,9 +174,8 @@ def resolve_cluster_names(requests: DataFrame, registry: DataFrame, name_col: st
     per_kind = by_name.groupBy("request", kind.alias("kind")).agg(F.countDistinct("cid").alias("candidates"), F.min("cid").alias("cid"))
     best = per_kind.groupBy("request").agg(F.min_by(F.struct("kind", "candidates", "cid"), F.coalesce("kind", F.lit(9))).alias("b")).select("request", "b.*")
     if allow_substring:
-        pieces = reg.select("cid", F.col("low").alias("rlow"), F.explode(_grams(F.col("low"), gram)).alias("piece"))
-        left = best.where("kind is null").select("request", F.substring(F.lower("request"), 1, gram).alias("piece"))
-        inside = left.join(pieces, "piece").where(F.contains("rlow", F.lower("request")))
+        best = write_shared(best, "name-matches")
+        inside = _containing(best.where("kind is null").select("request"), reg, gram)
         found = inside.groupBy("request").agg(F.lit(3).alias("kind"), F.countDistinct("cid").alias("candidates"), F.min("cid").alias("cid"))
         found = found.select("request", F.struct("kind", "candidates", "cid").alias("sub"))
         best = best.join(found, "request", "left").select(

@@ -46,6 +46,12 @@ def profile_rollup(profiles: DataFrame, id_col: str = "run_id", profile_col: str
     ).where(F.col("shard_count") > 0)
 
 
+def _staged(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """``df``'s columns ``keep`` and the ``made`` ones, computed once: what comes
+    through a generator is not built again inside later expressions."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
+
+
 def _per_shard(shards: Column) -> Column:
     """Per shard its times in nanoseconds, in document order."""
 
@@ -55,30 +61,27 @@ def _per_shard(shards: Column) -> Column:
         fetch = F.coalesce(s["fetch"]["time_in_nanos"], F.lit(0)).cast("bigint")
         aggs = _total(s["aggregations"].getField("time_in_nanos"))
         rewrite = _total(searches.getField("rewrite_time"))
-        # largest total first, then the smallest position
-        return F.struct((q + fetch + aggs).alias("t"), (-i).alias("order"), s["id"].alias("shard_id"), s["index"].alias("index"), s["node_id"].alias("node_id"), q.alias("q"), fetch.alias("f"), aggs.alias("a"), rewrite.alias("r"))
+        return F.struct(s["id"].alias("shard_id"), s["index"].alias("index"), s["node_id"].alias("node_id"), q.alias("q"), fetch.alias("f"), aggs.alias("a"), rewrite.alias("r"))
 
     return F.transform(shards, one)
 
 
-def _slowest(shards: Column) -> Column:
-    """The shard with the largest total; the first of equal ones."""
-    pick = lambda best, x: F.when(best.isNull() | (x["t"] > best["t"]), x).otherwise(best)
-    per = _per_shard(shards)
-    best = F.aggregate(F.slice(per, F.lit(2), F.greatest(F.size(shards) - 1, F.lit(0))), F.get(per, F.lit(0)), pick)
-    return F.transform(
-        F.array(best),
-        lambda x: F.struct(
-            x["shard_id"].alias("shard_id"),
-            x["index"].alias("index"),
-            x["node_id"].alias("node_id"),
-            nanos_to_ms(x["t"]).alias("total_time_ms"),
-            nanos_to_ms(x["q"]).alias("query_time_ms"),
-            nanos_to_ms(x["f"]).alias("fetch_time_ms"),
-            nanos_to_ms(x["a"]).alias("aggregation_time_ms"),
-            nanos_to_ms(x["r"]).alias("rewrite_time_ms"),
-        ),
-    )[0]
+def _slowest_place(per: Column) -> Column:
+    """Place of the shard with the largest total; the first of equal ones."""
+    return -F.array_max(F.transform(per, lambda x, i: F.struct((x["q"] + x["f"] + x["a"]).alias("t"), (-i).alias("order"))))["order"]
+
+
+def _slowest_record(x: Column) -> Column:
+    return F.struct(
+        x["shard_id"].alias("shard_id"),
+        x["index"].alias("index"),
+        x["node_id"].alias("node_id"),
+        nanos_to_ms(x["q"] + x["f"] + x["a"]).alias("total_time_ms"),
+        nanos_to_ms(x["q"]).alias("query_time_ms"),
+        nanos_to_ms(x["f"]).alias("fetch_time_ms"),
+        nanos_to_ms(x["a"]).alias("aggregation_time_ms"),
+        nanos_to_ms(x["r"]).alias("rewrite_time_ms"),
+    )
 
 
 def _top_listed(shards: Column, listed: str, fields: tuple[str, ...], k: int) -> Column:
@@ -109,18 +112,21 @@ def _top_listed(shards: Column, listed: str, fields: tuple[str, ...], k: int) ->
     return F.transform(ranked, lambda x, r: F.struct((r + 1).alias("rank"), *[x[f].alias(f) for f in (*fields, "time_ms", "shard", "index")]))
 
 
-def _top_phases(shards: Column, k: int) -> Column:
-    """The ``k`` breakdown phases with the largest sums; ``*_count`` entries
-    are dropped, ties keep the order in which phases first appear."""
+def _phase_entries(shards: Column) -> Column:
+    """The breakdown entries of all queries; ``*_count`` entries are dropped."""
     queries = _flat(_flat(shards.getField("searches")).getField("query"))
-    entries = F.filter(F.flatten(F.transform(queries, lambda q: F.map_entries(q["breakdown"]))), lambda e: ~e["key"].endswith("_count"))
-    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.filter(F.flatten(F.transform(queries, lambda q: F.map_entries(q["breakdown"]))), lambda e: ~e["key"].endswith("_count"))
+
+
+def _top_phases(entries: Column, k: int) -> Column:
+    """The ``k`` phases with the largest sums; ties keep the order in which
+    phases first appear.  ``entries`` must be a column that is already made."""
 
     def one(name: Column, i: Column) -> Column:
-        total = F.aggregate(F.filter(entries, lambda e: e["key"] == name), F.lit(0).cast("bigint"), lambda acc, e: acc + F.coalesce(e["value"], F.lit(0)).cast("bigint"))
+        total = F.aggregate(entries, F.lit(0).cast("bigint"), lambda acc, e: F.when(e["key"] == name, acc + F.coalesce(e["value"], F.lit(0)).cast("bigint")).otherwise(acc))
         return F.struct((-nanos_to_ms(total)).alias("order"), i.alias("i"), name.alias("phase"), nanos_to_ms(total).alias("time_ms"))
 
-    ranked = F.slice(F.array_sort(F.transform(names, one)), 1, k)
+    ranked = F.slice(F.array_sort(F.transform(F.array_distinct(entries.getField("key")), one)), 1, k)
     return F.transform(ranked, lambda x, r: F.struct((r + 1).alias("rank"), x["phase"].alias("phase"), x["time_ms"].alias("time_ms")))
 
 
@@ -132,7 +138,9 @@ def slowest_shard(profiles: DataFrame, id_col: str = "run_id", profile_col: str
     """The shard with the largest query+fetch+aggregation time; first wins ties
     (A30).  Within the row, no shuffle; profiles that share an id stay apart."""
     some = profiles.where(F.size(_shards_of(profile_col)) > 0)
-    return some.select(F.col(id_col), F.inline(F.array(_slowest(_shards_of(profile_col)))))
+    per = _staged(some, [id_col], __per=_per_shard(_shards_of(profile_col)))
+    best = _staged(per, [id_col], __best=F.get("__per", _slowest_place(F.col("__per"))))
+    return best.select(F.col(id_col), F.inline(F.array(_slowest_record(F.col("__best")))))
 
 
 def top_query_components(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile", k: int = 3) -> DataFrame:
@@ -147,7 +155,8 @@ def top_collectors(profiles: DataFrame, id_col: str = "run_id", profile_col: str
 
 def top_breakdown_phases(profiles: DataFrame, id_col: str = "run_id", profile_col: str = "profile", k: int = 3) -> DataFrame:
     """Breakdown totals per phase, top ``k`` per profile (A29, O6), in the row."""
-    return profiles.select(F.col(id_col), F.inline(_top_phases(_shards_of(profile_col), k)))
+    entries = _staged(profiles, [id_col], __entries=_phase_entries(_shards_of(profile_col)))
+    return entries.select(F.col(id_col), F.inline(_top_phases(F.col("__entries"), k)))
 
 
 # Run columns a profile record carries, in order.
@@ -159,20 +168,30 @@ def profile_records(runs: DataFrame, profile_col: str = "profile") -> DataFrame:
     round and side, ``duration_ms`` / ``took_ms``, and ``profile_summary``: the
     roll-up totals, the slowest shard and the three top lists.  Runs without shards get no
     record.  Computed inside the row, no shuffle."""
-    shards = F.coalesce(F.col(f"{profile_col}.shards"), F.array())
-    searches = _flat(shards.getField("searches"))
-    summary = F.struct(
-        F.size(shards).alias("shard_count"),
-        nanos_to_ms(_total(_flat(searches.getField("query")).getField("time_in_nanos"))).alias("total_query_time_ms"),
-        nanos_to_ms(_total(shards.getField("fetch").getField("time_in_nanos"))).alias("total_fetch_time_ms"),
-        nanos_to_ms(_total(_flat(shards.getField("aggregations")).getField("time_in_nanos"))).alias("total_aggregation_time_ms"),
-        nanos_to_ms(_total(searches.getField("rewrite_time"))).alias("total_rewrite_time_ms"),
-        _slowest(shards).alias("slowest_shard"),
-        _top_listed(shards, "query", ("type", "description"), 3).alias("top_query_components"),
-        _top_listed(shards, "collector", ("name", "reason"), 3).alias("top_collectors"),
-        _top_phases(shards, 3).alias("top_breakdown"),
-    )
+    shards = _shards_of(profile_col)
     cols = [F.col(c) if c in runs.columns else F.lit(None).alias(c) for c in RECORD_COLUMNS]
-    return runs.where(F.size(shards) > 0).select(
-        *cols, F.col("duration").alias("duration_ms"), F.col("took").alias("took_ms"), summary.alias("profile_summary")
+    run = [*RECORD_COLUMNS, "duration_ms", "took_ms"]
+    some = runs.where(F.size(shards) > 0).select(*cols, F.col("duration").alias("duration_ms"), F.col("took").alias("took_ms"), F.col(profile_col).alias("__profile"))
+    inner = _shards_of("__profile")
+    parts = _staged(
+        some,
+        run,
+        __per=_per_shard(inner),
+        __components=_top_listed(inner, "query", ("type", "description"), 3),
+        __collectors=_top_listed(inner, "collector", ("name", "reason"), 3),
+        __entries=_phase_entries(inner),
+    )
+    per = F.col("__per")
+    summary = F.struct(
+        F.size(per).alias("shard_count"),
+        nanos_to_ms(_total(per.getField("q"))).alias("total_query_time_ms"),
+        nanos_to_ms(_total(per.getField("f"))).alias("total_fetch_time_ms"),
+        nanos_to_ms(_total(per.getField("a"))).alias("total_aggregation_time_ms"),
+        nanos_to_ms(_total(per.getField("r"))).alias("total_rewrite_time_ms"),
+        _slowest_record(F.get(per, F.col("__slowest"))).alias("slowest_shard"),
+        F.col("__components").alias("top_query_components"),
+        F.col("__collectors").alias("top_collectors"),
+        _top_phases(F.col("__entries"), 3).alias("top_breakdown"),
     )
+    placed = _staged(parts, [*run, "__per", "__components", "__collectors", "__entries"], __slowest=_slowest_place(per))
+    return _staged(placed, run, profile_summary=summary)

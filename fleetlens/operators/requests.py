@@ -160,15 +160,13 @@ def resolve_aliases(targets: DataFrame, aliases: DataFrame) -> DataFrame:
     """Alias -> concrete indices; unknown names stay themselves.
 
     Order-preserving dedupe per case: an index keeps the position of its
-    first appearance.  ``aliases`` has ``alias, index``.  A handful of names
-    covers most requests, so the alias table (all indices of an alias in one
-    row) is counted and broadcast, or joined with salted keys beyond that; the
-    rest happens inside the case's partition.
+    first appearance.  ``aliases`` has ``alias, index``, a row per index.  A
+    handful of names covers most requests, so the alias table is broadcast up
+    to a size, or joined with salted keys beyond it; the rest happens inside
+    the case's partition.
     """
-    a = aliases.where(F.col("alias").isNotNull()).groupBy(F.col("alias").alias("target")).agg(F.sort_array(F.collect_set("index")).alias("__indices"))
-    j = lookup_join(targets, a, "target").select(
-        "file_id", "seq", "target_pos", F.explode(F.coalesce(F.col("__indices"), F.array("target"))).alias("index_name")
-    )
+    a = aliases.where(F.col("alias").isNotNull()).select(F.col("alias").alias("target"), F.col("index").alias("__index")).where("__index is not null").distinct()
+    j = lookup_join(targets, a, "target").select("file_id", "seq", "target_pos", F.coalesce("__index", "target").alias("index_name"))
     # Both windows share the (file, case) partitioning: one exchange.  The
     # first keeps each index's earliest appearance, the second numbers them.
     by_name = Window.partitionBy("file_id", "seq").orderBy("index_name", "target_pos")

@@ -1,11 +1,13 @@
 """Document shaping: project, slim, mask, flatten.
 
 Each operator is one pass of the schema walk in ``functions.nested``: a single
-projection, no Python per row.
+projection, no Python per row.  VARIANT values are rewritten through the tokens
+of their JSON text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.functions.jsontext import drop_members, drop_scalar_members, map_json_strings
 from fleetlens.functions.nested import flatten, project_paths, rewrite
 from fleetlens.session import write_shared
 
@@ -33,7 +36,14 @@ def mask_ipv4(col: Column | str) -> Column:
     return F.regexp_replace(c, IPV4_PATTERN, IPV4_REPLACEMENT)
 
 
+def _through_json(value: Column, change: Callable[[Column], Column]) -> Column:
+    """A VARIANT whose JSON text was changed."""
+    return F.parse_json(change(F.to_json(value)))
+
+
 def _mask_leaf(_path: str, dtype: T.DataType, value: Column) -> Column:
+    if isinstance(dtype, T.VariantType):
+        return _through_json(value, lambda text: map_json_strings(text, mask_ipv4, r"[0-9]\.[0-9]"))
     if isinstance(dtype, T.StringType):
         return mask_ipv4(value)
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):
@@ -63,7 +73,8 @@ def slim_document(df: DataFrame, config: SlimConfig) -> DataFrame:
     ``store``, ``estimated_size`` and ``limit_size`` below the top level, at
     any depth and inside arrays, when their value is a scalar; an object such
     as ``indices.store`` keeps its byte counts.  With the metadata part on,
-    the metadata subtree is exempt from the human-readable part.
+    the metadata subtree is exempt from the human-readable part.  Both parts
+    reach into VARIANT values as well.
     """
     if not config.enabled:
         return df
@@ -80,7 +91,16 @@ def slim_document(df: DataFrame, config: SlimConfig) -> DataFrame:
             return scalar
         return False
 
-    return rewrite(df, drop=drop)
+    def leaf(path: str, dtype: T.DataType, value: Column) -> Column:
+        if not isinstance(dtype, T.VariantType):
+            return value
+        if config.remove_meta and path.split(".")[0] == "metadata":
+            return drop_members(value, list(SLIM_METADATA_KEYS)) if path == "metadata" else value
+        if config.remove_human_readable:
+            return _through_json(value, lambda text: drop_scalar_members(text, list(SLIM_HUMAN_READABLE_KEYS)))
+        return value
+
+    return rewrite(df, leaf=leaf, drop=drop)
 
 
 def shape_documents(
@@ -118,10 +138,11 @@ def _json_pairs(v: Column, key: Column, depth: int) -> Column:
     return F.when(obj.isNotNull(), children).otherwise(leaf)
 
 
-def flatten_variant(df: DataFrame, id_cols: list[str], variant: Column, prefix: str = "", levels: int = 8) -> DataFrame:
-    """``flatten_json`` for a VARIANT column (e.g. a sub-document picked with ``variant_get``)."""
+def _flatten(df: DataFrame, id_cols: list[str], variant: Column, braces: Column, prefix: str, levels: int) -> DataFrame:
+    """``braces`` is the number of opening braces in a document's text: nothing
+    is deeper than that, so one cheap aggregate tells whether ``levels`` do."""
     pairs = df.where(variant.isNotNull()).select(*id_cols, F.inline(_json_pairs(variant, F.lit(prefix), levels)))
-    if not pairs.where("more").limit(1).count():
+    if (df.agg(F.max(braces)).first()[0] or 0) <= levels:
         return pairs.drop("more")
     done = []
     while True:  # deeper objects, ``levels`` at a time
@@ -134,16 +155,25 @@ def flatten_variant(df: DataFrame, id_cols: list[str], variant: Column, prefix:
     return reduce(DataFrame.unionByName, done)
 
 
+def _braces(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+
+
+def flatten_variant(df: DataFrame, id_cols: list[str], variant: Column, prefix: str = "", levels: int = 8) -> DataFrame:
+    """``flatten_json`` for a VARIANT column (e.g. a sub-document picked with ``variant_get``)."""
+    return _flatten(df, id_cols, variant, _braces(F.to_json(variant)), prefix, levels)
+
+
 def flatten_json(df: DataFrame, id_cols: list[str], json_col: str, prefix: str = "", levels: int = 8) -> DataFrame:
     """Free-form JSON object -> one row per leaf: ``key`` (dotted, with prefix), ``value``.
 
     Nested ``transform`` over the VARIANT's object entries builds the (key,
     value) pairs of ``levels`` levels inside the row, then one generator.  Only
-    documents that go deeper -- found by a probe that stops at the first one --
-    take further passes of as many levels.  Strings keep their text, other
-    leaves become JSON text; an empty object yields no rows.
+    if some text has more opening braces than that are the pairs written and
+    deeper objects taken in further passes of as many levels.  Strings keep
+    their text, other leaves become JSON text; an empty object yields no rows.
     """
-    return flatten_variant(df, id_cols, F.try_parse_json(F.col(json_col)), prefix, levels)
+    return _flatten(df, id_cols, F.try_parse_json(F.col(json_col)), _braces(F.col(json_col)), prefix, levels)
 
 
 __all__ = [

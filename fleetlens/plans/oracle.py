@@ -165,6 +165,15 @@ SELECT "timestamp",
 FROM d
 """
 
+# What is left of the free documents: addresses masked in values, scalar sizes
+# and everything that no path names gone, the array cut to its objects.
+SQL["variant_shape"] = """
+SELECT event_id,
+       '{"addr":"publish *.*.0.' || user_id || ' up","disk":{"10.1.1.1":"x","size_in_bytes":' || CAST(floor(value * 1024) AS BIGINT)
+       || '},"list":[{"at":"*.*.2.' || user_id || '"},{}],"props":{"k":' || json_extract_string(props, '$.k') || '},"store":{"left":[' || user_id || ']}}' AS doc
+FROM events
+"""
+
 ALERTS = """
 msgs AS (SELECT o_orderkey AS _id, o_custkey AS rule_id, o_orderstatus AS status, o_orderpriority AS priority,
                 o_orderdate AS created FROM orders)"""
@@ -645,6 +654,11 @@ WITH {CASES}
 SELECT file_id, CAST(seq AS INTEGER) AS seq, body_raw AS body FROM parsed WHERE body_valid AND error IS NULL
 """
 
+SQL["request_bodies_pretty"] = f"""
+WITH {CASES}
+SELECT file_id, CAST(seq AS INTEGER) AS seq, replace(json_pretty(body_raw), '    ', '  ') AS body FROM parsed WHERE body_valid AND error IS NULL
+"""
+
 SQL["request_targets"] = f"""
 WITH {CASES}
 SELECT file_id, CAST(seq AS INTEGER) AS seq, CAST(target_pos AS INTEGER) AS target_pos, target FROM targets

@@ -200,6 +200,17 @@ def slim_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten(shaped)
 
 
+VARIANT_FIELDS = ["addr", "disk", "list.at", "list.limit_size", "props.k", "store"]
+
+
+@register
+def variant_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 P3 P4 on VARIANT: free-form documents masked, slimmed and projected."""
+    m = adaptors.free_documents(spark, sf_dir)
+    shaped = shape.shape_documents(m, ["event_id", *[f"doc.{f}" for f in VARIANT_FIELDS]], mask=True, slim=shape.SlimConfig(enabled=True))
+    return shaped.select("event_id", F.to_json("doc").alias("doc"))
+
+
 # --- filters ------------------------------------------------------------------
 
 
@@ -475,6 +486,15 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("file_id", "seq", scalars.json_compact(spaced).alias("body"))
 
 
+@register
+def request_bodies_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every valid JSON body laid out over lines."""
+    from fleetlens.functions.jsontext import json_pretty
+
+    good = _cases(spark, sf_dir).where("body_valid and error is null")
+    return good.select("file_id", "seq", json_pretty("body_raw").alias("body"))
+
+
 @register
 def request_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index names addressed by each good case."""

@@ -76,3 +76,11 @@ def write_shared(df: DataFrame, label: str, partition_by: list[str] | None = Non
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df``, a table that was written, is read from."""
+    files = df.inputFiles()
+    if not files:
+        return 0
+    return int(df.sparkSession.read.format("binaryFile").load(files).agg({"length": "sum"}).first()[0] or 0)

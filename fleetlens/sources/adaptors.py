@@ -99,6 +99,20 @@ def metric_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def free_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as free-form documents in a VARIANT: addresses in values and
+    in a key, human-readable sizes at two depths, an array of objects and texts."""
+    ev = table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    addr = F.concat(F.lit("10."), (F.col("user_id") % 7).cast("string"), F.lit(".0."), user)
+    text = F.concat(
+        F.lit('{"addr":"publish '), addr, F.lit(' up","disk":{"10.1.1.1":"x","size_in_bytes":'), F.floor(F.col("value") * 1024).cast("string"),
+        F.lit(',"store":"'), user, F.lit('kb"},"list":[{"at":"10.1.2.'), user, F.lit('","limit_size":"1gb","n":1},"192.168.0.'), user,
+        F.lit('",{"n":2}],"props":'), F.col("props"), F.lit(',"store":{"estimated_size":null,"left":['), user, F.lit(']},"unused":[{"a":'), user, F.lit("}]}"),
+    )
+    return ev.select("event_id", F.parse_json(text).alias("doc"))
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``supplier`` as the cluster registry.
 

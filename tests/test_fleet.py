@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators import catalog, fleet
+from fleetlens.operators import catalog, fleet, joins
 
 REG = "id string, name string, version string, enabled boolean, monitored boolean"
 STATUS = (
@@ -69,6 +69,35 @@ def test_resolve_names(spark):
     assert got["gamma"] == ("4", "case_insensitive", "ok")
 
 
+def test_resolve_equals_search_of_all_names(spark, monkeypatch):
+    """Names that share almost every piece, requests of every length; pieces split."""
+    monkeypatch.setattr(fleet, "NAMES_PER_TASK", 7)
+    names = [f"search-prod-{i:04d}" for i in range(120)] + ["a", "AB", "ab", "é1", "prod"]
+    reg = [(str(i), n) for i, n in enumerate(names)] + [("x", None), (None, "prod-9"), ("y", "  ")]
+    req = ["search", "prod-00", "-0119", "00", "9", "b", "e", "É1", "ab", "search-prod-0007", "SEARCH-PROD-0008", "0120", "zz", "prod-011", "rch-prod-0", " "]
+    got = {r["name"]: (r["cluster_id"], r["match_type"], r["candidates"]) for r in fleet.resolve_cluster_names(spark.createDataFrame([(r,) for r in req], "name string"), spark.createDataFrame(reg, "id string, name string")).collect()}
+    good = [(i, n.strip()) for i, n in reg if i and n and n.strip()]
+    want = {}
+    for r in {r.strip() for r in req} - {""}:
+        kinds = (
+            ("exact", [i for i, n in good if n == r]),
+            ("case_insensitive", [i for i, n in good if n.lower() == r.lower()]),
+            ("substring", [i for i, n in good if r.lower() in n.lower()]),
+        )
+        kind, ids = next(((k, i) for k, i in kinds if i), (None, []))
+        want[r] = (ids[0] if len(ids) == 1 else None, kind, len(ids))
+    assert got == want
+
+
+def test_lookup_join_broadcast_or_salted(spark):
+    facts = spark.range(50).select(F.lit("k").alias("key"), F.col("id"), F.parse_json(F.lit("{}")).alias("v"), F.create_map(F.lit("a"), "id").alias("m"))
+    lookup = spark.createDataFrame([("k", 1), ("k", 2), ("z", 3)], "key string, x int")
+    for how in ("left", "inner"):
+        small, large = (joins.lookup_join(facts.union(facts.withColumn("key", F.lit("none"))), lookup, "key", how, limit=n) for n in (10**9, 0))
+        assert sorted((r["key"], r["id"], r["x"] or 0) for r in small.collect()) == sorted((r["key"], r["id"], r["x"] or 0) for r in large.collect())
+        assert small.count() == 100 + (50 if how == "left" else 0)
+
+
 def test_active_clusters_mode_name(spark):
     m = spark.createDataFrame([("c1", "a"), ("c1", "b"), ("c1", "b"), ("c2", None)], "cluster_id string, cluster_name string")
     got = [(r["cluster_id"], r["cluster_name"], r["doc_count"]) for r in fleet.active_clusters(m).collect()]

@@ -161,7 +161,7 @@ def _before(series: list[str], order: str) -> Window:
 
 
 def _carry_by_block(
-    rows: DataFrame, newest: DataFrame, series: list[str], bucket_col: str, block_ms: int, looked: dict[str, Column], null_series: bool
+    rows: DataFrame, newest: DataFrame, series: list[str], bucket_col: str, block: Column, looked: dict[str, Column], null_series: bool
 ) -> DataFrame:
     """``rows`` with the last non-null value of every ``looked`` column in the
     buckets before, as a window over the whole series gives it (W1).
@@ -174,7 +174,7 @@ def _carry_by_block(
     partitioning, and a series with any number of buckets is spread over as
     many tasks as it has blocks.
     """
-    block = F.floor(F.col(bucket_col) / block_ms).alias("__block")
+    block = block.alias("__block")
     local = rows.select("*", block)
     inner = _before([*series, "__block"], bucket_col)
     local = local.select("*", *[F.last(c, ignorenulls=True).over(inner).alias(f"{name}_in") for name, c in looked.items()])
@@ -218,11 +218,15 @@ def sample_buckets(
     drop_null_groups: bool = True,
     fields: list[str] | None = None,
     carry_block: int | None = None,
+    layout: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Down-sample ``df`` to one row per (group, bucket).
 
     ``carry_block`` finishes blocks of so many buckets of one series in tasks
-    of their own; the rows are the same with and without it.
+    of their own; the rows are the same with and without it.  ``layout`` names
+    two columns that the input is stored by, one that follows from the group
+    and one that follows from the bucket (a block of time): rows are grouped by
+    them as well, which needs no exchange, and counters are carried by them.
 
     ``fields`` names the paths wanted in the result: only they, the group, the
     time, the id and the inputs of rules that make them are read and moved.
@@ -242,7 +246,7 @@ def sample_buckets(
     seconds = interval_ms / 1000.0
     if fields is not None:
         rules = rules.only(fields)
-        df = project_paths(df, [*group_cols, ts_col, id_col, *fields, *rules.inputs(), *rules.max])
+        df = project_paths(df, [*group_cols, ts_col, id_col, *fields, *rules.inputs(), *rules.max, *(layout or ())])
 
     base = _prepare(df, group_cols, drop_null_groups)
     base = base.withColumn(bucket_col, bucket_start_ms(epoch_micros(base, ts_col), interval_ms))
@@ -271,13 +275,14 @@ def sample_buckets(
                 fallback_paths.append((path, "mode"))
 
     keys = [F.col(quote_path(g)).alias(f"__g{i}") for i, g in enumerate(group_cols)] + [F.col(bucket_col)]
+    keys = [F.col(c).alias(f"__l{i}") for i, c in enumerate(layout or ())] + keys
     grouped = base.groupBy(*keys).agg(*aggs)
     modes = [(i, path) for i, (path, kind) in enumerate(fallback_paths) if kind == "mode"]
     if modes:
         grouped = _with_modes(grouped, base.select(*keys, *[F.col(quote_path(p)).alias(f"__t{i}") for i, p in modes]), [i for i, _ in modes])
     extra = [f"__max{i}" for i in range(len(max_paths))] + [f"__fb{i}" for i in range(len(fallback_paths))]
     sampled = grouped.select(
-        *[F.col(f"__g{i}") for i in range(len(group_cols))], "__snap.*", F.col(bucket_col), *extra
+        *[F.col(f"__g{i}") for i in range(len(group_cols))], *[F.col(f"__l{i}") for i in range(len(layout or ()))], "__snap.*", F.col(bucket_col), *extra
     )
 
     overrides: dict[str, Column] = {}
@@ -298,10 +303,13 @@ def sample_buckets(
         looked = {f"__prev{i}": cur[p] for i, p in enumerate(rules.rate)}
         looked |= {f"__pair{i}": both(a, b) for i, (a, b) in enumerate(pairs.values())}
         series = [f"__g{i}" for i in range(len(group_cols))]
-        if carry_block:
+        if carry_block or layout:
+            block = F.col("__l1") if layout else F.floor(F.col(bucket_col) / (interval_ms * carry_block))
+            if layout:
+                series = ["__l0", *series]
             values = F.struct(*[_as_double(base, p).alias(f"__cur{i}") for i, p in enumerate(inputs)])
-            newest = base.groupBy(*keys).agg(F.max_by(values, F.struct(F.col(ts_col), F.col(id_col))).alias("__v")).select(*series, bucket_col, "__v.*")
-            sampled = _carry_by_block(sampled, newest, series, bucket_col, interval_ms * carry_block, looked, not drop_null_groups)
+            newest = base.groupBy(*keys).agg(F.max_by(values, F.struct(F.col(ts_col), F.col(id_col))).alias("__v")).select("*", "__v.*").drop("__v")
+            sampled = _carry_by_block(sampled, newest, series, bucket_col, block, looked, not drop_null_groups)
         else:
             win = _before(series, bucket_col)
             sampled = sampled.select("*", *[F.last(c, ignorenulls=True).over(win).alias(name) for name, c in looked.items()])

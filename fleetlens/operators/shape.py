@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.jsontext import drop_members, drop_scalar_members, map_json_strings
+from fleetlens.functions.jsontext import drop_members, drop_scalar_members, keep_paths, map_json_strings
 from fleetlens.functions.nested import flatten, project_paths, rewrite
 from fleetlens.session import write_shared
 
@@ -138,6 +138,25 @@ def _json_pairs(v: Column, key: Column, depth: int) -> Column:
     return F.when(obj.isNotNull(), children).otherwise(leaf)
 
 
+def shape_variant(document: Column, source_fields: list[str] | None = None, mask: bool = False, slim: SlimConfig | None = None) -> Column:
+    """:func:`shape_documents` for a whole document held in one VARIANT."""
+    out = _mask_leaf("", T.VariantType(), document) if mask else document
+    if slim is not None and slim.enabled:
+
+        def slimmed(key: Column, value: Column) -> Column:
+            cut = value
+            if slim.remove_human_readable:
+                cut = _through_json(value, lambda text: drop_scalar_members(text, list(SLIM_HUMAN_READABLE_KEYS)))
+            if slim.remove_meta:
+                cut = F.when(key == "metadata", drop_members(value, list(SLIM_METADATA_KEYS))).otherwise(cut)
+            return cut
+
+        gone = list(SLIM_TOP_LEVEL) if slim.remove_meta else []
+        members = F.map_filter(F.variant_get(out, "$", "map<string,variant>"), lambda key, _v: ~key.isin(gone))
+        out = F.to_variant_object(F.transform_values(members, slimmed))
+    return keep_paths(out, source_fields) if source_fields else out
+
+
 def _flatten(df: DataFrame, id_cols: list[str], variant: Column, braces: Column, prefix: str, levels: int) -> DataFrame:
     """``braces`` is the number of opening braces in a document's text: nothing
     is deeper than that, so one cheap aggregate tells whether ``levels`` do."""
@@ -185,5 +204,6 @@ __all__ = [
     "mask_ipv4",
     "project_paths",
     "shape_documents",
+    "shape_variant",
     "slim_document",
 ]

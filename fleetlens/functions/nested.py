@@ -33,13 +33,6 @@ def field_type(schema: T.StructType, path: str) -> T.DataType | None:
     return current
 
 
-def get_path(df: DataFrame, path: str) -> Column:
-    """Column at ``path`` or a typed-less null when the schema lacks it."""
-    if field_type(df.schema, path) is None:
-        return F.lit(None)
-    return F.col(quote_path(path))
-
-
 def leaf_paths(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataType]]:
     """All non-struct leaves with their dotted path."""
     out: list[tuple[str, T.DataType]] = []

@@ -6,14 +6,14 @@ Request files hold cases like::
     GET index-a,index-b/_search?size=10
     {"query": {"match_all": {}}}
 
-Each file is one row (``spark.read.text(path, wholetext=True)`` or a column
-built by Spark).  Splitting, title / method / path / body extraction and JSON
+Each row holds a whole file's text or, read from files by lines, one case of
+it.  Splitting, title / method / path / body extraction and JSON
 validation are string functions on that row; files never meet in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import drop_blank_edge_lines, format_count, is_msearch_path, strip_ws, target_names
@@ -31,14 +31,40 @@ REQUEST_LINE = r"^([A-Za-z]+)\s+(.+)$"
 _WS = r"[ \t\f\u000B]"
 
 
-def read_request_files(spark, path: str) -> DataFrame:
-    """One row per request file: ``file_id`` (its path) and ``text``."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_id"), F.col("value").alias("text"))
+def read_request_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of the request files below ``path``: ``file_id`` (the file's path),
+    ``number`` (of the case in its file; 0 before the first title) and ``text``
+    (S12).
 
-
-def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
+    Files are read by lines, so a large one is many tasks.  Titles are numbered
+    in two levels: inside a part of a file by a running count, over the parts of
+    a file by sums of their titles.  Then the lines of a case are put together;
+    a case is one request, which fits into a task.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_id"),
+        F.col("_metadata.file_block_start").alias("part"),
+        F.monotonically_increasing_id().alias("place"),  # ascends inside a part
+        F.col("value").alias("line"),
+        F.col("value").rlike(rf"^{_WS}*#").cast("int").alias("title"),
+    )
+    part = ["file_id", "part"]
+    titles = lines.groupBy(*part).agg(F.sum("title").alias("titles"))
+    earlier = Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = titles.select(*part, F.coalesce(F.sum("titles").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*part).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.withColumn("own", F.sum("title").over(inside)).join(before, part)
+    numbered = numbered.withColumn("number", (F.col("before") + F.col("own")).cast("int"))
+    case = numbered.groupBy("file_id", "number").agg(F.array_sort(F.collect_list(F.struct("part", "place", "line"))).alias("lines"))
+    return case.select("file_id", "number", F.array_join(F.col("lines.line"), "\n").alias("text"))
+
+
+def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "text", number_col: str | None = None) -> DataFrame:
     """Split request files into cases (R1) and flag bad ones (R2).
 
+    ``number_col`` says that a row is not a file but cases out of one, the
+    first of which has that number (see :func:`read_request_logs`).
+
     Output: ``file_id, seq, title, method, path, body_raw, body_sent, body_is_ndjson,
     body_valid, error``.  A bad case gets an ``error`` and keeps its place in
     the numbering; good cases are ``error IS NULL``.
@@ -90,11 +116,12 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
     exploded = files.select(
         F.col(id_col).alias("file_id"),
         starts_with_title.alias("__first_is_title"),
+        (F.col(number_col) if number_col else F.lit(1)).alias("__number"),
         # a block starts at every line whose first visible character is '#';
         # splitting on the newline before it tests the lookahead at newlines only
         F.posexplode(F.split(text, rf"\n(?={_WS}*#)", -1)).alias("__pos", "__block"),
     )
-    keep = ["file_id", "__first_is_title", "__pos"]
+    keep = ["file_id", "__first_is_title", "__number", "__pos"]
     step1 = exploded.select(*keep, F.inline(F.array(pieces(F.col("__block")))))
     step2 = step1.select(*keep, F.inline(F.array(with_request_line(F.struct(*[F.col(c) for c in ("is_title", "blank", "first_line", "rest")])))))
     step3 = step2.select(
@@ -102,7 +129,7 @@ def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "t
         F.inline(F.array(with_body_checks(F.struct(*[F.col(c) for c in ("is_title", "blank", "first_line", "method_line", "body", "method", "path")])))),
     )
     exploded = step3.select(*keep, F.struct(*[c for c in step3.columns if c not in keep]).alias("__b"))
-    seq = (F.col("__pos") + F.when(F.col("__first_is_title"), 1).otherwise(0)).cast("int")
+    seq = (F.col("__pos") + F.when(F.col("__first_is_title"), F.col("__number")).otherwise(0)).cast("int")
     raw_title = strip_ws(F.ltrim(strip_ws(F.col("__b.first_line")), F.lit("#")))
     title = F.when(raw_title == "", F.concat(F.lit("Query "), seq.cast("string"))).otherwise(raw_title)
 

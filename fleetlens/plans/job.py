@@ -193,14 +193,14 @@ def alert_documents(spark: SparkSession, job: ExportJob, alert_type: str) -> Dat
 def _write(df: DataFrame, path: str, job: ExportJob, kind: str, ts_col: str | None) -> tuple[int, datetime | None]:
     """Shape and write documents; their number and newest time, as observed."""
     obs = Observation(f"{kind}-rows")
-    last = F.max(F.col(ts_col).cast("timestamp")) if ts_col and field_type(df.schema, ts_col) is not None else F.lit(None).cast("timestamp")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"), last.alias("last_time"))
-    split = None
+    split, dealt = None, df
     if job.split_by == "cluster" and field_type(df.schema, f"{LABEL}.cluster_id") is not None:
         split = ["cluster"]
-        observed = observed.withColumn("cluster", F.col(f"{LABEL}.cluster_id"))
+        dealt = df.withColumn("cluster", F.col(f"{LABEL}.cluster_id"))
         if job.full_files and job.rows_per_file and "_id" in df.columns:
-            observed = planned_files(observed, split, job.rows_per_file, ["_id"])
+            dealt = planned_files(dealt, split, job.rows_per_file, ["_id"])
+    last = F.max(F.col(ts_col).cast("timestamp")) if ts_col and field_type(df.schema, ts_col) is not None else F.lit(None).cast("timestamp")
+    observed = dealt.observe(obs, F.count(F.lit(1)).alias("rows"), last.alias("last_time"))
     rest = REST in df.columns
     if kind == "alert":
         out = shape.shape_documents(observed, None, mask=job.mask, slim=None)

@@ -113,6 +113,15 @@ FROM w
 
 SQL["sample_blocked_15m"] = SQL["sample_full_pipeline"]
 
+SQL["sample_store_15m"] = SQL["sample_full_pipeline"]
+
+SQL["sample_text_max_1d"] = f"""
+WITH {METRICS}, {bucketed(86_400_000)},
+mx AS (SELECT cluster_id, node_id, bucket_ms, max(value) AS max_value FROM b GROUP BY cluster_id, node_id, bucket_ms)
+SELECT l.cluster_id, l.node_id, l.bucket_ms, l._id, l.status, coalesce(mx.max_value, l.value) AS value
+FROM latest l JOIN mx USING (cluster_id, node_id, bucket_ms)
+"""
+
 SQL["sample_avg_mode_1d"] = f"""
 WITH {METRICS}, {bucketed(86_400_000)},
 av AS (SELECT cluster_id, node_id, bucket_ms, avg(value) AS avg_value FROM b GROUP BY cluster_id, node_id, bucket_ms),
@@ -133,6 +142,19 @@ a AS (SELECT count(*) AS rows,
 SELECT rows, groups, CAST(720 AS BIGINT) AS buckets, CAST(least(rows, groups * 720) AS BIGINT) AS estimate FROM a
 """
 
+SQL["estimate_sketches"] = f"""
+WITH {METRICS},
+w AS (SELECT * FROM metrics, (VALUES (10), (30)) AS u(until) WHERE CAST("timestamp" AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-01' + until - 1),
+e AS (SELECT until, cluster_id, count(*) AS rows, CAST(until * 24 AS BIGINT) AS buckets, count(DISTINCT node_id) AS groups FROM w GROUP BY until, cluster_id)
+SELECT until, cluster_id, rows, buckets, CAST(round(groups / pow(10, greatest(length(CAST(groups AS VARCHAR)) - 2, 0))) * pow(10, greatest(length(CAST(groups AS VARCHAR)) - 2, 0)) AS BIGINT) AS groups
+FROM e
+"""
+
+SQL["cluster_metrics"] = f"""
+WITH {METRICS}
+SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, CAST(node_id AS VARCHAR) AS node_id, count(*) AS docs FROM metrics WHERE cluster_id IN (1, 4, 6) GROUP BY ALL
+"""
+
 IPV4 = r"'\b[0-9]{1,3}\.[0-9]{1,3}\.([0-9]{1,3})\.([0-9]{1,3})\b'"
 
 SQL["mask_ip_documents"] = f"""
@@ -174,6 +196,22 @@ SELECT event_id,
 FROM events
 """
 
+# Slim drops the size texts that are called store; the bytes and the text called size stay.
+SQL["export_documents"] = f"""
+WITH {METRICS}
+SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S') AS "at", CAST(node_id AS VARCHAR) AS node_id,
+       'zone *.*.0.' || node_id || ':9300' AS zone, CAST(NULL AS VARCHAR) AS store, '["' || node_id || '","*.*.2.3"]' AS seen,
+       'publish *.*.0.' || node_id || ' up' AS publish, CAST(floor(value * 1024) AS BIGINT) || 'b' AS size, CAST(CAST(floor(value * 1024) AS BIGINT) AS VARCHAR) AS bytes,
+       CAST(ops AS VARCHAR) AS queries
+FROM metrics
+"""
+
+SQL["export_manifest"] = """
+WITH e AS (SELECT ts, greatest(to_timestamp(epoch(ts)::BIGINT // 1209600 * 1209600)::TIMESTAMP, TIMESTAMP '2024-01-01') AS low FROM (SELECT date_trunc('second', ts) AS ts FROM events))
+SELECT strftime(low, '%Y%m%dT%H%M%S') AS slice, 'node_stats' AS type, count(*) AS rows, count(*) AS rows_read, true AS capped, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_time
+FROM e GROUP BY low
+"""
+
 ALERTS = """
 msgs AS (SELECT o_orderkey AS _id, o_custkey AS rule_id, o_orderstatus AS status, o_orderpriority AS priority,
                 o_orderdate AS created FROM orders)"""
@@ -310,6 +348,13 @@ report AS (
   FROM r
 )"""
 
+SQL["registry_rows"] = f"""
+WITH {REGISTRY}
+SELECT id, CASE WHEN CAST(id AS BIGINT) % 10 <> 0 THEN name ELSE 'Unknown' END AS name,
+       CASE WHEN CAST(id AS BIGINT) % 4 <> 0 THEN enabled ELSE false END AS enabled, monitored
+FROM reg
+"""
+
 SQL["fleet_report"] = FLEET_REPORT + "\nSELECT * FROM report\n"
 
 SQL["fleet_summary"] = (
@@ -649,6 +694,15 @@ SELECT file_id, CAST(seq AS INTEGER) AS seq, title, method, path, body_raw,
        body_raw || CASE WHEN body_is_ndjson THEN chr(10) ELSE '' END AS body_sent, body_is_ndjson, body_valid, error FROM parsed
 """
 
+# The same cases in 64 logs: numbered over all orders of a log, no preambles.
+SQL["request_logs"] = f"""
+WITH {CASES},
+n AS (SELECT o_orderkey, CAST(2 * (row_number() OVER (PARTITION BY o_orderkey % 64 ORDER BY o_orderkey) - 1) AS INTEGER) AS earlier FROM orders)
+SELECT o_orderkey % 64 AS log, CAST(seq + earlier AS INTEGER) AS seq, CASE WHEN title = 'Query 1' THEN 'Query ' || (seq + earlier) ELSE title END AS title,
+       method, path, body_raw, body_raw || CASE WHEN body_is_ndjson THEN chr(10) ELSE '' END AS body_sent, body_is_ndjson, body_valid, error
+FROM parsed JOIN n ON file_id = o_orderkey WHERE seq > 0
+"""
+
 SQL["request_bodies"] = f"""
 WITH {CASES}
 SELECT file_id, CAST(seq AS INTEGER) AS seq, body_raw AS body FROM parsed WHERE body_valid AND error IS NULL
@@ -940,3 +994,16 @@ SELECT cluster_id, node_id, bucket_ms, _id, status FROM latest
 SQL["full_export"] = f"WITH {METRICS} SELECT _id, \"timestamp\", cluster_id, node_id, status, value FROM metrics"
 
 SQL["newest_documents"] = f"WITH {METRICS} SELECT _id, \"timestamp\", status FROM metrics ORDER BY \"timestamp\" DESC, _id LIMIT 500"
+
+
+SQL["run_logs_pairs"] = SQL["bench_pairs"]
+
+SQL["alert_history"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_orderdate AS "timestamp", o_custkey AS rule_id, o_orderstatus AS state,
+       CASE WHEN o_custkey < 1000 THEN '*.*.0.' || o_custkey ELSE '10.0.0.' || o_custkey END AS node
+FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate <= TIMESTAMP '1996-06-30 23:59:59'
+"""
+
+SQL["alert_rule_list"] = """
+SELECT c_custkey AS _id, c_name AS name, c_acctbal > 0 AS enabled, c_mktsegment AS resource_type FROM customer
+"""

@@ -7,17 +7,22 @@ one in DuckDB SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.functions.fieldspec import classify_fields
 from fleetlens.functions.nested import flatten
 from fleetlens.operators import estimate, filters, sampling, shape
-from fleetlens.sources import adaptors
-from fleetlens.sources.tables import table
+from fleetlens.plans.job import ExportJob, manifest, newest, run_export_job
+from fleetlens.session import fresh_folder, write_shared
+from fleetlens.sinks import writers
+from fleetlens.sources import adaptors, store
+from fleetlens.sources.tables import normalize_registry, read_alerts, read_runs, table
 
 NODE_GROUP = ["cluster_id", "node_id"]
 COUNTER_RULES = sampling.FieldRules(rate=("ops", "time_ms"))
@@ -119,6 +124,26 @@ def sample_blocked_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def sample_store_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics written as a bucketed store, sampled from there
+    without an exchange of documents."""
+    name = f"metrics_{uuid.uuid4().hex}"
+    store.write_metric_store(adaptors.metrics(spark, sf_dir), name, NODE_GROUP, buckets=16, path=fresh_folder(spark, name))
+    s = store.sample_store(store.read_metric_store(spark, name, "2024-01-01", "2024-12-31"), NODE_GROUP, "15m", FULL_RULES)
+    return s.select(
+        "cluster_id", "node_id", "bucket_ms", "_id", "timestamp", "metric_type", "status", "value", "ops", "time_ms", "latency_ms"
+    )
+
+
+@register
+def sample_text_max_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: a text field among the maxima keeps the newest document's value."""
+    m = adaptors.metrics(spark, sf_dir)
+    s = sampling.sample_buckets(m, NODE_GROUP, "1d", sampling.FieldRules(max=("status", "value")), fields=["status", "value"])
+    return s.select("cluster_id", "node_id", "bucket_ms", "_id", "status", "value")
+
+
 @register
 def sample_avg_mode_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documented fallback -- bucket average for numbers, most frequent text."""
@@ -148,6 +173,23 @@ def estimate_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.alias("a").join(close.alias("b"), F.col("a.rows") == F.col("b.rows")).select("a.rows", "a.groups", near.alias("within_error"))
 
 
+@register
+def estimate_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored daily sketches per cluster; two windows answered by them."""
+    m = adaptors.metrics(spark, sf_dir)
+    stored = write_shared(estimate.group_sketches(m, ["cluster_id"], NODE_GROUP), "sketches")
+
+    def window(first: int, last: int) -> DataFrame:
+        lo, hi = datetime(2024, 1, first, tzinfo=timezone.utc), datetime(2024, 1, last, tzinfo=timezone.utc)
+        e = estimate.estimate_from_sketches(stored, ["cluster_id"], "1h", lo, hi)
+        return e.select(F.lit(last).alias("until"), "cluster_id", "rows", "buckets", "groups", "estimate")
+
+    found = window(1, 10).unionByName(window(1, 30))
+    # groups to the sketch's error band: exact below a hundred, two digits above
+    digits = F.greatest(F.length(F.col("groups").cast("string")) - 2, F.lit(0)).cast("double")
+    return found.select("until", "cluster_id", "rows", "buckets", (F.round(F.col("groups") / F.pow(F.lit(10.0), digits)) * F.pow(F.lit(10.0), digits)).cast("bigint").alias("groups"))
+
+
 @register
 def sample_null_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series without a node id are not sampled; an all-null candidate
@@ -168,8 +210,92 @@ def full_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def newest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 500 newest documents, ties by id (a top-k report)."""
-    m = adaptors.metrics(spark, sf_dir)
-    return m.orderBy(F.col("timestamp").desc(), F.col("_id").asc()).limit(500).select("_id", "timestamp", "status")
+    return newest(adaptors.metrics(spark, sf_dir), "timestamp", 500).select("_id", "timestamp", "status")
+
+
+@register
+def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One metric type of listed clusters, documents per node."""
+    docs = filters.metric_type_filter(adaptors.metric_documents(spark, sf_dir), "node_stats")
+    docs = filters.cluster_filter(docs, "metadata.labels.cluster_id", ["1", "4", "6"])
+    return docs.groupBy("metadata.labels.cluster_id", "metadata.labels.node_id").agg(F.count(F.lit(1)).alias("docs"))
+
+
+# What the export declares of a node document; the rest is kept undeclared.
+EXPORT_SCHEMA = (
+    "_id string, timestamp timestamp, agent struct<id string>, metadata struct<name string, category string, datatype string, labels struct<cluster_id string, node_id string>>, "
+    "payload struct<elasticsearch struct<node_stats struct<indices struct<search struct<query_total long, query_time_in_millis long>, store struct<size_in_bytes long>>>>>"
+)
+
+
+def _run(spark: SparkSession, job: ExportJob) -> ExportJob:
+    failed = run_export_job(spark, job).where("error is not null").first()
+    if failed:
+        raise RuntimeError(failed["error"])
+    return job
+
+
+@register
+def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents exported by the job, with their undeclared
+    fields, and read back from its files."""
+    job = ExportJob(
+        name="rest",
+        output_path=fresh_folder(spark, "export"),
+        metrics_path=adaptors.metric_lines(spark, sf_dir),
+        metrics_format="json",
+        metric_types=["node_stats"],
+        schemas={"node_stats": T.StructType.fromDDL(EXPORT_SCHEMA)},
+        start="2024-1-1",
+        end="2024-12-31",
+        keep_rest=True,
+        mask=True,
+        slim=shape.SlimConfig(enabled=True),
+        split_by="cluster",
+    )
+    _run(spark, job)
+    lines = spark.read.option("basePath", f"{job.output_path}/node_stats").text(f"{job.output_path}/node_stats")
+    node = "$.payload.elasticsearch.node_stats"
+    picked = {
+        "node_id": "$.metadata.labels.node_id",
+        "zone": "$.metadata.labels.zone",
+        "store": "$.free.store",
+        "seen": "$.free.seen",
+        "publish": f"{node}.transport.publish_address",
+        "size": f"{node}.indices.store.size",
+        "bytes": f"{node}.indices.store.size_in_bytes",
+        "queries": f"{node}.indices.search.query_total",
+    }
+    return lines.select(
+        F.col("cluster").cast("string").alias("cluster_id"),
+        F.substring(F.get_json_object("value", "$.timestamp"), 1, 19).alias("at"),
+        *[F.get_json_object("value", path).alias(name) for name, path in picked.items()],
+    )
+
+
+@register
+def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job's slices as entered and as counted in its files."""
+    store_path = fresh_folder(spark, "metric-documents")
+    adaptors.metric_documents(spark, sf_dir).write.parquet(store_path)
+    job = ExportJob(
+        name="sliced",
+        output_path=fresh_folder(spark, "export"),
+        metrics_path=store_path,
+        metric_types=["node_stats"],
+        start="2024-1-1",
+        end="2024-2-10",
+        slice_interval="14d",
+        split_by="cluster",
+        full_files=True,
+        rows_per_file=1000,
+    )
+    _run(spark, job)
+    counts = writers.file_row_counts(spark, f"{job.output_path}/node_stats")
+    name = F.regexp_extract("file", "slice=([0-9T]+)", 1)
+    read = counts.groupBy(name.alias("slice")).agg(F.sum("rows").alias("rows_read"), F.max("rows").alias("most"))
+    entered = manifest(spark, job.output_path).where("rows > 0").select(F.date_format("low", "yyyyMMdd'T'HHmmss").alias("slice"), "type", "rows", "last_time")
+    return entered.join(read, "slice").select("slice", "type", "rows", "rows_read", (F.col("most") <= job.rows_per_file).alias("capped"), F.date_format("last_time", "yyyy-MM-dd HH:mm:ss").alias("last_time"))
 
 
 # --- document shaping ---------------------------------------------------------
@@ -330,6 +456,14 @@ def _eligible(spark: SparkSession, sf_dir: str, max_indices: int) -> DataFrame:
     return catalog.eligible_indices(reg, status, adaptors.index_catalog(spark, sf_dir), max_indices=max_indices)
 
 
+@register
+def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows as listed, missing names and flags filled."""
+    reg = adaptors.registry(spark, sf_dir)
+    holes = reg.withColumns({"name": F.when(F.col("id") % 10 != 0, F.col("name")), "enabled": F.when(F.col("id") % 4 != 0, F.col("enabled"))})
+    return normalize_registry(holes).select("id", "name", "enabled", "monitored")
+
+
 @register
 def index_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Available clusters, eligible indices, cap 3 per cluster."""
@@ -388,6 +522,14 @@ def bench_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchruns.pair_matrix(adaptors.benchmark_runs(spark, sf_dir))
 
 
+@register
+def run_logs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run logs read from JSON Lines files, as a pair matrix."""
+    from fleetlens.operators import benchruns
+
+    return benchruns.pair_matrix(read_runs(spark, adaptors.run_logs(spark, sf_dir)))
+
+
 # --- search profiles ----------------------------------------------------------
 
 
@@ -476,6 +618,17 @@ def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, sf_dir)
 
 
+@register
+def request_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request files read by lines, their cases numbered per file."""
+    from fleetlens.operators import requests
+
+    cases = requests.read_request_logs(spark, adaptors.request_logs(spark, sf_dir))
+    parsed = requests.parse_requests(cases, number_col="number")
+    log = F.regexp_extract("file_id", "log=([0-9]+)", 1).cast("bigint")
+    return parsed.select(log.alias("log"), "seq", "title", "method", "path", "body_raw", "body_sent", "body_is_ndjson", "body_valid", "error")
+
+
 @register
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compact text of every valid JSON body, written with white space first."""
@@ -557,6 +710,27 @@ def alerts_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.sort_alerts(j, "alert_messages").select("_id", "created", "status", "rule_id", "rule_name", "rule_enabled", "rule_resource_type")
 
 
+@register
+def alert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert-history hits read from files, flattened, filtered by
+    their own time column and masked."""
+    from fleetlens.operators import alerts
+
+    schema = "_id string, _source struct<timestamp timestamp, rule_id long, state string, node string>, sort array<long>"
+    hits = read_alerts(spark, adaptors.alert_hits(spark, sf_dir), "alert_history", T.StructType.fromDDL(schema), "json")
+    kept = alerts.filter_alerts(hits, "alert_history", "1995-01-01", "1996-6-30")
+    return shape.mask_document(kept).select("_id", "timestamp", "rule_id", "state", "node")
+
+
+@register
+def alert_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules; they have no time column, so none is filtered."""
+    from fleetlens.operators import alerts
+
+    rules = alert_rules(spark, sf_dir).withColumnRenamed("id", "_id")
+    return alerts.sort_alerts(alerts.filter_alerts(rules, "alert_rules", "1995-01-01", "1995-01-02"), "alert_rules")
+
+
 @register
 def diag_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster rules on the fleet report."""

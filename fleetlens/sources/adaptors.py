@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.benchruns import OPTIMIZED, ORIGINAL, number_rounds
+from fleetlens.session import fresh_folder
 from fleetlens.sources.tables import table
 
 NODE_METRIC_TYPE = "node_stats"
@@ -338,7 +339,7 @@ def search_profiles(spark: SparkSession, sf_dir: str, with_columns: list | None
     return materialized(o.select(F.col("o_orderkey").alias("run_id"), *extra, F.struct(shards.alias("shards")).alias("profile")))
 
 
-def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_files(spark: SparkSession, sf_dir: str, preambles: bool = True) -> DataFrame:
     """One request file per order, two cases each (S12 stand-in).
 
     ``d`` is the order priority's digit.  Case 1 depends on the order status:
@@ -369,10 +370,53 @@ def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     second = F.concat(F.lit("# Count "), st, F.lit("\nGET idx-"), F.lower(st), F.lit('/_count\n\n{"query":{"match_all":{}}}\n'))
     preamble = F.when(d == "3", F.when(st == "F", F.lit("stray text\n")).otherwise(F.lit("  \n"))).otherwise(F.lit(""))
-    text = F.concat(preamble, title, F.lit("\n"), request, F.lit("\n\n"), second)
+    text = F.concat(preamble if preambles else F.lit(""), title, F.lit("\n"), request, F.lit("\n\n"), second)
     return o.select(F.col("o_orderkey").alias("file_id"), text.alias("text"))
 
 
+#: Logs that the orders' request texts are written to.
+LOGS = 64
+
+
+def request_logs(spark: SparkSession, sf_dir: str) -> str:
+    """The orders' request texts (no preambles) written as log files: order k
+    into log ``k % 64``, ascending.  Returns the folder."""
+    texts = request_files(spark, sf_dir, preambles=False).withColumn("log", F.col("file_id") % LOGS)
+    path = fresh_folder(spark, "request-logs")
+    texts.repartition(LOGS, "log").sortWithinPartitions("log", "file_id").select("log", "text").write.partitionBy("log").text(path)
+    return path
+
+
+def alert_hits(spark: SparkSession, sf_dir: str) -> str:
+    """``orders`` as the hits of an alert-history search, written as JSON
+    Lines.  Returns the folder."""
+    o = table(spark, sf_dir, "orders")
+    source = F.struct(F.col("o_orderdate").cast("timestamp").alias("timestamp"), F.col("o_custkey").alias("rule_id"), F.col("o_orderstatus").alias("state"), F.concat(F.lit("10.0.0."), F.col("o_custkey").cast("string")).alias("node"))
+    path = fresh_folder(spark, "alert-hits")
+    o.select(F.col("o_orderkey").cast("string").alias("_id"), source.alias("_source"), F.array("o_orderkey").alias("sort")).write.json(path)
+    return path
+
+
+def run_logs(spark: SparkSession, sf_dir: str) -> str:
+    """The benchmark runs written as JSON Lines run logs.  Returns the folder."""
+    path = fresh_folder(spark, "run-logs")
+    benchmark_runs(spark, sf_dir).write.json(path)
+    return path
+
+
+def metric_lines(spark: SparkSession, sf_dir: str) -> str:
+    """``events`` as JSON Lines of node-stats documents that carry fields
+    outside the declared schema, at the top and below the labels."""
+    docs = metric_documents(spark, sf_dir)
+    labels = F.col("metadata.labels").withField("zone", F.concat(F.lit("zone "), F.col("metadata.labels.transport_address")))
+    user = F.col("metadata.labels.node_id")
+    free = F.struct(F.concat(user, F.lit("kb")).alias("store"), F.array(user, F.lit("10.1.2.3")).alias("seen")).alias("free")
+    docs = docs.select(F.col("_id").cast("string").alias("_id"), F.col("timestamp").cast("timestamp").alias("timestamp"), "agent", F.col("metadata").withField("labels", labels).alias("metadata"), "payload", free)
+    path = fresh_folder(spark, "metric-lines")
+    docs.repartition(16).write.json(path)
+    return path
+
+
 def index_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alias table: ``idx-<status>`` -> ``idx-<status>-<priority digit>`` for every pair in ``orders``."""
     o = table(spark, sf_dir, "orders").select(F.lower("o_orderstatus").alias("st"), F.substring("o_orderpriority", 1, 1).alias("d")).distinct()

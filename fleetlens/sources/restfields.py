@@ -35,24 +35,25 @@ def _ddl(dtype: T.DataType) -> str:
     return dtype.simpleString()
 
 
-def _json_path(path: str) -> str:
-    return "$" + "".join(f"['{part}']" for part in path.split(".")) if path else "$"
+def _text(value: str) -> str:
+    """A SQL text literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _left_over(document: Column, path: str, dtype: T.StructType) -> Column:
-    """Members of the object at ``path`` that the declared columns do not hold."""
+def _listed(names: list[str], key: str) -> str:
+    return f"array_contains(array({', '.join(map(_text, names))}), {key})"
+
+
+def _left_over(path: str, dtype: T.StructType) -> str:
+    """Members of the object at ``path`` of the document ``v`` that the declared
+    columns do not hold.  (SQL text: a schema has hundreds of fields.)"""
     kinds: dict[str, list[str]] = {}
     for f in dtype.fields:
         kinds.setdefault(MEMBERS if isinstance(f.dataType, T.StructType) else _ddl(f.dataType), []).append(f.name)
-
-    def left(key: Column, value: Column) -> Column:
-        out = ~key.isin(dtype.names)
-        for kind, names in kinds.items():
-            unread = F.try_variant_get(value, "$", kind).isNull() & (F.schema_of_variant(value) != "VOID")
-            out = out | (key.isin(names) & unread)
-        return out
-
-    return F.map_filter(F.try_variant_get(document, _json_path(path), MEMBERS), left)
+    left = [f"NOT {_listed(dtype.names, 'k')}"]
+    left += [f"({_listed(names, 'k')} AND try_variant_get(x, '$', {_text(kind)}) IS NULL AND schema_of_variant(x) <> 'VOID')" for kind, names in kinds.items()]
+    at = "$" + "".join(f'["{part}"]' for part in path.split(".")) if path else "$"
+    return f"map_filter(try_variant_get(v, {_text(at)}, '{MEMBERS}'), (k, x) -> {' OR '.join(left)})"
 
 
 def read_with_rest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -63,33 +64,28 @@ def read_with_rest(spark: SparkSession, path: str, schema: T.StructType) -> Data
     """
     objects = _objects(schema)
     lines = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
-    v = F.col("v")
-    parsed = lines.where(F.schema_of_variant(v).startswith("OBJECT"))
-    levels = F.array(*[F.struct(F.lit(at).alias("key"), _left_over(v, at, dtype).alias("value")) for at, dtype in objects])
+    parsed = lines.where(F.schema_of_variant("v").startswith("OBJECT"))
+    levels = F.array(*[F.struct(F.lit(at).alias("key"), F.expr(_left_over(at, dtype)).alias("value")) for at, dtype in objects])
     rest = F.map_from_entries(F.filter(levels, lambda e: F.size(F.map_keys(e["value"])) > 0))
-    return parsed.select(F.try_variant_get(v, "$", _ddl(schema)).alias("d"), rest.alias(REST)).select("d.*", REST)
+    return parsed.select(F.try_variant_get("v", "$", _ddl(schema)).alias("d"), rest.alias(REST)).select("d.*", REST)
 
 
 def whole_document(df: DataFrame) -> Column:
     """The document of a row read by :func:`read_with_rest` as one VARIANT: the
     columns, nulls included, with the members of ``_rest`` in their places."""
-    columns = [c for c in df.columns if c != REST]
     schema = T.StructType([f for f in df.schema.fields if f.name != REST])
-    declared = F.parse_json(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}))
+    columns = ", ".join(f"`{c}`" for c in schema.names)
+    declared = f"parse_json(to_json(struct({columns}), map('ignoreNullFields', 'false')))"
 
-    def merged(value: Column, path: str, dtype: T.StructType) -> Column:
-        members = F.try_variant_get(value, "$", MEMBERS)
-        more = F.coalesce(F.try_element_at(F.col(REST), F.lit(path)), F.create_map().cast(MEMBERS))
+    def merged(value: str, path: str, dtype: T.StructType, depth: int) -> str:
+        members = f"try_variant_get({value}, '$', '{MEMBERS}')"
+        more = f"coalesce(try_element_at(`{REST}`, {_text(path)}), cast(map() AS {MEMBERS}))"
+        k, x = f"k{depth}", f"x{depth}"
         objects = [f for f in dtype.fields if isinstance(f.dataType, T.StructType)]
+        if objects:
+            inner = " ".join(f"WHEN {_text(f.name)} THEN {merged(x, f'{path}.{f.name}' if path else f.name, f.dataType, depth + 1)}" for f in objects)
+            members = f"transform_values({members}, ({k}, {x}) -> CASE {k} {inner} ELSE {x} END)"
+        kept = f"map_filter({members}, (k, x) -> NOT array_contains(map_keys({more}), k))"
+        return f"coalesce(to_variant_object(map_concat({kept}, {more})), {value})"
 
-        def member(key: Column, x: Column) -> Column:
-            out = x
-            for f in objects:
-                out = F.when(key == f.name, merged(x, f"{path}.{f.name}" if path else f.name, f.dataType)).otherwise(out)
-            return out
-
-        walked = F.transform_values(members, member) if objects else members
-        kept = F.map_filter(walked, lambda key, _x: ~F.array_contains(F.map_keys(more), key))
-        return F.when(members.isNotNull(), F.to_variant_object(F.map_concat(kept, more))).otherwise(value)
-
-    return merged(declared, "", schema)
+    return F.element_at(F.expr(f"transform(array({declared}), d -> {merged('d', '', schema, 0)})"), 1)

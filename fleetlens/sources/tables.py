@@ -100,6 +100,7 @@ RUN_SCHEMA = T.StructType(
         T.StructField("query_type", T.StringType()),
         T.StructField("query_index", T.IntegerType()),
         T.StructField("iteration", T.IntegerType()),
+        T.StructField("seq", T.LongType()),  # order of execution
         T.StructField("is_warmup", T.BooleanType()),
         T.StructField("measured_iteration", T.IntegerType()),
         T.StructField("took", T.DoubleType()),

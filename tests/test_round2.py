@@ -52,7 +52,12 @@ def test_time_bounds():
     assert parse("2024-01-02 03:04:05", is_end=True) == datetime(2024, 1, 2, 3, 4, 5, tzinfo=UTC)
     assert parse("2024-01-02T03:04:05.25+02:30") == datetime(2024, 1, 2, 0, 34, 5, 250000, tzinfo=UTC)
     assert parse("2024-01-02T03:04:05-0130") == datetime(2024, 1, 2, 4, 34, 5, tzinfo=UTC)
-    for bad in ("", None, "yesterday", "2024-13-01", "2024-01-02 99:00:00"):
+    assert parse("2024-1-5") == parse("20240105") == datetime(2024, 1, 5, tzinfo=UTC)
+    assert parse("2024-1-5", is_end=True) == datetime(2024, 1, 5, 23, 59, 59, tzinfo=UTC)
+    assert parse("20240105", is_end=True) == datetime(2024, 1, 5, tzinfo=UTC)  # only dashes mean the whole day
+    assert parse("2024-01-05T10") == parse("20240105T1000") == parse("2024-1-5 10:0:0") == parse("20240105 100000Z") == datetime(2024, 1, 5, 10, tzinfo=UTC)
+    assert parse("2024-01-05T10:30+02") == datetime(2024, 1, 5, 8, 30, tzinfo=UTC)
+    for bad in ("", None, "yesterday", "2024-13-01", "2024-01-02 99:00:00", "2024-1", "202401", "2024-01-05 1:2:3:4"):
         with pytest.raises(ValueError):
             parse(bad)
     now = datetime(2024, 1, 5, 12, tzinfo=UTC)

@@ -4,8 +4,9 @@ Three base kinds are found by fixed patterns, leftmost and without overlap per
 kind, and always reported.  A fourth, generic kind is any long token of mixed
 letters and digits; most such tokens are harmless, so the corpus decides: the
 hash of every candidate value is counted over distinct owners (sources) and
-distinct repositories (documents).  A value that at most ``max_owners`` owners
-have is live-looking, one that more have is a widely copied example.  Generic
+distinct repositories (documents).  A value that more than ``max_owners``
+owners have, or that stands in more than ``max_repos`` repositories, whoever
+owns them, is a widely copied example; any other is live-looking.  Generic
 tokens are reported only if live-looking; base spans carry the status.
 
 Positions are code points, end exclusive, from the lengths of the pieces
@@ -25,7 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.arrays import let, running
 from fleetlens.llm.common import join_checked
+from fleetlens.llm.spans import matches, replaced
 from fleetlens.session import write_shared
 
 #: The base patterns (group of the value, least length of it).
@@ -40,30 +43,46 @@ SPAN = "array<struct<start:int,ord:int,kind:string,stop:int,hash:string>>"
 SALTS = 16
 
 
-def matches(text: Column, pattern: str, ord_: int, group: int, least: int, maybe: Column) -> Column:
+def found(text: Column, pattern: str, ord_: int, group: int, least: int, maybe: Column) -> Column:
     """Spans of a pattern whose value (``group``) has ``least`` characters;
     ``maybe`` is a cheaper test that every text with a match passes."""
-    regex = F.lit(pattern)
-    zipped = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("all"), F.regexp_extract_all(text, regex, F.lit(group)).alias("value")
-    )
-    none = F.expr(f"cast(array() as {SPAN})")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        stop = start + F.coalesce(F.length(x["all"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(ord_).alias("ord"), F.lit(KINDS[ord_]).alias("kind"), stop.alias("stop"), F.sha2(x["value"].cast("binary"), 256).alias("hash"))
-        good = F.length(x["value"]) >= least  # null behind the last gap
-        return F.struct(stop.alias("pos"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def span(m: Column) -> Column:
+        return F.struct(m["start"].alias("start"), F.lit(ord_).alias("ord"), F.lit(KINDS[ord_]).alias("kind"), m["stop"].alias("stop"), F.sha2(m["value"].cast("binary"), 256).alias("hash"))
+
+    good = F.filter(matches(text, pattern, group), lambda m: F.length(m["value"]) >= least)
+    return F.when(maybe, F.transform(good, span)).otherwise(F.expr(f"cast(array() as {SPAN})"))
+
+
+def apart(more: Column, base: Column) -> Column:
+    """Spans of ``more`` that overlap none of ``base``: in the order of their
+    starts, no base span before one reaches into it, and none behind it starts
+    inside it."""
+
+    def kept(every: Column) -> Column:
+        low = -(2**31) + 1
+        stops = F.transform(every, lambda s: F.when(s["ord"] < 3, s["stop"]).otherwise(low))
+        starts = F.transform(every, lambda s: F.when(s["ord"] < 3, -s["start"]).otherwise(low))
+
+        def most(values: Column) -> Column:
+            return running(values, F.lit(low), lambda a, b: F.greatest(a, b))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), none.alias("out")), step)["out"]
-    return F.when(maybe, found).otherwise(none)
+        def choose(p: Column) -> Column:
+            free = F.filter(
+                F.transform(p["every"], lambda s, i: F.struct(s.alias("s"), ((F.get(p["before"], i) <= s["start"]) & (-F.get(p["behind"], i) >= s["stop"])).alias("free"))),
+                lambda x: x["free"] & (x["s"]["ord"] == 3),
+            )
+            return F.transform(free, lambda x: x["s"])
+
+        return let(F.struct(every.alias("every"), most(stops).alias("before"), F.reverse(most(F.reverse(starts))).alias("behind")), choose)
+
+    return F.when(F.size(more) > 0, let(F.sort_array(F.concat(base, more)), kept)).otherwise(more)
 
 
 def _mixed(text: Column) -> Column:
     """Generic tokens with a digit, a small and a capital letter."""
     look = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[a-z])(?=[A-Za-z0-9_-]*[A-Z])[A-Za-z0-9_-]{20,}+"
-    return matches(text, look, 3, 0, 20, text.rlike(TOKEN))
+    return found(text, look, 3, 0, 20, text.rlike(TOKEN))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
@@ -71,13 +90,12 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFra
     text = F.col("_text")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("v"), F.col(owner_col).cast("string").alias("owner"), F.coalesce(text_col, F.lit("")).alias("_text"))
     base = F.concat(
-        matches(text, ASSIGN, 0, 2, 6, text.rlike(ASSIGN)),
-        matches(text, ACCESS, 1, 0, 20, text.contains("AKIA")),
-        matches(text, HEX, 2, 0, 24, text.rlike(HEX)),
+        found(text, ASSIGN, 0, 2, 6, text.rlike(ASSIGN)),
+        found(text, ACCESS, 1, 0, 20, text.contains("AKIA")),
+        found(text, HEX, 2, 0, 24, text.rlike(HEX)),
     )
     rows = rows.select("id", "v", "owner", base.alias("base"), _mixed(text).alias("more"))
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return rows.select("id", "v", "owner", "base", F.when(F.size("more") > 0, free).otherwise(F.col("more")).alias("more"))
+    return rows.select("id", "v", "owner", "base", apart(F.col("more"), F.col("base")).alias("more"))
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -87,7 +105,7 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count("owner").alias("n_owners"), F.sum("n_repos").alias("n_repos"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 2) -> tuple[DataFrame, DataFrame]:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 2, max_repos: int = 100) -> tuple[DataFrame, DataFrame]:
     """(rows, found).  ``rows`` has id and v of every row of ``docs``;
     ``found`` has id, v and ``spans`` of those with any: an array of (start,
     ord, kind, stop, status, n_owners, n_repos) in order."""
@@ -96,11 +114,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = some.select("id", "v", "owner", F.explode(F.concat("base", "more")).alias("s")).select("id", "v", "owner", "s.*")
     counts = ownership(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = each.select("id", "v", "start", "ord", "kind", "stop", "hash").distinct().withColumn("salt", F.pmod(F.xxhash64("id", "v", "start"), F.lit(SALTS)).cast("int"))
-    status = F.when(F.col("n_owners") <= max_owners, "live").otherwise("example").alias("status")
+    status = F.when((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos), "live").otherwise("example").alias("status")
     judged = salted.join(counts, ["hash", "salt"]).select("id", "v", F.struct("start", "ord", "kind", "stop", status, "n_owners", "n_repos").alias("s"))
     judged = judged.where((F.col("s.kind") != KINDS[3]) | (F.col("s.status") == "live"))
-    found = judged.groupBy("id", "v").agg(F.sort_array(F.collect_list("s")).alias("spans"))
-    return scanned.select("id", "v"), write_shared(found, "secrets")
+    spans = judged.groupBy("id", "v").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    return scanned.select("id", "v"), write_shared(spans, "secrets")
 
 
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -112,26 +130,11 @@ def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     return joined.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {kind})")))
 
 
-def listed(spans: Column) -> Column:
-    """Spans as kind:start:end, joined by commas."""
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))))
-
-
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced: live-looking ones by ``[SECRET]``,
     widely copied examples by ``[EXAMPLE]``.  Overlapping spans become one."""
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("v"))
     text = F.col(f"row.`{text_col}`")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = text.substr(acc["pos"] + 1, s["start"] - acc["pos"])
-        label = F.when(s["status"] == "live", "[SECRET]").otherwise("[EXAMPLE]")
-        return F.when(s["stop"] <= acc["pos"], acc).otherwise(
-            F.struct(s["stop"].alias("pos"), F.when(s["start"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, label))).alias("out"))
-        )
-
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<string>)").alias("out")), step)
-    rest = text.substr(done["pos"] + 1, F.length(text))
-    new = F.when(F.size("spans") > 0, F.concat(F.array_join(done["out"], ""), rest)).otherwise(text)
+    new = replaced(text, F.col("spans"), lambda s: F.when(s["status"] == "live", "[SECRET]").otherwise("[EXAMPLE]"))
     out = with_spans(packed, found)
     return out.select([new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

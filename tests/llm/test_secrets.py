@@ -20,7 +20,7 @@ def base(text):
     return sorted(out)
 
 
-def brute(rows, owners=2):
+def brute(rows, owners=2, repos=100):
     every = []
     for k, (i, t, s) in enumerate(rows):
         mine = base(t)
@@ -28,13 +28,18 @@ def brute(rows, owners=2):
             if len(m[0]) >= 20 and all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]")) and not any(b[0] < m.end() and m.start() < b[3] for b in mine):
                 mine.append((m.start(), 3, "owned", m.end(), m[0]))
         every += [(k, s, x) for x in mine]
-    who = {}
-    for _, s, x in every:
+    who, where = {}, {}
+    for k, s, x in every:
         who.setdefault(x[4], set()).update([s] if s is not None else [])
+        where.setdefault(x[4], set()).add((s, rows[k][0]))
+
+    def live(value):
+        return len(who[value]) <= owners and len(where[value]) <= repos
+
     out = []
     for k, (i, _, _) in enumerate(rows):
-        spans = sorted(x for q, _, x in every if q == k and (x[1] < 3 or len(who[x[4]]) <= owners))
-        out.append((i, [(x[0], x[2], x[3], "live" if len(who[x[4]]) <= owners else "example") for x in spans]))
+        spans = sorted(x for q, _, x in every if q == k and (x[1] < 3 or live(x[4])))
+        out.append((i, [(x[0], x[2], x[3], "live" if live(x[4]) else "example") for x in spans]))
     return sorted(out, key=repr)
 
 
@@ -98,3 +103,27 @@ def test_hash_of_the_value_not_the_value_is_kept(spark):
     df = spark.createDataFrame([(1, "password=abcdef", "a")], "doc_id long, text string, source string")
     row = S.scan(df, "doc_id", "text", "source").select(F.col("base")[0]["hash"].alias("h")).first()
     assert row.h == hashlib.sha256(b"abcdef").hexdigest()
+
+
+def test_one_owner_with_very_many_repositories_is_an_example(spark):
+    own, few = "aB3" * 9, "cD4" * 9
+    rows = [(i, f"{own} {few if i < 100 else ''} token=abcdef{i:03d}", "s0") for i in range(101)]
+    _, _, got = run(spark, rows)
+    assert got == brute(rows)
+    kinds = {(s[1], s[3]) for _, spans in got for s in spans}
+    assert kinds == {("owned", "live"), ("assign", "live")}  # of the two tokens only the rarer one is reported
+    assert all(len([s for s in spans if s[1] == "owned"]) == (1 if i < 100 else 0) for i, spans in got)
+
+
+def test_many_matches_stay_linear(spark):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        text = " ".join(f"AKIA{i:016d} {'aB3' * 8}{i}" for i in range(n))
+        df = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+        began = time.time()
+        row = S.scan(df, "doc_id", "text", "source").select(F.size("base"), F.size("more")).first()
+        took.append(time.time() - began)
+        assert tuple(row) == (n, n)
+    assert took[1] < 20 * took[0]

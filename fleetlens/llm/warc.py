@@ -19,7 +19,9 @@ are read, so lost and repeated tasks leave nothing behind that counts.
 Defined results: a null html is the empty payload; a null url the empty URI.
 Rows that repeat a page_id are written each; among equal payloads every row
 with the smallest id is a response.  A null id is always a response.  An empty
-table gives no archive and an empty result.
+table gives no archive and an empty result.  A member that begins as a record
+but is damaged, lacks a mandatory header or does not fit its length or digest
+gives a row of record type ``malformed`` with its path and offset alone.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import join_checked
 from fleetlens.session import fresh_folder, write_shared
 
 #: Fixed values of the formats.
@@ -52,30 +56,35 @@ def file_system(uri: str):
 
 
 def with_first(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """page_id, payload, digest, refers_to (null: response)."""
+    """page_id, payload, digest, refers_to (null: response).
+
+    Equal payloads are found by ids and digests alone, in salted parts; only the
+    pages that revisit another meet the payloads, by their id."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col("uri"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
-    keys = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
+    keys = write_shared(rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest").where("page_id is not null"), "warc-digests")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
     first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    found = salted.join(first, ["digest", "salt"], "left")
-    return found.select("page_id", "uri", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    salted = keys.where("page_id is not null").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    again = salted.join(first, ["digest", "salt"]).where(F.col("first") < F.col("page_id")).select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    return join_checked(rows, write_shared(again, "warc-revisits"), ["page_id", "digest"], "left")
 
 
-def record_bytes(page_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record: header lines, blank line, block, two line ends."""
+def record_bytes(page_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    """One record: header lines, blank line, block, two line ends.  The block is
+    an HTTP response, without its body in a revisit."""
     name = "none" if page_id is None else page_id
-    block = b"" if refers_to is not None else payload
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if refers_to is not None else http + payload
     lines = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Date: {date}",
         # header lines end at CR LF; such characters cannot stand in a URI
         f"WARC-Target-URI: {re.sub(r'[\x00-\x20\x7f]', lambda m: f'%{ord(m[0]):02X}', uri or '')}",
-        "Content-Type: text/html",
+        "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Payload-Length: {len(payload)}",
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
@@ -89,8 +98,10 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url", min_bytes: int = 100) -> DataFrame:
-    """Write the archives below ``folder``; returns the manifest (path, length, records)."""
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url", min_bytes: int = 100, date: str | None = None) -> DataFrame:
+    """Write the archives below ``folder``; returns the manifest (path, length,
+    records).  ``date`` is the pages' time (ISO 8601, UTC; now if not given)."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
@@ -99,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", paylo
         for b in batches:
             for row in b.to_pylist():
                 out = out or system.open_output_stream(path, compression=None)  # by default .gz would be compressed again
-                data = gzip_member(record_bytes(row["page_id"], row["uri"], row["payload"], row["digest"], row["refers_to"]))
+                data = gzip_member(record_bytes(row["page_id"], row["uri"], row["payload"], row["digest"], row["refers_to"], date))
                 out.write(data)
                 records += 1
                 length += len(data)
@@ -118,7 +129,7 @@ class _Window:
 
     def __init__(self, source, start: int, length: int) -> None:
         self.source, self.start, self.length = source, start, length
-        self.data = b""
+        self.data = bytearray()  # grows in place
 
     def upto(self, end: int, step: int = 1 << 20) -> bool:
         """Have bytes before ``end`` (or the file's end)."""
@@ -131,7 +142,7 @@ class _Window:
         return end <= self.length
 
     def drop(self, before: int) -> None:
-        self.data = self.data[before - self.start :]
+        del self.data[: before - self.start]
         self.start = before
 
 
@@ -142,7 +153,7 @@ def member_at(view: _Window, at: int, probe: int | None = None) -> tuple[bytes,
     try:
         while not d.eof:
             view.upto(pos + step)
-            chunk = view.data[pos - view.start : pos - view.start + step]
+            chunk = bytes(view.data[pos - view.start : pos - view.start + step])
             if not chunk:
                 return None
             out.append(d.decompress(chunk, probe or 0))
@@ -154,14 +165,20 @@ def member_at(view: _Window, at: int, probe: int | None = None) -> tuple[bytes,
     return b"".join(out), pos - len(d.unused_data)
 
 
-def parse_record(data: bytes) -> dict:
-    """Header fields and block of one record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:] if ": " in line)
-    block = rest[: int(fields["Content-Length"])]
-    if len(block) != int(fields["Content-Length"]):
-        raise ValueError("record is cut short")
-    return fields | {"block": block}
+def headers(data: bytes) -> dict[str, str]:
+    """Header fields of the lines before the first blank one."""
+    head = data.partition(b"\r\n\r\n")[0].decode("utf-8", "replace")
+    return dict(line.split(": ", 1) for line in head.split("\r\n")[1:] if ": " in line)
+
+
+def parse_record(data: bytes) -> dict | None:
+    """Header fields, HTTP block and body of one record; None if a header that
+    every record has is missing or does not fit the block."""
+    fields, block = headers(data), data.partition(b"\r\n\r\n")[2]
+    size = fields.get("Content-Length", "")
+    if not size.isdigit() or not {"WARC-Type", "WARC-Record-ID", "WARC-Date"} <= fields.keys() or len(block) != int(size) + 4:
+        return None
+    return fields | {"http": headers(block), "body": block[: int(size)].partition(b"\r\n\r\n")[2]}
 
 
 def records_in(source, start: int, end: int, length: int) -> Iterator[tuple[int, bytes]]:
@@ -182,8 +199,10 @@ def records_in(source, start: int, end: int, length: int) -> Iterator[tuple[int,
         if whole:
             yield at, whole[0]
             at = whole[1]
-        else:  # the magic inside compressed data
-            at += 1
+            continue
+        if head and head[0] == VERSION:  # a record, but its member is damaged
+            yield at, b""
+        at += 1  # else the magic inside compressed data
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
@@ -205,7 +224,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = 8
                 rows, held = [], 0
                 with system.open_input_file(path) as source:
                     for offset, data in records_in(source, r["start"], min(r["start"] + range_bytes, r["length"]), r["length"]):
-                        rows.append(_row(parse_record(data)) | {"path": r["path"], "offset": offset})
+                        rows.append(_row(data) | {"path": r["path"], "offset": offset})
                         held += len(data)
                         if held > 4_000_000:
                             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -216,23 +235,28 @@ def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = 8
     return ranges.mapInArrow(run, RECORD)
 
 
-def _row(record: dict) -> dict:
+def _row(data: bytes) -> dict:
     def page(urn: str | None) -> int | None:
-        name = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-        return None if name in ("", "none") else int(name)
-
-    block, kind = record["block"], record["WARC-Type"]
-    digest = record["WARC-Payload-Digest"].removeprefix("sha256:")
-    if kind == "response" and (hashlib.sha256(block).hexdigest() != digest or len(block) != int(record["WARC-Payload-Length"])):
-        raise ValueError(f"payload of {record['WARC-Record-ID']} does not match its digest")
+        found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", urn or "")
+        return int(found[1]) if found else None
+
+    record = parse_record(data)
+    nothing = dict.fromkeys(("page_id", "uri", "refers_to", "payload_bytes", "payload_digest", "payload"))
+    if record is None or record["WARC-Type"] not in ("response", "revisit"):
+        return nothing | {"record_type": "malformed" if record is None else record["WARC-Type"]}
+    body, kind = record["body"], record["WARC-Type"]
+    digest = record.get("WARC-Payload-Digest", "").removeprefix("sha256:")
+    size = record["http"].get("Content-Length", "")
+    if not size.isdigit() or (kind == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != int(size))):
+        return nothing | {"record_type": "malformed"}
     return {
         "page_id": page(record["WARC-Record-ID"]),
-        "uri": record["WARC-Target-URI"],
+        "uri": record.get("WARC-Target-URI"),
         "record_type": kind,
         "refers_to": page(record.get("WARC-Refers-To")),
-        "payload_bytes": int(record["WARC-Payload-Length"]),
+        "payload_bytes": int(size),
         "payload_digest": digest,
-        "payload": block if kind == "response" else None,
+        "payload": body if kind == "response" else None,
     }
 
 

@@ -8,6 +8,7 @@ import pytest
 
 from fleetlens.llm import warc as W
 
+DATE = "2024-01-02T03:04:05Z"
 SCHEMA = "page_id long, url string, html string, payload string, digest string, salt int"
 
 
@@ -59,10 +60,71 @@ def test_magic_inside_members_is_no_record(tmp_path):
         for i in range(120):
             payload = W.MAGIC * rnd.randint(0, 60) + os.urandom(rnd.randint(0, 1500))
             records.append((f.tell(), payload))
-            f.write(W.gzip_member(W.record_bytes(i, "u", payload, hashlib.sha256(payload).hexdigest(), None), level=0))
+            f.write(W.gzip_member(W.record_bytes(i, "u", payload, hashlib.sha256(payload).hexdigest(), None, DATE), level=0))
     size = os.path.getsize(path)
     system, inside = W.file_system(path)
     for step in (97, 1500, size):
         with system.open_input_file(inside) as source:
-            got = [(o, W._row(W.parse_record(d))["payload"]) for a in range(0, size, step) for o, d in W.records_in(source, a, min(a + step, size), size)]
+            got = [(o, W._row(d)["payload"]) for a in range(0, size, step) for o, d in W.records_in(source, a, min(a + step, size), size)]
         assert got == records
+
+
+def test_records_have_the_mandatory_headers(spark):
+    from fleetlens.session import fresh_folder
+
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 200), (2, "http://b/", "x" * 200)], "page_id long, url string, html string")
+    found = []
+    for m in W.write_archives(pages, fresh_folder(spark, "t"), date=DATE).collect():
+        system, path = W.file_system(m.path)
+        with system.open_input_file(path) as source:
+            found += [W.parse_record(d) for _, d in W.records_in(source, 0, m.length, m.length)]
+    assert sorted(r["WARC-Type"] for r in found) == ["response", "revisit"]
+    for r in found:
+        assert r["WARC-Date"] == DATE and r["Content-Type"] == "application/http; msgtype=response" and r["http"]["Content-Length"] == "200"
+        assert r["body"] == (b"x" * 200 if r["WARC-Type"] == "response" else b"")
+
+
+def test_malformed_members_are_reported_and_the_rest_is_read(spark, tmp_path):
+    body = b"<p>" + b"y" * 300
+    good = W.record_bytes(5, "u", body, hashlib.sha256(body).hexdigest(), None, DATE)
+    bad = [
+        good.replace(b"Content-Length: ", b"Length: "),
+        good.replace(b"WARC-Date", b"Date"),
+        good.replace(b"yyy", b"zzz", 1),  # digest
+        good[:-9],
+        W.VERSION + b"\r\n\r\n",
+        good.replace(b"WARC-Type: response", b"WARC-Type: metadata"),
+    ]
+    path, offsets = str(tmp_path / "m.warc.gz"), []
+    with open(path, "wb") as f:
+        f.write(W.gzip_member(b"no record at all"))
+        for data in [good, *bad]:
+            offsets.append(f.tell())
+            f.write(W.gzip_member(data))
+        offsets.append(f.tell())
+        f.write(W.gzip_member(good)[:-30])  # cut short
+    manifest = spark.createDataFrame([(path, os.path.getsize(path))], "path string, length long")
+    got = {r.offset: r for r in W.read_archives(spark, manifest, range_bytes=100).collect()}
+    assert sorted(got) == offsets
+    assert [got[o].record_type for o in offsets] == ["response", "malformed", "malformed", "malformed", "malformed", "malformed", "metadata", "malformed"]
+    assert got[offsets[0]].payload == body and all(got[o].payload is None and got[o].page_id is None for o in offsets[1:])
+
+
+def test_a_large_record_is_read_in_linear_time(tmp_path):
+    import time
+
+    took = []
+    for size in (8, 32):
+        body = os.urandom(size << 20)
+        path = str(tmp_path / f"{size}.warc.gz")
+        with open(path, "wb") as f:
+            f.write(W.gzip_member(W.record_bytes(1, "u", body, hashlib.sha256(body).hexdigest(), None, DATE), level=1))
+        length = os.path.getsize(path)
+        began = time.process_time()
+        with open(path, "rb") as f:
+            import pyarrow as pa
+
+            [(_, data)] = list(W.records_in(pa.PythonFile(f), 0, length, length))
+        took.append(time.process_time() - began)
+        assert W._row(data)["payload"] == body
+    assert took[1] < 10 * took[0] + 1

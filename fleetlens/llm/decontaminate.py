@@ -18,8 +18,10 @@ The benchmark's hashes are broadcast only while their counted number is within
 Document texts are never shuffled for the search: hits carry ids, and texts
 are read again for the documents that have hits.
 
-Defined results: null or empty texts and items are never found.  Items of
-fewer than ``min_words`` words are too short to be evidence and are ignored.
+Items of fewer than ``min_words`` words are too short for the masks: they are
+found only whole, as one solid seed of all their words, without substitutions.
+
+Defined results: null or empty texts and items are never found.
 Rows that repeat an id are one document; an item found in any of them is
 found.  A null id has no result row.  Empty tables give an empty result.
 """
@@ -42,14 +44,15 @@ def words(text: str) -> Column:
     return F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
-def seeds(df: DataFrame, keys: list[str], words_col: str) -> DataFrame:
+def seeds(df: DataFrame, keys: list[str], words_col: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """Rows (keys, pos, h): the hash of every mask at every position."""
-    hashed = df.select(*keys, F.transform(words_col, lambda w: F.xxhash64(w)).alias("_h")).where(F.size("_h") >= min(map(len, MASKS)))
-    at = hashed.select(*keys, "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - min(map(len, MASKS)))).alias("pos"))
+    least = min(map(len, masks))
+    hashed = df.select(*keys, F.transform(words_col, lambda w: F.xxhash64(w)).alias("_h")).where(F.size("_h") >= least)
+    at = hashed.select(*keys, "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - least)).alias("pos"))
     # a mask that reaches past the end reads a null, which hashes to nothing an item has
     one = [
-        F.when(F.col("pos") + len(m) <= F.size("_h"), F.xxhash64(F.lit(i), *[F.get("_h", F.col("pos") + j) for j, bit in enumerate(m) if bit == "1"]))
-        for i, m in enumerate(MASKS)
+        F.when(F.col("pos") + len(m) <= F.size("_h"), F.xxhash64(F.lit(m), *[F.get("_h", F.col("pos") + j) for j, bit in enumerate(m) if bit == "1"]))
+        for m in masks
     ]
     return at.select(*keys, "pos", F.explode(F.array(*one)).alias("h")).where("h is not null")
 
@@ -71,14 +74,19 @@ def found_items(
     that window, ``item_matched`` and ``item_words`` of the item as a whole."""
     tests = (
         items.select(F.col(item_col).alias("item"), F.filter(words(item_text_col), lambda w: w != "").alias("iw"))
-        .where(F.col("item").isNotNull() & (F.size("iw") >= min_words))
+        .where(F.col("item").isNotNull() & (F.size("iw") > 0))
         .distinct()
         .withColumn("size", F.size("iw"))
     )
     tests = write_shared(tests, "items")
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    wanted = write_shared(seeds(tests, ["item", "size"], "iw").select("h", "item", "size", F.col("pos").alias("ipos")).distinct(), "item-seeds")
-    stream = seeds(base.withColumn("w", words("text")), ["id", "v"], "w")
+    # an item too short for the masks is one solid seed: all its words
+    short = tuple("1" * r["size"] for r in tests.where(F.col("size") < min_words).select("size").distinct().orderBy("size").collect())
+    item_seeds = seeds(tests.where(F.col("size") >= min_words), ["item", "size"], "iw")
+    for m in short:  # fewer than min_words
+        item_seeds = item_seeds.unionByName(seeds(tests.where(F.col("size") == len(m)), ["item", "size"], "iw", (m,)))
+    wanted = write_shared(item_seeds.select("h", "item", "size", F.col("pos").alias("ipos")).distinct(), "item-seeds")
+    stream = seeds(base.withColumn("w", words("text")), ["id", "v"], "w", MASKS + short)
     if wanted.count() <= broadcast_rows:
         met = stream.join(F.broadcast(wanted), "h")
     else:
@@ -100,7 +108,8 @@ def found_items(
         F.sequence(F.lit(1), F.size("same") - F.col("compared") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("compared")), F.lit(0), lambda a, x: a + x)
     )
     scored = laid.select("id", "item", "shift", "compared", sums.alias("sums"), F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("item_matched"), F.size("same").alias("item_words"))
-    scored = scored.withColumn("matched", F.array_max("sums")).where(F.col("matched") * 100 >= F.col("compared") * percent)
+    needed = F.when(F.col("item_words") < min_words, 100).otherwise(percent)
+    scored = scored.withColumn("matched", F.array_max("sums")).where(F.col("matched") * 100 >= F.col("compared") * needed)
     best = scored.groupBy("id", "item").agg(
         F.max(F.struct("matched", "item_matched", (-F.col("shift")).alias("back"), (-F.array_position("sums", F.col("matched"))).alias("at"), "compared", "item_words")).alias("b")
     )

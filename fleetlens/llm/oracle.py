@@ -89,16 +89,16 @@ WITH d AS (
 ), t AS (
   SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS iw FROM benchmark
 ), tw AS (
-  SELECT item_id, unnest(iw) AS w, unnest(range(len(iw))) AS j, len(iw) AS size, least(20, len(iw)) AS compared FROM t WHERE len(iw) >= 13
+  SELECT item_id, unnest(iw) AS w, unnest(range(len(iw))) AS j, len(iw) AS size, least(20, len(iw)) AS compared, CASE WHEN len(iw) < 13 THEN 100 ELSE 80 END AS percent FROM t WHERE len(iw) > 0
 ), same AS (
-  SELECT doc_id, item_id, i - j AS shift, size, compared, list(j) AS js, count(*) AS item_matched
-  FROM dw JOIN tw USING (w) GROUP BY ALL HAVING count(*) * 100 >= compared * 80
+  SELECT doc_id, item_id, i - j AS shift, size, compared, percent, list(j) AS js, count(*) AS item_matched
+  FROM dw JOIN tw USING (w) GROUP BY ALL HAVING count(*) * 100 >= compared * percent
 ), windows AS (
   SELECT *, len(list_filter(js, lambda j: j >= s AND j < s + compared)) AS matched
   FROM (SELECT *, unnest(range(size - compared + 1)) AS s FROM same)
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, item_matched DESC, shift, s) AS r
-  FROM windows WHERE matched * 100 >= compared * 80
+  FROM windows WHERE matched * 100 >= compared * percent
 )
 SELECT doc_id, item_id, shift + s AS first_word, matched, compared, item_matched, size AS item_words FROM best WHERE r = 1
 """
@@ -133,7 +133,7 @@ WITH base AS (
 ), every AS (
   SELECT * FROM base UNION ALL SELECT * FROM generic
 ), judged AS (
-  SELECT * FROM every JOIN (SELECT value, count(DISTINCT source) <= 2 AS live FROM every GROUP BY value) USING (value)
+  SELECT * FROM every JOIN (SELECT value, count(DISTINCT source) <= 2 AND count(DISTINCT doc_id) <= 100 AS live FROM every GROUP BY value) USING (value)
   WHERE kind <> 'owned' OR live
 ), docs AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,

@@ -39,8 +39,9 @@ def bounded_sample(df: DataFrame, id_col: str, bound: int) -> DataFrame:
     return ordered.orderBy("_order", id_col).limit(bound).drop("_order")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of one piece hold about ``max_bytes``.
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 1_000_000, max_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the texts of one piece hold about ``max_bytes``
+    and are at most ``max_rows``.
 
     One text is never cut; memory per piece is bounded by ``max_bytes`` plus
     the longest text.
@@ -53,6 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int = 1_0
         lengths = pc.binary_length(batch.column(text_at)).fill_null(0).to_numpy(zero_copy_only=False)
         piece = np.cumsum(lengths) // max_bytes
         starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        starts = np.concatenate([np.arange(a, b, max_rows) for a, b in zip(starts, [*starts[1:], n], strict=True)])
         for a, b in zip(starts, [*starts[1:], n], strict=True):
             yield batch.slice(a, b - a)
 

@@ -33,6 +33,9 @@ DIM = 1024
 UNKNOWN = "und"
 
 
+ROWS = 512  #: texts of a piece: a piece counts its n-grams in a table of texts by 8,192 n-grams
+
+
 @dataclass(frozen=True)
 class Profiles:
     """Language names in order and one prototype of length one for each."""
@@ -115,7 +118,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, total = Encoder(), {}
-        for piece in slices(batches, 1, 1_500_000):
+        for piece in slices(batches, 1, 1_500_000, ROWS):
             rows = unit(encoder.bundles(texts_of(piece.column(1)))).astype(np.float64)
             langs = np.array(piece.column(0).to_pylist(), object)
             for name in set(langs):
@@ -149,7 +152,7 @@ def predict(docs: DataFrame, model: Profiles, id_col: str = "doc_id", text_col:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
-        for piece in slices(batches, 1, 1_500_000):
+        for piece in slices(batches, 1, 1_500_000, ROWS):
             yield score(piece, encoder)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(pieces, f"`{id_col}` {id_type}, lang_pred string, score double")

@@ -164,7 +164,8 @@ def fit(
     chosen = bounded_sample(known, "_id", train_rows)
     # proven size: train_rows pairs of id and label
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    train = texts.join(F.broadcast(chosen), "_id").select("_label", "_text")
+    # an id that repeats is learned from once, by its smallest text
+    train = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct("_text", "_label")).alias("r")).select("_id", "r.*").select("_label", "_text")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 1):

@@ -5,7 +5,7 @@ of longer words, hashed into ``2**18`` buckets.  The model is
 
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
-with x a term's count (8 at most): beside a weight for every term it learns a
+with x the logarithm of one plus a term's count: beside a weight for every term it learns a
 small vector, and the product of two vectors weighs a pair of terms, so an
 insult beside another term can count for more than both alone.  Buckets that
 tell nothing about the label in the sample (chi-squared statistic) are left
@@ -95,7 +95,7 @@ class Machine:
 def dense(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
     x = np.zeros((len(rows), width))
     for i, (at, count) in enumerate(rows):
-        x[i, at] = np.minimum(count, 8)
+        x[i, at] = np.log1p(count)
     return x
 
 
@@ -150,7 +150,8 @@ def fit(
     chosen = bounded_sample(known, "_id", train_rows)
     # proven size: train_rows pairs of id and label
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    train = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
+    # an id that repeats is learned from once, by its smallest text
+    train = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct("_text", "_label")).alias("r")).select("_id", "r.*").select("_id", "_label", "_text")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -161,12 +162,12 @@ def fit(
                     piece.column(0).cast(pa.string()),
                     piece.column(1),
                     pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
-                    pa.array([np.minimum(r[1], 127).astype(np.int8) for r in rows], pa.list_(pa.int8())),
+                    pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())),
                 ],
                 names=["id", "label", "terms", "counts"],
             )
 
-    table = train.mapInArrow(rows_of, "id string, label double, terms array<int>, counts array<tinyint>").toArrow().sort_by("id")
+    table = train.mapInArrow(rows_of, "id string, label double, terms array<int>, counts array<int>").toArrow().sort_by("id")
     rows = []
     for batch in table.to_batches():
         for t, c in zip(batch.column(2), batch.column(3), strict=True):

@@ -9,17 +9,23 @@ removed.  Windows are judged on the input.
 2. From every run of ``window - phrase + 1`` phrases (16 words each) the one
    with the smallest hash is sampled.  Two equal windows sample the same
    phrase, so every repeated window holds a sampled phrase that occurs in two
-   documents.  Those phrases are counted over the corpus (partial sums first).
-3. Documents that hold such a phrase are streamed in shards of bounded size.
-   Each shard compiles an Aho-Corasick automaton (pyahocorasick, over word
-   numbers) of its recurring phrases and locates every occurrence; windows
-   around an occurrence are candidates.
+   documents.  Those phrases are confirmed over the corpus, grouped by two
+   independent hashes (partial sums first); their words are then read from the
+   document with the smallest id.
+3. Confirmed phrases are dealt into shards of bounded size by that document,
+   so that what was copied from one place lies in one shard.  Every document is
+   routed to the shards that hold one of its sampled phrases (no other shard
+   can hold a repeated window of it), in parts of bounded size.  A part
+   compiles its shard's Aho-Corasick automaton (pyahocorasick, over 31-bit
+   numbers of words that are the same in every task) once and streams its
+   documents through it; windows around an occurrence are candidates.
 4. Candidates are confirmed over the corpus: grouped by two independent
    hashes of their words, a window is repeated in every document but the one
    with the smallest id.
 
-Data moved: sampled phrases (one word in about 18) and candidate windows, not
-the texts.  Nothing is collected to the driver.
+Data moved: sampled phrases (one word in about 18), candidate windows, and the
+texts of documents that hold a confirmed phrase, once per shard they meet.
+Nothing is collected to the driver but one number of shards.
 
 Defined results: null or empty text has no words and keeps the empty text.
 Texts shorter than a window keep all words.  Rows that repeat an id do not
@@ -41,7 +47,8 @@ from fleetlens.llm.common import join_checked, slices
 from fleetlens.session import write_shared
 
 WINDOW, PHRASE = 50, 16
-SHARD_BYTES = 1_000_000
+SHARD_PHRASES = 10_000  #: phrases of one automaton, about
+PART_WORDS = 500_000  #: words of the documents that one part streams, about
 _U = np.uint64
 
 
@@ -67,6 +74,7 @@ def _digests(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             count = np.diff(w.offsets)
             long_enough = np.flatnonzero(count >= window)
             hashes, first = words.runs(w, phrase)
+            checks, _ = words.runs(w, phrase, 2)
             at = np.searchsorted(first, w.offsets)
             place = np.arange(len(w.hash)) - np.repeat(w.offsets[:-1], count)
             totals = []
@@ -76,42 +84,90 @@ def _digests(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 np.cumsum(each, dtype=np.uint64, out=total[1:])
                 totals.append(words.signed(total[w.offsets[1:]] - total[w.offsets[:-1]])[long_enough])
             take = pa.array(long_enough)
-            phrases = [words.signed(sampled(hashes[at[i] : at[i + 1]], window - phrase + 1)) for i in long_enough]
+            phrases, seconds = [], []
+            for i in long_enough:
+                mine = hashes[at[i] : at[i + 1]]
+                chosen = sampled(mine, window - phrase + 1)
+                order = np.argsort(mine, kind="stable")
+                phrases.append(words.signed(chosen))
+                seconds.append(_check(checks[at[i] : at[i + 1]][order[np.searchsorted(mine[order], chosen)]]))
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0).take(take), piece.column(1).take(take), pa.array(count[long_enough]), pa.array(totals[0]), pa.array(totals[1]), pa.array(phrases, pa.list_(pa.int64()))],
-                names=["id", "v", "n", "s1", "s2", "phrases"],
+                [piece.column(0).take(take), piece.column(1).take(take), pa.array(count[long_enough]), pa.array(totals[0]), pa.array(totals[1])]
+                + [pa.array(phrases, pa.list_(pa.int64())), pa.array(seconds, pa.list_(pa.int32()))],
+                names=["id", "v", "n", "s1", "s2", "phrases", "checks"],
             )
 
-    return docs.mapInArrow(run, "id long, v long, n long, s1 long, s2 long, phrases array<long>")
+    return docs.mapInArrow(run, "id long, v long, n long, s1 long, s2 long, phrases array<long>, checks array<int>")
 
 
-def _candidates(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """Windows around occurrences of recurring phrases; docs: id, v, text, phrases."""
+def _check(hashes: np.ndarray) -> np.ndarray:
+    """Half of a second hash."""
+    return (hashes >> _U(32)).astype(np.uint32).view(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
 
-        for shard in slices(batches, 2, SHARD_BYTES):
-            w = words.split(shard.column(2).to_pylist())
+def numbers(w: words.Words) -> np.ndarray:
+    """31-bit numbers of the words, the same for a word in every task."""
+    return (w.hash >> _U(33)).astype(np.int64)
+
+
+def _spelled(docs: DataFrame, phrase: int) -> DataFrame:
+    """The words of phrases; docs: text, shard and ``phrases`` (hashes) to read from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, 0):
+            w = words.split(piece.column(0).to_pylist())
             hashes, first = words.runs(w, phrase)
             at = np.searchsorted(first, w.offsets)
-            number = np.unique(w.hash, return_inverse=True)[1].tolist()
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-            known = set()
-            for i, wanted in enumerate(shard.column(3).to_pylist()):
+            number = numbers(w)
+            shards, spelled = [], []
+            for i, (shard, wanted) in enumerate(zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True)):
                 mine = hashes[at[i] : at[i + 1]]
-                for k in (np.flatnonzero(np.isin(mine, np.array(wanted, np.int64).view(np.uint64))) + at[i]).tolist():
-                    if hashes[k] not in known:
-                        known.add(hashes[k])
-                        p = first[k]
-                        automaton.add_word(tuple(number[p : p + phrase]))
-            if not known:
-                continue
-            automaton.make_automaton()
+                _, place = np.unique(mine, return_index=True)  # a phrase that repeats in the text: once
+                for k in place[np.isin(mine[place], np.array(wanted, np.int64).view(np.uint64))]:
+                    p = first[at[i] + k]
+                    shards.append(shard)
+                    spelled.append(number[p : p + phrase])
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(spelled, pa.list_(pa.int64()))], names=["shard", "spelled"])
+
+    return docs.select("text", "shard", "phrases").mapInArrow(run, "shard int, spelled array<long>")
+
+
+def automaton(spelled: list[tuple[int, ...]]):
+    """Aho-Corasick automaton over sequences of word numbers; None if there are none."""
+    import ahocorasick
+
+    if not spelled:
+        return None
+    made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    for s in spelled:
+        made.add_word(s)
+    made.make_automaton()
+    return made
+
+
+def occurrences(made, number: tuple[int, ...]) -> list[int]:
+    """Where the automaton's phrases end in a text."""
+    return [end for end, _ in made.iter(number)]
+
+
+WINDOWS = "h1 long, h2 int, id long, v long, pos int"
+
+
+def _candidates(docs: DataFrame, phrases: DataFrame, window: int, phrase: int) -> DataFrame:
+    """Windows around occurrences of confirmed phrases.  docs: shard, part, id,
+    v, text; phrases: shard, part, spelled.  A part of a shard is one group."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("id", pa.int64()), ("v", pa.int64()), ("pos", pa.int32())])
+
+    def locate(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = automaton([tuple(x) for x in right.column("spelled").to_pylist()])
+        out = []
+        for piece in slices(iter(left.select(["id", "v", "text"]).to_batches()), 2) if made else ():
+            w = words.split(piece.column(2).to_pylist())
+            number = numbers(w).tolist()
             mark = np.zeros(len(w.hash) + 1, np.int64)
             for i in range(len(w.offsets) - 1):
                 a, b = w.offsets[i], w.offsets[i + 1]
-                found = np.array([end for end, _ in automaton.iter(tuple(number[a:b]))], np.int64) + a - phrase + 1
+                found = np.array(occurrences(made, tuple(number[a:b])), np.int64) + a - phrase + 1
                 np.add.at(mark, np.maximum(found - (window - phrase), a), 1)
                 np.add.at(mark, found + 1, -1)
             h1, starts = words.runs(w, window, 1)
@@ -119,16 +175,12 @@ def _candidates(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             chosen = np.flatnonzero(np.cumsum(mark)[starts] > 0)
             doc = w.doc()[starts[chosen]]
             pos = (starts[chosen] - w.offsets[doc]).astype(np.int32)
-            check = (h2[chosen] >> _U(32)).astype(np.uint32).view(np.int32)
             take = pa.array(doc)
-            for a in range(0, len(chosen), 50_000):
-                z = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words.signed(h1[chosen[z]])), pa.array(check[z]), shard.column(0).take(take[z]), shard.column(1).take(take[z]), pa.array(pos[z])],
-                    names=["h1", "h2", "id", "v", "pos"],
-                )
+            out.append(pa.RecordBatch.from_arrays([pa.array(words.signed(h1[chosen])), pa.array(_check(h2[chosen])), piece.column(0).take(take), piece.column(1).take(take), pa.array(pos)], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
-    return docs.select("id", "v", "text", "phrases").mapInArrow(run, "h1 long, h2 int, id long, v long, pos int")
+    keys = ["shard", "part"]
+    return docs.groupBy(*keys).cogroup(phrases.groupBy(*keys)).applyInArrow(locate, WINDOWS)
 
 
 def _matched(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,16 +198,28 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("text")).where("id is not null")
     digests = write_shared(_digests(base, window, phrase), "digests")
     classes = write_shared(
-        digests.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "v")).alias("rep"), F.min_by("phrases", F.struct("id", "v")).alias("phrases"), F.max("id").alias("top")),
+        digests.groupBy("n", "s1", "s2").agg(
+            F.min(F.struct("id", "v")).alias("rep"), F.min_by(F.struct("phrases", "checks"), F.struct("id", "v")).alias("p"), F.max("id").alias("top")
+        ),
         "classes",
     )
-    reps = classes.select(F.col("rep.id").alias("id"), F.col("rep.v").alias("v"), "phrases")
-    each = reps.select("id", "v", F.explode("phrases").alias("h"))
-    recurring = each.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
-    holders = write_shared(_matched(each, recurring, ["h"]).groupBy("id", "v").agg(F.collect_list("h").alias("phrases")), "holders")
-    wanted = write_shared(holders.select("id").distinct(), "holder-ids")
-    shards = join_checked(base, wanted, ["id"], "left_semi").join(holders, ["id", "v"])
-    windows = write_shared(_candidates(shards, window, phrase), "windows")
+    sampled_ = F.arrays_zip(F.col("p.phrases").alias("h"), F.col("p.checks").alias("c"))
+    each = classes.select("rep.id", "rep.v", "n", F.explode(sampled_).alias("s")).select("id", "v", "n", "s.h", "s.c")
+    confirmed = each.groupBy("h", "c").agg(F.min(F.struct("id", "v")).alias("low"), F.max("id").alias("high")).where("low.id < high").select("h", "c", "low")
+    confirmed = write_shared(confirmed, "phrases")
+    shards = max(1, -(-confirmed.count() // SHARD_PHRASES))
+    confirmed = confirmed.withColumn("shard", F.pmod(F.xxhash64("low.id"), F.lit(shards)).cast("int"))
+    # every text with the shards of its phrases, in parts of so many words
+    routes = write_shared(_matched(each, confirmed.select("h", "c", "shard"), ["h", "c"]).select("id", "v", "n", "shard").distinct(), "routes")
+    parts = routes.groupBy("shard").agg(F.ceil(F.sum("n") / PART_WORDS).cast("int").alias("parts"))
+    parts = write_shared(parts, "parts")  # a row per shard
+    dealt = join_checked(routes, parts, ["shard"], "inner")
+    dealt = write_shared(dealt.select("id", "v", "shard", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part")), "dealt")
+    docs_of = join_checked(base, dealt, ["id", "v"], "inner")
+    lowest = write_shared(confirmed.groupBy("low", "shard").agg(F.collect_list("h").alias("phrases")).select("low.id", "low.v", "shard", "phrases"), "lowest")
+    spelled = _spelled(join_checked(base, lowest, ["id", "v"], "inner"), phrase).distinct()
+    spread = join_checked(spelled, parts, ["shard"], "inner").select("shard", "spelled", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    windows = write_shared(_candidates(docs_of, spread, window, phrase), "windows")
     repeated = windows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h1", "h2", "low")
     hits = _matched(windows, repeated, ["h1", "h2"]).where("id > low").groupBy("id", "v").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 

@@ -87,3 +87,41 @@ def test_ranges_are_word_numbers(spark):
     df = spark.createDataFrame([(1, a), (2, "b c " + a + " d")], "doc_id long, text string")
     (row,) = S.repeated_ranges(df).select("id", F.col("ranges")).collect()
     assert row.id == 2 and [tuple(r) for r in row.ranges] == [(2, 52)]
+
+
+def shared_passages(n=120):
+    rnd = random.Random(5)
+    passages = [" ".join(f"p{k}x{j}" for j in range(70)) for k in range(15)]
+    return [(i, " ".join([f"a{i} b{i}", *rnd.sample(passages, rnd.randint(0, 3)), f"c{i}"])) for i in range(n)]
+
+
+def test_shards_and_parts_of_any_size_give_the_same(spark, monkeypatch):
+    rows = shared_passages()
+    want = brute(rows, 50)
+    for phrases, words in ((1, 100), (7, 2000), (10_000, 10)):
+        monkeypatch.setattr(S, "SHARD_PHRASES", phrases)
+        monkeypatch.setattr(S, "PART_WORDS", words)
+        assert run(spark, rows) == want
+
+
+def test_the_automata_decide(spark, monkeypatch):
+    """Without what they return nothing is removed; with some of it, less."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    rows = shared_passages(40)
+    assert sum(r[2] for r in brute(rows, 50)) > 1000
+    # tasks get the changed function by value
+    cloudpickle.register_pickle_by_value(sys.modules[S.__name__])
+    try:
+        monkeypatch.setattr(S, "occurrences", lambda made, number: [])
+        assert sum(r[2] for r in run(spark, rows)) == 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[S.__name__])
+
+
+def test_automaton_finds_every_phrase():
+    made = S.automaton([(1, 2, 3), (2, 3, 4), (3, 3, 3)])
+    assert S.occurrences(made, (0, 1, 2, 3, 4, 3, 3, 3, 3, 2**31 - 1)) == [3, 4, 7, 8]
+    assert S.automaton([]) is None

@@ -55,24 +55,54 @@ def test_pruning_skips_work_and_keeps_ties():
     data = np.floor(rng.normal(0, 30, (3000, 3)) + 300 * rng.integers(-1, 2, (3000, 3)))
     queries = data[:40]
     ids = np.arange(3000)
-    got, found = T.search(queries, ids[:40], data, ids, 4)
+    seen = {}
+    got, found = T.search(queries, ids[:40], data, ids, 4, seen=seen)
     scores = queries @ data.T
     for i in range(40):
         order = sorted((-scores[i, j], j) for j in range(3000) if j != i)[:4]
         assert list(zip(got[i], found[i], strict=True)) == [(-s, j) for s, j in order]
+    assert seen["pruned"] > 0 and seen["pairs"] < 0.25 * 40 * 3000
+
+
+def test_known_scores_prune_more():
+    rng = np.random.default_rng(6)
+    data = np.floor(rng.normal(0, 100, (2000, 8)))
+    queries = data[:10]
+    ids = np.arange(2000)
+    free, told = {}, {}
+    got, found = T.search(queries, ids[:10], data, ids, 3, seen=free)
+    again, same = T.search(queries, ids[:10], data, ids, 3, least=np.array([r[-1] for r in got], float), seen=told)
+    assert (again, same) == (got, found) and told["pairs"] < free["pairs"]
 
 
 def test_cover_tree_covers():
     rng = np.random.default_rng(6)
-    points = np.round(rng.normal(0, 9, (700, 4)))
-    stack, seen = [T.cover_tree(points)], 0
-    while stack:
-        node = stack.pop()
-        assert np.linalg.norm(points[node.index] - node.centre, axis=1).max() <= node.radius + 1e-9
-        if node.children:
-            assert sorted(np.concatenate([c.index for c in node.children])) == sorted(node.index)
-            assert all(c.radius <= node.radius / 2 + 1e-9 or not c.children for c in node.children)
+    for points in (np.round(rng.normal(0, 9, (700, 4))), np.round(rng.normal(0, 90, (500, 32))), np.zeros((50, 3))):
+        stack, seen = [T.cover_tree(points)], []
+        while stack:
+            node = stack.pop()
+            assert np.linalg.norm(points[node.index] - node.centre, axis=1).max() <= node.radius + 1e-9
+            assert sorted(np.concatenate([*(c.index for c in node.children), node.single])) == sorted(node.index)
+            assert all(c.radius <= node.radius / 2 + 1e-9 for c in node.children)
+            seen += node.single.tolist()
             stack += node.children
-        else:
-            seen += len(node.index)
-    assert seen == 700
+        assert sorted(seen) == list(range(len(points)))
+
+
+def test_cells_are_pruned_before_the_shuffle(spark):
+    rnd = random.Random(9)
+    rows = vectors(rnd, 1500, 6)
+    queries = [r for r in rows if r[0] % 50 == 0]
+    shares = {}
+    assert run(spark, rows, queries, data_block=64, query_block=8, cells=24, shares=shares) == brute(rows, queries, 5)
+    assert shares["sent"] < 0.5 * shares["all"]
+
+
+def test_large_components_are_exact(spark):
+    rnd = random.Random(10)
+    rows = [(i, [rnd.choice([1e6, 2e6, -3.5e7, 2.0**45]) * rnd.random() for _ in range(4)]) for i in range(80)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    got = run(spark, rows, rows[:9], data_block=16)
+    want = brute(rows, rows[:9], 5)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == [r[3] if abs(r[3]) < 2**63 else None for r in want]

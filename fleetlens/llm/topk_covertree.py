@@ -13,8 +13,9 @@ so the pair is pruned if that bound is below the worst k-th score of Q's
 queries; below a query node single queries are pruned by the same bound with a
 radius of 0.
 
-The corpus has the same shape one level up.  Up to ``cells`` data vectors, the
-first by a hash, are centres; every vector belongs to the nearest one, and a
+The corpus has the same shape one level up.  Up to ``cells`` data vectors out
+of a bounded sample (the first by a hash; each time the one farthest from those
+chosen before) are centres; every vector belongs to the nearest one, and a
 cell's covering radius is the largest distance in it.  Queries first search the
 cell whose centre has the best product with them.  The k-th scores found there
 prune the other cells, query by query, before any vector is shuffled for them:
@@ -50,6 +51,7 @@ from pyspark.sql import functions as F
 from fleetlens.session import write_shared
 
 LEAF = 8  #: points that are not divided further
+SAMPLED = 16  #: rows of the sample that centres are chosen from, per centre
 HIGH = 62  #: bits of the lower half of a score
 
 
@@ -198,6 +200,22 @@ def _by_dim(centres: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(d): (g["cell"].to_numpy(), np.stack(g["v"].to_numpy()).astype(np.float64)) for d, g in centres.groupby("dim")} if len(centres) else {}
 
 
+def spread_out(sample: pd.DataFrame, wanted: int) -> pd.DataFrame:
+    """``wanted`` rows of the sample as centres, each time the one farthest from
+    those before; vectors of one length after another, by their share."""
+    out = []
+    for dim, g in sample.groupby("dim"):
+        x = np.stack(g["v"].to_numpy()).astype(np.float64)
+        place, away = 0, np.full(len(x), np.inf)
+        for _ in range(min(len(x), -(-wanted * len(x) // len(sample)))):
+            out.append((x[place], dim))
+            away = np.minimum(away, np.linalg.norm(x - x[place], axis=1)) if x.shape[1] else np.zeros(len(x))
+            place = int(away.argmax())
+            if away[place] == 0:
+                break
+    return pd.DataFrame({"v": [v for v, _ in out], "dim": [d for _, d in out], "cell": np.arange(len(out))})
+
+
 def in_cells(rows: DataFrame, centres: pd.DataFrame, schema: str) -> DataFrame:
     """Data rows with the nearest centre's ``cell`` (-1: none of that length)
     and its ``distance``."""
@@ -252,7 +270,7 @@ def top_k(
     vector_col: str = "embedding",
     data_block: int = 2048,
     query_block: int = 2048,
-    cells: int = 256,
+    cells: int = 1024,
     shares: dict | None = None,
 ) -> DataFrame:
     """query_id, rank (from 1), the data id and score, k rows per query.
@@ -266,11 +284,10 @@ def top_k(
     schema = "id long, v array<double>, dim long"
     rows = write_shared(prepared(data), "vectors")
     count = rows.count()
-    # at most ``cells`` vectors reach the driver
-    wanted = max(1, min(cells, -(-count // data_block)))
-    first = rows.select("v", "dim").orderBy(F.xxhash64("id", "v"), "v").limit(wanted).distinct()
-    centres = first.toPandas()
-    centres["cell"] = np.arange(len(centres))
+    # at most SAMPLED times ``cells`` vectors reach the driver
+    wanted = max(1, min(cells, max(count // data_block, min(64, count // 128))))
+    first = rows.select("v", "dim").orderBy(F.xxhash64("id", "v"), "v").limit(SAMPLED * wanted).distinct()
+    centres = spread_out(first.toPandas(), wanted)
     placed = write_shared(in_cells(rows, centres, schema), "cells")
     facts = placed.groupBy("cell", "dim").agg(F.count("*").alias("n"), F.max("distance").alias("radius"))
     facts = write_shared(facts.withColumn("blocks", F.ceil(F.col("n") / data_block).cast("int")), "cell-facts")
@@ -304,7 +321,7 @@ def top_k(
         goes = asked.mapInPandas(lambda frames: where_to(frames, home), f"{schema}, least double, cell long")
         goes = write_shared(goes, f"{label}-routes")
         parts = goes.groupBy("cell", "dim").agg(F.ceil(F.count("*") / query_block).cast("int").alias("parts"))
-        return write_shared(goes.join(parts, ["cell", "dim"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts"), label)
+        return goes.join(parts, ["cell", "dim"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
 
     asked = write_shared(prepared(queries).dropDuplicates(["id", "v"]).withColumn("least", F.lit(float("-inf"))), "queries")
     near = sent(asked, True, "near")

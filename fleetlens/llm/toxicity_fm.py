@@ -99,6 +99,14 @@ def dense(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
     return x
 
 
+def gradients(model: Machine, x: np.ndarray, label: np.ndarray, l2: float) -> list:
+    """Gradients of the mean logistic loss plus half ``l2`` times the squared
+    weights and factors: of the bias, the weights and the factors."""
+    g = (model.probability(x) - label) / len(x)
+    by_factor = x.T @ (g[:, None] * (x @ model.factor)) - ((x * x).T @ g)[:, None] * model.factor
+    return [g.sum(), x.T @ g + l2 * model.weight, by_factor + l2 * model.factor]
+
+
 def learn(
     rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, width: int = 1024, factors: int = 6, epochs: int = 30, rate: float = 0.2, l2: float = 1e-5, seed: int = 5
 ) -> Machine:
@@ -127,10 +135,7 @@ def learn(
         for a in range(0, n, 128):
             part = order[a : a + 128]
             x = dense([small[i] for i in part], len(kept))
-            model = Machine(kept, bias, weight, factor)
-            g = (model.probability(x) - label[part]) / len(part)
-            xv = x @ factor
-            grads = [g.sum(), x.T @ g + l2 * weight, x.T @ (g[:, None] * xv) - ((x * x).T @ g)[:, None] * factor + l2 * factor]
+            grads = gradients(Machine(kept, bias, weight, factor), x, label[part], l2)
             for i, d in enumerate(grads):
                 sums[i] = sums[i] + d * d
             bias -= rate * grads[0] / np.sqrt(sums[0])

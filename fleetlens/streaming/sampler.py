@@ -7,8 +7,11 @@ Metrics arrive continuously; the stream keeps one row per (group, bucket):
    than the watermark are dropped by Spark (the batch sampler has no such
    rule; there is nothing in the reference to match).
 2. ``applyInPandasWithState`` keyed by group carries the last non-null value
-   of every counter across micro-batches and turns counters into reset-aware
-   rates.  The state per group is one number per counter.
+   of every counter, and the last pair of every quotient's inputs, across
+   micro-batches and turns them into reset-aware rates, latencies and ratios.
+   The state per group is one number per counter and two per quotient.  It
+   expires: a group without a bucket for ``ttl`` of event time is dropped, and
+   starts anew if it ever returns.
 
 Spark does not allow a pandas state function after a streaming aggregation
 in append mode, so the two stages are two streaming queries chained through
@@ -59,26 +62,53 @@ def stream_buckets(
     return out
 
 
+def _grown(now: pd.Series, before: pd.Series) -> pd.Series:
+    """What a counter grew by; its own value after a reset; missing without a
+    value before."""
+    return (now - before).where(now >= before, now).where(before.notna())
+
+
 def stream_rates(
     sampled: DataFrame,
     group_cols: list[str],
     counters: tuple[str, ...],
     interval: str,
     bucket_col: str = "bucket_ms",
+    quotients: dict[str, tuple[str, str]] | None = None,
+    ttl: str = "30d",
 ) -> DataFrame:
-    """Reset-aware counter rates across micro-batches (A3, A4 on a stream).
+    """Reset-aware counter rates and quotients of deltas across micro-batches
+    (A3, A4, A5, A8 on a stream).
 
-    Output: the group columns, the bucket and one ``double`` rate per counter.
+    Output: the group columns, the bucket, one ``double`` rate per counter and
+    one per quotient (output name -> (numerator, denominator)), as the batch
+    sampler gives them.  The state of a group without a bucket for ``ttl`` is
+    removed when the stream's newest bucket is that much later.
     """
     seconds = parse_interval_ms(interval) / 1000.0
+    quotients = quotients or {}
+    inputs = list(dict.fromkeys([*counters, *(p for pair in quotients.values() for p in pair)]))
     key_fields = [sampled.schema[g] for g in group_cols]
     out_schema = T.StructType(
-        key_fields + [T.StructField(bucket_col, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in counters]
+        key_fields + [T.StructField(bucket_col, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in (*counters, *quotients)]
+    )
+    state_schema = T.StructType(
+        [T.StructField(f"last_{c}", T.DoubleType()) for c in counters]
+        + [T.StructField(f"{part}_{q}", T.DoubleType()) for q in quotients for part in ("above", "below")]
     )
-    state_schema = T.StructType([T.StructField(f"last_{c}", T.DoubleType()) for c in counters])
+
+    def carried(values: pd.Series, last: float | None) -> pd.Series:
+        before = values.ffill().shift(1)
+        return before if last is None else before.fillna(last)
+
+    def newest(values: pd.Series, last: float | None) -> float | None:
+        return float(values.dropna().iloc[-1]) if values.notna().any() else last
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get) if state.exists else [None] * len(counters)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = list(state.get) if state.exists else [None] * len(state_schema)
         frames = [b for b in batches]
         if not frames:
             return
@@ -86,23 +116,28 @@ def stream_rates(
         pdf = pd.concat(frames).sort_values(bucket_col)
         out = pd.DataFrame({f.name: k for f, k in zip(key_fields, key, strict=True)}, index=pdf.index)
         out[bucket_col] = pdf[bucket_col].astype("int64")
+        numbers = {c: pd.to_numeric(pdf[c]).astype("float64") for c in inputs}
         for i, c in enumerate(counters):
-            now = pd.to_numeric(pdf[c]).astype("float64")
-            before = now.ffill().shift(1)
-            if last[i] is not None:
-                before = before.fillna(last[i])
-            grown = (now - before).where(now >= before, now)
-            out[c] = (grown / seconds).where(before.notna(), now)
-            if now.notna().any():
-                last[i] = float(now.dropna().iloc[-1])
+            before = carried(numbers[c], last[i])
+            out[c] = (_grown(numbers[c], before) / seconds).where(before.notna(), numbers[c])
+            last[i] = newest(numbers[c], last[i])
+        for i, (q, (a, b)) in enumerate(quotients.items()):
+            at = len(counters) + 2 * i
+            both = numbers[a].notna() & numbers[b].notna()
+            above, below = numbers[a].where(both), numbers[b].where(both)
+            grown = [_grown(x, carried(x, last[at + j])) for j, x in enumerate((above, below))]
+            out[q] = (grown[0] / grown[1]).where(grown[1] != 0, 0.0).where(both & grown[0].notna() & grown[1].notna())
+            last[at], last[at + 1] = newest(above, last[at]), newest(below, last[at + 1])
         state.update(tuple(last))
+        # the watermark lags the newest bucket by ``ttl``, so this passes when the group is that old
+        state.setTimeoutTimestamp(max(int(pdf[bucket_col].iloc[-1]), state.getCurrentWatermarkMs()) + 1)
         yield out[[f.name for f in out_schema.fields]]
 
-    cols = group_cols + [bucket_col] + list(counters)
     return (
-        sampled.select(*cols)
+        sampled.select(*group_cols, bucket_col, *inputs, F.timestamp_millis(bucket_col).alias("__at"))
+        .withWatermark("__at", f"{parse_interval_ms(ttl)} milliseconds")
         .groupBy(*group_cols)
-        .applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -118,6 +153,8 @@ def start_sampler(
     max_fields: tuple[str, ...] = (),
     ts_col: str = "timestamp",
     id_col: str = "_id",
+    quotients: dict[str, tuple[str, str]] | None = None,
+    ttl: str = "30d",
 ):
     """Start both stages; ``sink`` gets the rate stream's ``DataStreamWriter``
     to finish (format, options) and returns the started query.
@@ -134,6 +171,6 @@ def start_sampler(
     )
     spark = events.sparkSession
     stage2 = spark.readStream.schema(buckets.schema).parquet(buckets_path)
-    rates = stream_rates(stage2, group_cols, counters, interval)
+    rates = stream_rates(stage2, group_cols, counters, interval, quotients=quotients, ttl=ttl)
     q2 = sink(rates.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint_root}/rates"))
     return q1, q2

@@ -4,7 +4,41 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators.sampling import FieldRules, sample_buckets
 from fleetlens.sources import adaptors
-from fleetlens.streaming.sampler import start_sampler
+from fleetlens.streaming.sampler import start_sampler, stream_rates
+
+
+def test_rates_quotients_and_expiry(spark, tmp_dir):
+    """Micro-batches in any cut equal the batch sampler; old groups leave the state."""
+    hour, start = 3_600_000, 1_704_067_200_000
+    rules = FieldRules(rate=("ops",), latency={"lat": ("tm", "ops")}, ratio={"per": ("ops", "tm")})
+    rows = []
+    for g in range(6):
+        for b in range(40):
+            if (b * 7 + g) % 5:
+                rows.append((f"g{g}", start + b * hour, None if (b + g) % 4 == 0 else (b * 13 + g) % 50, None if (b + g) % 3 == 0 else (b * 29) % 70))
+    rows = [r for r in rows if r[0] != "g5" or r[1] < start + 3 * hour]  # one group ends early
+    schema = "g string, bucket_ms long, ops long, tm long"
+    cuts = [0, 2, 3, 11, 12, 30, 40]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_dir}/in")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/in")
+    out = stream_rates(src, ["g"], ("ops",), "1h", quotients={"lat": ("tm", "ops"), "per": ("ops", "tm")}, ttl="10h")
+    q = out.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_dir}/ck").format("memory").queryName("rates_and_quotients").start()
+    try:
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            part = spark.createDataFrame([r for r in rows if low * hour <= r[1] - start < high * hour], schema)
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_dir}/in")
+            q.processAllAvailable()
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    finally:
+        q.stop()
+    docs = spark.createDataFrame([(f"{g}{b}", b, g, o, t) for g, b, o, t in rows], "_id string, b long, g string, ops long, tm long").withColumn("timestamp", F.timestamp_millis("b"))
+    want = {(r["g"], r["bucket_ms"]): (r["ops"], r["lat"], r["per"]) for r in sample_buckets(docs, ["g"], "1h", rules).collect()}
+    got = {(r["g"], r["bucket_ms"]): (r["ops"], r["lat"], r["per"]) for r in spark.sql("select * from rates_and_quotients").collect()}
+    assert got.keys() == want.keys()
+    for k, values in want.items():
+        for x, y in zip(got[k], values, strict=True):
+            assert (x is None and y is None) or abs(x - y) < 1e-12
+    assert max(states) == 6 and states[-1] == 5
 
 
 def test_stream_matches_batch(spark, tmp_dir):

@@ -76,7 +76,7 @@ def json_pretty(text: Column | str, indent: int = 2) -> Column:
 
 def map_json_strings(text: Column, change: Callable[[Column], Column], maybe: str = "") -> Column:
     """JSON text with every string value (not keys) replaced by ``change`` of
-    it; only strings whose text matches ``maybe`` are looked at."""
+    it; only strings whose JSON text matches ``maybe`` are looked at."""
 
     def piece(token: Column) -> Column:
         value = F.variant_get(F.try_parse_json(token), "$", "string")

@@ -32,7 +32,7 @@ def test_pretty_and_drop(spark, docs):
     assert run(spark, spaced, jsontext.json_pretty) == [json.dumps(d, ensure_ascii=False, indent=2) for d in docs]
     out = run(spark, texts, lambda t: jsontext.drop_scalar_members(t, ["store"]))
     assert [json.loads(o) for o in out] == [dropped(d) for d in docs]
-    upper = run(spark, texts, lambda t: jsontext.map_json_strings(t, F.upper, "a"))
+    upper = run(spark, texts, lambda t: jsontext.map_json_strings(t, lambda c: F.replace(c, F.lit("a"), F.lit("A")), "a"))
     assert [json.loads(o) for o in upper] == [mapped(d) for d in docs]
 
 
@@ -41,7 +41,7 @@ def mapped(v):
         return {k: mapped(x) for k, x in v.items()}
     if isinstance(v, list):
         return [mapped(x) for x in v]
-    return v.upper() if isinstance(v, str) and "a" in v else v
+    return v.replace("a", "A") if isinstance(v, str) else v
 
 
 def test_layout(spark):

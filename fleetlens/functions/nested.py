@@ -33,6 +33,11 @@ def field_type(schema: T.StructType, path: str) -> T.DataType | None:
     return current
 
 
+def get_path(schema: T.StructType, path: str) -> Column:
+    """The value at a dotted path; null where the schema has no such path."""
+    return F.lit(None) if field_type(schema, path) is None else F.col(quote_path(path))
+
+
 def leaf_paths(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataType]]:
     """All non-struct leaves with their dotted path."""
     out: list[tuple[str, T.DataType]] = []

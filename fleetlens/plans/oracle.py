@@ -1007,3 +1007,44 @@ FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate
 SQL["alert_rule_list"] = """
 SELECT c_custkey AS _id, c_name AS name, c_acctbal > 0 AS enabled, c_mktsegment AS resource_type FROM customer
 """
+
+# Both slices are sampled by themselves, so a bucket that either cuts still ends with its newest document.
+SQL["sample_slices"] = f"""
+WITH {METRICS}, {bucketed(3_600_000)},
+n AS (
+  SELECT cluster_id, node_id, bucket_ms,
+         CAST(bool_or("timestamp" < TIMESTAMP '2024-01-16 10:20:00') AS BIGINT) + CAST(bool_or("timestamp" >= TIMESTAMP '2024-01-14 22:40:00') AS BIGINT) AS outputs
+  FROM b GROUP BY ALL
+)
+SELECT cluster_id, node_id, bucket_ms, _id, status, value, outputs FROM latest JOIN n USING (cluster_id, node_id, bucket_ms)
+"""
+
+SQL["export_nodes"] = f"""
+WITH {METRICS},
+n AS (SELECT 'node-' || node_id AS name FROM metrics),
+k AS (SELECT count(*) AS rows FROM n WHERE regexp_full_match(name, 'node-1.*|node-.') AND NOT regexp_full_match(name, '.*[37]'))
+SELECT 'node_stats' AS type, rows, 0 AS failed_types, rows AS rows_read, true AS has_file FROM k
+UNION ALL SELECT 'index_stats', 0, 0, 0, true
+UNION ALL SELECT 'all', rows, 0, NULL, NULL FROM k
+"""
+
+SQL["nested_paths"] = f"""
+WITH {METRICS}
+SELECT _id, 'node-' || node_id AS node, CAST(ops AS VARCHAR) AS queries, CAST(NULL AS VARCHAR) AS cpu, CAST(NULL AS VARCHAR) AS through FROM metrics
+"""
+
+SQL["report_clusters_csv"] = SQL["report_clusters"]
+
+SQL["report_cluster_samples"] = f"""
+WITH s AS ({SQL["index_samples"]}),
+e AS (WITH {CATALOG} SELECT * FROM elig)
+SELECT e.cluster_id, e.cluster_name, e.index_name, e.doc_count, s.doc_rank, s._id, s._source FROM s JOIN e USING (cluster_id, index_name)
+"""
+
+SQL["report_index_details"] = f"""
+SELECT cluster_id, index_name || '/a\\b' || cluster_id AS index_name, doc_rank, _id, _source FROM ({SQL["index_samples"]})
+"""
+
+SQL["report_run_files"] = f"""
+SELECT *, (SELECT pass_rate FROM ({SQL["report_record"]})) AS pass_rate FROM ({SQL["report_runs"]})
+"""

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.fieldspec import classify_fields
-from fleetlens.functions.nested import flatten
+from fleetlens.functions.nested import flatten, get_path
 from fleetlens.operators import estimate, filters, sampling, shape
-from fleetlens.plans.job import ExportJob, manifest, newest, run_export_job
+from fleetlens.plans.job import ExportJob, manifest, newest, run_export_job, summary_totals
 from fleetlens.session import fresh_folder, write_shared
 from fleetlens.sinks import writers
 from fleetlens.sources import adaptors, store
@@ -207,6 +207,24 @@ def full_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_buckets(m, NODE_GROUP, None).select("_id", "timestamp", "cluster_id", "node_id", "status", "value")
 
 
+# Two time slices that overlap by a day and a half, cut inside an hour.
+SLICES = ((None, "2024-01-16 10:20:00"), ("2024-01-14 22:40:00", None))
+
+
+@register
+def sample_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of two overlapping time slices put together as they
+    are, then one row per series and bucket with the number of slices it is from."""
+    m = adaptors.metrics(spark, sf_dir)
+    at = F.col("timestamp")
+    parts = [m.where((at >= low if low else F.lit(True)) & (at < high if high else F.lit(True))) for low, high in SLICES]
+    early, late = (sampling.latest_per_bucket(p, NODE_GROUP, "1h") for p in parts)
+    both = early.unionByName(late)
+    outputs = both.groupBy(*NODE_GROUP, "bucket_ms").agg(F.count(F.lit(1)).alias("outputs"))
+    once = sampling.latest_per_bucket(both.drop("bucket_ms"), NODE_GROUP, "1h")
+    return once.join(outputs, [*NODE_GROUP, "bucket_ms"]).select(*NODE_GROUP, "bucket_ms", "_id", "status", "value", "outputs")
+
+
 @register
 def newest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 500 newest documents, ties by id (a top-k report)."""
@@ -298,9 +316,52 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entered.join(read, "slice").select("slice", "type", "rows", "rows_read", (F.col("most") <= job.rows_per_file).alias("capped"), F.date_format("last_time", "yyyy-MM-dd HH:mm:ss").alias("last_time"))
 
 
+@register
+def export_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of nodes chosen by globs, exported beside a
+    type that has none; the summary per type, its totals, and the rows read back."""
+    store_path = fresh_folder(spark, "metric-documents")
+    adaptors.metric_documents(spark, sf_dir).write.parquet(store_path)
+    job = ExportJob(
+        name="nodes",
+        output_path=fresh_folder(spark, "export"),
+        metrics_path=store_path,
+        metric_types=["node_stats", "index_stats"],
+        start="2024-1-1",
+        end="2024-12-31",
+        include_nodes=["node-1*", "node-?"],
+        exclude_nodes=["*[37]"],
+    )
+    summary = run_export_job(spark, job)
+    read = None
+    for name in job.metric_types:
+        folder = f"{job.output_path}/{name}"
+        some = bool(spark.read.text(folder).inputFiles())
+        one = spark.read.text(folder).agg(F.count(F.lit(1)).alias("rows_read")).select(F.lit(name).alias("type"), "rows_read", F.lit(some).alias("has_file"))
+        read = one if read is None else read.unionByName(one)
+    failed = F.col("error").isNotNull().cast("long").alias("failed_types")
+    each = summary.join(read, "type").select("type", "rows", failed, "rows_read", "has_file")
+    totals = summary_totals(summary).select(F.lit("all").alias("type"), "rows", "failed_types")
+    return each.unionByName(totals, allowMissingColumns=True)
+
+
 # --- document shaping ---------------------------------------------------------
 
 
+@register
+def nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at dotted paths; paths that are absent, or that lead through a
+    scalar, read null."""
+    docs = adaptors.metric_documents(spark, sf_dir)
+    paths = {
+        "node": "metadata.labels.node_name",
+        "queries": "payload.elasticsearch.node_stats.indices.search.query_total",
+        "cpu": "payload.elasticsearch.node_stats.os.cpu.percent",
+        "through": "metadata.name.first",
+    }
+    return docs.select("_id", *[get_path(docs.schema, p).cast("string").alias(c) for c, p in paths.items()])
+
+
 @register
 def mask_ip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P4 over whole document texts."""
@@ -831,6 +892,53 @@ def report_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("timestamp", "summary.total", "summary.passed", "summary.pass_rate", F.size(F.map_keys("field_descriptions")).alias("notes"))
 
 
+@register
+def report_clusters_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: the cluster report written as CSV and read back."""
+    rows = report_clusters(spark, sf_dir)
+    path = fresh_folder(spark, "clusters-csv")
+    writers.write_csv_report(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@register
+def report_cluster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampling report by cluster as JSON Lines, read back document by
+    document."""
+    from fleetlens.operators import catalog
+
+    idx = _eligible(spark, sf_dir, 0)
+    nested = catalog.index_samples(idx, catalog.sample_documents(idx, adaptors.index_documents(spark, sf_dir), sample_size=2))
+    path = fresh_folder(spark, "cluster-samples")
+    writers.write_cluster_samples_json(nested, path)
+    read = spark.read.schema(nested.schema).json(path)
+    return read.select("cluster_id", "cluster_name", "index_name", "doc_count", F.inline("sample_docs"))
+
+
+@register
+def report_index_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details per cluster and index, whose names hold path characters."""
+    samples = index_samples(spark, sf_dir)
+    odd = samples.withColumn("index_name", F.concat("index_name", F.lit("/a\\b"), F.col("cluster_id")))
+    path = fresh_folder(spark, "index-details")
+    writers.write_index_details(odd, path)
+    return spark.read.schema(odd.schema).json(path)
+
+
+@register
+def report_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run report and its results written side by side; the results
+    as read back, each with the report's pass rate."""
+    from fleetlens.operators import reports
+
+    runs = adaptors.benchmark_runs(spark, sf_dir)
+    rows, record = reports.run_rows(runs), reports.report_record(runs, F.lit(REPORT_TIME))
+    path = fresh_folder(spark, "run-report")
+    writers.write_report(record, rows, path)
+    rate = spark.read.schema(record.schema).json(f"{path}/report").first()["summary"]["pass_rate"]
+    return spark.read.schema(rows.schema).json(f"{path}/results").withColumn("pass_rate", F.lit(rate))
+
+
 @register
 def diag_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleted share, shard size skew, size and doc-count limits.

@@ -69,3 +69,23 @@ def test_registry_and_latest_status(spark):
         "_id string, timestamp string, cluster_id string, status string",
     ).withColumn("timestamp", F.to_timestamp("timestamp"))
     assert fleet.latest_cluster_status(docs).first()["status"] == "red"
+
+
+def test_get_path_reads_null_where_the_schema_has_none(spark):
+    from pyspark.sql import types as T
+
+    from fleetlens.functions.nested import get_path
+
+    df = spark.createDataFrame([((("x",), 3),), (None,)], T.StructType.fromDDL("a struct<b: struct<`1m`: string>, c: int>"))
+    paths = ["a.b.1m", "a.c", "a.d", "a.c.e", "z"]
+    got = [tuple(r) for r in df.select(*[get_path(df.schema, p).cast("string").alias(p) for p in paths]).collect()]
+    assert got == [("x", "3", None, None, None), (None,) * 5]
+
+
+def test_samples_without_an_index_write_and_read_back(spark, tmp_path):
+    from fleetlens.sinks import writers
+
+    empty = spark.createDataFrame([], "cluster_id string, index_name string, doc_rank int, _id string, _source string")
+    path = str(tmp_path / "details")
+    writers.write_index_details(empty, path)
+    assert spark.read.schema(empty.schema).json(path).count() == 0

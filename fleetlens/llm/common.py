@@ -64,11 +64,13 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-#: Rows of a written table of ids (and a few numbers each) that may be broadcast: some tens of MB.
+#: Rows of a written table of ids (and a few numbers each), elements of their arrays included, that may be broadcast: some tens of MB.
 BROADCAST_ROWS = 500_000
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
     """Join ``left`` with the written table ``right``: broadcast only if its
-    rows, counted first, are at most ``limit``; a shuffled join beyond that."""
-    return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)
+    rows, counted first, are at most ``limit``; a shuffled join beyond that.
+    If ``right`` has an array column, every element of ``array`` counts as a row too."""
+    n = right.count() if array is None else right.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(array)), F.lit(0))).first()[0]
+    return left.join(F.broadcast(right) if n <= limit else right, on, how)

@@ -187,7 +187,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["ord"].alias("ord"), b["kind"].alias("kind"), b["stop"].alias("stop")))
     left = scanned.select(F.struct("id").alias("_key"), "v", base.alias("base"))  # a struct's null id equals itself
     right = more.select(F.struct("id").alias("_key"), "v", "more")
-    joined = join_checked(left, right, ["_key", "v"], "left")
+    joined = join_checked(left, right, ["_key", "v"], "left", array="more")
     spans = F.sort_array(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {SPAN})"))))
     return joined.select(F.col("_key.id").alias("id"), "v", spans.alias("spans")), terms
 
@@ -197,7 +197,7 @@ def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     their class, removed terms by nothing."""
     packed = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("id")).alias("_key"), F.xxhash64(text_col).alias("v"))
     spans = found.where(F.size("spans") > 0).select(F.struct("id").alias("_key"), "v", "spans").dropDuplicates(["_key", "v"])
-    out = join_checked(packed, write_shared(spans, "pii-spans-of"), ["_key", "v"], "left")
+    out = join_checked(packed, write_shared(spans, "pii-spans-of"), ["_key", "v"], "left", array="spans")
     text = F.col(f"row.`{text_col}`")
 
     def label(s: Column) -> Column:

@@ -22,8 +22,9 @@ and ten mantissa bits (two bytes).
 
 Rows moved follow the group's size for copies and near copies that their leader
 joins; only members that stay apart from their crowd meet all of it, as blocks,
-never as pairs.  No group is cut.  A missed link can only come from the bands:
-at J = 0.75 with probability (1 - 0.75**4)**32 = 5e-6, less above.
+never as pairs.  No group is cut.  A link can be missed by the bands, at
+J = 0.75 with probability (1 - 0.75**4)**32 = 5e-6, less above, or by step 4's
+filter, if the estimate of a true pair lies five standard deviations low.
 
 Defined results: text null or without words gives an empty set, its own
 component, kept.  Fewer words than the shingle length: the whole sequence is

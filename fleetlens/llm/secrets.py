@@ -126,7 +126,7 @@ def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     kind = found.schema["spans"].dataType.simpleString()
     right = found.select(F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_null"), "v", "spans")
     left = rows.withColumn("_id", F.coalesce("id", F.lit(0))).withColumn("_null", F.col("id").isNull())
-    joined = join_checked(left, right, ["_id", "_null", "v"], "left").drop("_id", "_null")
+    joined = join_checked(left, right, ["_id", "_null", "v"], "left", array="spans").drop("_id", "_null")
     return joined.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {kind})")))
 
 

@@ -217,7 +217,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = write_shared(dealt.select("id", "v", "shard", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part")), "dealt")
     docs_of = join_checked(base, dealt, ["id", "v"], "inner")
     lowest = write_shared(confirmed.groupBy("low", "shard").agg(F.collect_list("h").alias("phrases")).select("low.id", "low.v", "shard", "phrases"), "lowest")
-    spelled = _spelled(join_checked(base, lowest, ["id", "v"], "inner"), phrase).distinct()
+    spelled = _spelled(join_checked(base, lowest, ["id", "v"], "inner", array="phrases"), phrase).distinct()
     spread = join_checked(spelled, parts, ["shard"], "inner").select("shard", "spelled", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     windows = write_shared(_candidates(docs_of, spread, window, phrase), "windows")
     repeated = windows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h1", "h2", "low")
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay, joined by one blank."""
     ranges = repeated_ranges(docs, id_col, text_col, window, phrase)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("text"))
-    joined = join_checked(base, ranges, ["id", "v"], "left").select("id", "text", "ranges")
+    joined = join_checked(base, ranges, ["id", "v"], "left", array="ranges").select("id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 1):

@@ -13,11 +13,17 @@ validation are string functions on that row; files never meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import drop_blank_edge_lines, format_count, is_msearch_path, strip_ws, target_names
 from fleetlens.operators.joins import lookup_join
+from fleetlens.session import write_shared
 
 # Per-case error texts.
 ERR_NO_METHOD = "missing method line"
@@ -31,32 +37,74 @@ REQUEST_LINE = r"^([A-Za-z]+)\s+(.+)$"
 _WS = r"[ \t\f\u000B]"
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file_id, part, title, line) of a task, in file order, as pieces of
+    cases: file_id, part, ``own`` (titles of the part so far) and text."""
+    names = ["file_id", "part", "own", "text"]
+    last, own, held = None, 0, []  # part and number of the piece that is open, and its texts so far
+
+    def closed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*last, own, "\n".join(held)], (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        files, parts = b.column(0), b.column(1)
+        ends = np.union1d(*[pc.run_end_encode(c).run_ends.to_numpy() for c in (files, parts)])
+        begin = np.append(0, ends[:-1])  # where a part begins, at the earliest in this batch
+        title = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        here = (files[0].as_py(), parts[0].as_py())
+        goes_on = here == last
+        if last is not None and not (goes_on and not title[0]):
+            yield closed()
+            held = []
+        count = np.cumsum(title)
+        number = count - np.repeat((count - title)[begin], ends - begin)
+        if goes_on:
+            number[: ends[0]] += own
+        fresh = title.copy()
+        fresh[begin] = True
+        first = np.flatnonzero(fresh)
+        offsets = pa.array(np.append(first, b.num_rows), pa.int32())
+        text = pc.binary_join(pa.ListArray.from_arrays(offsets, b.column(3)), "\n")
+        if held:  # the open piece goes on in the first one
+            text = pa.concat_arrays([pa.array(["\n".join([*held, text[0].as_py()])] if len(text) > 1 else [text[0].as_py()], pa.string()), text.slice(1)])
+        held = [*(held if len(text) == 1 else []), text[-1].as_py()]
+        last, own = (files[-1].as_py(), parts[-1].as_py()), int(number[-1])
+        done = first[:-1]
+        yield pa.RecordBatch.from_arrays([files.take(pa.array(done)), parts.take(pa.array(done)), pa.array(number[done]), text.slice(0, len(done))], names=names)
+    if last is not None:
+        yield closed()
+
+
 def read_request_logs(spark: SparkSession, path: str) -> DataFrame:
     """Cases of the request files below ``path``: ``file_id`` (the file's path),
     ``number`` (of the case in its file; 0 before the first title) and ``text``
     (S12).
 
-    Files are read by lines, so a large one is many tasks.  Titles are numbered
-    in two levels: inside a part of a file by a running count, over the parts of
-    a file by sums of their titles.  Then the lines of a case are put together;
-    a case is one request, which fits into a task.
+    Files are read by lines, so a large one is many tasks.  The lines of a part
+    of a file come to one task in their order, which puts them together without
+    a shuffle; a case is one request, which fits into a task.  Titles are
+    numbered in two levels: inside a part, and over the parts of a file by sums
+    of their titles.  Only a part's first and last piece, which its neighbours
+    may go on with, are shuffled.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("part"),
-        F.monotonically_increasing_id().alias("place"),  # ascends inside a part
+        F.col("value").rlike(rf"^{_WS}*#").alias("title"),
         F.col("value").alias("line"),
-        F.col("value").rlike(rf"^{_WS}*#").cast("int").alias("title"),
     )
-    part = ["file_id", "part"]
-    titles = lines.groupBy(*part).agg(F.sum("title").alias("titles"))
+    pieces = write_shared(lines.mapInArrow(_pieces, "file_id string, part long, own long, text string"), "log-pieces")
+    titles = pieces.groupBy("file_id", "part").agg(F.max("own").alias("titles"))
     earlier = Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = titles.select(*part, F.coalesce(F.sum("titles").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(*part).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("own", F.sum("title").over(inside)).join(before, part)
+    before = titles.select(F.struct("file_id", "part").alias("place"), "titles", F.coalesce(F.sum("titles").over(earlier), F.lit(0)).alias("before"))
+    numbered = lookup_join(pieces.withColumn("place", F.struct("file_id", "part")), before, "place", "inner")
     numbered = numbered.withColumn("number", (F.col("before") + F.col("own")).cast("int"))
-    case = numbered.groupBy("file_id", "number").agg(F.array_sort(F.collect_list(F.struct("part", "place", "line"))).alias("lines"))
-    return case.select("file_id", "number", F.array_join(F.col("lines.line"), "\n").alias("text"))
+    edge = (F.col("own") == 0) | (F.col("own") == F.col("titles"))
+    torn = numbered.where(edge).groupBy("file_id", "number").agg(F.array_sort(F.collect_list(F.struct("part", "own", "text"))).alias("pieces"))
+    joined = torn.select("file_id", "number", F.array_join(F.col("pieces.text"), "\n").alias("text"))
+    return numbered.where(~edge).select("file_id", "number", "text").unionByName(joined)
 
 
 def parse_requests(files: DataFrame, id_col: str = "file_id", text_col: str = "text", number_col: str | None = None) -> DataFrame:

@@ -352,6 +352,11 @@ def request_files(spark: SparkSession, sf_dir: str, preambles: bool = True) -> D
     otherwise.
     """
     o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("file_id"), _request_text(preambles).alias("text"))
+
+
+def _request_text(preambles: bool) -> F.Column:
+    """The text of an order's request file (see :func:`request_files`)."""
     st = F.col("o_orderstatus")
     d = F.substring(F.col("o_orderpriority"), 1, 1)
     title = (
@@ -370,8 +375,7 @@ def request_files(spark: SparkSession, sf_dir: str, preambles: bool = True) -> D
     )
     second = F.concat(F.lit("# Count "), st, F.lit("\nGET idx-"), F.lower(st), F.lit('/_count\n\n{"query":{"match_all":{}}}\n'))
     preamble = F.when(d == "3", F.when(st == "F", F.lit("stray text\n")).otherwise(F.lit("  \n"))).otherwise(F.lit(""))
-    text = F.concat(preamble if preambles else F.lit(""), title, F.lit("\n"), request, F.lit("\n\n"), second)
-    return o.select(F.col("o_orderkey").alias("file_id"), text.alias("text"))
+    return F.concat(preamble if preambles else F.lit(""), title, F.lit("\n"), request, F.lit("\n\n"), second)
 
 
 #: Logs that the orders' request texts are written to.
@@ -380,10 +384,12 @@ LOGS = 64
 
 def request_logs(spark: SparkSession, sf_dir: str) -> str:
     """The orders' request texts (no preambles) written as log files: order k
-    into log ``k % 64``, ascending.  Returns the folder."""
-    texts = request_files(spark, sf_dir, preambles=False).withColumn("log", F.col("file_id") % LOGS)
+    into log ``k % 64``, ascending.  The orders are shuffled and sorted, their
+    texts follow from them afterwards.  Returns the folder."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", (F.col("o_orderkey") % LOGS).alias("log"))
     path = fresh_folder(spark, "request-logs")
-    texts.repartition(LOGS, "log").sortWithinPartitions("log", "file_id").select("log", "text").write.partitionBy("log").text(path)
+    dealt = o.repartition(LOGS, "log").sortWithinPartitions("log", "o_orderkey")
+    dealt.select("log", _request_text(preambles=False).alias("text")).write.partitionBy("log").text(path)
     return path
 
 

@@ -7,11 +7,12 @@ import random
 import uuid
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fleetlens.operators import estimate, requests, sampling
 from fleetlens.session import write_shared
-from fleetlens.sources import store
+from fleetlens.sources import adaptors, store
 
 UTC = timezone.utc
 
@@ -54,6 +55,41 @@ def test_logs_cut_anywhere_give_the_same_cases(spark, tmp_dir):
             spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_pieces_do_not_depend_on_batches():
+    rnd = random.Random(12)
+    rows = [(f"f{f}", p, rnd.random() < 0.2, rnd.choice(["", "x", "# t"])) for f in range(9) for p in (0, 50, 90)[: rnd.randint(1, 3)] for _ in range(rnd.randint(1, 30))]
+    want, own = {}, 0
+    for i, (f, p, title, line) in enumerate(rows):
+        own = title + (own if i and rows[i - 1][:2] == (f, p) else 0)
+        want.setdefault((f, p, own), []).append(line)
+    names = ["file_id", "part", "title", "line"]
+    for size in (1, 2, 7, 40, len(rows)):
+        cut = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[a : a + size]]) for a in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in requests._pieces(iter([cut[0].slice(0, 0), *cut])) for r in b.to_pylist()]
+        assert got == [(*k, "\n".join(v)) for k, v in want.items()]
+
+
+def test_logs_shuffle_the_edges_of_parts_alone(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/logs")
+    with open(f"{tmp_dir}/logs/a", "w", encoding="utf-8") as f:
+        f.write("# T\nGET a\n" * 500)
+    cases = requests.read_request_logs(spark, f"{tmp_dir}/logs")
+    assert cases.count() == 500
+    shown = plan(cases)
+    assert shown.count("Exchange hashpartitioning") == 1 and "Window" not in shown and "own" in shown
+
+
+def test_written_logs_hold_the_orders_texts(spark, tmp_dir):
+    rows = [(k, k % 9, "FOP"[k % 3], f"{k % 5 + 1}-X") for k in range(300)] + [(None, 1, "F", "1-X"), (7, 1, None, "1-X"), (7, None, "O", None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_dir}/orders.parquet")
+    written = spark.read.text(adaptors.request_logs(spark, tmp_dir))
+    texts = adaptors.request_files(spark, tmp_dir, preambles=False).select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")), (F.col("file_id") % 64).cast("int"))
+    assert sorted(map(tuple, written.collect()), key=repr) == sorted(map(tuple, texts.collect()), key=repr)
+    one = adaptors.request_logs(spark, tmp_dir)
+    log = spark.read.text(f"{one}/log=5").collect()
+    assert [r.value for r in log if r.value.startswith("# Count ")] == [f"# Count {'FOP'[k % 3]}" for k in range(5, 300, 64)]
+
+
 def documents(spark, rnd, n):
     t0 = datetime(2024, 1, 1, tzinfo=UTC)
     rows = [(str(i), t0 + timedelta(minutes=rnd.randrange(0, 6000)), rnd.choice(["c1", "c1", "c2", None]), f"n{rnd.randrange(40)}", rnd.choice([None, rnd.randrange(1000)]), rnd.choice([None, rnd.randrange(1000)])) for i in range(n)]

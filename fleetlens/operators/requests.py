@@ -36,6 +36,9 @@ REQUEST_LINE = r"^([A-Za-z]+)\s+(.+)$"
 
 _WS = r"[ \t\f\u000B]"
 
+#: Rows of cases that a task sorts: some 200 bytes each in its memory.
+TASK_ROWS = 500_000
+
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines (file_id, part, title, line) of a task, in file order, as pieces of
@@ -238,10 +241,14 @@ def resolve_aliases(targets: DataFrame, aliases: DataFrame) -> DataFrame:
     first appearance.  ``aliases`` has ``alias, index``, a row per index.  A
     handful of names covers most requests, so the alias table is broadcast up
     to a size, or joined with salted keys beyond it; the rest happens inside
-    the case's partition.
+    the case's partition.  The joined rows are written, which tells their
+    number: cases are dealt out so that a task sorts about ``TASK_ROWS`` of
+    them however well the shuffled rows compress.
     """
     a = aliases.where(F.col("alias").isNotNull()).select(F.col("alias").alias("target"), F.col("index").alias("__index")).where("__index is not null").distinct()
     j = lookup_join(targets, a, "target").select("file_id", "seq", "target_pos", F.coalesce("__index", "target").alias("index_name"))
+    j = write_shared(j, "resolved")
+    j = j.repartition(j.count() // TASK_ROWS + 1, "file_id", "seq")
     # Both windows share the (file, case) partitioning: one exchange.  The
     # first keeps each index's earliest appearance, the second numbers them.
     by_name = Window.partitionBy("file_id", "seq").orderBy("index_name", "target_pos")

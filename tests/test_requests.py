@@ -1,5 +1,7 @@
 """Request-file parsing, targets, aliases and overview."""
 
+from pyspark.sql import functions as F
+
 from fleetlens.operators import requests
 
 TEXT = """
@@ -58,3 +60,21 @@ def test_targets_aliases_overview(spark):
     facts = spark.createDataFrame([("movies-v1", "{m}", "{s}")], "index string, mapping string, settings string")
     rep = {x["index_name"]: (x["mapping"], x["settings"], x["pri"]) for x in requests.index_report(r, ov, facts, facts).collect()}
     assert rep == {"movies-v1": ("{m}", "{s}", "-"), "movies-v2": (None, None, "-"), "index1": (None, None, "-")}
+
+
+def test_cases_are_dealt_out_by_their_rows(spark, monkeypatch):
+    """The rows that a task sorts are bounded, whatever their shuffled bytes."""
+    monkeypatch.setattr(requests, "TASK_ROWS", 100)
+    rows = [(f, s, p, f"t{(s + p) % 3}") for f in range(150) for s in (1, 2) for p in (0, 1)]
+    targets = spark.createDataFrame(rows, "file_id long, seq int, target_pos int, target string")
+    aliases = spark.createDataFrame([("t1", "i1"), ("t1", "t2")], "alias string, index string")
+    got = requests.resolve_aliases(targets, aliases)
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 8 and max(r["count"] for r in sizes) < 200
+    of = {0: ["t0"], 1: ["i1", "t2"], 2: ["t2"]}
+    want = []
+    for f in range(150):
+        for s in (1, 2):
+            names = list(dict.fromkeys([*of[s % 3], *of[(s + 1) % 3]]))
+            want += [(f, s, n, i + 1) for i, n in enumerate(names)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)

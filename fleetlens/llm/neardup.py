@@ -35,6 +35,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ MANTISSA = 10
 SMALL = 8
 SALTS = 8
 BLOCK_SHINGLES = 400_000
+#: Rows of an Arrow batch that holds texts or full sets: some MB, in the JVM and in Python.
+BATCH_ROWS = 1000
 _U = np.uint64
 
 
@@ -117,7 +120,10 @@ def _matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+    """The sets of a column without nulls, as views of its buffer: no copies."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    return [np.frombuffer(data, np.uint64, (b - a) // 8, a) if b > a else np.zeros(0, np.uint64) for a, b in itertools.pairwise(at)]
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,6 +222,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
+            pa.default_memory_pool().release_unused()  # what the batch before has left
             good = []
             for x, y in zip(_lists(b.column(2)), _lists(b.column(3)), strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
@@ -314,9 +323,20 @@ def _same_id(sketched: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.join(several, "id", "left_semi").join(classes, ["n", "h1", "h2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
 
+def _written_in_small_batches(df: DataFrame, label: str) -> DataFrame:
+    """``write_shared`` with at most ``BATCH_ROWS`` rows in an Arrow batch (fewer, if the session says so)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return write_shared(df, label)
+    finally:
+        conf.set(key, before)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Per row of ``docs``: id, n (set size), component (smallest id reachable)."""
-    sketched = write_shared(sketches(docs, id_col, text_col), "sketches")
+    sketched = _written_in_small_batches(sketches(docs, id_col, text_col), "sketches")
     reps = write_shared(
         sketched.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("regs").alias("regs")), "classes"
     )
@@ -324,8 +344,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passed = write_shared(_estimated(_candidates(members, percent), reps, percent / 100), "pairs")
     crowded = members.where(F.col("m") > SMALL)
     wanted = passed.select(F.col("a").alias("id")).unionByName(passed.select(F.col("b").alias("id"))).unionByName(crowded.select("id")).distinct()
-    sets = write_shared(_sets(docs, wanted, id_col, text_col), "sets")
-    links = write_shared(_confirmed(passed, sets, percent).unionByName(_same_id(sketched, reps)), "links")
+    sets = _written_in_small_batches(_sets(docs, wanted, id_col, text_col), "sets")
+    links = _written_in_small_batches(_confirmed(passed, sets, percent).unionByName(_same_id(sketched, reps)), "links")
     known = components(links)
     more = write_shared(_links_in_crowds(_crowds(members, known), sets, percent), "crowd-links")
     if more.limit(1).count():

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from fleetlens.llm import neardup as N
 
@@ -114,3 +115,27 @@ def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 105), (105, 103)]
     got = dict(map(tuple, N.components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 103: 100, 105: 100}
+
+
+def test_texts_and_sets_go_in_small_batches(spark, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, N.write_shared
+
+    def noted(df, label, *args):
+        seen[label] = int(spark.conf.get(key))
+        return write(df, label, *args)
+
+    monkeypatch.setattr(N, "write_shared", noted)
+    before = spark.conf.get(key)
+    rows = [(i, f"a b c d e f g h {'x' * (i % 3 == 0)}") for i in range(20)]
+    assert run(spark, rows) == brute(rows)
+    assert all(seen[x] <= 1000 for x in ("sketches", "sets", "links")) and spark.conf.get(key) == before
+
+
+def test_sets_are_views_of_their_column():
+    sets = [np.arange(n, dtype=np.uint64) * np.uint64(2**60 + 7) for n in (3, 0, 1, 5, 0)]
+    column = pa.array([x.tobytes() for x in sets], pa.binary())
+    for part, want in ((column, sets), (column.slice(1, 3), sets[1:4]), (column.slice(1, 1), sets[1:2]), (column.slice(2, 0), [])):
+        got = N._lists(part)
+        assert len(got) == len(want) and all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    assert all(np.shares_memory(x, data) for x in N._lists(column) if len(x))

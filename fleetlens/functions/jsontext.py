@@ -1,9 +1,9 @@
-"""JSON text as tokens: pretty printing, rewriting strings, dropping members.
+"""JSON text: pretty printing, rewriting strings, dropping members.
 
-The text is cut into tokens by one linear regular expression, so documents of
-any depth, with arrays anywhere, are handled without recursion; order and
-spelling stay as they are.  The same steps serve VARIANT columns, through
-their JSON text.
+The text is cut into tokens by one linear regular expression, or changed in
+place by one that finds its members and strings, so documents of any depth,
+with arrays anywhere, are handled without recursion; order and spelling stay
+as they are.  The same steps serve VARIANT columns, through their JSON text.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from fleetlens.functions.arrays import let, sums_before
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_BLANKS = r"[ \t\r\n]*+"
+_WORD = r'[^ \t\r\n{}\[\],:"]++'
 # A key with its colon, a string, a sign, or a number or word.
-_TOKEN = rf'{_STRING}[ \t\r\n]*+:|{_STRING}|[{{}}\[\],]|[^ \t\r\n{{}}\[\],:"]++'
-# Stands for a dropped member; JSON text cannot hold it.
-_GONE = "\x00"
+_TOKEN = rf'{_STRING}{_BLANKS}:|{_STRING}|[{{}}\[\],]|{_WORD}'
+# Around an escape, and for an escaped quote; JSON text cannot hold them.
+_MARK, _QUOTE = "\x01", "\x02"
 
 
 def json_tokens(text: Column) -> Column:
@@ -86,25 +88,47 @@ def map_json_strings(text: Column, change: Callable[[Column], Column], maybe: st
     return F.when(text.rlike(maybe), F.array_join(F.transform(json_tokens(text), piece), "")).otherwise(text)
 
 
-def drop_scalar_members(text: Column, names: list[str]) -> Column:
-    """JSON text without the members called ``names`` whose value is no object
-    or array, at any depth."""
-    keys = [f'"{n}"' for n in names]
-    maybe = "|".join(keys)
+def has_whole_double(text: Column) -> Column:
+    """Whether a number of a JSON text may end like 100.0 (strings are looked at
+    too).  ``to_json`` writes this for a double alone; parsed again it is a
+    decimal, written without the zero."""
+    return text.contains(".0,") | text.contains(".0}") | text.contains(".0]")
 
-    def cleaned(tokens: Column) -> Column:
-        def gone(i: Column) -> Column:
-            return _is_key(F.get(tokens, i)) & _key_text(F.get(tokens, i)).isin(keys) & ~_opens(F.get(tokens, i + 1))
 
-        def piece(token: Column, i: Column) -> Column:
-            return F.when(gone(i), F.lit(_GONE)).when((i > 0) & gone(i - 1), F.lit("")).otherwise(token)
+def replace_in_json_strings(text: Column, pattern: str, replacement: str) -> Column:
+    """JSON text as ``to_json`` writes it (no blanks, only quotes, backslashes
+    and control characters escaped), with every match of ``pattern`` in its
+    string values (not keys) replaced.
+
+    ``pattern`` must match no quote or control character, and must hold such a
+    character for no part of a word.  In a text with escapes these stand between
+    two control characters meanwhile, so that no letter of theirs touches a match."""
+
+    def replaced(t: Column) -> Column:
+        return F.regexp_replace(t, rf'{pattern}(?![^"]*+":)', replacement)
 
-        joined = F.array_join(F.transform(tokens, piece), "")
-        for found in (f"{_GONE},", f",{_GONE}", _GONE):
-            joined = F.replace(joined, F.lit(found), F.lit(""))
-        return joined
+    def careful(t: Column) -> Column:
+        apart = F.regexp_replace(t, r"\\(u[0-9A-Fa-f]{4}|.)", f"{_MARK}$1{_MARK}")
+        changed = replaced(F.replace(apart, F.lit(f'{_MARK}"{_MARK}'), F.lit(_QUOTE)))
+        quoted = F.replace(changed, F.lit(_QUOTE), F.lit(f'{_MARK}"{_MARK}'))
+        return F.regexp_replace(quoted, f"{_MARK}([^{_MARK}]++){_MARK}", r"\\$1")
 
-    return F.when(text.rlike(maybe), let(json_tokens(text), cleaned)).otherwise(text)
+    return let(text, lambda t: F.when(t.contains("\\"), careful(t)).otherwise(replaced(t)))
+
+
+def drop_scalar_members(text: Column, names: list[str], compact: bool = False) -> Column:
+    """JSON text without the members called ``names`` whose value is no object
+    or array, at any depth.  ``compact``: a text without blanks between tokens,
+    whose members are found by a literal, so that the search skips through it.
+
+    A quote after a comma or brace that is followed by a name opens a string:
+    a closing one is followed by a sign."""
+    blanks = "" if compact else _BLANKS
+    for name in names:
+        member = rf'{blanks}"\Q{name}\E"{blanks}:{blanks}(?:{_STRING}|{_WORD})'
+        text = F.regexp_replace(text, f",{member}", "")
+        text = F.regexp_replace(text, rf"\{{{member}{blanks},?+", "{")
+    return text
 
 
 def keep_paths(value: Column, paths: list[str]) -> Column:

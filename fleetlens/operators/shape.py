@@ -1,21 +1,22 @@
 """Document shaping: project, slim, mask, flatten.
 
 Each operator is one pass of the schema walk in ``functions.nested``: a single
-projection, no Python per row.  VARIANT values are rewritten through the tokens
-of their JSON text.
+projection, no Python per row.  VARIANT values are rewritten through
+their JSON text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.jsontext import drop_members, drop_scalar_members, keep_paths, map_json_strings
+from fleetlens.functions.arrays import let
+from fleetlens.functions.jsontext import drop_members, drop_scalar_members, has_whole_double, keep_paths, replace_in_json_strings
 from fleetlens.functions.nested import flatten, project_paths, rewrite
 from fleetlens.session import write_shared
 
@@ -25,8 +26,9 @@ SLIM_METADATA_KEYS = ("category", "datatype", "name")
 SLIM_HUMAN_READABLE_KEYS = ("store", "estimated_size", "limit_size")
 
 # IPv4 address with explicit ASCII word boundaries, so the result does not
-# depend on the JVM's definition of \b.  The first two octets are hidden.
-IPV4_PATTERN = r"(?<![0-9A-Za-z_])[0-9]{1,3}\.[0-9]{1,3}\.([0-9]{1,3})\.([0-9]{1,3})(?![0-9A-Za-z_])"
+# depend on the JVM's definition of \b.  The first two octets are hidden.  What
+# stands before is looked at from the first digit, not from every character.
+IPV4_PATTERN = r"[0-9](?<![0-9A-Za-z_][0-9])[0-9]{0,2}\.[0-9]{1,3}\.([0-9]{1,3})\.([0-9]{1,3})(?![0-9A-Za-z_])"
 IPV4_REPLACEMENT = "*.*.$1.$2"
 
 
@@ -43,7 +45,7 @@ def _through_json(value: Column, change: Callable[[Column], Column]) -> Column:
 
 def _mask_leaf(_path: str, dtype: T.DataType, value: Column) -> Column:
     if isinstance(dtype, T.VariantType):
-        return _through_json(value, lambda text: map_json_strings(text, mask_ipv4, r"[0-9]\.[0-9]"))
+        return _through_json(value, lambda text: replace_in_json_strings(text, IPV4_PATTERN, IPV4_REPLACEMENT))
     if isinstance(dtype, T.StringType):
         return mask_ipv4(value)
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):
@@ -97,7 +99,7 @@ def slim_document(df: DataFrame, config: SlimConfig) -> DataFrame:
         if config.remove_meta and path.split(".")[0] == "metadata":
             return drop_members(value, list(SLIM_METADATA_KEYS)) if path == "metadata" else value
         if config.remove_human_readable:
-            return _through_json(value, lambda text: drop_scalar_members(text, list(SLIM_HUMAN_READABLE_KEYS)))
+            return _through_json(value, lambda text: drop_scalar_members(text, list(SLIM_HUMAN_READABLE_KEYS), compact=True))
         return value
 
     return rewrite(df, leaf=leaf, drop=drop)
@@ -146,7 +148,7 @@ def shape_variant(document: Column, source_fields: list[str] | None = None, mask
         def slimmed(key: Column, value: Column) -> Column:
             cut = value
             if slim.remove_human_readable:
-                cut = _through_json(value, lambda text: drop_scalar_members(text, list(SLIM_HUMAN_READABLE_KEYS)))
+                cut = _through_json(value, lambda text: drop_scalar_members(text, list(SLIM_HUMAN_READABLE_KEYS), compact=True))
             if slim.remove_meta:
                 cut = F.when(key == "metadata", drop_members(value, list(SLIM_METADATA_KEYS))).otherwise(cut)
             return cut
@@ -157,6 +159,33 @@ def shape_variant(document: Column, source_fields: list[str] | None = None, mask
     return keep_paths(out, source_fields) if source_fields else out
 
 
+def shape_variant_text(document: Column, source_fields: list[str] | None = None, mask: bool = False, slim: SlimConfig | None = None) -> Column:
+    """JSON text of :func:`shape_variant` of an object, its members written once
+    and changed as texts.  A whole double is written as an integer once its text
+    was parsed again; documents that hold one, and cut ones, take that way."""
+    shaped = F.to_json(shape_variant(document, source_fields, mask, slim))
+    slim = slim if slim is not None and slim.enabled else SlimConfig(remove_meta=False, remove_human_readable=False)
+    if source_fields or not (mask or slim.enabled):
+        return shaped
+
+    def text(key: Column, value: Column) -> Column:
+        is_meta = key == "metadata"
+        out = F.to_json(F.when(is_meta, drop_members(value, list(SLIM_METADATA_KEYS))).otherwise(value) if slim.remove_meta else value)
+        if mask:
+            out = replace_in_json_strings(out, IPV4_PATTERN, IPV4_REPLACEMENT)
+        if slim.remove_human_readable:
+            short = partial(drop_scalar_members, names=list(SLIM_HUMAN_READABLE_KEYS), compact=True)
+            out = let(out, lambda t: F.when(is_meta, t).otherwise(short(t))) if slim.remove_meta else short(out)
+        return F.concat(F.to_json(key.cast("variant")), F.lit(":"), out)
+
+    members = F.map_entries(F.variant_get(document, "$", "map<string,variant>"))
+    if slim.remove_meta:
+        members = F.filter(members, lambda e: ~e["key"].isin(*SLIM_TOP_LEVEL))
+    texts = F.transform(members, lambda e: text(e["key"], e["value"]))
+    whole = F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
+    return let(whole, lambda t: F.when(has_whole_double(t), shaped).otherwise(t))
+
+
 def _flatten(df: DataFrame, id_cols: list[str], variant: Column, braces: Column, prefix: str, levels: int) -> DataFrame:
     """``braces`` is the number of opening braces in a document's text: nothing
     is deeper than that, so one cheap aggregate tells whether ``levels`` do."""
@@ -205,5 +234,6 @@ __all__ = [
     "project_paths",
     "shape_documents",
     "shape_variant",
+    "shape_variant_text",
     "slim_document",
 ]

@@ -34,7 +34,7 @@ from fleetlens.functions.nested import field_type, quote_path
 from fleetlens.functions.timeutil import parse_interval_ms, resolve_time_window
 from fleetlens.operators import filters, sampling, shape
 from fleetlens.operators.fleet import active_clusters
-from fleetlens.session import write_shared
+from fleetlens.session import materialized, write_shared
 from fleetlens.sinks.writers import DEFAULT_ROWS_PER_FILE, planned_files, write_json_lines, write_text_lines
 from fleetlens.sources.restfields import REST, read_with_rest, whole_document
 from fleetlens.sources.tables import ALERT_TIME_COLUMNS, read_alerts, read_metrics
@@ -177,8 +177,8 @@ def newest(df: DataFrame, ts_col: str | None, limit: int) -> DataFrame:
 
 def _shaped(df: DataFrame, job: ExportJob) -> DataFrame:
     if REST in df.columns:
-        document = shape.shape_variant(F.col("__doc"), job.source_fields, mask=job.mask, slim=job.slim)
-        return df.select(whole_document(df).alias("__doc")).select(F.to_json(document).alias("value"))
+        document = shape.shape_variant_text(F.col("__doc"), job.source_fields, mask=job.mask, slim=job.slim)
+        return materialized(df.select(whole_document(df).alias("__doc"))).select(document.alias("value"))
     return shape.shape_documents(df, job.source_fields, mask=job.mask, slim=job.slim)
 
 
@@ -205,8 +205,8 @@ def _write(df: DataFrame, path: str, job: ExportJob, kind: str, ts_col: str | No
     if kind == "alert":
         out = shape.shape_documents(observed, None, mask=job.mask, slim=None)
     elif split and rest:
-        packed = observed.select("cluster", whole_document(observed.drop("cluster")).alias("__doc"))
-        out = packed.select("cluster", F.to_json(shape.shape_variant(F.col("__doc"), job.source_fields, mask=job.mask, slim=job.slim)).alias("value"))
+        packed = materialized(observed.select("cluster", whole_document(observed.drop("cluster")).alias("__doc")))
+        out = packed.select("cluster", shape.shape_variant_text(F.col("__doc"), job.source_fields, mask=job.mask, slim=job.slim).alias("value"))
     elif split:
         out = shape.shape_documents(observed, [*job.source_fields, "cluster"] if job.source_fields else None, mask=job.mask, slim=job.slim)
     else:

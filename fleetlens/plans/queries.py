@@ -19,7 +19,7 @@ from fleetlens.functions.fieldspec import classify_fields
 from fleetlens.functions.nested import flatten, get_path
 from fleetlens.operators import estimate, filters, sampling, shape
 from fleetlens.plans.job import ExportJob, manifest, newest, run_export_job, summary_totals
-from fleetlens.session import fresh_folder, write_shared
+from fleetlens.session import fresh_folder, materialized, write_shared
 from fleetlens.sinks import writers
 from fleetlens.sources import adaptors, store
 from fleetlens.sources.tables import normalize_registry, read_alerts, read_runs, table
@@ -273,21 +273,24 @@ def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     _run(spark, job)
     lines = spark.read.option("basePath", f"{job.output_path}/node_stats").text(f"{job.output_path}/node_stats")
-    node = "$.payload.elasticsearch.node_stats"
-    picked = {
-        "node_id": "$.metadata.labels.node_id",
-        "zone": "$.metadata.labels.zone",
-        "store": "$.free.store",
-        "seen": "$.free.seen",
-        "publish": f"{node}.transport.publish_address",
-        "size": f"{node}.indices.store.size",
-        "bytes": f"{node}.indices.store.size_in_bytes",
-        "queries": f"{node}.indices.search.query_total",
-    }
-    return lines.select(
-        F.col("cluster").cast("string").alias("cluster_id"),
-        F.substring(F.get_json_object("value", "$.timestamp"), 1, 19).alias("at"),
-        *[F.get_json_object("value", path).alias(name) for name, path in picked.items()],
+    # every line is parsed once; texts, numbers and arrays alike are picked as texts
+    picked = (
+        "timestamp string, metadata struct<labels struct<node_id string, zone string>>, free struct<store string, seen string>, payload struct<elasticsearch struct<node_stats struct<"
+        "transport struct<publish_address string>, indices struct<store struct<size string, size_in_bytes string>, search struct<query_total string>>>>>"
+    )
+    docs = materialized(lines.select(F.col("cluster").cast("string").alias("cluster_id"), F.from_json("value", picked).alias("d")))
+    node = "d.payload.elasticsearch.node_stats"
+    return docs.select(
+        "cluster_id",
+        F.substring("d.timestamp", 1, 19).alias("at"),
+        "d.metadata.labels.node_id",
+        "d.metadata.labels.zone",
+        "d.free.store",
+        "d.free.seen",
+        F.col(f"{node}.transport.publish_address").alias("publish"),
+        f"{node}.indices.store.size",
+        F.col(f"{node}.indices.store.size_in_bytes").alias("bytes"),
+        F.col(f"{node}.indices.search.query_total").alias("queries"),
     )
 
 

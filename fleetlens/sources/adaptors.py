@@ -13,23 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.benchruns import OPTIMIZED, ORIGINAL, number_rounds
-from fleetlens.session import fresh_folder
+from fleetlens.session import fresh_folder, materialized
 from fleetlens.sources.tables import table
 
 NODE_METRIC_TYPE = "node_stats"
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Evaluate ``df``'s columns once, in generated code, as a real source would.
-
-    ``inline(array(struct(*)))`` is a generator: the optimizer does not merge
-    the expressions that build these stand-in columns into later projections,
-    in particular not into ones that higher-order functions force out of
-    generated code.  Real documents are read from storage and need no such step.
-    """
-    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
-
-
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as flat node metrics.
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.operators.shape import SlimConfig
+from fleetlens.functions import jsontext
+from fleetlens.operators.shape import IPV4_PATTERN, IPV4_REPLACEMENT, SlimConfig, mask_ipv4, shape_variant, shape_variant_text
 from fleetlens.plans import job as J
 from fleetlens.plans.job import ExportJob, manifest, run_export_job
 from fleetlens.sinks.writers import file_row_counts, planned_files, write_json_lines
@@ -204,3 +205,65 @@ def test_rest_survives_sampling(spark, lines, tmp_dir):
     assert run_export_job(spark, job).first()["rows"] == 2
     out = sorted((json.loads(r["value"]) for r in spark.read.text(f"{tmp_dir}/out/node_stats").collect()), key=lambda d: d["n"])
     assert out == [{"n": i, "also": [i], "metadata": {"labels": {"extra": i}}} for i in (2, 3)]
+
+
+def test_a_line_is_parsed_and_read_once(spark, lines):
+    job = ExportJob(name="k", output_path="", metrics_path=lines, metrics_format="json", schemas={"node_stats": SCHEMA}, start="2024-01-01", end="2024-01-02", keep_rest=True)
+    docs = J.metric_documents(spark, job, "node_stats")
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(") == 1 and plan.count("try_variant_get(v#") == plan.count("MapType(") + 1
+    assert sorted(r["_id"] for r in docs.collect()) == ["a", "b", "c"]
+
+
+ODD = [
+    {"s": "10.1.2.3", "store": 1, "metadata": {"name": "x", "store": "kept 10.1.2.3"}, "agent": 1, "_id": "x"},
+    {"a": {"store": "x", "limit_size": None, "b": [{"store": True}, {"c": 1, "estimated_size": 2, "store": {"store": 3, "d": 4}}]}},
+    {"t": ["\n10.1.2.3\t", "\\10.1.2.3", 'q"10.1.2.3"', "x10.1.2.3", "1.2.3.4.5", "\u00010.1.2.3", "\u001f10.1.2.3", "é10.1.2.3", '"store":1,', ',"store":1'], "10.1.2.3": {"k 10.1.2.3\"": "10.1.2.3", 'say "store': 1}},
+    {"metadata": "text 10.1.2.3", "": {"": "store"}, "v": "1.0, x", "l": [], "o": {}},
+]
+WHOLE = ['{"a":{"x":1e2,"y":[100.0,1.0e2],"z":-0.0e0},"metadata":{"m":1e2,"n":"1.0}"}}', '{"a":1.10,"b":1e400,"c":123456789012345678901234567890123456789012}']
+
+
+@pytest.mark.parametrize("mask", [False, True])
+@pytest.mark.parametrize("slim", [None, SlimConfig(enabled=True), SlimConfig(enabled=True, remove_meta=False), SlimConfig(enabled=True, remove_human_readable=False)])
+def test_shaped_text_is_that_of_the_shaped_value(spark, mask, slim):
+    df = spark.createDataFrame([(json.dumps(d),) for d in ODD] + [(t,) for t in WHOLE], "t string").select(F.parse_json("t").alias("v"))
+    by_value, by_text = F.to_json(shape_variant(F.col("v"), None, mask, slim)), shape_variant_text(F.col("v"), None, mask, slim)
+    for r in df.select(by_value.alias("a"), by_text.alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
+def test_strings_are_masked_in_the_text(spark):
+    texts = spark.createDataFrame([(json.dumps(d),) for d in ODD], "t string").select(F.to_json(F.parse_json("t")).alias("t"))
+    by_token = jsontext.map_json_strings(F.col("t"), mask_ipv4, r"[0-9]\.[0-9]")
+    rows = texts.select(by_token.alias("a"), jsontext.replace_in_json_strings(F.col("t"), IPV4_PATTERN, IPV4_REPLACEMENT).alias("b")).collect()
+    assert [r["b"] for r in rows] == [r["a"] for r in rows] and "*.*.2.3" in rows[0]["b"]
+
+
+def test_members_are_dropped_with_and_without_blanks(spark):
+    def dropped(v):
+        if isinstance(v, dict):
+            return {k: dropped(x) for k, x in v.items() if k not in ("store", "limit_size") or isinstance(x, (dict, list))}
+        return [dropped(x) for x in v] if isinstance(v, list) else v
+
+    for compact, how in ((True, {"separators": (",", ":")}), (False, {"indent": 1}), (False, {"separators": (" , ", " : ")})):
+        texts = spark.createDataFrame([(i, json.dumps(d, **how)) for i, d in enumerate(ODD)], "i int, t string")
+        out = texts.orderBy("i").select(jsontext.drop_scalar_members(F.col("t"), ["store", "limit_size"], compact).alias("o")).collect()
+        assert [json.loads(r["o"]) for r in out] == [dropped(d) for d in ODD]
+
+
+def test_documents_with_whole_doubles_and_other_kinds(spark, tmp_dir):
+    docs = [
+        '{"_id":"a","n":1,"metadata":{"name":"node_stats","labels":{"x":1e2,"y":[100.0]}},"top":{"z":1e2}}',
+        '{"_id":5,"n":{"x":1},"metadata":{"name":["no text"],"labels":[1]},"timestamp":"no time"}',
+        '{"_id":null,"n":1.0,"metadata":null,"more":"1.0,"}',
+    ]
+    with open(f"{tmp_dir}/docs.json", "w", encoding="utf-8") as f:
+        f.write("\n".join(docs))
+    df = restfields.read_with_rest(spark, f"{tmp_dir}/docs.json", SCHEMA)
+    got = [r["j"] for r in df.select(F.to_json(restfields.whole_document(df)).alias("j")).collect()]
+    assert got == [
+        '{"_id":"a","metadata":{"labels":{"cluster_id":null,"x":100.0,"y":[100]},"name":"node_stats"},"n":1,"timestamp":null,"top":{"z":100.0}}',
+        '{"_id":"5","metadata":{"labels":[1],"name":"[\\"no text\\"]"},"n":{"x":1},"timestamp":"no time"}',
+        '{"_id":null,"metadata":null,"more":"1.0,","n":1,"timestamp":null}',
+    ]
